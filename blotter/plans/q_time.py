@@ -1 +1,182 @@
-"""Registered queries."""
+"""Registered queries: date parts, parsing, rounding, grids, gap fill, holidays."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from blotter.functions import calendar as C
+from blotter.functions.timeparts import (PARTS, TEXT_TS_FORMAT, parse_text_date,
+                                         parse_text_ts, with_date_parts)
+from blotter.operators import gaps as G
+from blotter.operators import trends as TR
+from blotter.operators.profiles import group_counts
+from blotter.plans.registry import register
+from blotter.plans.sql import finish, with_views
+from blotter.sources import tables as S
+
+_PART_SQL = {
+    "year": "year(ts)", "month": "month(ts)", "quarter": "quarter(ts)",
+    "dayofmonth": "dayofmonth(ts)", "dayofyear": "dayofyear(ts)",
+    "dayofweek": "dayofweek(ts) + 1", "weekofyear": "weekofyear(ts)",
+    "hour": "hour(ts)", "minute": "minute(ts)", "isoweekday": "isodow(ts)",
+}
+
+
+@register("date_parts", sql=finish(with_views(
+    "SELECT id, CAST(ts AS DATE) AS day, "
+    + ", ".join(f"{v} AS {k}" for k, v in _PART_SQL.items()) + " FROM incidents_e", "incidents_e"),
+    dates=("day",), ints=tuple(PARTS)))
+def date_parts(spark, sf):
+    """Calendar parts of every incident."""
+    inc = S.incidents_from_events(spark, sf)
+    return with_date_parts(inc).select("id", "day", *PARTS)
+
+
+@register("iso_weekday", sql=finish(with_views(
+    "SELECT label, isodow(ts) AS isoweekday, count(*) AS n FROM incidents_e GROUP BY ALL",
+    "incidents_e"), ints=("isoweekday",)))
+def iso_weekday(spark, sf):
+    """T5: Monday-first weekday profile per label."""
+    inc = with_date_parts(S.incidents_from_events(spark, sf), parts=("isoweekday",))
+    return group_counts(inc, "label", "isoweekday")
+
+
+@register("parse_text_timestamp", sql=finish(with_views(
+    "SELECT id, txt, parsed, CAST(parsed AS DATE) AS parsed_day FROM "
+    "(SELECT id, txt, strptime(txt, '%m/%d/%Y %I:%M:%S %p') AS parsed FROM "
+    "(SELECT id, strftime(ts, '%m/%d/%Y %I:%M:%S %p') AS txt FROM incidents_e) a) b",
+    "incidents_e"), dates=("parsed_day",), stamps=("parsed",)))
+def parse_text_timestamp(spark, sf):
+    """Timestamps rendered as 'MM/dd/yyyy hh:mm:ss a' text and parsed back."""
+    inc = S.incidents_from_events(spark, sf)
+    txt = inc.select("id", F.date_format("ts", TEXT_TS_FORMAT).alias("txt"))
+    return txt.select("id", "txt", parse_text_ts("txt").alias("parsed"),
+                      parse_text_date("txt").alias("parsed_day"))
+
+
+@register("round_10min_gapfill", sql=finish(with_views("""
+SELECT g.bucket, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (bucket)""", "incidents_e", ctes="""
+r AS (SELECT date_trunc('hour', ts) + to_minutes(CAST(round_even(minute(ts) / 10.0, 0) AS BIGINT) * 10)
+             AS bucket FROM incidents_e),
+c AS (SELECT bucket, count(*) AS n FROM r GROUP BY bucket),
+g AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 10 MINUTE)) AS bucket FROM c)"""),
+    stamps=("bucket",)))
+def round_10min_gapfill(spark, sf):
+    """T6 + A8 + O5: counts per 10-minute bucket (half-even), zero-filled."""
+    return G.minute_gapfill(S.incidents_from_events(spark, sf), 10)
+
+
+@register("future_grid", sql=finish(with_views("""
+SELECT district, ts, hour(ts) AS hour, dayofyear(ts) AS dayofyear, dayofweek(ts) + 1 AS dayofweek,
+       year(ts) AS year, month(ts) AS month FROM g""", "incidents_e", ctes="""
+g AS (SELECT district, unnest(generate_series(make_timestamp(y + 1, 1, 1, 0, 0, 0),
+                                              make_timestamp(y + 1, 1, 1, 0, 0, 0) + INTERVAL 30 DAY,
+                                              INTERVAL 1 HOUR)) AS ts
+      FROM (SELECT DISTINCT district FROM incidents_e) d, (SELECT max(year(ts)) AS y FROM incidents_e) m)"""),
+    stamps=("ts",), ints=("hour", "dayofyear", "dayofweek", "year", "month")))
+def future_grid(spark, sf):
+    """Hourly grid of the January after the data for every district."""
+    return G.future_grid(S.incidents_from_events(spark, sf), days=30)
+
+
+@register("hourly_gapfill", sql=finish(with_views("""
+SELECT g.district, g.hour_ts, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (district, hour_ts)""",
+    "incidents_e", ctes="""
+c AS (SELECT district, date_trunc('hour', ts) AS hour_ts, count(*) AS n FROM incidents_e GROUP BY ALL),
+s AS (SELECT district, min(hour_ts) AS lo, max(hour_ts) AS hi FROM c GROUP BY district),
+g AS (SELECT district, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour_ts FROM s)"""),
+    stamps=("hour_ts",)))
+def hourly_gapfill(spark, sf):
+    """T4 + O4: hourly counts per district from its first to its last hour."""
+    return G.hourly_gapfill(S.incidents_from_events(spark, sf))
+
+
+# ---- holiday calendar in SQL (same rules as blotter.functions.calendar) ----
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _nth_sql(month: int, weekday: int, n: int) -> str:
+    first = f"make_date(year, {month}, 1)"
+    if n > 0:
+        return f"({first} + CAST(({weekday} - isodow({first}) + 7) % 7 + {7 * (n - 1)} AS INTEGER))"
+    last = f"last_day({first})"
+    return f"({last} - CAST((isodow({last}) - {weekday} + 7) % 7 AS INTEGER))"
+
+
+def calendar_sql(daily: str = "daily") -> str:
+    """CTEs ``yrs``, ``hbase``, ``cal`` (day, holiday_name, observed) and ``cal1``."""
+    rules = []
+    for name, kind, month, mday, wd, n in C.HOLIDAY_RULES:
+        if kind == "fixed":
+            d = f"make_date(year, {month}, {mday})"
+        elif kind == "nth":
+            d = _nth_sql(month, wd, n)
+        else:
+            d = f"CASE WHEN year % 2 = 0 THEN {_nth_sql(11, 1, 1)} + 1 END"
+        rules.append(f"SELECT {_q(name)} AS holiday_name, {d} AS day, "
+                     f"{'TRUE' if kind == 'fixed' else 'FALSE'} AS movable FROM yrs")
+    return f"""
+yrs AS (SELECT unnest(range(min(year(day)) - 1, max(year(day)) + 2)) AS year FROM {daily}),
+hbase AS (SELECT * FROM ({' UNION ALL '.join(rules)}) r WHERE day IS NOT NULL),
+cal AS (SELECT day, holiday_name, FALSE AS observed FROM hbase
+        UNION ALL
+        SELECT CASE WHEN isodow(day) = 6 THEN day - 1 ELSE day + 1 END,
+               holiday_name || {_q(C.OBSERVED_SUFFIX)}, TRUE
+        FROM hbase WHERE movable AND isodow(day) >= 6),
+cal1 AS (SELECT day, arg_min(holiday_name, CAST(observed AS INT)) AS holiday_desc,
+                min(CAST(observed AS INT)) AS is_observed FROM cal GROUP BY day)"""
+
+
+_DAILY_O = "daily AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM incidents_o GROUP BY 1)"
+_FLAGGED = """flagged AS (SELECT d.day, d.n, coalesce(c.holiday_desc, 'none') AS holiday_desc,
+       coalesce(c.is_observed, 0) AS is_observed,
+       CASE WHEN c.holiday_desc IS NULL THEN 0 ELSE 1 END AS is_holiday
+  FROM daily d LEFT JOIN cal1 c USING (day))"""
+
+
+def _flagged(spark, sf):
+    daily = TR.daily_counts(S.incidents_from_orders(spark, sf))
+    return C.with_holiday_flags(daily, C.calendar_for(daily))
+
+
+@register("holiday_flags", sql=finish(with_views(
+    "SELECT day, n, holiday_desc, is_observed, is_holiday FROM flagged", "incidents_o",
+    ctes=_DAILY_O + "," + calendar_sql() + ",\n" + _FLAGGED), dates=("day",),
+    ints=("is_observed", "is_holiday")))
+def holiday_flags(spark, sf):
+    """T8 + T9: daily counts with holiday flags from the rule calendar."""
+    return _flagged(spark, sf).select("day", "n", "holiday_desc", "is_observed", "is_holiday")
+
+
+# Holidays whose surrounding days are compared by the reference.
+EFFECT_HOLIDAYS = ["New Year's Day", "Christmas Day", "Thanksgiving"]
+
+
+@register("holiday_effect_window", sql=finish(with_views("""
+SELECT a.holiday_name, a.holiday_day, a.day_offset, a.day, coalesce(d.n, 0) AS n
+FROM (SELECT holiday_name, day AS holiday_day, o AS day_offset, day + CAST(o AS INTEGER) AS day
+      FROM cal, unnest(range(-3, 4)) t(o)
+      WHERE NOT observed AND holiday_name IN (""" + ", ".join(_q(x) for x in EFFECT_HOLIDAYS) + """)) a
+LEFT JOIN daily d USING (day)""", "incidents_o", ctes=_DAILY_O + "," + calendar_sql()),
+    dates=("holiday_day", "day"), ints=("day_offset",)))
+def holiday_effect_window(spark, sf):
+    """Daily counts from 3 days before to 3 days after chosen holidays."""
+    daily = TR.daily_counts(S.incidents_from_orders(spark, sf))
+    return TR.holiday_effect_window(daily, C.calendar_for(daily), EFFECT_HOLIDAYS).select(
+        "holiday_name", "holiday_day", "day_offset", "day", "n")
+
+
+@register("holiday_year_profile", sql=finish(with_views("""
+SELECT * FROM (SELECT day, n, holiday_desc, year(day) AS year, dayofyear(day) AS dayofyear,
+         min(n) OVER (PARTITION BY year(day)) AS year_min, max(n) OVER (PARTITION BY year(day)) AS year_max,
+         is_holiday, is_observed FROM flagged) x
+WHERE is_holiday = 1 AND is_observed = 0""", "incidents_o",
+    ctes=_DAILY_O + "," + calendar_sql() + ",\n" + _FLAGGED), dates=("day",),
+    ints=("year", "dayofyear", "is_holiday", "is_observed")))
+def holiday_year_profile(spark, sf):
+    """Each actual holiday's count against its year's minimum and maximum."""
+    return TR.holiday_year_profile(_flagged(spark, sf)).select(
+        "day", "n", "holiday_desc", "year", "dayofyear", "year_min", "year_max",
+        "is_holiday", "is_observed")
