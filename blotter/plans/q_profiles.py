@@ -41,3 +41,93 @@ cnt AS (SELECT label2 AS label, hour(ts) AS hour, count(*) AS n FROM lab
 def profile_minmax_row(spark, sf):
     """E3 slice: events -> date parts -> rare-label collapse -> label x hour -> row min-max."""
     return P.profile(_events_typed(spark, sf), "label", "hour", scale_by="row")
+
+
+@register("distinct_counts", sql=finish(with_views(
+    "SELECT count(DISTINCT district) AS distinct_district, count(DISTINCT label) AS distinct_label, "
+    "count(DISTINCT measure) AS distinct_measure FROM incidents_e", "incidents_e")))
+def distinct_counts(spark, sf):
+    """A5: exact distinct counts."""
+    return P.distinct_counts(S.incidents_from_events(spark, sf), ["district", "label", "measure"])
+
+
+@register("label_share_topn", sql=finish(with_views("""
+SELECT place, n, rank, CAST(n AS DOUBLE) * 100.0 / CAST(sum(n) OVER () AS DOUBLE) AS share_pct,
+       CAST(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) * 100.0
+         / CAST(sum(n) OVER () AS DOUBLE) AS cum_share_pct
+FROM t""", "places", ctes="""
+c AS (SELECT place, count(*) AS n FROM places GROUP BY place),
+t AS (SELECT * FROM (SELECT place, n, row_number() OVER (ORDER BY n DESC, place ASC NULLS LAST) AS rank FROM c) r
+      WHERE rank <= 30)"""), ints=("rank",), doubles=("share_pct", "cum_share_pct")))
+def label_share_topn(spark, sf):
+    """A9 + O2: top-30 places, share of the top-30 total and cumulative share."""
+    return P.label_shares(S.places_from_part(spark, sf), "place", top=30, share_of_top=True).select(
+        "place", "n", "rank", "share_pct", "cum_share_pct")
+
+
+@register("value_counts", sql=finish(with_views(
+    "SELECT ptype, count(*) AS n FROM places GROUP BY ptype", "places")))
+def value_counts(spark, sf):
+    """A10: frequency of each place type."""
+    return P.value_counts(S.places_from_part(spark, sf), "ptype")
+
+
+def _cells_as_double(df, keys):
+    """Pivot cells as double: an absent cell is a null / NaN on every client."""
+    return df.select(*[F.col(f"`{c}`").cast("double").alias(c) if c not in keys else F.col(c)
+                       for c in df.columns])
+
+
+def _pivot_sql(row_sql, row_name, col_sql, values, src, where="TRUE", quote=False):
+    cols = ", ".join(
+        f"CAST(nullif(count(*) FILTER (WHERE {col_sql} = {repr(v) if quote else v}), 0) AS DOUBLE) AS \"{v}\""
+        for v in values)
+    return f"SELECT {row_sql} AS {row_name}, {cols} FROM {src} WHERE {where} GROUP BY 1"
+
+
+@register("pivot_label_hour", sql=finish(with_views(
+    _pivot_sql("label", "label", "hour(ts)", range(24), "incidents_e"), "incidents_e")))
+def pivot_label_hour(spark, sf):
+    """Label x hour count matrix."""
+    return _cells_as_double(P.pivot_counts(_events_typed(spark, sf), "label", "hour", range(24)), ["label"])
+
+
+@register("pivot_label_dow", sql=finish(with_views(
+    _pivot_sql("label", "label", "dayofweek(ts) + 1", range(1, 8), "incidents_e"), "incidents_e")))
+def pivot_label_dow(spark, sf):
+    """Label x day-of-week (Sunday = 1) count matrix."""
+    return _cells_as_double(P.pivot_counts(_events_typed(spark, sf), "label", "dayofweek", range(1, 8)), ["label"])
+
+
+@register("pivot_year_month", sql=finish(with_views(
+    _pivot_sql("year(ts)", "year", "month(ts)", range(1, 13), "incidents_o"), "incidents_o"),
+    ints=("year",)))
+def pivot_year_month(spark, sf):
+    """Year x month count matrix."""
+    inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "month"))
+    return _cells_as_double(P.pivot_counts(inc, "year", "month", range(1, 13)), ["year"])
+
+
+@register("pivot_day_district", sql=finish(with_views(
+    _pivot_sql("CAST(ts AS DATE)", "day", "district", S.EVENT_DISTRICTS, "incidents_e", quote=True),
+    "incidents_e"), dates=("day",)))
+def pivot_day_district(spark, sf):
+    """Day x district count matrix (districts of the binding's domain)."""
+    inc = with_date_parts(S.incidents_from_events(spark, sf), parts=())
+    return _cells_as_double(P.pivot_counts(inc, "day", "district", S.EVENT_DISTRICTS), ["day"])
+
+
+@register("pivot_place_type", sql=finish(with_views(
+    _pivot_sql("place", "place", "ptype", S.PART_TYPES, "places", quote=True), "places")))
+def pivot_place_type(spark, sf):
+    """Place x type count matrix."""
+    return _cells_as_double(P.pivot_counts(S.places_from_part(spark, sf), "place", "ptype", S.PART_TYPES), ["place"])
+
+
+@register("profile_minmax_col", sql=finish(with_views(
+    "SELECT place, ptype, n, " + _minmax_sql("ptype") + " AS scaled FROM cnt", "places",
+    ctes="cnt AS (SELECT place, ptype, count(*) AS n FROM places "
+         "WHERE place IS NOT NULL AND ptype IS NOT NULL GROUP BY ALL)")))
+def profile_minmax_col(spark, sf):
+    """Place x type counts scaled per type (column)."""
+    return P.profile(S.places_from_part(spark, sf), "place", "ptype", scale_by="col")
