@@ -1 +1,67 @@
-"""Registered queries."""
+"""Registered queries: serving lookups, colour classes, top labels."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import functions as F
+
+from blotter.operators import history as H
+from blotter.operators import lookup as LK
+from blotter.operators.labels import sorted_labels
+from blotter.plans.q_history import BASE_YEAR, hist_sql
+from blotter.plans.registry import register
+from blotter.plans.sql import finish, with_views
+from blotter.sources import tables as S
+
+# The (day, hour) a lookup request asks for: the feature of L1 is this filter.
+LOOKUP_DAY, LOOKUP_HOUR = dt.date(2024, 1, 15), 12
+
+_HOURLY_E = ("c AS (SELECT district, CAST(ts AS DATE) AS day, hour(ts) AS hour, count(*) AS n "
+             "FROM incidents_e GROUP BY ALL)")
+
+
+def _hourly(spark, sf):
+    inc = S.incidents_from_events(spark, sf)
+    return inc.groupBy("district", F.to_date("ts").alias("day"), F.hour("ts").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("lookup_day_hour", sql=finish(with_views(f"""
+SELECT district, day, hour, n, CAST(CAST(district AS INTEGER) AS VARCHAR) AS district_num FROM c
+WHERE day = DATE '{LOOKUP_DAY.isoformat()}' AND hour = {LOOKUP_HOUR}""", "incidents_e", ctes=_HOURLY_E),
+    dates=("day",), ints=("hour",)))
+def lookup_day_hour(spark, sf):
+    """L1: counts of every district for one (day, hour), district as a number."""
+    return LK.lookup(_hourly(spark, sf), LOOKUP_DAY, LOOKUP_HOUR)
+
+
+_VALUES = ", ".join(f"('{d}')" for d in S.EVENT_DISTRICTS)
+
+
+@register("colour_class", sql=finish(with_views("""
+SELECT day, hour, district, CAST(n AS DOUBLE) AS n,
+       CASE WHEN n IS NULL THEN 0 WHEN mx <= 1 THEN 1
+            ELSE 1 + CAST(floor(7 * least(n, mx - 1) / (mx - 1)) AS INTEGER) END AS colour
+FROM (SELECT j.*, max(n) OVER (PARTITION BY day, hour) AS mx FROM j) m""", "incidents_e", ctes=_HOURLY_E + f""",
+s AS (SELECT DISTINCT day, hour FROM c),
+g AS (SELECT s.day, s.hour, k.district FROM s CROSS JOIN (VALUES {_VALUES}) k(district)),
+j AS (SELECT g.day, g.hour, g.district, c.n FROM g LEFT JOIN c USING (day, hour, district))"""),
+    dates=("day",), ints=("hour", "colour"), doubles=("n",)))
+def colour_class(spark, sf):
+    """L2 + J10: palette class per district and (day, hour); absent districts get 0."""
+    out = LK.colour_classes(_hourly(spark, sf), S.EVENT_DISTRICTS)
+    return out.select("day", "hour", "district", F.col("n").cast("double").alias("n"), "colour")
+
+
+@register("top_labels", sql=finish(hist_sql(False, tail="""
+SELECT district, day, hour, label, ata, rank FROM
+  (SELECT district, day, hour, label, ata,
+          row_number() OVER (PARTITION BY district, day, hour ORDER BY ata DESC, label ASC) AS rank
+   FROM st) r WHERE rank <= 3"""), dates=("day",), ints=("hour", "rank"), doubles=("ata",)))
+def top_labels(spark, sf):
+    """L3: three most likely labels per (district, day, hour) by all-time average."""
+    inc = S.incidents_from_orders(spark, sf)
+    stats = H.history_features(inc, sorted_labels(inc, "label"), BASE_YEAR)
+    return LK.top_labels(stats, ["district", "day", "hour"], "label", "ata", 3).select(
+        "district", "day", "hour", "label", "ata", "rank")
