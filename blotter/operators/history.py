@@ -222,3 +222,25 @@ def probability_vectors(stats: DataFrame, labels: Sequence[str], as_vector: bool
         from pyspark.ml.functions import array_to_vector
         arr = array_to_vector(arr)
     return wide.select("district", "day", "hour", arr.alias("probability_vector"))
+
+
+def feature_frame(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
+    """E1 training frame: one row per (district, label, day, hour) cell.
+
+    J1 / J4: the cell count and the (leakage-free) probability vector of its
+    (district, day, hour), joined on those three keys, plus date parts.
+    """
+    base, cells = counts_and_cells(incidents)
+    stats = history_statistics(base, observed_probes(cells, labels), base_year)
+    vec = probability_vectors(stats, labels)
+    return base.join(vec, ["district", "day", "hour"]).withColumns({
+        "year": F.year("day"), "month": F.month("day"), "dayofweek": F.dayofweek("day"),
+        "dayofyear": F.dayofyear("day")})
+
+
+def future_frame(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
+                 days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
+    """F9 + F10: one row per future (district, day, hour) with its vector."""
+    vec = probability_vectors(future_features(incidents, labels, base_year, days, extra_days), labels)
+    return vec.withColumns({"year": F.year("day"), "month": F.month("day"),
+                            "dayofweek": F.dayofweek("day"), "dayofyear": F.dayofyear("day")})

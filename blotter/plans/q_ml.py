@@ -1 +1,230 @@
-"""Registered queries."""
+"""Registered queries: classifiers, sweeps, metrics, model and log I/O.
+
+Training queries are checked by rows only (model output is not expressible
+in SQL). The metric operators are also run on deterministic scores taken
+from ``embeddings`` (first 10 dimensions = class scores, ``label`` = truth),
+which makes them SQL-checkable.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import functions as F
+
+from blotter.functions.timeparts import with_date_parts
+from blotter.operators import history as H
+from blotter.operators import ml as M
+from blotter.operators.labels import sorted_labels
+from blotter.plans.q_history import BASE_YEAR
+from blotter.plans.registry import register
+from blotter.plans.sql import finish
+from blotter.session import checkpoint_dir
+from blotter.sources import files as FS
+from blotter.sources import tables as S
+
+# Parameters of the orders binding: train before 1999, test from 2000 (the
+# reference: before 2015 / from 2016, the year between in neither).
+TRAIN_BEFORE, TEST_FROM = 1999, 2000
+TREE_FEATURES = ["hour", "dayofweek", "month", "probability_vector"]
+N_CLASSES = 10
+
+
+def _raw(spark, sf):
+    """Incident rows with every date part (the sweep's input)."""
+    return with_date_parts(S.incidents_from_orders(spark, sf))
+
+
+def _engineered(spark, sf):
+    inc = S.incidents_from_orders(spark, sf)
+    return H.feature_frame(inc, sorted_labels(inc, "label"), BASE_YEAR)
+
+
+def _scored(pred, keys):
+    arr = M.vector_to_array(F.col("probability"))
+    return pred.select(*keys, "label", F.col("target").cast("int").alias("target"),
+                       F.col("prediction").cast("int").alias("prediction"),
+                       M.topk_hit(arr, F.col("target"), 3).alias("top3_hit"))
+
+
+@register("train_score_tree")
+def train_score_tree(spark, sf):
+    """M7 + M8 + M17: depth-10 tree on engineered features, time split, test predictions."""
+    train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
+    model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=10)
+    return _scored(model.transform(test), ["district", "day", "hour"])
+
+
+@register("train_score_lr")
+def train_score_lr(spark, sf):
+    """M6 + M9: logistic regression (maxIter 10) on feature set fc_3, 70/30 split."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_3"], "lr")
+    return _scored(model.transform(test), ["id"])
+
+
+@register("train_score_mlp")
+def train_score_mlp(spark, sf):
+    """Perceptron [inputs, 25, classes] on fc_2 with standard scaling."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_2"], "mlp", scaler="standard", maxIter=50)
+    return _scored(model.transform(test), ["id"])
+
+
+@register("train_score_rf")
+def train_score_rf(spark, sf):
+    """Random forest on fc_1, test predictions."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_1"], "rf", numTrees=10, maxDepth=5)
+    return _scored(model.transform(test), ["id"])
+
+
+@register("rf_feature_importance")
+def rf_feature_importance(spark, sf):
+    """Forest feature importances (date parts, then district one-hot)."""
+    train, _ = M.hash_split(_raw(spark, sf), ["id"])
+    feats = M.FEATURE_SETS["fc_1"]
+    model = M.fit_pipeline(train, feats, "rf", numTrees=10, maxDepth=5)
+    names = feats + [f"district_{v}" for v in model.stages[1].labels[:-1]]
+    return M.feature_importances(model, names)
+
+
+@register("cv_grid")
+def cv_grid(spark, sf):
+    """numTrees {2, 5} x maxDepth {3, 7}, 3-fold cross-validation."""
+    train, _ = M.hash_split(_raw(spark, sf), ["id"])
+    return M.cross_validate(train, M.FEATURE_SETS["fc_2"])
+
+
+SWEEP_CONFIGS = [
+    dict(name="fc_2", features=M.FEATURE_SETS["fc_2"], model="tree"),
+    dict(name="fc_3 standard", features=M.FEATURE_SETS["fc_3"], model="tree", scaler="standard"),
+    dict(name="fc_3", features=M.FEATURE_SETS["fc_3"], model="lr"),
+    dict(name="fc_4 norm_minmax", features=M.FEATURE_SETS["fc_4"], model="lr", scaler="norm_minmax"),
+    dict(name="fc_1 standard pca_3", features=M.FEATURE_SETS["fc_1"], model="tree",
+         scaler="standard", pca_k=3),
+]
+
+
+@register("sweep")
+def sweep(spark, sf):
+    """Feature sets x scalers x PCA per model, one result row per run."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    return M.sweep(train, test, SWEEP_CONFIGS)
+
+
+@register("tree_depth_sweep")
+def tree_depth_sweep(spark, sf):
+    """M13 + M15: depth x PCA sweep of trees on engineered features, best first."""
+    train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
+    configs = [dict(name=f"depth_{d}" + (f" pca_{k}" if k else ""), features=TREE_FEATURES, model="tree",
+                    scaler="standard" if k else "none", pca_k=k, maxDepth=d)
+               for d in (5, 10) for k in (None, 5)]
+    return M.sweep(train, test, configs).orderBy(F.col("test_acc").desc())
+
+
+def _future_model(spark, sf):
+    inc = S.incidents_from_orders(spark, sf)
+    labels = sorted_labels(inc, "label")
+    train = H.feature_frame(inc, labels, BASE_YEAR)  # all data (fit on all, not only train)
+    model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=10)
+    return model, H.future_frame(inc, labels, BASE_YEAR)
+
+
+@register("score_future")
+def score_future(spark, sf):
+    """Score the January grid after the data with the saved label order."""
+    model, grid = _future_model(spark, sf)
+    out = M.scoring_model(model).transform(grid)
+    return out.select("district", "day", "hour", "dayofweek",
+                      F.col("prediction").cast("int").alias("prediction"), "predicted_label")
+
+
+@register("model_roundtrip")
+def model_roundtrip(spark, sf):
+    """Save the whole pipeline to the shared folder, load it, score the test set."""
+    train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
+    model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=5)
+    path = os.path.join(checkpoint_dir(spark), "models", "tree_depth5")
+    M.save_model(model, path)
+    return _scored(M.load_model(path).transform(test), ["district", "day", "hour"])
+
+
+@register("log_json")
+def log_json(spark, sf):
+    """Experiment rows appended as JSON and read back."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    res = M.sweep(train, test, SWEEP_CONFIGS[:1])
+    path = os.path.join(checkpoint_dir(spark), "logs", f"sweep_{os.getpid()}")
+    M.write_log(res, path)
+    return spark.read.schema(M.SWEEP_SCHEMA).json(path)
+
+
+@register("csv_roundtrip", sql=finish("""
+SELECT id, date_trunc('second', ts) AS ts, district, label, measure FROM
+  (SELECT event_id AS id, ts, lpad(CAST(user_id % 25 AS VARCHAR), 3, '0') AS district,
+          event_type AS label, value AS measure FROM events) e""", stamps=("ts",), doubles=("measure",)))
+def csv_roundtrip(spark, sf):
+    """S1 + S5 + T1: incidents written as headered CSV (text dates), read back typed."""
+    inc = S.incidents_from_events(spark, sf)
+    path = os.path.join(checkpoint_dir(spark), "csv", f"incidents_{os.getpid()}")
+    FS.write_incident_csv(inc, path)
+    return FS.read_incident_csv(spark, path)
+
+
+# ---- metric operators on deterministic scores (SQL-checkable) ----
+
+def _pseudo(spark, sf):
+    emb = S.read_table(spark, sf, "embeddings")
+    p = F.slice(F.col("embedding"), 1, N_CLASSES).cast("array<double>")
+    return emb.select("vec_id", p.alias("probability"), F.col("label").cast("double").alias("target")) \
+        .withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1)
+                    .cast("double"))
+
+
+_PSEUDO_SQL = f"""WITH e AS (SELECT vec_id, CAST(embedding[1:{N_CLASSES}] AS DOUBLE[]) AS p, label AS t FROM embeddings),
+pr AS (SELECT vec_id, p, t, list_position(p, list_max(p)) - 1 AS pred FROM e)
+"""
+
+
+@register("topk_accuracy", sql=finish(_PSEUDO_SQL + """
+SELECT t AS cls, count(*) AS n, avg(CASE WHEN pred = t THEN 1.0 ELSE 0.0 END) AS top1,
+       avg(CASE WHEN len(list_filter(p, lambda x, i: x > p[t + 1] OR (x = p[t + 1] AND i - 1 > t))) < 3
+                THEN 1.0 ELSE 0.0 END) AS top3
+FROM pr GROUP BY t""", ints=("cls",), doubles=("top1", "top3")))
+def topk_accuracy(spark, sf):
+    """M16 + M17 per class: top-1 and top-3 accuracy."""
+    pr = _pseudo(spark, sf)
+    hit3 = M.topk_hit(F.col("probability"), F.col("target"), 3).cast("double")
+    hit1 = (F.col("prediction") == F.col("target")).cast("double")
+    return pr.groupBy(F.col("target").cast("int").alias("cls")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg(hit1).alias("top1"), F.avg(hit3).alias("top3"))
+
+
+@register("class_report", sql=finish(_PSEUDO_SQL + """,
+conf AS (SELECT t AS cls_true, pred AS cls_pred, count(*) AS n FROM pr GROUP BY ALL),
+a AS (SELECT cls_true AS cls, sum(n) AS support FROM conf GROUP BY 1),
+b AS (SELECT cls_pred AS cls, sum(n) AS predicted FROM conf GROUP BY 1),
+tp AS (SELECT cls_true AS cls, n AS tp FROM conf WHERE cls_true = cls_pred),
+r AS (SELECT coalesce(a.cls, b.cls) AS cls, coalesce(tp.tp, 0) AS tp, coalesce(a.support, 0) AS support,
+             coalesce(b.predicted, 0) AS predicted
+      FROM a FULL JOIN b ON a.cls = b.cls LEFT JOIN tp ON tp.cls = coalesce(a.cls, b.cls)),
+s AS (SELECT *, CASE WHEN predicted > 0 THEN CAST(tp AS DOUBLE) / predicted ELSE 0.0 END AS precision,
+             CASE WHEN support > 0 THEN CAST(tp AS DOUBLE) / support ELSE 0.0 END AS recall FROM r)
+SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+FROM s""", ints=("cls", "tp", "support", "predicted"), doubles=("precision", "recall", "f1")))
+def class_report(spark, sf):
+    """Per-class precision, recall, F1 and support."""
+    out = M.class_report(_pseudo(spark, sf))
+    return out.withColumn("cls", F.col("cls").cast("int"))
+
+
+@register("predicted_vs_actual", sql=finish(_PSEUDO_SQL + """,
+p AS (SELECT pred AS cls, count(*) AS predicted FROM pr GROUP BY 1),
+a AS (SELECT t AS cls, count(*) AS actual FROM pr GROUP BY 1)
+SELECT coalesce(p.cls, a.cls) AS cls, coalesce(predicted, 0) AS predicted, coalesce(actual, 0) AS actual
+FROM p FULL JOIN a ON p.cls = a.cls""", ints=("cls",)))
+def predicted_vs_actual(spark, sf):
+    """M20 + J9: predicted and true counts per class."""
+    out = M.predicted_vs_actual(_pseudo(spark, sf))
+    return out.withColumn("cls", F.col("cls").cast("int"))
