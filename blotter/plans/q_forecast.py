@@ -1 +1,103 @@
-"""Registered queries."""
+"""Registered queries: additive forecasts, seasonal-naive baseline, errors."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from blotter.operators import forecast as FC
+from blotter.operators import gaps as G
+from blotter.operators import trends as TR
+from blotter.plans.registry import register
+from blotter.plans.sql import finish, with_views
+from blotter.sources import tables as S
+
+# Fourier orders of the reference's models.
+DAILY_ORDERS = {"yearly": 5, "weekly": 45}
+HOURLY_ORDERS = {"yearly": 4, "weekly": 15, "daily": 60}
+# library defaults for models without explicit orders
+MINUTE_ORDERS = {"weekly": 3, "daily": 4}
+READING_ORDERS = {"yearly": 10, "weekly": 3}
+HOLDOUT_DAYS = 60
+
+
+def _daily_dense(spark, sf):
+    counts = TR.daily_counts(S.incidents_from_orders(spark, sf), ["district"])
+    return G.gap_fill(counts, ["district"], "day", "1 DAY")
+
+
+def _naive(spark, sf):
+    sn = FC.seasonal_naive(_daily_dense(spark, sf), "district", "day", "n", "7 DAYS")
+    sn = FC._mark_holdout(sn, "district", "day", HOLDOUT_DAYS)
+    return sn.where(~F.col("is_train")).select("district", "day", F.col("n").alias("y"), "yhat")
+
+
+_NAIVE_SQL = """
+c AS (SELECT district, CAST(ts AS DATE) AS day, count(*) AS n FROM incidents_o GROUP BY ALL),
+s AS (SELECT district, min(day) AS lo, max(day) AS hi FROM c GROUP BY district),
+g AS (SELECT district, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day, hi FROM s),
+d AS (SELECT g.district, g.day, g.hi, coalesce(c.n, 0) AS y FROM g LEFT JOIN c USING (district, day)),
+h AS (SELECT a.district, a.day, a.y, b.y AS yhat FROM d a
+      LEFT JOIN d b ON a.district = b.district AND b.day = a.day - 7
+      WHERE a.day > a.hi - """ + str(HOLDOUT_DAYS) + ")"
+
+
+@register("forecast_errors", sql=finish(with_views("""
+SELECT district, count(*) AS n, avg(e) AS bias, avg(abs(e)) AS mae, avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse
+FROM (SELECT district, CAST(CAST(trunc(yhat) AS BIGINT) - y AS DOUBLE) AS e FROM h WHERE yhat IS NOT NULL) x
+GROUP BY district""", "incidents_o", ctes=_NAIVE_SQL), doubles=("bias", "mae", "mse", "rmse")))
+def forecast_errors(spark, sf):
+    """Bias / MAE / MSE / RMSE of the weekly seasonal-naive forecast on the 60-day holdout."""
+    return FC.forecast_errors(_naive(spark, sf), ["district"])
+
+
+@register("forecast_vs_actual", sql=finish(with_views(
+    "SELECT district, day, y, yhat FROM h", "incidents_o", ctes=_NAIVE_SQL), dates=("day",)))
+def forecast_vs_actual(spark, sf):
+    """C6 + J7: actual and forecast value per district and holdout day."""
+    return _naive(spark, sf)
+
+
+def _holdout(fc, key, ts):
+    return fc.where(~F.col("is_train")).select(key, ts, "y", "yhat")
+
+
+@register("forecast_daily")
+def forecast_daily(spark, sf):
+    """Additive daily model per district (yearly 5, weekly 45), 60-day holdout."""
+    fc = FC.additive_forecast(_daily_dense(spark, sf), "district", "day", "n", DAILY_ORDERS,
+                              holdout=HOLDOUT_DAYS, grain="day")
+    return _holdout(fc, "district", "day")
+
+
+@register("forecast_hourly")
+def forecast_hourly(spark, sf):
+    """Additive hourly model per district (yearly 4, weekly 15, daily 60), last 3 days held out."""
+    series = G.hourly_gapfill(S.incidents_from_events(spark, sf))
+    fc = FC.additive_forecast(series, "district", "hour_ts", "n", HOURLY_ORDERS, holdout=72, grain="hour")
+    return _holdout(fc, "district", "hour_ts")
+
+
+@register("forecast_10min")
+def forecast_10min(spark, sf):
+    """C4: 10-minute series of all incidents, first 70 % train, rest forecast."""
+    series = G.minute_gapfill(S.incidents_from_events(spark, sf), 10).withColumn("key", F.lit("all"))
+    fc = FC.additive_forecast(series, "key", "bucket", "n", MINUTE_ORDERS, holdout=0.3, grain="minute")
+    return _holdout(fc, "key", "bucket")
+
+
+def _readings_fc(spark, sf):
+    means = TR.daily_mean(S.readings_from_lineitem(spark, sf), keys=()).withColumn("key", F.lit("all"))
+    return FC.additive_forecast(means, "key", "day", "mean_value", READING_ORDERS,
+                                holdout=HOLDOUT_DAYS, grain="day")
+
+
+@register("forecast_readings")
+def forecast_readings(spark, sf):
+    """Single-series daily mean reading, 60-day holdout (J8: forecast joined on day)."""
+    return _holdout(_readings_fc(spark, sf), "key", "day")
+
+
+@register("forecast_model_errors")
+def forecast_model_errors(spark, sf):
+    """C5 on the additive model of the readings series."""
+    return FC.forecast_errors(_holdout(_readings_fc(spark, sf), "key", "day"), ["key"])
