@@ -180,3 +180,14 @@ def holiday_year_profile(spark, sf):
     return TR.holiday_year_profile(_flagged(spark, sf)).select(
         "day", "n", "holiday_desc", "year", "dayofyear", "year_min", "year_max",
         "is_holiday", "is_observed")
+
+
+@register("stream_hourly_counts", sql=finish(with_views(
+    "SELECT date_trunc('hour', ts) AS hour_ts, district, count(*) AS n FROM incidents_e GROUP BY ALL",
+    "incidents_e"), stamps=("hour_ts",)))
+def stream_hourly_counts(spark, sf):
+    """A2 + T4 as a Structured Streaming query (watermark, state store), run to completion."""
+    from blotter.streaming import hourly_counts, incident_stream, run_to_table
+    import os
+    stream = incident_stream(spark, sf, "events.parquet")
+    return run_to_table(spark, hourly_counts(stream), f"hourly_counts_{os.getpid()}")
