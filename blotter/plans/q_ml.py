@@ -19,7 +19,7 @@ from blotter.operators.labels import sorted_labels
 from blotter.plans.q_history import BASE_YEAR
 from blotter.plans.registry import register
 from blotter.plans.sql import finish
-from blotter.session import checkpoint_dir
+from blotter.session import checkpoint_dir, materialize
 from blotter.sources import files as FS
 from blotter.sources import tables as S
 
@@ -36,8 +36,9 @@ def _raw(spark, sf):
 
 
 def _engineered(spark, sf):
+    """E1 training frame, materialised once (ML fitting makes several passes)."""
     inc = S.incidents_from_orders(spark, sf)
-    return H.feature_frame(inc, sorted_labels(inc, "label"), BASE_YEAR)
+    return materialize(H.feature_frame(inc, sorted_labels(inc, "label"), BASE_YEAR))
 
 
 def _scored(pred, keys):
@@ -126,7 +127,7 @@ def tree_depth_sweep(spark, sf):
 def _future_model(spark, sf):
     inc = S.incidents_from_orders(spark, sf)
     labels = sorted_labels(inc, "label")
-    train = H.feature_frame(inc, labels, BASE_YEAR)  # all data (fit on all, not only train)
+    train = materialize(H.feature_frame(inc, labels, BASE_YEAR))  # fit on all data
     model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=10)
     return model, H.future_frame(inc, labels, BASE_YEAR)
 
