@@ -101,22 +101,27 @@ def null_audit(df: DataFrame, include_dates: bool = False) -> DataFrame:
 
 
 def dedupe(df: DataFrame, subset: Sequence[str] | None = None,
-           order: Sequence[Column] | None = None) -> DataFrame:
-    """Remove duplicates; with ``subset`` keep the first row by ``order``.
+           order: Sequence[str] | None = None) -> DataFrame:
+    """Remove duplicates; with ``subset`` keep one deterministic row per group.
 
-    ``dropDuplicates(subset)`` keeps an arbitrary row; here the survivor is
-    deterministic (``order``, then all columns as tie breaker).
+    The survivor has the greatest ``order`` columns, then the greatest other
+    columns (in column order) as tie breakers. It is an aggregate
+    (``max_by``) rather than a ranking window, so Spark combines map-side
+    before the shuffle and a hot group never has to be sorted in one task.
     """
     if not subset:
         return df.dropDuplicates()
-    tie = list(order or []) + [F.col(f"`{c}`") for c in df.columns if c not in subset]
-    w = Window.partitionBy(*subset).orderBy(*tie)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+    rest = [c for c in df.columns if c not in subset]
+    ranking = [c for c in (order or [])] + [c for c in rest if c not in (order or [])]
+    row = F.struct(*[F.col(f"`{c}`") for c in rest])
+    key = F.struct(*[F.col(f"`{c}`") for c in ranking])
+    out = df.groupBy(*subset).agg(F.max_by(row, key).alias("__row"))
+    return out.select(*subset, *[F.col("__row")[c].alias(c) for c in rest]).select(*df.columns)
 
 
 def latest_per_group(df: DataFrame, keys: Sequence[str], order_col: str) -> DataFrame:
-    """The row with the greatest ``order_col`` per group (ties: all columns)."""
-    return dedupe(df, keys, [F.col(order_col).desc()])
+    """The row with the greatest ``order_col`` per group (ties: greatest other columns)."""
+    return dedupe(df, keys, [order_col])
 
 
 def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from blotter.session import checkpoint_dir
 
 
-def positional_values(values: DataFrame, col: str, positions: list[int]) -> list[float]:
-    """Values at 0-based ``positions`` of ``col`` sorted descending (exact)."""
-    spark = values.sparkSession
-    checkpoint_dir(spark)
+def _sorted_positions(values: DataFrame, col: str):
+    """Checkpointed descending sort with (partition id, increasing id) per row,
+    and the per-partition ``(pid, count, first id)`` list (one row each)."""
+    checkpoint_dir(values.sparkSession)
     s = (values.select(col).orderBy(F.col(col).desc())
          .select(col, F.spark_partition_id().alias("pid"),
                  F.monotonically_increasing_id().alias("mid"))
@@ -34,19 +34,29 @@ def positional_values(values: DataFrame, col: str, positions: list[int]) -> list
     parts = sorted((r["pid"], r["cnt"], r["first"]) for r in
                    s.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"),
                                         F.min("mid").alias("first")).collect())
+    return s, parts
+
+
+def positional_values(values: DataFrame, col: str, positions_of_n) -> tuple[int, list[float]]:
+    """``n`` and the values at 0-based positions ``positions_of_n(n)`` of ``col``
+    sorted descending (exact). ``n`` comes from the partition counts, so the
+    data is read once."""
+    s, parts = _sorted_positions(values, col)
+    n = sum(c for _, c, _ in parts)
+    if n == 0:
+        return 0, []
+    positions = positions_of_n(n)
     wanted, start = {}, 0
     for pid, cnt, first in parts:
         for p in positions:
             if start <= p < start + cnt:
                 wanted[p] = (pid, first + (p - start))
         start += cnt
-    if len(wanted) != len(set(positions)):
-        raise ValueError("position out of range")
     cond = F.lit(False)
     for pid, mid in wanted.values():
         cond = cond | ((F.col("pid") == pid) & (F.col("mid") == mid))
     found = {(r["pid"], r["mid"]): r[col] for r in s.where(cond).collect()}
-    return [float(found[wanted[p]]) for p in positions]
+    return n, [float(found[wanted[p]]) for p in positions]
 
 
 def robust_outliers(df: DataFrame, col: str, distinct: bool = False) -> DataFrame:
@@ -58,12 +68,17 @@ def robust_outliers(df: DataFrame, col: str, distinct: bool = False) -> DataFram
         F.col("x").isNotNull() & ~F.isnan("x"))
     if distinct:
         vals = vals.distinct()
-    n = vals.count()
+
+    def positions(n):
+        m = n // 2
+        q = m // 2
+        return [q, m, m + q]
+
+    n, found = positional_values(vals, "x", positions)
     if n == 0:
-        return vals.select("x", F.lit(None).cast("double").alias("score"), F.lit(0).alias("n")).limit(0)
-    m = n // 2
-    q = m // 2
-    upper, median, lower = positional_values(vals, "x", [q, m, m + q])
+        return vals.select("x", F.lit(None).cast("double").alias("score"),
+                           F.lit(0).cast("long").alias("n")).limit(0)
+    upper, median, lower = found
     iqr = upper - lower
     score = (F.col("x") - F.lit(median)) / F.lit(iqr) if iqr != 0 else F.lit(None).cast("double")
     scored = vals.withColumn("score", score)

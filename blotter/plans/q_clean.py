@@ -88,7 +88,7 @@ def drop_null_rows(spark, sf):
 
 @register("dedupe_latest", sql=finish(with_views("""
 SELECT id, ts, district, label, measure FROM incidents_e
-QUALIFY row_number() OVER (PARTITION BY district, label ORDER BY ts DESC, id, ts, measure) = 1""",
+QUALIFY row_number() OVER (PARTITION BY district, label ORDER BY ts DESC, id DESC, measure DESC) = 1""",
     "incidents_e"), stamps=("ts",), doubles=("measure",)))
 def dedupe_latest(spark, sf):
     """P12 + J5: the latest incident per (district, label), deterministic ties."""
