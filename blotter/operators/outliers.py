@@ -8,9 +8,9 @@ their frequency.
 
 Exact positions without a single-partition window: the values are
 range-partitioned and sorted by Spark (``orderBy``), each row gets
-``(partition id, monotonically increasing id)``, and the sorted data is
-checkpointed to the cluster's checkpoint folder so both uses below see the
-same materialised order. Per-partition counts (one row per partition)
+``(partition id, monotonically increasing id)`` stored as columns, and the
+result is written once to the cluster's checkpoint folder so both uses
+below see the same materialised order. Per-partition counts (one row per partition)
 give each partition's offset; only those counts and the three quantile
 values reach the driver.
 """
@@ -20,17 +20,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.session import checkpoint_dir
+from blotter.session import materialize
 
 
 def _sorted_positions(values: DataFrame, col: str):
     """Checkpointed descending sort with (partition id, increasing id) per row,
     and the per-partition ``(pid, count, first id)`` list (one row each)."""
-    checkpoint_dir(values.sparkSession)
-    s = (values.select(col).orderBy(F.col(col).desc())
-         .select(col, F.spark_partition_id().alias("pid"),
-                 F.monotonically_increasing_id().alias("mid"))
-         .checkpoint(eager=True))
+    s = materialize(values.select(col).orderBy(F.col(col).desc())
+                    .select(col, F.spark_partition_id().alias("pid"),
+                            F.monotonically_increasing_id().alias("mid")), "sorted")
     parts = sorted((r["pid"], r["cnt"], r["first"]) for r in
                    s.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"),
                                         F.min("mid").alias("first")).collect())

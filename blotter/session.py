@@ -61,11 +61,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
-def materialize(df):
-    """Write ``df`` once to the shared checkpoint folder and cut its lineage.
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder and
+    read it back, cutting the lineage.
 
-    Used before multi-pass consumers (ML fitting), so they do not recompute a
-    long plan per pass; reliable checkpoint files survive executor loss.
+    Used before multi-pass consumers (ML fitting, exact quantiles) so they do
+    not recompute a long plan per pass. Unlike an uncached
+    ``Dataset.checkpoint`` (which runs the plan twice) the plan runs once; the
+    files are reliable storage, so a lost executor does not lose them.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
