@@ -35,12 +35,14 @@ the probe's own hour (no target leakage). A probe's own year counts only
 if its cell is active in that year; earlier active years always count.
 
 Plan: one shuffle of the (pre-aggregated) rows by
-``(district, label, dow, target_hour)``. The active-year window, the
-day-grain aggregation and all range windows are clustered by a superset
-of those keys, so they reuse that partitioning. Each window partition
-holds at most one row per day (history and probe rows are merged per
-day), so its size is bounded by the calendar, not by data volume: a hot
-district or label cannot produce an oversized task.
+``(district, dow, target_hour)``; probe cells cross it once and are
+expanded to all labels afterwards. The active-year window, the day-grain
+aggregation and all range windows are clustered by a superset of those
+keys, so they reuse that partitioning. Each window partition
+``(district, label, dow, target_hour)`` holds at most one row per day
+(history and probe rows are merged per day), so its size is bounded by the
+calendar, not by data volume: a hot district or label cannot produce an
+oversized window.
 """
 
 from __future__ import annotations
@@ -52,6 +54,7 @@ from pyspark.sql import functions as F
 
 STATS = ("alym", "apm", "apy", "ata")  # vector order: statistic-major, then labels
 CELL = ("district", "label", "dow", "thour")
+SHUFFLE_KEYS = ("district", "dow", "thour")
 
 # F5 future-mode extra days and the reference's first data year.
 DEFAULT_EXTRA_DAYS = 60
@@ -84,9 +87,8 @@ def observed_probes(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
                         "day", "hour")
 
 
-def future_probes(base: DataFrame, labels: Sequence[str], days: int = 30,
-                  extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
-    """Hourly grid of January after the data, per district, all labels.
+def future_cells(base: DataFrame, days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
+    """Hourly ``(district, day, hour)`` grid of the January after the data.
 
     ``days`` days from 1 January 00:00 up to and including day ``days + 1``
     00:00 (the reference's 721-hour grid for 30). Future frames are exact
@@ -102,8 +104,13 @@ def future_probes(base: DataFrame, labels: Sequence[str], days: int = 30,
         "district",
         F.explode(F.sequence(start, F.timestamp_add("DAY", F.lit(days), start),
                              F.expr("INTERVAL 1 HOUR"))).alias("ts"))
-    return grid.select("district", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"),
-                       F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+    return grid.select("district", F.to_date("ts").alias("day"), F.hour("ts").alias("hour"))
+
+
+def future_probes(base: DataFrame, labels: Sequence[str], days: int = 30,
+                  extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
+    """the future grid for every label."""
+    return observed_probes(future_cells(base, days, extra_days), labels)
 
 
 def _calendar(df: DataFrame) -> DataFrame:
@@ -122,11 +129,14 @@ def _ratio(num: Column, den: Column) -> Column:
 
 
 def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFAULT_BASE_YEAR,
-                       extra_days: int | None = None) -> DataFrame:
-    """The four statistics for every probe row.
-
-    ``base``: ``(district, label, day, hour, n)``; ``probes``:
-    ``(district, label, day, hour)``. ``extra_days`` switches to future
+                       extra_days: int | None = None,
+                       labels: Sequence[str] | None = None) -> DataFrame:
+    """The four statistics for every probe.
+
+    ``base``: ``(district, label, day, hour, n)``; ``probes``: either
+    ``(district, label, day, hour)`` rows, or ``(district, day, hour)`` cells
+    together with ``labels`` - then each cell crosses the shuffle once and is
+    expanded to all labels afterwards. ``extra_days`` switches to future
     mode (probes after the data). Returns
     ``(district, label, day, hour, alym, apm, apy, ata)``.
     """
@@ -136,13 +146,23 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
         F.explode(F.array(F.pmod(F.col("hour") - 1, F.lit(24)), F.col("hour"),
                           F.pmod(F.col("hour") + 1, F.lit(24)))).alias("thour"),
         F.col("hour"),
-    ).select("district", "label", "dow", "yr", "doy", "day", "n", "thour",
+    ).select("district", F.array("label").alias("labels"), "dow", "yr", "doy", "day", "n", "thour",
              (F.col("hour") == F.col("thour")).cast("int").alias("own"),
              F.lit(0).alias("probe"))
+    if "label" in probes.columns:
+        probe_labels = F.array("label")
+    else:
+        probe_labels = F.array(*[F.lit(x) for x in labels])
     pr = _calendar(probes).select(
-        "district", "label", "dow", "yr", "doy", "day", F.lit(0).cast("long").alias("n"),
-        F.col("hour").alias("thour"), F.lit(0).alias("own"), F.lit(1).alias("probe"))
-    u = hist.unionByName(pr).repartition(*CELL)
+        "district", probe_labels.alias("labels"), "dow", "yr", "doy", "day",
+        F.lit(0).cast("long").alias("n"), F.col("hour").alias("thour"),
+        F.lit(0).alias("own"), F.lit(1).alias("probe"))
+    # One shuffle by (district, dow, target hour): every later window and
+    # aggregate is keyed by a superset, so Catalyst adds no other exchange.
+    # Labels are expanded after the shuffle (probe cells travel once).
+    u = hist.unionByName(pr).repartition(*SHUFFLE_KEYS)
+    u = u.select("district", F.explode("labels").alias("label"), "dow", "yr", "doy", "day", "n",
+                 "thour", "own", "probe")
 
     # years in which the exact cell occurs ("active"); others drop out
     active = F.max("own").over(Window.partitionBy(*CELL, "yr"))
@@ -193,15 +213,15 @@ def history_features(incidents: DataFrame, labels: Sequence[str],
                      base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
     """statistics for all labels at every observed (district, day, hour)."""
     base, cells = counts_and_cells(incidents)
-    return history_statistics(base, observed_probes(cells, labels), base_year)
+    return history_statistics(base, cells, base_year, labels=labels)
 
 
 def future_features(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
                     days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
     """statistics for the hourly grid of the January after the data."""
     base = base_counts(incidents)
-    return history_statistics(base, future_probes(base, labels, days, extra_days),
-                              base_year, extra_days=extra_days)
+    return history_statistics(base, future_cells(base, days, extra_days),
+                              base_year, extra_days=extra_days, labels=labels)
 
 
 def probability_vectors(stats: DataFrame, labels: Sequence[str], as_vector: bool = True) -> DataFrame:
@@ -231,7 +251,7 @@ def feature_frame(incidents: DataFrame, labels: Sequence[str], base_year: int =
     (district, day, hour), joined on those three keys, plus date parts.
     """
     base, cells = counts_and_cells(incidents)
-    stats = history_statistics(base, observed_probes(cells, labels), base_year)
+    stats = history_statistics(base, cells, base_year, labels=labels)
     vec = probability_vectors(stats, labels)
     return base.join(vec, ["district", "day", "hour"]).withColumns({
         "year": F.year("day"), "month": F.month("day"), "dayofweek": F.dayofweek("day"),

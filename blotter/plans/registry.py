@@ -25,6 +25,9 @@ def register(name: str, sql: str | None = None):
             raise KeyError(f"duplicate query {name}")
 
         def run(spark: SparkSession, sf_dir: str, _fn=fn) -> DataFrame:
+            # results must not depend on the caller's zone (event-time windows,
+            # truncation of timestamp_ntz go through the session zone)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return present(_fn(spark, sf_dir))
 
         run.__name__ = fn.__name__
