@@ -130,7 +130,7 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFAULT_BASE_YEAR,
                        extra_days: int | None = None,
-                       labels: Sequence[str] | None = None) -> DataFrame:
+                       labels: Sequence[str] | None = None, keep_dow: bool = False) -> DataFrame:
     """The four statistics for every probe.
 
     ``base``: ``(district, label, day, hour, n)``; ``probes``: either
@@ -138,7 +138,9 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
     together with ``labels`` - then each cell crosses the shuffle once and is
     expanded to all labels afterwards. ``extra_days`` switches to future
     mode (probes after the data). Returns
-    ``(district, label, day, hour, alym, apm, apy, ata)``.
+    ``(district, label, day, hour, alym, apm, apy, ata)`` (plus ``dow`` with
+    ``keep_dow``: grouping downstream by ``(district, dow, day, hour)`` is then
+    satisfied by the existing partitioning, so it needs no shuffle).
     """
     b = _calendar(base)
     hist = b.select(
@@ -201,7 +203,7 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
     part_a = F.when(D <= 29, F.col("s_l1664")).when(D == 30, F.col("s_l1666")).otherwise(F.col("s_l1030"))
     part_b = F.when(D == 366, F.col("s_t336")).when(D > 335, F.col("s_t335")).otherwise(F.lit(0.0))
     return stats.select(
-        "district", "label", "day", F.col("thour").alias("hour"),
+        "district", "label", *(["dow"] if keep_dow else []), "day", F.col("thour").alias("hour"),
         ((part_a + part_b) / F.lit(8.0)).alias("alym"),
         apm.alias("apm"),
         _ratio(F.col("s_py"), d4).alias("apy"),
@@ -210,18 +212,19 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
 
 
 def history_features(incidents: DataFrame, labels: Sequence[str],
-                     base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
+                     base_year: int = DEFAULT_BASE_YEAR, keep_dow: bool = False) -> DataFrame:
     """statistics for all labels at every observed (district, day, hour)."""
     base, cells = counts_and_cells(incidents)
-    return history_statistics(base, cells, base_year, labels=labels)
+    return history_statistics(base, cells, base_year, labels=labels, keep_dow=keep_dow)
 
 
 def future_features(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
-                    days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
+                    days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS,
+                    keep_dow: bool = False) -> DataFrame:
     """statistics for the hourly grid of the January after the data."""
     base = base_counts(incidents)
     return history_statistics(base, future_cells(base, days, extra_days),
-                              base_year, extra_days=extra_days, labels=labels)
+                              base_year, extra_days=extra_days, labels=labels, keep_dow=keep_dow)
 
 
 def probability_vectors(stats: DataFrame, labels: Sequence[str], as_vector: bool = True) -> DataFrame:
@@ -229,8 +232,11 @@ def probability_vectors(stats: DataFrame, labels: Sequence[str], as_vector: bool
 
     Order: statistic-major (alym, apm, apy, ata), then labels in the given
     (sorted) order; a missing label is 0. The pivot has explicit values.
+    With a ``dow`` column (``keep_dow``) the grouping reuses the history
+    partitioning instead of shuffling again.
     """
-    wide = (stats.groupBy("district", "day", "hour").pivot("label", list(labels))
+    keys = ["district", "dow", "day", "hour"] if "dow" in stats.columns else ["district", "day", "hour"]
+    wide = (stats.groupBy(*keys).pivot("label", list(labels))
             .agg(*[F.first(s).alias(s) for s in STATS]))
     parts = []
     for s in STATS:
@@ -251,7 +257,7 @@ def feature_frame(incidents: DataFrame, labels: Sequence[str], base_year: int =
     (district, day, hour), joined on those three keys, plus date parts.
     """
     base, cells = counts_and_cells(incidents)
-    stats = history_statistics(base, cells, base_year, labels=labels)
+    stats = history_statistics(base, cells, base_year, labels=labels, keep_dow=True)
     vec = probability_vectors(stats, labels)
     return base.join(vec, ["district", "day", "hour"]).withColumns({
         "year": F.year("day"), "month": F.month("day"), "dayofweek": F.dayofweek("day"),
@@ -261,6 +267,7 @@ def feature_frame(incidents: DataFrame, labels: Sequence[str], base_year: int =
 def future_frame(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
                  days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS) -> DataFrame:
     """F9 + F10: one row per future (district, day, hour) with its vector."""
-    vec = probability_vectors(future_features(incidents, labels, base_year, days, extra_days), labels)
+    vec = probability_vectors(future_features(incidents, labels, base_year, days, extra_days,
+                                              keep_dow=True), labels)
     return vec.withColumns({"year": F.year("day"), "month": F.month("day"),
                             "dayofweek": F.dayofweek("day"), "dayofyear": F.dayofyear("day")})

@@ -147,6 +147,7 @@ def hist_vector(spark, sf):
     """Probability vector per (district, day, hour) as (idx, value) rows."""
     inc = S.incidents_from_orders(spark, sf)
     labels = sorted_labels(inc, "label")
-    vec = H.probability_vectors(H.history_features(inc, labels, BASE_YEAR), labels, as_vector=False)
+    vec = H.probability_vectors(H.history_features(inc, labels, BASE_YEAR, keep_dow=True), labels,
+                                as_vector=False)
     return vec.select("district", "day", "hour",
                       F.posexplode("probability_vector").alias("idx", "value"))

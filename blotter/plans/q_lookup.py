@@ -62,6 +62,7 @@ SELECT district, day, hour, label, ata, rank FROM
 def top_labels(spark, sf):
     """L3: three most likely labels per (district, day, hour) by all-time average."""
     inc = S.incidents_from_orders(spark, sf)
-    stats = H.history_features(inc, sorted_labels(inc, "label"), BASE_YEAR)
-    return LK.top_labels(stats, ["district", "day", "hour"], "label", "ata", 3).select(
+    # dow is implied by day; keying by it too reuses the history partitioning
+    stats = H.history_features(inc, sorted_labels(inc, "label"), BASE_YEAR, keep_dow=True)
+    return LK.top_labels(stats, ["district", "dow", "day", "hour"], "label", "ata", 3).select(
         "district", "day", "hour", "label", "ata", "rank")
