@@ -130,7 +130,8 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFAULT_BASE_YEAR,
                        extra_days: int | None = None,
-                       labels: Sequence[str] | None = None, keep_dow: bool = False) -> DataFrame:
+                       labels: Sequence[str] | None = None, keep_dow: bool = False,
+                       keep_count: bool = False) -> DataFrame:
     """The four statistics for every probe.
 
     ``base``: ``(district, label, day, hour, n)``; ``probes``: either
@@ -140,7 +141,8 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
     mode (probes after the data). Returns
     ``(district, label, day, hour, alym, apm, apy, ata)`` (plus ``dow`` with
     ``keep_dow``: grouping downstream by ``(district, dow, day, hour)`` is then
-    satisfied by the existing partitioning, so it needs no shuffle).
+    satisfied by the existing partitioning, so it needs no shuffle) and
+    ``n`` with ``keep_count``: the probe cell's own count (0 if unobserved).
     """
     b = _calendar(base)
     hist = b.select(
@@ -171,7 +173,8 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
     u = u.withColumn("n", F.when((F.col("probe") == 0) & (active == 1), F.col("n")).otherwise(0))
     # one row per (cell, day); keys are a superset of the partitioning
     day_rows = (u.groupBy(*CELL, "yr", "doy", "day")
-                .agg(F.sum("n").alias("n"), F.max("probe").alias("probe"))
+                .agg(F.sum("n").alias("n"), F.max("probe").alias("probe"),
+                     F.sum(F.col("n") * F.col("own")).alias("n_self"))
                 .withColumn("ord", F.col("yr").cast("long") * 1000 + F.col("doy")))
 
     D, Y = F.col("doy"), F.col("yr")
@@ -204,6 +207,7 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
     part_b = F.when(D == 366, F.col("s_t336")).when(D > 335, F.col("s_t335")).otherwise(F.lit(0.0))
     return stats.select(
         "district", "label", *(["dow"] if keep_dow else []), "day", F.col("thour").alias("hour"),
+        *([F.col("n_self").alias("n")] if keep_count else []),
         ((part_a + part_b) / F.lit(8.0)).alias("alym"),
         apm.alias("apm"),
         _ratio(F.col("s_py"), d4).alias("apy"),
@@ -227,6 +231,21 @@ def future_features(incidents: DataFrame, labels: Sequence[str], base_year: int
                               base_year, extra_days=extra_days, labels=labels, keep_dow=keep_dow)
 
 
+def _pivot(stats: DataFrame, labels: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
+    keys = ["district", "dow", "day", "hour"] if "dow" in stats.columns else ["district", "day", "hour"]
+    aggs = [F.first(s).alias(s) for s in (*STATS, *extra)]
+    return stats.groupBy(*keys).pivot("label", list(labels)).agg(*aggs)
+
+
+def _vector(labels: Sequence[str], as_vector: bool) -> Column:
+    parts = [F.coalesce(F.col(f"`{lab}_{s}`"), F.lit(0.0)) for s in STATS for lab in labels]
+    arr = F.array(*parts)
+    if as_vector:
+        from pyspark.ml.functions import array_to_vector
+        arr = array_to_vector(arr)
+    return arr
+
+
 def probability_vectors(stats: DataFrame, labels: Sequence[str], as_vector: bool = True) -> DataFrame:
     """One row per ``(district, day, hour)`` with a ``4 x labels`` vector.
 
@@ -235,33 +254,29 @@ def probability_vectors(stats: DataFrame, labels: Sequence[str], as_vector: bool
     With a ``dow`` column (``keep_dow``) the grouping reuses the history
     partitioning instead of shuffling again.
     """
-    keys = ["district", "dow", "day", "hour"] if "dow" in stats.columns else ["district", "day", "hour"]
-    wide = (stats.groupBy(*keys).pivot("label", list(labels))
-            .agg(*[F.first(s).alias(s) for s in STATS]))
-    parts = []
-    for s in STATS:
-        for lab in labels:
-            name = f"{lab}_{s}" if len(STATS) > 1 else lab
-            parts.append(F.coalesce(F.col(f"`{name}`"), F.lit(0.0)))
-    arr = F.array(*parts)
-    if as_vector:
-        from pyspark.ml.functions import array_to_vector
-        arr = array_to_vector(arr)
-    return wide.select("district", "day", "hour", arr.alias("probability_vector"))
+    return _pivot(stats, labels).select("district", "day", "hour",
+                                        _vector(labels, as_vector).alias("probability_vector"))
 
 
 def feature_frame(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR) -> DataFrame:
-    """E1 training frame: one row per (district, label, day, hour) cell.
+    """E1 training frame: one row per observed (district, label, day, hour) cell.
 
-    J1 / J4: the cell count and the (leakage-free) probability vector of its
-    (district, day, hour), joined on those three keys, plus date parts.
+    J1 + J4: the cell count ``n`` and the (leakage-free) probability vector of
+    its (district, day, hour), plus date parts. Counts travel through the
+    history step, so the vector pivot emits the training rows directly: no
+    join and no shuffle after the history partitioning.
     """
     base, cells = counts_and_cells(incidents)
-    stats = history_statistics(base, cells, base_year, labels=labels, keep_dow=True)
-    vec = probability_vectors(stats, labels)
-    return base.join(vec, ["district", "day", "hour"]).withColumns({
-        "year": F.year("day"), "month": F.month("day"), "dayofweek": F.dayofweek("day"),
-        "dayofyear": F.dayofyear("day")})
+    stats = history_statistics(base, cells, base_year, labels=labels, keep_dow=True, keep_count=True)
+    wide = _pivot(stats, labels, extra=("n",))
+    observed = F.filter(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"`{lab}_n`").alias("n"))
+                                  for lab in labels]), lambda o: o["n"] > 0)
+    rows = wide.select("district", "dow", "day", "hour", _vector(labels, True).alias("probability_vector"),
+                       F.explode(observed).alias("o"))
+    return rows.select("district", F.col("o.label").alias("label"), "day", "hour",
+                       F.col("o.n").alias("n"), "probability_vector",
+                       F.year("day").alias("year"), F.month("day").alias("month"),
+                       F.col("dow").alias("dayofweek"), F.dayofyear("day").alias("dayofyear"))
 
 
 def future_frame(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
