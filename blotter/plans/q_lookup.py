@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from blotter.operators import history as H
@@ -66,3 +67,46 @@ def top_labels(spark, sf):
     stats = H.history_features(inc, sorted_labels(inc, "label"), BASE_YEAR, keep_dow=True)
     return LK.top_labels(stats, ["district", "dow", "day", "hour"], "label", "ata", 3).select(
         "district", "day", "hour", "label", "ata", "rank")
+
+
+FORECAST_DAY, FORECAST_HOUR = dt.date(2024, 1, 22), 18
+
+
+@register("forecast_lookup", sql=finish(with_views(f"""
+SELECT district, CAST(CAST(district AS INTEGER) AS VARCHAR) AS district_num, day, hour, n AS actual, yhat,
+       CASE WHEN yhat IS NULL THEN 0 WHEN mx <= 1 THEN 1
+            ELSE 1 + CAST(floor(7 * least(yhat, mx - 1) / (mx - 1)) AS INTEGER) END AS colour
+FROM (SELECT *, max(yhat) OVER (PARTITION BY day, hour) AS mx FROM f) z
+WHERE day = DATE '{FORECAST_DAY.isoformat()}' AND hour = {FORECAST_HOUR}""", "incidents_e", ctes="""
+c AS (SELECT district, date_trunc('hour', ts) AS hour_ts, count(*) AS n FROM incidents_e GROUP BY ALL),
+s AS (SELECT district, min(hour_ts) AS lo, max(hour_ts) AS hi FROM c GROUP BY district),
+g AS (SELECT district, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour_ts FROM s),
+d AS (SELECT g.district, g.hour_ts, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (district, hour_ts)),
+f AS (SELECT a.district, CAST(a.hour_ts AS DATE) AS day, hour(a.hour_ts) AS hour, a.n, b.n AS yhat
+      FROM d a LEFT JOIN d b ON a.district = b.district AND b.hour_ts = a.hour_ts - INTERVAL 7 DAY)"""),
+    dates=("day",), ints=("hour", "colour"), doubles=("yhat",)))
+def forecast_lookup(spark, sf):
+    """L1 + L2 + L4 + C6 + S5: hourly forecast table written partitioned by day,
+    then one (day, hour) served from it with actual, forecast and colour class.
+
+    The forecast is the weekly seasonal-naive value of the gap-filled hourly
+    series; the read prunes to the requested day's folder.
+    """
+    import os
+    import uuid
+
+    from blotter.operators import forecast as FC
+    from blotter.operators import gaps as G
+    from blotter.session import checkpoint_dir
+    from blotter.sources import files as FS
+
+    series = G.hourly_gapfill(S.incidents_from_events(spark, sf))
+    fc = FC.seasonal_naive(series, "district", "hour_ts", "n", "7 DAYS")
+    table = fc.select("district", F.to_date("hour_ts").alias("day"), F.hour("hour_ts").alias("hour"),
+                      F.col("n").alias("actual"), F.col("yhat").cast("double").alias("yhat"))
+    path = os.path.join(checkpoint_dir(spark), "lookup", f"hourly_forecast-{uuid.uuid4().hex}")
+    FS.write_table(table, path, partition_by=["day"])
+    served = LK.lookup(spark.read.parquet(path), FORECAST_DAY, FORECAST_HOUR)
+    mx = F.max("yhat").over(Window.partitionBy("day", "hour"))
+    colour = F.when(F.col("yhat").isNull(), F.lit(0)).otherwise(LK.colour_class(F.col("yhat"), mx))
+    return served.select("district", "district_num", "day", "hour", "actual", "yhat", colour.alias("colour"))
