@@ -67,4 +67,4 @@ def read_delimited_lines(spark: SparkSession, path: str, n_fields: int, sep: str
     """
     lines = spark.read.text(path)
     parts = F.split(F.col("value"), sep, n_fields)
-    return lines.select(*[F.element_at(parts, i + 1).alias(f"c{i}") for i in range(n_fields)])
+    return lines.select(*[F.try_element_at(parts, F.lit(i + 1)).alias(f"c{i}") for i in range(n_fields)])
