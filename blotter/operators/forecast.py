@@ -23,7 +23,7 @@ from collections.abc import Mapping
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Seasonal periods in days.
@@ -50,25 +50,50 @@ def _chunk(ts: Column, grain: str) -> Column:
     return F.year(ts) if grain == "day" else F.year(ts) * 100 + F.month(ts)
 
 
-def _mark_holdout(series: DataFrame, key: str, ts: str, holdout) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.col(ts).desc())
-    rn = F.row_number().over(w)
+def _mark_holdout(series: DataFrame, key: str, ts: str, holdout, step: str) -> DataFrame:
+    """``is_train``: all but the last ``holdout`` steps (or fraction) of each key.
+
+    Time based, from each key's first and last bucket (an aggregate joined
+    back by key), so no task holds a whole series; on gap-filled series this
+    equals "all but the last ``holdout`` rows".
+    """
+    span = series.groupBy(key).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
+    step_s = F.expr(f"INTERVAL {step}")
     if isinstance(holdout, float):
-        n = F.count(F.lit(1)).over(Window.partitionBy(key))
-        return series.withColumn("is_train", rn > F.ceil(n * F.lit(holdout)))
-    return series.withColumn("is_train", rn > F.lit(holdout))
+        n = (F.unix_micros(F.col("__hi").cast("timestamp")) - F.unix_micros(F.col("__lo").cast("timestamp"))) \
+            / F.lit(_step_micros(step)) + F.lit(1)
+        h = F.ceil(n * F.lit(holdout))
+    else:
+        h = F.lit(holdout)
+    cutoff = F.col("__hi") - step_s * h
+    return (series.join(span, key).withColumn("is_train", F.col(ts) <= cutoff)
+            .drop("__lo", "__hi"))
+
+
+_UNITS = {"DAY": 86400e6, "DAYS": 86400e6, "HOUR": 3600e6, "HOURS": 3600e6,
+          "MINUTE": 60e6, "MINUTES": 60e6}
+
+
+def _step_micros(step: str) -> float:
+    num, unit = step.split()
+    return float(num) * _UNITS[unit.upper()]
+
+
+_STEP = {"day": "1 DAY", "hour": "1 HOUR", "minute": "10 MINUTES"}
 
 
 def additive_forecast(series: DataFrame, key: str, ts: str, value: str, orders: Mapping[str, int],
                       holdout=60, grain: str = "day", n_changepoints: int = 10,
-                      ridge: float = 1.0) -> DataFrame:
-    """Fit on all but the last ``holdout`` buckets of each key, predict all.
+                      ridge: float = 1.0, step: str | None = None) -> DataFrame:
+    """Fit on all but the last ``holdout`` steps of each key, predict all.
 
-    ``holdout`` is a number of buckets or a fraction (float). Returns
+    ``holdout`` is a number of steps or a fraction (float); ``step`` defaults
+    to the grain's bucket (1 day, 1 hour, 10 minutes). Returns
     ``(key, ts, y, yhat, is_train)``; series should be gap-filled first.
     """
     s = _mark_holdout(series.select(F.col(key).alias("key"), F.col(ts).alias("ts"),
-                                    F.col(value).cast("double").alias("y")), "key", "ts", holdout)
+                                    F.col(value).cast("double").alias("y")), "key", "ts", holdout,
+                      step or _STEP[grain])
     span = (s.where("is_train").groupBy("key")
             .agg(_days(F.min("ts")).alias("t0"), _days(F.max("ts")).alias("t1")))
     s = s.join(span, "key")

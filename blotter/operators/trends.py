@@ -44,14 +44,49 @@ def drop_warmup(series: DataFrame, k: int, key: str | None = None, order: str =
     return series.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") > k).drop("__rn")
 
 
+def global_index(daily: DataFrame, order: str = "day") -> DataFrame:
+    """0-based position ``idx`` of each row in the global ``order`` (no single task).
+
+    Row numbers within each year plus each year's offset; the offset table has
+    one row per year (bounded by the calendar), so it is broadcast.
+    """
+    yr = F.year(order)
+    d = daily.withColumn("__yr", yr).withColumn(
+        "__rn", F.row_number().over(Window.partitionBy("__yr").orderBy(order)))
+    years = d.groupBy("__yr").agg(F.count(F.lit(1)).alias("__c"))
+    offsets = years.withColumn("__off", F.coalesce(F.sum("__c").over(
+        Window.orderBy("__yr").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return (d.join(F.broadcast(offsets.select("__yr", "__off")), "__yr")
+            .withColumn("idx", F.col("__off") + F.col("__rn") - 1).drop("__yr", "__rn", "__off"))
+
+
+def blocked_moving_average(indexed: DataFrame, k: int, value: str = "n", out: str = "ma",
+                           block: int = 4096) -> DataFrame:
+    """W1 over a global index: trailing average of the last ``k + 1`` rows.
+
+    Rows are cut into blocks of ``block`` positions; the last ``k`` rows of a
+    block are also copied into the next block (halo), each block's window runs
+    in its own task and only the block's own rows are kept. Task size is
+    bounded by ``block + k``, whatever the series length.
+    """
+    block = max(block, 2 * k + 1)
+    own = F.floor(F.col("idx") / F.lit(block))
+    copies = F.when(F.pmod(F.col("idx"), F.lit(block)) >= F.lit(block - k),
+                    F.array(own, own + 1)).otherwise(F.array(own))
+    x = indexed.withColumn("__own", own).withColumn("__blk", F.explode(copies))
+    w = Window.partitionBy("__blk").orderBy("idx").rangeBetween(-k, Window.currentRow)
+    return (x.withColumn(out, F.avg(value).over(w)).where(F.col("__blk") == F.col("__own"))
+            .drop("__blk", "__own"))
+
+
 def global_moving_average(df: DataFrame, k: int = 7, ts: str = "ts") -> DataFrame:
-    """W1 + W2 on the all-keys daily series.
+    """W1 + W2 on the all-keys daily series: k-MA over observed days, first k dropped.
 
-    One series: its window is a single partition, but it holds one row per
-    day (calendar-bounded, ~366 per year) after the aggregation.
+    Distributed: positions come from :func:`global_index`, the window runs
+    per block (:func:`blocked_moving_average`).
     """
-    s = moving_average(daily_counts(df, ts=ts), k)
-    return drop_warmup(s, k)
+    s = blocked_moving_average(global_index(daily_counts(df, ts=ts)), k)
+    return s.where(F.col("idx") >= k).drop("idx")
 
 
 def keyed_moving_average(df: DataFrame, key: str, key_values: Sequence[str], k: int = 30,

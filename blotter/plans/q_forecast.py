@@ -27,7 +27,7 @@ def _daily_dense(spark, sf):
 
 def _naive(spark, sf):
     sn = FC.seasonal_naive(_daily_dense(spark, sf), "district", "day", "n", "7 DAYS")
-    sn = FC._mark_holdout(sn, "district", "day", HOLDOUT_DAYS)
+    sn = FC._mark_holdout(sn, "district", "day", HOLDOUT_DAYS, "1 DAY")
     return sn.where(~F.col("is_train")).select("district", "day", F.col("n").alias("y"), "yhat")
 
 
