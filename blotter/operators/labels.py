@@ -22,7 +22,8 @@ OTHER_PLACES = "OTHER LOCATIONS"
 def label_counts(df: DataFrame, col: str) -> DataFrame:
     """Count per label (null is its own group) and the label's share of all rows."""
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    # one row per distinct label: the global window runs over that small set
+    # The total is a window over the grouped table: one row per distinct value
+    # of a categorical column (tens to hundreds), not over the data rows.
     return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
 
 

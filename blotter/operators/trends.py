@@ -33,14 +33,22 @@ def dense_daily(counts: DataFrame, key: str, key_values: Sequence[str]) -> DataF
 
 def moving_average(series: DataFrame, k: int, key: str | None = None, value: str = "n",
                    order: str = "day", out: str = "ma") -> DataFrame:
-    """Trailing average over the last ``k + 1`` rows (nulls ignored)."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
+    """Trailing average over the last ``k + 1`` rows (nulls ignored).
+
+    Per key (one calendar-bounded series per task), or for a single series
+    block-wise over a global index (:func:`blocked_moving_average`).
+    """
+    if key is None:
+        return blocked_moving_average(global_index(series, order), k, value, out).drop("idx")
+    w = Window.partitionBy(key).orderBy(order)
     return series.withColumn(out, F.avg(value).over(w.rowsBetween(-k, Window.currentRow)))
 
 
 def drop_warmup(series: DataFrame, k: int, key: str | None = None, order: str = "day") -> DataFrame:
     """Drop the first ``k`` rows of each series (``[k:]``)."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(order)
+    if key is None:
+        return global_index(series, order).where(F.col("idx") >= k).drop("idx")
+    w = Window.partitionBy(key).orderBy(order)
     return series.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") > k).drop("__rn")
 
 
