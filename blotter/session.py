@@ -21,6 +21,38 @@ BASE_CONF = {
 }
 
 
+# Defaults for a large cluster (e.g. ~1000 executors over ~100 TB). Applied by
+# :func:`apply_cluster_defaults` only where the cluster has no value:
+# start with many shuffle partitions and let AQE coalesce them to ~256 MB,
+# split skewed partitions of joins, read files in 256 MB splits, and keep
+# the automatic broadcast small (AQE checks runtime sizes against it).
+CLUSTER_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "16000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_defaults(spark: SparkSession, conf: dict | None = None) -> dict:
+    """Set the large-cluster defaults that the session does not define yet.
+
+    Returns the settings that were applied; existing values are kept.
+    """
+    applied = {}
+    for k, v in (conf or CLUSTER_CONF).items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied
+
+
 def get_session(master: str | None = None, app: str = "blotter",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
