@@ -9,6 +9,7 @@ which makes them SQL-checkable.
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -146,7 +147,7 @@ def model_roundtrip(spark, sf):
     """Save the whole pipeline to the shared folder, load it, score the test set."""
     train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
     model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=5)
-    path = os.path.join(checkpoint_dir(spark), "models", "tree_depth5")
+    path = os.path.join(checkpoint_dir(spark), "models", f"tree_depth5-{uuid.uuid4().hex}")
     M.save_model(model, path)
     return _scored(M.load_model(path).transform(test), ["district", "day", "hour"])
 
@@ -156,7 +157,7 @@ def log_json(spark, sf):
     """Experiment rows appended as JSON and read back."""
     train, test = M.hash_split(_raw(spark, sf), ["id"])
     res = M.sweep(train, test, SWEEP_CONFIGS[:1])
-    path = os.path.join(checkpoint_dir(spark), "logs", f"sweep_{os.getpid()}")
+    path = os.path.join(checkpoint_dir(spark), "logs", f"sweep-{uuid.uuid4().hex}")
     M.write_log(res, path)
     return spark.read.schema(M.SWEEP_SCHEMA).json(path)
 
@@ -168,7 +169,7 @@ SELECT id, date_trunc('second', ts) AS ts, district, label, measure FROM
 def csv_roundtrip(spark, sf):
     """S1 + S5 + T1: incidents written as headered CSV (text dates), read back typed."""
     inc = S.incidents_from_events(spark, sf)
-    path = os.path.join(checkpoint_dir(spark), "csv", f"incidents_{os.getpid()}")
+    path = os.path.join(checkpoint_dir(spark), "csv", f"incidents-{uuid.uuid4().hex}")
     FS.write_incident_csv(inc, path)
     return FS.read_incident_csv(spark, path)
 

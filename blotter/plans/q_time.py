@@ -187,7 +187,8 @@ def holiday_year_profile(spark, sf):
     "incidents_e"), stamps=("hour_ts",)))
 def stream_hourly_counts(spark, sf):
     """A2 + T4 as a Structured Streaming query (watermark, state store), run to completion."""
+    import uuid
+
     from blotter.streaming import hourly_counts, incident_stream, run_to_table
-    import os
     stream = incident_stream(spark, sf, "events.parquet")
-    return run_to_table(spark, hourly_counts(stream), f"hourly_counts_{os.getpid()}")
+    return run_to_table(spark, hourly_counts(stream), f"hourly_counts_{uuid.uuid4().hex}")
