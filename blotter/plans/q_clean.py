@@ -163,3 +163,30 @@ def stratified_sample(spark, sf):
     """Per-label fractions, deterministic hash sampling (seed 42)."""
     inc = S.incidents_from_events(spark, sf)
     return CL.stratified_sample(inc, "label", SAMPLE_FRACTIONS, "id", 42).select("id", "label")
+
+
+@register("district_subset", sql=finish(with_views(
+    "SELECT id, ts, district, label, measure FROM incidents_e WHERE district = '011'", "incidents_e"),
+    stamps=("ts",), doubles=("measure",)))
+def district_subset(spark, sf):
+    """P5: the one-district subset (the reference's district-11 extract)."""
+    return CL.equals(S.incidents_from_events(spark, sf), "district", "011")
+
+
+@register("table_counts", sql=finish(with_views("""
+SELECT 'incidents_e' AS view, count(*) AS n FROM incidents_e UNION ALL
+SELECT 'incidents_o', count(*) FROM incidents_o UNION ALL
+SELECT 'readings', count(*) FROM readings UNION ALL
+SELECT 'places', count(*) FROM places UNION ALL
+SELECT 'cells', count(*) FROM cells""", "incidents_e", "incidents_o", "readings", "places", "cells")))
+def table_counts(spark, sf):
+    """A1: row count of every bound view (one aggregate per scan)."""
+    views = {"incidents_e": S.incidents_from_events, "incidents_o": S.incidents_from_orders,
+             "readings": S.readings_from_lineitem, "places": S.places_from_part,
+             "cells": S.cells_from_customer}
+    parts = [fn(spark, sf).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("view"), "n")
+             for name, fn in views.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
