@@ -6,55 +6,65 @@ With the values sorted descending, ``m = n // 2`` and ``q = m // 2``:
 for the distinct variant). The result lists distinct ``(score, x)`` with
 their frequency.
 
-Exact positions without a single-partition window: the values are
-range-partitioned and sorted by Spark (``orderBy``), each row gets
-``(partition id, monotonically increasing id)`` stored as columns, and the
-result is written once to the cluster's checkpoint folder so both uses
-below see the same materialised order. Per-partition counts (one row per partition)
-give each partition's offset; only those counts and the three quantile
-values reach the driver.
+Exact positions without a single-partition window or a hot task:
+
+1. the values are aggregated to ``(x, c)`` value counts (map-side partial
+   aggregation, so a value repeated in a third of all rows is one row);
+2. the distinct values are range-partitioned and sorted by Spark, each row
+   gets ``(partition id, monotonically increasing id)`` stored as columns,
+   and the result is written once to the cluster's checkpoint folder;
+3. per-partition sums of ``c`` (one row per partition) give each
+   partition's first position; only the partitions holding the three
+   wanted positions are scanned with a running sum to find the values.
+
+Only partition totals and three values reach the driver; the outlier
+frequencies come straight from the value counts.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from blotter.session import materialize
 
 
-def _sorted_positions(values: DataFrame, col: str):
-    """Checkpointed descending sort with (partition id, increasing id) per row,
-    and the per-partition ``(pid, count, first id)`` list (one row each)."""
-    s = materialize(values.select(col).orderBy(F.col(col).desc())
-                    .select(col, F.spark_partition_id().alias("pid"),
-                            F.monotonically_increasing_id().alias("mid")), "sorted")
-    parts = sorted((r["pid"], r["cnt"], r["first"]) for r in
-                   s.groupBy("pid").agg(F.count(F.lit(1)).alias("cnt"),
-                                        F.min("mid").alias("first")).collect())
+def _sorted_counts(counts: DataFrame):
+    s = materialize(counts.orderBy(F.col("x").desc())
+                    .select("x", "c", F.spark_partition_id().alias("pid"),
+                            F.monotonically_increasing_id().alias("mid")), "sorted_counts")
+    parts = sorted((r["pid"], r["cnt"]) for r in
+                   s.groupBy("pid").agg(F.sum("c").alias("cnt")).collect())
     return s, parts
 
 
-def positional_values(values: DataFrame, col: str, positions_of_n) -> tuple[int, list[float]]:
-    """``n`` and the values at 0-based positions ``positions_of_n(n)`` of ``col``
-    sorted descending (exact). ``n`` comes from the partition counts, so the
-    data is read once."""
-    s, parts = _sorted_positions(values, col)
-    n = sum(c for _, c, _ in parts)
+def positional_values(counts: DataFrame, positions_of_n) -> tuple[int, list[float]]:
+    """``n`` and the values at 0-based positions ``positions_of_n(n)`` of the
+    multiset described by ``(x, c)`` value counts, sorted descending (exact)."""
+    s, parts = _sorted_counts(counts)
+    n = sum(c for _, c in parts)
     if n == 0:
         return 0, []
     positions = positions_of_n(n)
-    wanted, start = {}, 0
-    for pid, cnt, first in parts:
+    local, start = {}, 0          # position -> (pid, offset inside the partition)
+    for pid, cnt in parts:
         for p in positions:
             if start <= p < start + cnt:
-                wanted[p] = (pid, first + (p - start))
+                local[p] = (pid, p - start)
         start += cnt
+    pids = sorted({pid for pid, _ in local.values()})
+    w = Window.partitionBy("pid").orderBy("mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranged = (s.where(F.col("pid").isin(pids))
+              .withColumn("hi", F.sum("c").over(w)).withColumn("lo", F.col("hi") - F.col("c")))
     cond = F.lit(False)
-    for pid, mid in wanted.values():
-        cond = cond | ((F.col("pid") == pid) & (F.col("mid") == mid))
-    found = {(r["pid"], r["mid"]): r[col] for r in s.where(cond).collect()}
-    return n, [float(found[wanted[p]]) for p in positions]
+    for pid, off in local.values():
+        cond = cond | ((F.col("pid") == pid) & (F.col("lo") <= off) & (F.col("hi") > off))
+    rows = ranged.where(cond).select("pid", "lo", "hi", "x").collect()
+    found = []
+    for p in positions:
+        pid, off = local[p]
+        found.append(next(float(r["x"]) for r in rows if r["pid"] == pid and r["lo"] <= off < r["hi"]))
+    return n, found
 
 
 def robust_outliers(df: DataFrame, col: str, distinct: bool = False) -> DataFrame:
@@ -64,21 +74,21 @@ def robust_outliers(df: DataFrame, col: str, distinct: bool = False) -> DataFram
     """
     vals = df.select(F.col(col).cast("double").alias("x")).where(
         F.col("x").isNotNull() & ~F.isnan("x"))
+    counts = vals.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
     if distinct:
-        vals = vals.distinct()
+        counts = counts.withColumn("c", F.lit(1).cast("long"))
 
     def positions(n):
         m = n // 2
         q = m // 2
         return [q, m, m + q]
 
-    n, found = positional_values(vals, "x", positions)
+    n, found = positional_values(counts, positions)
     if n == 0:
-        return vals.select("x", F.lit(None).cast("double").alias("score"),
-                           F.lit(0).cast("long").alias("n")).limit(0)
+        return counts.select("x", F.lit(None).cast("double").alias("score"),
+                             F.col("c").alias("n")).limit(0)
     upper, median, lower = found
     iqr = upper - lower
     score = (F.col("x") - F.lit(median)) / F.lit(iqr) if iqr != 0 else F.lit(None).cast("double")
-    scored = vals.withColumn("score", score)
     keep = F.abs("score") >= 3 if distinct else F.abs("score") > 3
-    return scored.where(keep).groupBy("x", "score").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("score", score).where(keep).select("x", "score", F.col("c").alias("n"))

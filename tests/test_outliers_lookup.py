@@ -53,3 +53,12 @@ def test_top_labels_ties(spark):
                                "key string, label string, score double")
     out = [r["label"] for r in LK.top_labels(df, ["key"], "label", "score", 3).orderBy("rank").collect()]
     assert out == ["a", "b", "d"]
+
+
+def test_hot_value_third_of_rows(spark):
+    rnd = np.random.default_rng(11)
+    xs = [5.0] * 300 + [float(round(v, 1)) for v in rnd.normal(5, 2, 600)] + [40.0, -30.0]
+    df = spark.createDataFrame([(x,) for x in xs], "m double").repartition(9)
+    for distinct in (False, True):
+        got = {(r["x"], r["score"]): r["n"] for r in OU.robust_outliers(df, "m", distinct).collect()}
+        assert got == _brute(xs, distinct)
