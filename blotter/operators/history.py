@@ -168,14 +168,20 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
     u = u.select("district", F.explode("labels").alias("label"), "dow", "yr", "doy", "day", "n",
                  "thour", "own", "probe")
 
-    # years in which the exact cell occurs ("active"); others drop out
-    active = F.max("own").over(Window.partitionBy(*CELL, "yr"))
-    u = u.withColumn("n", F.when((F.col("probe") == 0) & (active == 1), F.col("n")).otherwise(0))
-    # one row per (cell, day); keys are a superset of the partitioning
+    # one row per (cell, day); keys are a superset of the partitioning.
+    # Probe rows carry n = 0 and own = 0, so they only mark the day.
     day_rows = (u.groupBy(*CELL, "yr", "doy", "day")
-                .agg(F.sum("n").alias("n"), F.max("probe").alias("probe"),
+                .agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.max("probe").alias("probe"),
                      F.sum(F.col("n") * F.col("own")).alias("n_self"))
                 .withColumn("ord", F.col("yr").cast("long") * 1000 + F.col("doy")))
+    # only years in which the exact cell occurs ("active") count. All rows
+    # of a day share its year, so the flag applies after the day aggregate.
+    # Years are 1000 apart in ord and doy <= 366, so +-365 around a row is
+    # exactly its year: same partition and order as the statistics windows,
+    # hence one sort for all of them.
+    same_year = Window.partitionBy(*CELL).orderBy("ord").rangeBetween(-365, 365)
+    day_rows = day_rows.withColumn(
+        "n", F.when(F.max("own").over(same_year) == 1, F.col("n")).otherwise(F.lit(0)))
 
     D, Y = F.col("doy"), F.col("yr")
     future = extra_days is not None
