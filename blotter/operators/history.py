@@ -36,9 +36,10 @@ if its cell is active in that year; earlier active years always count.
 
 Plan: one shuffle of the (pre-aggregated) rows by
 ``(district, dow, target_hour)``; probe cells cross it once and are
-expanded to all labels afterwards. The active-year window, the day-grain
-aggregation and all range windows are clustered by a superset of those
-keys, so they reuse that partitioning. Each window partition
+expanded to all labels afterwards. The day-grain aggregation, the
+active-year window (a +-365 range over ``ord`` is exactly one year) and
+all range windows are keyed by supersets of those columns and share one
+sort, so no further exchange or sort is added. Each window partition
 ``(district, label, dow, target_hour)`` holds at most one row per day
 (history and probe rows are merged per day), so its size is bounded by the
 calendar, not by data volume: a hot district or label cannot produce an
