@@ -78,12 +78,17 @@ FEATURE_SETS = {
     "fc_6": ["hour"],
 }
 
-SCALERS = ("none", "standard", "minmax", "maxabs", "normalizer", "norm_standard",
-           "norm_minmax", "norm_maxabs")
+SCALERS = ("none", "standard", "standard_std", "minmax", "maxabs", "normalizer",
+           "norm_standard", "norm_minmax", "norm_maxabs")
 
 
 def _scaling_stages(kind: str, col: str) -> tuple[list, str]:
-    """M4: scaler stages (standard = mean only, as the reference's sweep)."""
+    """M4: scaler stages.
+
+    ``standard`` centres only (the reference's sweep), ``standard_std`` scales
+    to unit deviation without centring (Spark's default, used by the
+    reference's tree notebook).
+    """
     stages = []
     if kind.startswith("norm"):
         stages.append(Normalizer(inputCol=col, outputCol="features_norm", p=2.0))
@@ -91,6 +96,8 @@ def _scaling_stages(kind: str, col: str) -> tuple[list, str]:
         kind = kind[len("norm_"):] if kind.startswith("norm_") else "none"
     scaler = {"standard": lambda: StandardScaler(inputCol=col, outputCol="features_scaled",
                                                  withStd=False, withMean=True),
+              "standard_std": lambda: StandardScaler(inputCol=col, outputCol="features_scaled",
+                                                     withStd=True, withMean=False),
               "minmax": lambda: MinMaxScaler(inputCol=col, outputCol="features_scaled"),
               "maxabs": lambda: MaxAbsScaler(inputCol=col, outputCol="features_scaled")}.get(kind)
     if scaler:

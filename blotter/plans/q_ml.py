@@ -142,6 +142,24 @@ def score_future(spark, sf):
                       F.col("prediction").cast("int").alias("prediction"), "predicted_label")
 
 
+@register("future_top_labels")
+def future_top_labels(spark, sf):
+    """L3 (real version): the three most probable labels of every future cell.
+
+    The model's probability vector is exploded with the saved label order
+    and ranked per (district, day, hour); ties go to the lower label.
+    """
+    from blotter.operators import lookup as LK
+    model, grid = _future_model(spark, sf)
+    labels = M.label_order(model)
+    out = M.scoring_model(model).transform(grid)
+    probs = out.select("district", "day", "hour",
+                       F.posexplode(M.vector_to_array(F.col("probability"))).alias("cls", "probability"))
+    probs = probs.withColumn("label", F.element_at(F.array(*[F.lit(x) for x in labels]), F.col("cls") + 1))
+    return LK.top_labels(probs, ["district", "day", "hour"], "label", "probability", 3).select(
+        "district", "day", "hour", "label", "probability", "rank")
+
+
 @register("model_roundtrip")
 def model_roundtrip(spark, sf):
     """Save the whole pipeline to the shared folder, load it, score the test set."""
