@@ -277,7 +277,7 @@ def run_config(train: DataFrame, test: DataFrame, name: str, features: Sequence[
 
 SWEEP_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds double, "
                 "train_acc double, test_acc double, top_3_train_acc double, top_3_test_acc double, "
-                "error string")
+                "error string, is_best boolean")
 
 
 def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict]) -> DataFrame:
@@ -287,11 +287,14 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict]) -> DataFra
     """
     train, test = train.cache(), test.cache()
     rows = [run_config(train, test, **c) for c in configs]
+    # The configuration with the least test error (one row per config)
+    ok = [i for i, r in enumerate(rows) if r["error"] is None]
+    best = min(ok, key=lambda i: (1.0 - rows[i]["test_acc"], rows[i]["pipeline"])) if ok else None
     spark = train.sparkSession
     out = spark.createDataFrame([tuple(r[k] for k in
                                        ("pipeline", "model", "scaler", "pca_k", "seconds", "train_acc",
                                         "test_acc", "top_3_train_acc", "top_3_test_acc", "error"))
-                                 for r in rows], SWEEP_SCHEMA)
+                                 + (i == best,) for i, r in enumerate(rows)], SWEEP_SCHEMA)
     train.unpersist()
     test.unpersist()
     return out
