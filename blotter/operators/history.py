@@ -34,9 +34,11 @@ statistic of a label does not depend on whether that label occurred in
 the probe's own hour (no target leakage). A probe's own year counts only
 if its cell is active in that year; earlier active years always count.
 
-Plan: one shuffle of the (pre-aggregated) rows by
-``(district, dow, target_hour)``; probe cells cross it once and are
-expanded to all labels afterwards. The day-grain aggregation, the
+Plan: the table is read once; base counts are aggregated (partial
+aggregation map-side) and shuffled once more by
+``(district, dow, target_hour)``. Observed probe cells are marked after
+that shuffle by the rows of their own hour and expanded to all labels
+there (future probe cells cross it once). The day-grain aggregation, the
 active-year window (a +-365 range over ``ord`` is exactly one year) and
 all range windows are keyed by supersets of those columns and share one
 sort, so no further exchange or sort is added. Each window partition
@@ -129,45 +131,57 @@ def _ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num / den.cast("double")).otherwise(F.lit(0.0))
 
 
-def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFAULT_BASE_YEAR,
-                       extra_days: int | None = None,
+def history_statistics(base: DataFrame, probes: DataFrame | None = None,
+                       base_year: int = DEFAULT_BASE_YEAR, extra_days: int | None = None,
                        labels: Sequence[str] | None = None, keep_dow: bool = False,
                        keep_count: bool = False) -> DataFrame:
     """The four statistics for every probe.
 
-    ``base``: ``(district, label, day, hour, n)``; ``probes``: either
+    ``base``: ``(district, label, day, hour, n)``. ``probes``: ``None`` for
+    all ``labels`` at every observed ``(district, day, hour)``; else explicit
     ``(district, label, day, hour)`` rows, or ``(district, day, hour)`` cells
-    together with ``labels`` - then each cell crosses the shuffle once and is
-    expanded to all labels afterwards. ``extra_days`` switches to future
-    mode (probes after the data). Returns
+    together with ``labels`` (expanded to all labels after the shuffle).
+    ``extra_days`` switches to future mode (probes after the data). Returns
     ``(district, label, day, hour, alym, apm, apy, ata)`` (plus ``dow`` with
     ``keep_dow``: grouping downstream by ``(district, dow, day, hour)`` is then
     satisfied by the existing partitioning, so it needs no shuffle) and
     ``n`` with ``keep_count``: the probe cell's own count (0 if unobserved).
+
+    Observed probes need no extra pass: after the shuffle, a base row whose
+    hour is the target hour sits in its cell's partition and is expanded to
+    every label there (its count stays on its own label); the day aggregate
+    merges repeated marks.
     """
     b = _calendar(base)
+    observed = probes is None
+    all_labels = F.array(*[F.lit(x) for x in labels]) if labels is not None else None
     hist = b.select(
         "district", "label", "dow", "yr", "doy", "day", "n",
         F.explode(F.array(F.pmod(F.col("hour") - 1, F.lit(24)), F.col("hour"),
                           F.pmod(F.col("hour") + 1, F.lit(24)))).alias("thour"),
         F.col("hour"),
-    ).select("district", F.array("label").alias("labels"), "dow", "yr", "doy", "day", "n", "thour",
-             (F.col("hour") == F.col("thour")).cast("int").alias("own"),
-             F.lit(0).alias("probe"))
-    if "label" in probes.columns:
-        probe_labels = F.array("label")
-    else:
-        probe_labels = F.array(*[F.lit(x) for x in labels])
-    pr = _calendar(probes).select(
-        "district", probe_labels.alias("labels"), "dow", "yr", "doy", "day",
-        F.lit(0).cast("long").alias("n"), F.col("hour").alias("thour"),
-        F.lit(0).alias("own"), F.lit(1).alias("probe"))
+    ).withColumn("own", (F.col("hour") == F.col("thour")).cast("int"))
+    mark = (F.col("own") == 1) if observed else F.lit(False)
+    labels_col = F.when(mark, all_labels).otherwise(F.array("label")) if observed else F.array("label")
+    hist = hist.select("district", F.col("label").alias("orig"), labels_col.alias("labels"),
+                       "dow", "yr", "doy", "day", "n", "thour", "own", mark.cast("int").alias("probe"))
+    parts = [hist]
+    if not observed:
+        probe_labels = F.array("label") if "label" in probes.columns else all_labels
+        parts.append(_calendar(probes).select(
+            "district", F.lit(None).cast("string").alias("orig"), probe_labels.alias("labels"),
+            "dow", "yr", "doy", "day", F.lit(0).cast("long").alias("n"), F.col("hour").alias("thour"),
+            F.lit(0).alias("own"), F.lit(1).alias("probe")))
+    u = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     # One shuffle by (district, dow, target hour): every later window and
     # aggregate is keyed by a superset, so Catalyst adds no other exchange.
-    # Labels are expanded after the shuffle (probe cells travel once).
-    u = hist.unionByName(pr).repartition(*SHUFFLE_KEYS)
-    u = u.select("district", F.explode("labels").alias("label"), "dow", "yr", "doy", "day", "n",
-                 "thour", "own", "probe")
+    # Labels are expanded after the shuffle (probe marks travel once).
+    u = u.repartition(*SHUFFLE_KEYS)
+    u = u.select("district", F.explode("labels").alias("label"), "orig", "dow", "yr", "doy", "day",
+                 "n", "thour", "own", "probe")
+    same = F.coalesce(F.col("label") == F.col("orig"), F.lit(False))
+    u = u.withColumns({"n": F.when(same, F.col("n")).otherwise(F.lit(0)),
+                       "own": F.when(same, F.col("own")).otherwise(F.lit(0))})
 
     # one row per (cell, day); keys are a superset of the partitioning.
     # Probe rows carry n = 0 and own = 0, so they only mark the day.
@@ -225,8 +239,8 @@ def history_statistics(base: DataFrame, probes: DataFrame, base_year: int = DEFA
 def history_features(incidents: DataFrame, labels: Sequence[str],
                      base_year: int = DEFAULT_BASE_YEAR, keep_dow: bool = False) -> DataFrame:
     """statistics for all labels at every observed (district, day, hour)."""
-    base, cells = counts_and_cells(incidents)
-    return history_statistics(base, cells, base_year, labels=labels, keep_dow=keep_dow)
+    return history_statistics(base_counts(incidents), None, base_year, labels=labels,
+                              keep_dow=keep_dow)
 
 
 def future_features(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
@@ -273,8 +287,8 @@ def feature_frame(incidents: DataFrame, labels: Sequence[str], base_year: int =
     history step, so the vector pivot emits the training rows directly: no
     join and no shuffle after the history partitioning.
     """
-    base, cells = counts_and_cells(incidents)
-    stats = history_statistics(base, cells, base_year, labels=labels, keep_dow=True, keep_count=True)
+    stats = history_statistics(base_counts(incidents), None, base_year, labels=labels,
+                               keep_dow=True, keep_count=True)
     wide = _pivot(stats, labels, extra=("n",))
     observed = F.filter(F.array(*[F.struct(F.lit(lab).alias("label"), F.col(f"`{lab}_n`").alias("n"))
                                   for lab in labels]), lambda o: o["n"] > 0)
