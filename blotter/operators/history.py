@@ -71,19 +71,6 @@ def base_counts(incidents: DataFrame, ts: str = "ts") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def counts_and_cells(incidents: DataFrame, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """Base counts and observed ``(district, day, hour)`` cells from ONE scan.
-
-    The cells are an aggregate *of the base counts* (using ``n``, so the
-    optimizer keeps the inner aggregate); both branches then share the same
-    scan + shuffle subtree, which Spark executes once (exchange reuse).
-    """
-    base = base_counts(incidents, ts)
-    cells = (base.groupBy("district", "day", "hour").agg(F.sum("n").alias("total"))
-             .where(F.col("total") > 0).select("district", "day", "hour"))
-    return base, cells
-
-
 def observed_probes(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
     """All labels x each observed ``(district, day, hour)`` (leakage-free probes)."""
     return cells.select("district", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"),
