@@ -1,7 +1,9 @@
-"""History statistics against a brute force written from the per-year loop semantics.
+"""History statistics against a brute force written from the condition formulas.
 
-The brute force walks the history year by year exactly as described in
-the operator's docstring (it never uses the ``ord`` frame arithmetic).
+For every probe the brute force filters the cell's history with one
+membership predicate per statistic (the formulas of the operator's
+docstring) and divides by the stated denominator; it never uses the
+``ord`` frame arithmetic of the implementation.
 """
 
 import datetime as dt
@@ -36,6 +38,37 @@ def _fixture_rows():
     return rows
 
 
+def _conditions(Y, D, k=None):
+    """Membership predicates (yr, doy) of the four sums, from the formulas."""
+    def ata(yr, doy):
+        return yr < Y or (yr == Y and doy < D)
+
+    def apy(yr, doy):
+        return (yr == Y - 1 and doy >= D) or (yr == Y and doy < D)
+
+    def apm(yr, doy):
+        month = yr == Y and D - 30 <= doy < D
+        if k is not None:
+            return month or (yr == Y - 1 and doy >= 365 - abs(k - D))
+        return month or (D < 31 and yr == Y - 1 and doy >= 365 - abs(29 - D))
+
+    def alym(yr, doy):
+        return ((yr == Y - 1 and D - 30 <= doy < D + 30)
+                or (D < 31 and yr == Y - 2 and doy >= 365 - abs(29 - D))
+                or (D > 335 and yr == Y and doy <= 30 - max(0, 365 - D)))
+
+    return alym, apm, apy, ata
+
+
+def _denominators(Y, D, k=None):
+    fut = k is not None
+    first = min(52, math.ceil(D / 7))
+    ata = (0 if fut else first) + max(0, Y - 1 - BASE) * 52
+    apy = first if Y == BASE else (math.ceil((365 - D) / 7) if fut else 52)
+    apm = max(1, math.floor(abs(k - D) / 7)) if fut else 4
+    return 8, apm, apy, ata
+
+
 def _brute(base_rows, probes, future_k=None):
     def dow(d):  # Sunday = 1
         return (d.isoweekday() % 7) + 1
@@ -44,45 +77,15 @@ def _brute(base_rows, probes, future_k=None):
     out = {}
     for (d, l, day, h) in probes:
         Y, D, w = day.year, day.timetuple().tm_yday, dow(day)
-        hours = {(h - 1) % 24, h, (h + 1) % 24}
-        hist = [(day2.year, day2.timetuple().tm_yday, n) for d2, l2, day2, h2, n in base_rows
-                if d2 == d and l2 == l and dow(day2) == w and h2 in hours
-                and (d, l, w, h, day2.year) in active]
-        fut = future_k is not None
-        # all-time
-        weeks = (0 if fut else min(52, math.ceil(D / 7))) + ((Y - 1 - BASE) * 52 if Y > BASE else 0)
-        s = sum(n for yr, doy, n in hist if yr < Y or (yr == Y and doy < D))
-        ata = s / weeks if weeks > 0 else 0.0
-        # past year
-        den = min(52, math.ceil(D / 7)) if Y == BASE else (math.ceil((365 - D) / 7) if fut else 52)
-        s = sum(n for yr, doy, n in hist if (yr == Y - 1 and doy >= D) or (yr == Y and doy < D))
-        apy = s / den if den > 0 else 0.0
-        # past month
-        rem, cnt = None, 4
-        if D < 31 and not fut:
-            rem = 365 - abs(29 - D)
-        if fut:
-            rem = 365 - abs(future_k - D)
-            cnt = max(1, math.floor(abs(future_k - D) / 7))
-        s = 0
-        for yr, doy, n in hist:
-            if rem and yr == Y - 1:
-                s += n if doy >= rem else 0
-            elif yr == Y:
-                s += n if D - 30 <= doy < D else 0
-        apm = s / cnt
-        # same months last year
-        ey = 365 - abs(29 - D) if D < 31 else None
-        ly = 30 - max(0, 365 - D) if D > 335 else None
-        s = 0
-        for yr, doy, n in hist:
-            if ey and yr == Y - 2:
-                s += n if doy >= ey else 0
-            elif ly and yr == Y:
-                s += n if doy <= ly else 0
-            elif yr == Y - 1:
-                s += n if D - 30 <= doy < D + 30 else 0
-        out[(d, l, day, h)] = (s / 8.0, apm, apy, ata)
+        near = {(h - 1) % 24, h, (h + 1) % 24}
+        history = [(day2.year, day2.timetuple().tm_yday, n) for d2, l2, day2, h2, n in base_rows
+                   if d2 == d and l2 == l and dow(day2) == w and h2 in near
+                   and (d, l, w, h, day2.year) in active]
+        stats = []
+        for cond, den in zip(_conditions(Y, D, future_k), _denominators(Y, D, future_k)):
+            total = sum(n for yr, doy, n in history if cond(yr, doy))
+            stats.append(total / den if den > 0 else 0.0)
+        out[(d, l, day, h)] = tuple(stats)
     return out
 
 
