@@ -83,7 +83,7 @@ _STEP = {"day": "1 DAY", "hour": "1 HOUR", "minute": "10 MINUTES"}
 
 
 def additive_forecast(series: DataFrame, key: str, ts: str, value: str, orders: Mapping[str, int],
-                      holdout=60, grain: str = "day", n_changepoints: int = 10,
+                      holdout=60, grain: str = "day", n_changepoints: int = 25,
                       ridge: float = 1.0, step: str | None = None) -> DataFrame:
     """Fit on all but the last ``holdout`` steps of each key, predict all.
 
