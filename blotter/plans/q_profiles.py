@@ -131,3 +131,52 @@ def pivot_place_type(spark, sf):
 def profile_minmax_col(spark, sf):
     """Place x type counts scaled per type (column)."""
     return P.profile(S.places_from_part(spark, sf), "place", "ptype", scale_by="col")
+
+
+@register("pivot_label_month", sql=finish(with_views(
+    _pivot_sql("label", "label", "month(ts)", range(1, 13), "incidents_o"), "incidents_o")))
+def pivot_label_month(spark, sf):
+    """Type x month count matrix."""
+    inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("month",))
+    return _cells_as_double(P.pivot_counts(inc, "label", "month", range(1, 13)), ["label"])
+
+
+@register("pivot_year_dow", sql=finish(with_views(
+    _pivot_sql("year(ts)", "year", "dayofweek(ts) + 1", range(1, 8), "incidents_o"), "incidents_o"),
+    ints=("year",)))
+def pivot_year_dow(spark, sf):
+    """Year x day-of-week count matrix."""
+    inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "dayofweek"))
+    return _cells_as_double(P.pivot_counts(inc, "year", "dayofweek", range(1, 8)), ["year"])
+
+
+@register("pivot_hour_district", sql=finish(with_views(
+    _pivot_sql("hour(ts)", "hour", "district", S.EVENT_DISTRICTS, "incidents_e", quote=True), "incidents_e"),
+    ints=("hour",)))
+def pivot_hour_district(spark, sf):
+    """Hour x district count matrix."""
+    inc = with_date_parts(S.incidents_from_events(spark, sf), parts=("hour",), day_col=None)
+    return _cells_as_double(P.pivot_counts(inc, "hour", "district", S.EVENT_DISTRICTS), ["hour"])
+
+
+@register("pivot_year_dayofmonth", sql=finish(with_views(
+    _pivot_sql("year(ts)", "year", "dayofmonth(ts)", range(1, 32), "incidents_o"), "incidents_o"),
+    ints=("year",)))
+def pivot_year_dayofmonth(spark, sf):
+    """Year x day-of-month count matrix."""
+    inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "dayofmonth"))
+    return _cells_as_double(P.pivot_counts(inc, "year", "dayofmonth", range(1, 32)), ["year"])
+
+
+_YM_COLS = ", ".join(
+    f"CAST(nullif(count(*) FILTER (WHERE district = '{d}'), 0) AS DOUBLE) AS \"{d}\"" for d in S.ORDER_DISTRICTS)
+
+
+@register("pivot_yearmonth_district", sql=finish(with_views(
+    f"SELECT year(ts) AS year, month(ts) AS month, {_YM_COLS} FROM incidents_o GROUP BY 1, 2", "incidents_o"),
+    ints=("year", "month")))
+def pivot_yearmonth_district(spark, sf):
+    """(year, month) x district count matrix (two-column row key)."""
+    inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "month"))
+    return _cells_as_double(P.pivot_counts(inc, ["year", "month"], "district", S.ORDER_DISTRICTS),
+                            ["year", "month"])
