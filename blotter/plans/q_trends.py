@@ -72,3 +72,17 @@ def scaled_trend(spark, sf):
 def daily_mean_reading(spark, sf):
     """P9 + A3: daily mean reading per segment without sentinel rows."""
     return TR.daily_mean(S.readings_from_lineitem(spark, sf))
+
+
+MA_YEAR = 365
+
+
+@register("moving_average_365", sql=finish(with_views(f"""
+SELECT day, n, ma FROM (SELECT day, n,
+    avg(n) OVER (ORDER BY day ROWS BETWEEN {MA_YEAR} PRECEDING AND CURRENT ROW) AS ma,
+    row_number() OVER (ORDER BY day) AS rn FROM d) m WHERE rn > {MA_YEAR}""", "incidents_o",
+    ctes="d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM incidents_o GROUP BY 1)"),
+    dates=("day",), doubles=("ma",)))
+def moving_average_365(spark, sf):
+    """W1 + W2: 365-MA (366 rows) of the daily count, first 365 days dropped."""
+    return TR.global_moving_average(S.incidents_from_orders(spark, sf), MA_YEAR)
