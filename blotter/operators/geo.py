@@ -40,21 +40,23 @@ def kernel_offsets(radius: int, sigma: float) -> list[tuple[int, int, float]]:
 
 def grid_density(df: DataFrame, lon: str = "lon", lat: str = "lat", cell: float = 0.01,
                  lon0: float = -88.0, lat0: float = 41.5, radius: int = 2,
-                 sigma: float = 1.0) -> DataFrame:
+                 sigma: float = 1.0, by: str | None = None) -> DataFrame:
     """Smoothed point density per bin ``(ix, iy)``: ``sum(w * n)``.
 
     Weights are computed by Spark (``exp``) from the offsets, so the kernel is
-    one expression; the fan-out is ``(2 * radius + 1)^2`` rows per bin.
+    one expression; the fan-out is ``(2 * radius + 1)^2`` rows per bin. With
+    ``by`` one density per value (e.g. per incident type).
     """
+    keys = [by] if by else []
     bins = (df.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-            .groupBy(F.floor((F.col(lon) - F.lit(lon0)) / F.lit(cell)).alias("bx"),
-                     F.floor((F.col(lat) - F.lit(lat0)) / F.lit(cell)).alias("by"))
+            .groupBy(*keys, F.floor((F.col(lon) - F.lit(lon0)) / F.lit(cell)).alias("bin_x"),
+                     F.floor((F.col(lat) - F.lit(lat0)) / F.lit(cell)).alias("bin_y"))
             .agg(F.count(F.lit(1)).alias("n")))
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
                      for dx, dy, _ in kernel_offsets(radius, sigma)])
-    spread = bins.select("n", "bx", "by", F.explode(offs).alias("o"))
+    spread = bins.select(*keys, "n", "bin_x", "bin_y", F.explode(offs).alias("o"))
     w = F.exp(-(F.col("o.dx") * F.col("o.dx") + F.col("o.dy") * F.col("o.dy")).cast("double")
               / F.lit(2.0 * sigma * sigma))
-    return (spread.groupBy((F.col("bx") + F.col("o.dx")).alias("ix"),
-                           (F.col("by") + F.col("o.dy")).alias("iy"))
+    return (spread.groupBy(*keys, (F.col("bin_x") + F.col("o.dx")).alias("ix"),
+                           (F.col("bin_y") + F.col("o.dy")).alias("iy"))
             .agg(F.sum(w * F.col("n")).alias("density")))

@@ -61,3 +61,16 @@ def outliers_rows(spark, sf):
 def outliers_distinct(spark, sf):
     """|score| >= 3 over the distinct values of the measure."""
     return OU.robust_outliers(S.incidents_from_events(spark, sf), "measure", distinct=True)
+
+
+@register("grid_density_by_type", sql=finish(with_views("""
+SELECT ctype, bin_x + dx AS ix, bin_y + dy AS iy,
+       sum(exp(-CAST(dx * dx + dy * dy AS DOUBLE) / 2.0) * n) AS density
+FROM b, range(-2, 3) t(dx), range(-2, 3) u(dy) GROUP BY ALL""", "cells", ctes="""
+b AS (SELECT ctype, floor((lon - (-88.0)) / 0.01) AS bin_x, floor((lat - 41.5) / 0.01) AS bin_y,
+             count(*) AS n
+      FROM cells WHERE lon IS NOT NULL AND lat IS NOT NULL GROUP BY ALL)"""),
+    ints=("ix", "iy"), doubles=("density",)))
+def grid_density_by_type(spark, sf):
+    """One kernel density surface per type."""
+    return GE.grid_density(S.cells_from_customer(spark, sf), by="ctype", **DENSITY)

@@ -180,3 +180,17 @@ def pivot_yearmonth_district(spark, sf):
     inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "month"))
     return _cells_as_double(P.pivot_counts(inc, ["year", "month"], "district", S.ORDER_DISTRICTS),
                             ["year", "month"])
+
+
+@register("label_share_types", sql=finish(with_views("""
+SELECT * FROM (
+  SELECT label, n, row_number() OVER (ORDER BY n DESC, label ASC NULLS LAST) AS rank,
+         CAST(n AS DOUBLE) * 100.0 / CAST(sum(n) OVER () AS DOUBLE) AS share_pct,
+         CAST(sum(n) OVER (ORDER BY n DESC, label ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+              AS DOUBLE) * 100.0 / CAST(sum(n) OVER () AS DOUBLE) AS cum_share_pct
+  FROM (SELECT label, count(*) AS n FROM incidents_o GROUP BY label) c) r
+WHERE rank <= 12""", "incidents_o"), ints=("rank",), doubles=("share_pct", "cum_share_pct")))
+def label_share_types(spark, sf):
+    """Share of all incidents per type and cumulative share of the top 12."""
+    return P.label_shares(S.incidents_from_orders(spark, sf), "label", top=12).select(
+        "label", "n", "rank", "share_pct", "cum_share_pct")
