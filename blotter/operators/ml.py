@@ -280,13 +280,20 @@ SWEEP_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, second
                 "error string, is_best boolean")
 
 
-def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict]) -> DataFrame:
+def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelism: int = 4) -> DataFrame:
     """One Spark job set per configuration, results as a DataFrame.
 
     Inputs are cached once (the assembled frames are reused by every run).
+    Independent configurations are fitted concurrently from ``parallelism``
+    driver threads (like ``CrossValidator(parallelism=...)``), so small fits
+    share the cluster instead of queueing; ``seconds`` is each run's wall
+    time under that concurrency.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     train, test = train.cache(), test.cache()
-    rows = [run_config(train, test, **c) for c in configs]
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(lambda c: run_config(train, test, **c), configs))
     # The configuration with the least test error (one row per config)
     ok = [i for i, r in enumerate(rows) if r["error"] is None]
     best = min(ok, key=lambda i: (1.0 - rows[i]["test_acc"], rows[i]["pipeline"])) if ok else None
