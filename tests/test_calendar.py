@@ -1,6 +1,5 @@
 import datetime as dt
 
-from pyspark.sql import functions as F
 
 from blotter.functions.calendar import holiday_calendar, with_holiday_flags
 

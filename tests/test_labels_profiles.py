@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from blotter.operators import labels as L
 from blotter.operators import profiles as P

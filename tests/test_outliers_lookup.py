@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from blotter.operators import lookup as LK
 from blotter.operators import outliers as OU
