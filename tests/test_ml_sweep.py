@@ -40,3 +40,11 @@ def test_date_part_transformer_persists(spark):
     pipe.write().overwrite().save(path)
     r = PipelineModel.load(path).transform(df).first()
     assert (r["h"], r["q"]) == (13, 1)
+
+
+def test_one_class_input(spark):
+    df = spark.createDataFrame([(f"00{i % 3}", "only", i % 24, float(i % 7)) for i in range(60)],
+                               "district string, label string, hour int, dayofweek double")
+    for kind in ("tree", "lr"):
+        summ = M.accuracy_summary(M.fit_pipeline(df, ["hour", "dayofweek"], kind).transform(df)).first()
+        assert summ["accuracy"] == 1.0 and summ["n"] == 60
