@@ -96,7 +96,7 @@ def additive_forecast(series: DataFrame, key: str, ts: str, value: str, orders:
                       step or _STEP[grain])
     span = (s.where("is_train").groupBy("key")
             .agg(_days(F.min("ts")).alias("t0"), _days(F.max("ts")).alias("t1")))
-    s = s.join(span, "key")
+    s = s.join(span, "key", "left")   # keys without training rows are kept
     t = _days(F.col("ts"))
     tt = (t - F.col("t0")) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9))
     cps = [0.8 * (i + 1) / (n_changepoints + 1) for i in range(n_changepoints)]
@@ -124,8 +124,9 @@ def additive_forecast(series: DataFrame, key: str, ts: str, value: str, orders:
               .groupBy("key", "chunk").applyInPandas(partial, "key string, g array<double>"))
     coef = blocks.groupBy("key").applyInPandas(solve, "key string, beta array<double>")
     yhat = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    return (s.join(coef, "key").select(F.col("key").alias(key), F.col("ts").alias(ts), "y",
-                                       yhat.alias("yhat"), "is_train"))
+    # left join: a key without training rows keeps its rows, with a null forecast
+    return (s.join(coef, "key", "left").select(F.col("key").alias(key), F.col("ts").alias(ts), "y",
+                                               yhat.alias("yhat"), "is_train"))
 
 
 def seasonal_naive(series: DataFrame, key: str, ts: str, value: str, lag: str = "7 DAYS") -> DataFrame:

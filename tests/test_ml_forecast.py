@@ -66,3 +66,15 @@ def test_gap_fill_keys_with_different_ranges(spark):
     out = G.hourly_gapfill(df).groupBy("district").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     got = {r["district"]: (r["c"], r["s"]) for r in out.collect()}
     assert got == {"a": (4, 2), "b": (1, 1)}   # gap across midnight filled with zeros
+
+
+def test_forecast_constant_and_single_row_series(spark):
+    start = dt.date(2020, 1, 1)
+    rows = [("const", start + dt.timedelta(days=t), 5.0) for t in range(200)] + [("one", start, 3.0)]
+    s = spark.createDataFrame(rows, "key string, day date, y double")
+    fc = FC.additive_forecast(s, "key", "day", "y", {"weekly": 3}, holdout=20, grain="day")
+    got = {r["key"]: r for r in fc.groupBy("key").agg(
+        F.count("*").alias("n"), F.max(F.abs(F.col("yhat") - F.col("y"))).alias("err"),
+        F.count("yhat").alias("with_forecast")).collect()}
+    assert got["const"]["n"] == 200 and got["const"]["err"] < 1e-6
+    assert got["one"]["n"] == 1 and got["one"]["with_forecast"] == 0      # kept, no model
