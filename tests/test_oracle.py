@@ -7,10 +7,11 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from blotter import plans
 from blotter.sources.tables import TABLES
 
 SF = "/root/testdata/sf0.001"
-ORACLES = entry.oracle_sql()
+ORACLES = plans.oracle_sql()
 
 
 def _canon(v):
@@ -39,7 +40,7 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, con, name):
-    got = entry.queries()[name](spark, SF).toPandas()
+    got = plans.queries()[name](spark, SF).toPandas()
     want = con.sql(ORACLES[name]).df()
     assert _rows(got) == _rows(want)
 
