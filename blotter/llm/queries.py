@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, secrets, simhash, toxicity
+from blotter.llm import decontam, packing, secrets, simhash, toxicity
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,9 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of all documents."""
     return secrets.secret_scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op2_packing")
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 2048 tokens from the pieces of all documents."""
+    return packing.pack(read_table(spark, sf_dir, "documents"))
