@@ -187,7 +187,7 @@ def _mean_ratio(text: Column, sent) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_labelled: int = 50_000, max_nodes: int = 300_000, min_count: int = 1, discount: float = 0.75, mix: float = 0.02) -> Model:
+        max_labelled: int = 50_000, max_nodes: int = 100_000, min_count: int = 1, discount: float = 0.75, mix: float = 0.02) -> Model:
     """Learn a model from ``labels`` (all its rows may be learned from).
 
     Of the labelled rows at most ``max_labelled`` are taken, by a hash of the
@@ -212,10 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     often = F.greatest("toxic", "ordinary")
     # a parent is at least as frequent as its children; ties go by level, so it is kept with them
     kept = (tree.where(F.col("toxic") + F.col("ordinary") >= min_count * min(1.0, scale))
-            .orderBy(often.desc(), "level", "unit").limit(max_nodes).toPandas())
+            .orderBy(often.desc(), "level", "unit").limit(max_nodes).toArrow().to_pandas())
     model = _ratios(kept, (totals[0], totals[1] * scale, totals[2]), discount, mix)
     tune = base.join(F.broadcast(rows.where("tune")), "id").select(
-        "label", _mean_ratio(F.col("text"), spark.sparkContext.broadcast(model)).alias("x")).toPandas()
+        "label", _mean_ratio(F.col("text"), spark.sparkContext.broadcast(model)).alias("x")).toArrow().to_pandas()
     model.slope, model.bias = _logistic(tune["x"].to_numpy(float), tune["label"].to_numpy(float))
     return model
 
