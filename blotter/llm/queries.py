@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, packing, secrets, simhash, toxicity
+from blotter.llm import decontam, packing, quality_rules, secrets, simhash, toxicity
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,9 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens from the pieces of all documents."""
     return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_rules", quality_rules.SQL)
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and adaptive verdicts of all documents."""
+    return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
