@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, packing, quality_rules, secrets, simhash, toxicity
+from blotter.llm import decontam, packing, quality_clf, quality_rules, secrets, simhash, toxicity
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,9 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and adaptive verdicts of all documents."""
     return quality_rules.quality_rules(read_table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from labels outside a fold of three."""
+    return quality_clf.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
