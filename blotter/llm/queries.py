@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, packing, quality_clf, quality_rules, secrets, simhash, toxicity
+from blotter.llm import decontam, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,3 +66,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from labels outside a fold of three."""
     return quality_clf.quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query("op1_url_filter", url_filter.sql())
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on the URLs of all pages."""
+    return url_filter.url_filter(read_table(spark, sf_dir, "pages"))
