@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter
+from blotter.llm import decontam, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,9 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on the URLs of all pages."""
     return url_filter.url_filter(read_table(spark, sf_dir, "pages"))
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back by the index."""
+    return warc.round_trip(read_table(spark, sf_dir, "pages"))
