@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc
+from blotter.llm import decontam, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,9 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back by the index."""
     return warc.round_trip(read_table(spark, sf_dir, "pages"))
+
+
+@query("op6_license_scan", licenses.sql())
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in the lines and whole texts of all documents."""
+    return licenses.license_scan(read_table(spark, sf_dir, "documents"))
