@@ -3,8 +3,9 @@
 For a probe ``(district, label, day, hour)`` four averages are computed over
 the history ``H`` of its cell ``c = (district, label, dow, hour)``: all
 count rows of the same district, label and weekday whose hour is within
-+-1 of ``hour`` (mod 24, the weekday does not change), restricted to the
-years in which ``c`` itself (that exact hour) has at least one row.
++-1 of ``hour`` (mod 24, the weekday does not change). Rows of an earlier
+year count only if ``c`` itself (that exact hour) has at least one row in
+that year; rows of the probe's own year always count.
 
 With ``Y, D`` the probe's year and day of year and ``S(...)`` the sum of
 counts of ``H`` satisfying the condition:
@@ -31,8 +32,11 @@ a ``CASE`` on D picks among a few frames; no per-row Python, no matrices.
 
 Probes are all labels x every observed ``(district, day, hour)``: the
 statistic of a label does not depend on whether that label occurred in
-the probe's own hour (no target leakage). A probe's own year counts only
-if its cell is active in that year; earlier active years always count.
+the probe's own hour, nor on any later row: the activity rule looks at
+earlier years only, which are complete, and of the own year only the days
+before the probe are read. For a cell that occurs in its own year this equals
+the rule "active years only"; for one that doesn't, that rule would tell from
+the zeros whether the label occurs at the probe or later.
 
 Plan: the table is read once; base counts are aggregated (partial
 aggregation map-side) and shuffled once more by
@@ -108,10 +112,10 @@ def _calendar(df: DataFrame) -> DataFrame:
                            "dow": F.dayofweek("day")})
 
 
-def _frame_sum(lo: int | None, hi: int) -> Column:
+def _frame_sum(col: str, lo: int | None, hi: int) -> Column:
     w = Window.partitionBy(*CELL).orderBy("ord")
     w = w.rangeBetween(Window.unboundedPreceding if lo is None else -lo, -hi)
-    return F.coalesce(F.sum("n").over(w), F.lit(0)).cast("double")
+    return F.coalesce(F.sum(col).over(w), F.lit(0)).cast("double")
 
 
 def _ratio(num: Column, den: Column) -> Column:
@@ -176,27 +180,29 @@ def history_statistics(base: DataFrame, probes: DataFrame | None = None,
                 .agg(F.sum("n").alias("n"), F.max("own").alias("own"), F.max("probe").alias("probe"),
                      F.sum(F.col("n") * F.col("own")).alias("n_self"))
                 .withColumn("ord", F.col("yr").cast("long") * 1000 + F.col("doy")))
-    # only years in which the exact cell occurs ("active") count. All rows
-    # of a day share its year, so the flag applies after the day aggregate.
-    # Years are 1000 apart in ord and doy <= 366, so +-365 around a row is
-    # exactly its year: same partition and order as the statistics windows,
-    # hence one sort for all of them.
+    # earlier years count only if the exact cell occurs in them ("active").
+    # All rows of a day share its year, so the flag applies after the day
+    # aggregate. Years are 1000 apart in ord and doy <= 366, so +-365 around a
+    # row is exactly its year: same partition and order as the statistics
+    # windows, hence one sort for all of them.
     same_year = Window.partitionBy(*CELL).orderBy("ord").rangeBetween(-365, 365)
     day_rows = day_rows.withColumn(
-        "n", F.when(F.max("own").over(same_year) == 1, F.col("n")).otherwise(F.lit(0)))
+        "past", F.when(F.max("own").over(same_year) == 1, F.col("n")).otherwise(F.lit(0)))
 
     D, Y = F.col("doy"), F.col("yr")
     future = extra_days is not None
+    # Up to 365 before a probe lies its own year only, from 366 on only earlier
+    # ones: own-year sums take every row, earlier ones those of active years.
     sums = {
-        "s_all": _frame_sum(None, 1),
-        "s_py": _frame_sum(1000, 1),
-        "s_m664": _frame_sum(664, 1), "s_m666": _frame_sum(666, 1), "s_m30": _frame_sum(30, 1),
-        "s_l1664": _frame_sum(1664, 971), "s_l1666": _frame_sum(1666, 971),
-        "s_l1030": _frame_sum(1030, 971),
-        "s_t335": _frame_sum(365, 335), "s_t336": _frame_sum(365, 336),
+        "own_year": _frame_sum("n", 365, 1), "own_m30": _frame_sum("n", 30, 1),
+        "own_t335": _frame_sum("n", 365, 335), "own_t336": _frame_sum("n", 365, 336),
+        "past_all": _frame_sum("past", None, 366), "past_py": _frame_sum("past", 1000, 366),
+        "past_m664": _frame_sum("past", 664, 366), "past_m666": _frame_sum("past", 666, 366),
+        "past_l1664": _frame_sum("past", 1664, 971), "past_l1666": _frame_sum("past", 1666, 971),
+        "past_l1030": _frame_sum("past", 1030, 971),
     }
     if future:
-        sums["s_mf"] = _frame_sum(635 + extra_days, 1)
+        sums["past_mf"] = _frame_sum("past", 635 + extra_days, 366)
     stats = day_rows.withColumns(sums).where(F.col("probe") == 1)
 
     ceil_w = F.least(F.lit(52), F.ceil(D / F.lit(7.0)))
@@ -207,19 +213,20 @@ def history_statistics(base: DataFrame, probes: DataFrame | None = None,
     d4 = d4.otherwise(52)
     if future:
         k = F.lit(extra_days)
-        apm = F.col("s_mf") / F.greatest(F.lit(1), F.floor(F.abs(k - D) / F.lit(7.0))).cast("double")
+        apm = (F.col("past_mf") + F.col("own_year")) / F.greatest(F.lit(1), F.floor(F.abs(k - D) / F.lit(7.0))).cast("double")
     else:
-        apm = F.when(D <= 29, F.col("s_m664")).when(D == 30, F.col("s_m666")) \
-               .otherwise(F.col("s_m30")) / F.lit(4.0)
-    part_a = F.when(D <= 29, F.col("s_l1664")).when(D == 30, F.col("s_l1666")).otherwise(F.col("s_l1030"))
-    part_b = F.when(D == 366, F.col("s_t336")).when(D > 335, F.col("s_t335")).otherwise(F.lit(0.0))
+        apm = F.when(D <= 29, F.col("past_m664") + F.col("own_year")) \
+               .when(D == 30, F.col("past_m666") + F.col("own_year")) \
+               .otherwise(F.col("own_m30")) / F.lit(4.0)
+    part_a = F.when(D <= 29, F.col("past_l1664")).when(D == 30, F.col("past_l1666")).otherwise(F.col("past_l1030"))
+    part_b = F.when(D == 366, F.col("own_t336")).when(D > 335, F.col("own_t335")).otherwise(F.lit(0.0))
     return stats.select(
         "district", "label", *(["dow"] if keep_dow else []), "day", F.col("thour").alias("hour"),
         *([F.col("n_self").alias("n")] if keep_count else []),
         ((part_a + part_b) / F.lit(8.0)).alias("alym"),
         apm.alias("apm"),
-        _ratio(F.col("s_py"), d4).alias("apy"),
-        _ratio(F.col("s_all"), weeks3).alias("ata"),
+        _ratio(F.col("past_py") + F.col("own_year"), d4).alias("apy"),
+        _ratio(F.col("past_all") + F.col("own_year"), weeks3).alias("ata"),
     )
 
 

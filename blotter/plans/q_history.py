@@ -16,9 +16,9 @@ EXTRA_DAYS = H.DEFAULT_EXTRA_DAYS
 FUTURE_DAYS = 30
 
 
-def _frame(lo, hi):
+def _frame(col, lo, hi):
     low = "UNBOUNDED PRECEDING" if lo is None else f"{lo} PRECEDING"
-    return (f"CAST(coalesce(sum(n) OVER (PARTITION BY district, label, dow, thour ORDER BY ord "
+    return (f"CAST(coalesce(sum({col}) OVER (PARTITION BY district, label, dow, thour ORDER BY ord "
             f"RANGE BETWEEN {low} AND {hi} PRECEDING), 0) AS DOUBLE)")
 
 
@@ -42,15 +42,18 @@ def hist_sql(future: bool, tail: str = "SELECT * FROM st", more_ctes: str = "")
     d4 = (f"CASE WHEN yr = {B} THEN {ceil_w} "
           + ("WHEN TRUE THEN ceil((365 - doy) / 7.0) " if future else "") + "ELSE 52 END")
     if future:
-        apm = f"s_mf / greatest(1, floor(abs({EXTRA_DAYS} - doy) / 7.0))"
+        apm = f"(past_mf + own_year) / greatest(1, floor(abs({EXTRA_DAYS} - doy) / 7.0))"
     else:
-        apm = "(CASE WHEN doy <= 29 THEN s_m664 WHEN doy = 30 THEN s_m666 ELSE s_m30 END) / 4.0"
-    frames = {"s_all": (None, 1), "s_py": (1000, 1), "s_m664": (664, 1), "s_m666": (666, 1),
-              "s_m30": (30, 1), "s_l1664": (1664, 971), "s_l1666": (1666, 971),
-              "s_l1030": (1030, 971), "s_t335": (365, 335), "s_t336": (365, 336)}
+        apm = ("(CASE WHEN doy <= 29 THEN past_m664 + own_year WHEN doy = 30 THEN past_m666 + own_year "
+               "ELSE own_m30 END) / 4.0")
+    # own year: every row before the probe's day; earlier years: active ones only
+    frames = {"own_year": ("n", 365, 1), "own_m30": ("n", 30, 1), "own_t335": ("n", 365, 335), "own_t336": ("n", 365, 336),
+              "past_all": ("past", None, 366), "past_py": ("past", 1000, 366), "past_m664": ("past", 664, 366),
+              "past_m666": ("past", 666, 366), "past_l1664": ("past", 1664, 971), "past_l1666": ("past", 1666, 971),
+              "past_l1030": ("past", 1030, 971)}
     if future:
-        frames["s_mf"] = (635 + EXTRA_DAYS, 1)
-    sums = ",\n    ".join(f"{_frame(lo, hi)} AS {k}" for k, (lo, hi) in frames.items())
+        frames["past_mf"] = ("past", 635 + EXTRA_DAYS, 366)
+    sums = ",\n    ".join(f"{_frame(*f)} AS {k}" for k, f in frames.items())
     ctes = f"""
 b AS (SELECT district, label, CAST(ts AS DATE) AS day, hour(ts) AS hour, count(*) AS n
       FROM incidents_o GROUP BY ALL),
@@ -60,23 +63,24 @@ bc AS (SELECT *, year(day) AS yr, dayofyear(day) AS doy, dayofweek(day) + 1 AS d
 act AS (SELECT DISTINCT district, label, dow, hour AS thour, yr FROM bc),
 hx AS (SELECT district, label, dow, yr, doy, day, n,
               unnest([(hour + 23) % 24, hour, (hour + 1) % 24]) AS thour FROM bc),
-hist AS (SELECT district, label, dow, thour, yr, doy, day, n FROM hx h
-         WHERE EXISTS (SELECT 1 FROM act a WHERE a.district = h.district AND a.label = h.label
-                       AND a.dow = h.dow AND a.thour = h.thour AND a.yr = h.yr)),
+hist AS (SELECT h.district, h.label, h.dow, h.thour, h.yr, h.doy, h.day, h.n,
+                CASE WHEN a.yr IS NOT NULL THEN h.n ELSE 0 END AS past
+         FROM hx h LEFT JOIN act a ON a.district = h.district AND a.label = h.label
+              AND a.dow = h.dow AND a.thour = h.thour AND a.yr = h.yr),
 pr AS (SELECT district, label, dayofweek(day) + 1 AS dow, hour AS thour, year(day) AS yr,
-              dayofyear(day) AS doy, day, 0 AS n FROM probes),
-u AS (SELECT district, label, dow, thour, yr, doy, day, sum(n) AS n, max(p) AS probe
+              dayofyear(day) AS doy, day, 0 AS n, 0 AS past FROM probes),
+u AS (SELECT district, label, dow, thour, yr, doy, day, sum(n) AS n, sum(past) AS past, max(p) AS probe
       FROM (SELECT *, 0 AS p FROM hist UNION ALL SELECT *, 1 AS p FROM pr) z GROUP BY ALL),
 w AS (SELECT *, CAST(yr AS BIGINT) * 1000 + doy AS ord FROM u),
 s AS (SELECT *,
     {sums}
   FROM w),
 st AS (SELECT district, label, day, thour AS hour,
-    ((CASE WHEN doy <= 29 THEN s_l1664 WHEN doy = 30 THEN s_l1666 ELSE s_l1030 END)
-     + (CASE WHEN doy = 366 THEN s_t336 WHEN doy > 335 THEN s_t335 ELSE 0.0 END)) / 8.0 AS alym,
+    ((CASE WHEN doy <= 29 THEN past_l1664 WHEN doy = 30 THEN past_l1666 ELSE past_l1030 END)
+     + (CASE WHEN doy = 366 THEN own_t336 WHEN doy > 335 THEN own_t335 ELSE 0.0 END)) / 8.0 AS alym,
     {apm} AS apm,
-    CASE WHEN ({d4}) > 0 THEN s_py / ({d4}) ELSE 0.0 END AS apy,
-    CASE WHEN {weeks3} > 0 THEN s_all / {weeks3} ELSE 0.0 END AS ata
+    CASE WHEN ({d4}) > 0 THEN (past_py + own_year) / ({d4}) ELSE 0.0 END AS apy,
+    CASE WHEN {weeks3} > 0 THEN (past_all + own_year) / {weeks3} ELSE 0.0 END AS ata
   FROM s WHERE probe = 1)"""
     if more_ctes:
         ctes += ",\n" + more_ctes

@@ -80,7 +80,7 @@ def _brute(base_rows, probes, future_k=None):
         near = {(h - 1) % 24, h, (h + 1) % 24}
         history = [(day2.year, day2.timetuple().tm_yday, n) for d2, l2, day2, h2, n in base_rows
                    if d2 == d and l2 == l and dow(day2) == w and h2 in near
-                   and (d, l, w, h, day2.year) in active]
+                   and (day2.year == Y or (d, l, w, h, day2.year) in active)]
         stats = []
         for cond, den in zip(_conditions(Y, D, future_k), _denominators(Y, D, future_k)):
             total = sum(n for yr, doy, n in history if cond(yr, doy))
@@ -137,3 +137,35 @@ def test_vector_order_and_size(spark, incidents):
     # statistic-major: alym (A, B, C), apm (A, B, C), apy ..., ata ...
     assert arr[1] == pytest.approx(one["alym"]) and arr[4] == pytest.approx(one["apm"])
     assert arr[7] == pytest.approx(one["apy"]) and arr[10] == pytest.approx(one["ata"])
+
+
+def _by_probe(spark, rows, labels):
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, district string, label string")
+    return {(r["district"], r["label"], r["day"], r["hour"]): tuple(r[s] for s in H.STATS)
+            for r in H.history_features(df, labels, BASE).collect()}
+
+
+def test_the_probes_own_label_changes_nothing(spark):
+    rows = _fixture_rows()
+    labels = ["A", "B", "C"]
+    probe = rows[-40]
+    before = _by_probe(spark, rows, labels)
+    for other in labels:
+        changed = [(*r[:3], other) if r[0] == probe[0] else r for r in rows]
+        after = _by_probe(spark, changed, labels)
+        for lab in labels:
+            key = (probe[2], lab, probe[1].date(), probe[1].hour)
+            assert after[key] == before[key]
+
+
+def test_later_rows_change_nothing(spark):
+    rows = _fixture_rows()
+    labels = ["A", "B", "C"]
+    cut = dt.datetime(2003, 6, 28)
+    later = [(10_000 + i, dt.datetime(2003, 12, 1 + i, h, 0), d, lab)
+             for i, (h, d, lab) in enumerate((h, d, lab) for h in (0, 11, 12, 23) for d in ("001", "002") for lab in labels)]
+    before = _by_probe(spark, [r for r in rows if r[1] < cut], labels)
+    after = _by_probe(spark, [r for r in rows if r[1] < cut] + later, labels)
+    assert len(before) > 100
+    for key, stats in before.items():
+        assert after[key] == stats
