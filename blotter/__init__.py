@@ -14,7 +14,7 @@ plans       the registered queries and their SQL oracles
 streaming   Structured Streaming form of the hourly count series
 """
 
-from blotter.session import (CLUSTER_CONF, apply_cluster_defaults, checkpoint_dir,
+from blotter.session import (CLUSTER_CONF, apply_cluster_defaults, checkpoint_dir, drop_scratch,
                              get_session, materialize)
 
-__all__ = ["get_session", "checkpoint_dir", "materialize", "apply_cluster_defaults", "CLUSTER_CONF"]
+__all__ = ["get_session", "checkpoint_dir", "materialize", "drop_scratch", "apply_cluster_defaults", "CLUSTER_CONF"]

@@ -129,19 +129,12 @@ def fill_zero(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return df.na.fill(0, subset=list(cols) if cols else None)
 
 
-# Fixed values of the hash sampler: a prime bucket count and two mixing primes.
-SAMPLE_BUCKETS = 10007
-_MIX_MOD, _MIX_MUL = 1000003, 7919
-
-
-def sample_bucket(id_col: str, seed: int = 42) -> Column:
-    """Deterministic bucket in ``[0, SAMPLE_BUCKETS)`` from an integer id.
-
-    Independent of partitioning and task retries (unlike a per-partition
-    random generator), so a re-executed task draws the same sample.
-    """
-    return F.pmod(F.pmod(F.col(id_col), F.lit(_MIX_MOD)) * F.lit(_MIX_MUL) + F.lit(seed),
-                  F.lit(SAMPLE_BUCKETS))
+def hash_unit(cols: Sequence[str], seed: int = 42) -> Column:
+    """A number in [0, 1) from the key columns: the first 32 bits of
+    ``md5('seed:key[:key...]')``. Independent of partitioning and task retries,
+    and the same in any SQL engine with md5."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
 
 
 def stratified_sample(df: DataFrame, label: str, fractions: Mapping[str, float] | float,
@@ -158,4 +151,4 @@ def stratified_sample(df: DataFrame, label: str, fractions: Mapping[str, float]
                         F.lit(0.0))
     else:
         fr = F.lit(float(fractions))
-    return df.where(sample_bucket(id_col, seed) < fr * F.lit(SAMPLE_BUCKETS))
+    return df.where(hash_unit([id_col], seed) < fr)

@@ -10,7 +10,9 @@ published Prophet paper) fitted by ridge regression per key:
    already aggregated series - bounded by the calendar, not by data volume;
 3. the blocks of a key (one row per chunk) are summed and the small
    ``p x p`` system is solved in ``applyInPandas``;
-4. coefficients are joined back and ``yhat = x . beta`` is a JVM expression.
+4. coefficients are joined back by key (for a single series: a scalar
+   subquery) and ``yhat = x . beta`` is a JVM expression, with an interval from
+   the training residuals' variance.
 
 Also the seasonal-naive baseline and the error table (bias, MAE, MSE, RMSE
 of the truncated forecast) used to judge forecasts.
@@ -20,12 +22,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blotter.session import materialize
+
 # Seasonal periods in days.
 PERIODS = {"yearly": 365.25, "weekly": 7.0, "daily": 1.0}
 
@@ -50,26 +55,6 @@ def _chunk(ts: Column, grain: str) -> Column:
     return F.year(ts) if grain == "day" else F.year(ts) * 100 + F.month(ts)
 
 
-def _mark_holdout(series: DataFrame, key: str, ts: str, holdout, step: str) -> DataFrame:
-    """``is_train``: all but the last ``holdout`` steps (or fraction) of each key.
-
-    Time based, from each key's first and last bucket (an aggregate joined
-    back by key), so no task holds a whole series; on gap-filled series this
-    equals "all but the last ``holdout`` rows".
-    """
-    span = series.groupBy(key).agg(F.min(ts).alias("__lo"), F.max(ts).alias("__hi"))
-    step_s = F.expr(f"INTERVAL {step}")
-    if isinstance(holdout, float):
-        n = (F.unix_micros(F.col("__hi").cast("timestamp")) - F.unix_micros(F.col("__lo").cast("timestamp"))) \
-            / F.lit(_step_micros(step)) + F.lit(1)
-        h = F.ceil(n * F.lit(holdout))
-    else:
-        h = F.lit(holdout)
-    cutoff = F.col("__hi") - step_s * h
-    return (series.join(span, key).withColumn("is_train", F.col(ts) <= cutoff)
-            .drop("__lo", "__hi"))
-
-
 _UNITS = {"DAY": 86400e6, "DAYS": 86400e6, "HOUR": 3600e6, "HOURS": 3600e6,
           "MINUTE": 60e6, "MINUTES": 60e6}
 
@@ -82,58 +67,129 @@ def _step_micros(step: str) -> float:
 _STEP = {"day": "1 DAY", "hour": "1 HOUR", "minute": "10 MINUTES"}
 
 
-def additive_forecast(series: DataFrame, key: str, ts: str, value: str, orders: Mapping[str, int],
-                      holdout=60, grain: str = "day", n_changepoints: int = 25,
-                      ridge: float = 1.0, step: str | None = None) -> DataFrame:
-    """Fit on all but the last ``holdout`` steps of each key, predict all.
+def _same_key(key: str, other: str) -> Column:
+    return F.col(key).eqNullSafe(F.col(other))
 
-    ``holdout`` is a number of steps or a fraction (float); ``step`` defaults
-    to the grain's bucket (1 day, 1 hour, 10 minutes). Returns
-    ``(key, ts, y, yhat, is_train)``; series should be gap-filled first.
+
+def _attach(rows: DataFrame, key: str | None, per_key: DataFrame, name: str) -> DataFrame:
+    """``rows`` with the struct ``name`` of their key's row of ``per_key`` (its
+    columns beside the key; null where it has none). Without a key the one row
+    is a scalar subquery, so no join is needed."""
+    struct = F.struct(*(c for c in per_key.columns if c != key)).alias(name)
+    if key is None:
+        return rows.withColumn(name, per_key.select(struct).scalar())
+    side = per_key.select(F.col(key).alias(f"__{key}"), struct)
+    return rows.join(side, _same_key(key, f"__{key}"), "left").drop(f"__{key}")
+
+
+def training_span(series: DataFrame, key: str | None, ts: str, holdout=None, cutoff=None, step: str = "1 DAY") -> DataFrame:
+    """``(key, lo, hi, cutoff)``: first and last bucket and the end of training.
+
+    Training ends at ``cutoff`` (C1's mode: predict all later rows), or
+    ``holdout`` steps, or that fraction of the steps, before a key's last bucket.
+    Time based: on gap-filled series "all but the last ``holdout`` rows".
     """
-    s = _mark_holdout(series.select(F.col(key).alias("key"), F.col(ts).alias("ts"),
-                                    F.col(value).cast("double").alias("y")), "key", "ts", holdout,
-                      step or _STEP[grain])
-    span = (s.where("is_train").groupBy("key")
-            .agg(_days(F.min("ts")).alias("t0"), _days(F.max("ts")).alias("t1")))
-    s = s.join(span, "key", "left")   # keys without training rows are kept
-    t = _days(F.col("ts"))
-    tt = (t - F.col("t0")) / F.greatest(F.col("t1") - F.col("t0"), F.lit(1e-9))
-    cps = [0.8 * (i + 1) / (n_changepoints + 1) for i in range(n_changepoints)]
-    s = s.withColumn("x", design(t, tt, orders, cps)).withColumn("chunk", _chunk(F.col("ts"), grain))
-    p = 2 + len(cps) + 2 * sum(orders.values())
+    span = series.groupBy(*([key] if key else [])).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    if cutoff is not None:
+        return span.withColumn("cutoff", F.least(F.lit(cutoff).cast(series.schema[ts].dataType), F.col("hi")))
+    h = F.lit(holdout or 0)
+    if isinstance(holdout, float):
+        micros = F.unix_micros(F.col("hi").cast("timestamp")) - F.unix_micros(F.col("lo").cast("timestamp"))
+        h = F.ceil((micros / F.lit(_step_micros(step)) + F.lit(1)) * F.lit(holdout))
+    return span.withColumn("cutoff", (F.col("hi") - F.expr(f"INTERVAL {step}") * h).cast(series.schema[ts].dataType))
+
+
+def _mark_holdout(series: DataFrame, key: str, ts: str, holdout, step: str) -> DataFrame:
+    """``is_train``: all but the last ``holdout`` steps (or fraction) of each key."""
+    marked = _attach(series, key, training_span(series, key, ts, holdout, step=step), "__span")
+    return marked.withColumn("is_train", F.col(ts) <= F.col("__span.cutoff")).drop("__span")
+
+
+def gram_blocks(rows: DataFrame, key: str | None, x: str = "x", y: str = "y", chunk: str = "chunk") -> DataFrame:
+    """``(key, g)``, a row per key and chunk: X'X (by rows), X'y, y'y and n of
+    the rows with a value."""
+    keys = [key] if key else []
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.stack(pdf["x"].to_numpy())
-        y = pdf["y"].to_numpy(dtype=float)
-        g = np.concatenate([(X.T @ X).ravel(), X.T @ y])
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "g": [g]})
+        X = np.stack(pdf[x].to_numpy())
+        v = pdf[y].to_numpy(dtype=float)
+        g = np.concatenate([(X.T @ X).ravel(), X.T @ v, [v @ v, len(v)]])
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "g": [g]})
+
+    known = rows.where(F.col(y).isNotNull() & ~F.isnan(y)).select(*keys, chunk, x, y)
+    return known.groupBy(*keys, chunk).applyInPandas(partial, _schema(rows, keys, "g array<double>"))
+
+
+def _schema(df: DataFrame, keys, more: str) -> str:
+    return ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys), more])
+
+
+def additive_forecast(series: DataFrame, key: str | None, ts: str, value: str, orders: Mapping[str, int],
+                      holdout=None, cutoff=None, horizon: int = 0, grain: str = "day", n_changepoints: int = 25,
+                      ridge: float = 1.0, step: str | None = None, width: float = 0.8) -> DataFrame:
+    """Fit on the training rows of each key, predict all rows and ``horizon`` steps more.
+
+    Training ends ``holdout`` steps (or that fraction) before a key's last
+    bucket, or at ``cutoff``; ``step`` defaults to the grain's bucket (1 day, 1
+    hour, 10 minutes). Returns ``(key, ts, y, yhat, yhat_lower, yhat_upper,
+    is_train)``; the interval has the given ``width`` under normal residuals of
+    the training variance. Series should be gap-filled first.
+
+    ``key`` None is one series. A null key is a key like any other. Rows without
+    a value are predicted and left out of the fit; a key without training values
+    has null forecasts. Rows without a time are in no series.
+
+    The series (aggregated counts) is written once, in the shared folder; span,
+    fit and forecast read that table.
+    """
+    step, keys = step or _STEP[grain], [key] if key else []
+    s = series.where(F.col(ts).isNotNull()).select(*keys, F.col(ts).alias("ts"), F.col(value).cast("double").alias("y"))
+    s = materialize(s, "series")
+    span = training_span(s, key, "ts", holdout, cutoff, step)
+    if horizon:
+        after = F.sequence(F.col("hi") + F.expr(f"INTERVAL {step}"), F.col("hi") + F.expr(f"INTERVAL {step}") * F.lit(horizon),
+                           F.expr(f"INTERVAL {step}"))
+        future = span.where("hi is not null").select(*keys, F.explode(after.cast(f"array<{s.schema['ts'].dataType.simpleString()}>")).alias("ts"), F.lit(None).cast("double").alias("y"))
+        rows = s.unionByName(future)
+    else:
+        rows = s
+    rows = _attach(rows, key, span, "span")
+    t, t0, t1 = _days(F.col("ts")), _days(F.col("span.lo")), _days(F.col("span.cutoff"))
+    tt = (t - t0) / F.greatest(t1 - t0, F.lit(1e-9))
+    cps = [0.8 * (i + 1) / (n_changepoints + 1) for i in range(n_changepoints)]
+    rows = rows.withColumns({"x": design(t, tt, orders, cps), "chunk": _chunk(F.col("ts"), grain),
+                             "is_train": F.col("ts") <= F.col("span.cutoff")})
+    p = 2 + len(cps) + 2 * sum(orders.values())
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         g = np.sum(np.stack(pdf["g"].to_numpy()), axis=0)
-        a, b = g[:p * p].reshape(p, p), g[p * p:]
+        a, b, (yy, n) = g[:p * p].reshape(p, p), g[p * p:-2], g[-2:]
         pen = np.full(p, ridge)
         pen[0] = 0.0
         try:
             beta = np.linalg.solve(a + np.diag(pen), b)
         except np.linalg.LinAlgError:
             beta = np.linalg.lstsq(a + np.diag(pen), b, rcond=None)[0]
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "beta": [beta]})
+        sigma = math.sqrt(max(yy - 2 * beta @ b + beta @ a @ beta, 0.0) / n)
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "beta": [beta], "sigma": [sigma]})
 
-    blocks = (s.where("is_train").select("key", "chunk", "x", "y")
-              .groupBy("key", "chunk").applyInPandas(partial, "key string, g array<double>"))
-    coef = blocks.groupBy("key").applyInPandas(solve, "key string, beta array<double>")
-    yhat = F.aggregate(F.zip_with("x", "beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
-    # left join: a key without training rows keeps its rows, with a null forecast
-    return (s.join(coef, "key", "left").select(F.col("key").alias(key), F.col("ts").alias(ts), "y",
-                                               yhat.alias("yhat"), "is_train"))
+    blocks = gram_blocks(rows.where("is_train"), key)
+    coef = materialize(blocks.groupBy(*keys).applyInPandas(solve, _schema(s, keys, "beta array<double>, sigma double")), "coefficients")
+    rows = _attach(rows, key, coef, "fit")
+    yhat = F.aggregate(F.zip_with("x", "fit.beta", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    half = F.col("fit.sigma") * F.lit(NormalDist().inv_cdf(0.5 + width / 2))
+    return (rows.withColumn("yhat", yhat)
+            .select(*keys, F.col("ts").alias(ts), "y", "yhat", (F.col("yhat") - half).alias("yhat_lower"),
+                    (F.col("yhat") + half).alias("yhat_upper"), "is_train"))
 
 
 def seasonal_naive(series: DataFrame, key: str, ts: str, value: str, lag: str = "7 DAYS") -> DataFrame:
-    """Baseline: ``yhat`` = the value one season earlier (equi-join on the shifted time)."""
-    past = series.select(key, (F.col(ts) + F.expr(f"INTERVAL {lag}")).alias(ts),
+    """Baseline: ``yhat`` = the value one season earlier (equi-join on the shifted
+    time; a null key is a key like any other)."""
+    past = series.select(F.col(key).alias(f"__{key}"), (F.col(ts) + F.expr(f"INTERVAL {lag}")).alias(f"__{ts}"),
                          F.col(value).alias("yhat"))
-    return series.join(past, [key, ts], "left")
+    same = _same_key(key, f"__{key}") & (F.col(ts) == F.col(f"__{ts}"))
+    return series.join(past, same, "left").drop(f"__{key}", f"__{ts}")
 
 
 def forecast_errors(fc: DataFrame, keys=(), y: str = "y", yhat: str = "yhat") -> DataFrame:

@@ -27,12 +27,18 @@ def gap_fill(counts: DataFrame, keys: Sequence[str], bucket: str, step: str,
     """Every bucket from each key's min to max; missing counts are 0.
 
     ``step`` is an interval literal such as ``'1 HOUR'`` or ``'10 MINUTES'``.
-    With no keys the span is global (one series).
+    With no keys the span is global (one series). A null key is a key like any
+    other (null-safe join); rows with a null bucket belong to no grid and go.
     """
-    span = counts.groupBy(*keys).agg(F.min(bucket).alias("__lo"), F.max(bucket).alias("__hi"))
+    span = counts.where(F.col(bucket).isNotNull()).groupBy(*keys).agg(F.min(bucket).alias("__lo"), F.max(bucket).alias("__hi"))
     grid = span.select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr(f"INTERVAL {step}")))
                        .alias(bucket))
-    filled = grid.join(counts, [*keys, bucket], "left")
+    found = counts.select(*(F.col(c).alias(f"__{c}") for c in [*keys, bucket]),
+                          *(c for c in counts.columns if c not in [*keys, bucket]))
+    same = F.col(bucket) == F.col(f"__{bucket}")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    filled = grid.join(found, same, "left").drop(*(f"__{c}" for c in [*keys, bucket]))
     return filled.withColumn(value, F.coalesce(F.col(value), F.lit(0)))
 
 

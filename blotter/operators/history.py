@@ -75,9 +75,13 @@ def base_counts(incidents: DataFrame, ts: str = "ts") -> DataFrame:
             .agg(F.count(F.lit(1)).alias("n")))
 
 
-def observed_probes(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
+def _label_array(labels: Sequence[str] | Column) -> Column:
+    return labels if isinstance(labels, Column) else F.array(*[F.lit(x) for x in labels])
+
+
+def observed_probes(cells: DataFrame, labels: Sequence[str] | Column) -> DataFrame:
     """All labels x each observed ``(district, day, hour)`` (leakage-free probes)."""
-    return cells.select("district", F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"),
+    return cells.select("district", F.explode(_label_array(labels)).alias("label"),
                         "day", "hour")
 
 
@@ -124,7 +128,7 @@ def _ratio(num: Column, den: Column) -> Column:
 
 def history_statistics(base: DataFrame, probes: DataFrame | None = None,
                        base_year: int = DEFAULT_BASE_YEAR, extra_days: int | None = None,
-                       labels: Sequence[str] | None = None, keep_dow: bool = False,
+                       labels: Sequence[str] | Column | None = None, keep_dow: bool = False,
                        keep_count: bool = False) -> DataFrame:
     """The four statistics for every probe.
 
@@ -145,7 +149,7 @@ def history_statistics(base: DataFrame, probes: DataFrame | None = None,
     """
     b = _calendar(base)
     observed = probes is None
-    all_labels = F.array(*[F.lit(x) for x in labels]) if labels is not None else None
+    all_labels = _label_array(labels) if labels is not None else None
     hist = b.select(
         "district", "label", "dow", "yr", "doy", "day", "n",
         F.explode(F.array(F.pmod(F.col("hour") - 1, F.lit(24)), F.col("hour"),
@@ -230,14 +234,14 @@ def history_statistics(base: DataFrame, probes: DataFrame | None = None,
     )
 
 
-def history_features(incidents: DataFrame, labels: Sequence[str],
+def history_features(incidents: DataFrame, labels: Sequence[str] | Column,
                      base_year: int = DEFAULT_BASE_YEAR, keep_dow: bool = False) -> DataFrame:
     """statistics for all labels at every observed (district, day, hour)."""
     return history_statistics(base_counts(incidents), None, base_year, labels=labels,
                               keep_dow=keep_dow)
 
 
-def future_features(incidents: DataFrame, labels: Sequence[str], base_year: int = DEFAULT_BASE_YEAR,
+def future_features(incidents: DataFrame, labels: Sequence[str] | Column, base_year: int = DEFAULT_BASE_YEAR,
                     days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS,
                     keep_dow: bool = False) -> DataFrame:
     """statistics for the hourly grid of the January after the data."""

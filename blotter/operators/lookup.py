@@ -27,23 +27,24 @@ def lookup(table: DataFrame, day, hour: int, day_col: str = "day", hour_col: str
 
 
 def colour_class(count: Column, max_count: Column) -> Column:
-    """L2: palette class ``1 + floor(7 i / (max - 1))``, ``i = min(count, max - 1)``.
+    """L2: palette class ``1 + floor(7 i / (max - 1))``, ``i = min(count, max - 1)``, 0 at least.
 
     Integer arithmetic (no float truncation surprises); ``max = 1`` gives 1.
     """
-    i = F.least(count, max_count - 1)
+    i = F.greatest(F.lit(0), F.least(count, max_count - 1))
     return F.when(max_count <= 1, F.lit(1)).otherwise(
         F.lit(1) + F.floor(F.lit(PALETTE_TOP - 1) * i / (max_count - 1)).cast("int"))
 
 
-def colour_classes(counts: DataFrame, districts: Sequence[str], slot: Sequence[str] = ("day", "hour"),
-                   value: str = "n") -> DataFrame:
+def colour_classes(counts: DataFrame, slot: Sequence[str] = ("day", "hour"), value: str = "n") -> DataFrame:
     """L2 + J10: class of every district in every slot; absent districts get 0.
 
-    The district dimension is the explicit (bounded) list, exploded per slot.
+    The districts are those of ``counts`` (a scalar subquery, exploded per
+    slot), so none is left out. Rows without a district are on no map.
     """
-    slots = counts.select(*slot).distinct()
-    grid = slots.select(*slot, F.explode(F.array(*[F.lit(d) for d in districts])).alias("district"))
+    counts = counts.where(F.col("district").isNotNull())
+    districts = counts.agg(F.sort_array(F.collect_set("district"))).scalar()
+    grid = counts.select(*slot).distinct().select(*slot, F.explode(districts).alias("district"))
     j = grid.join(counts.select(*slot, "district", value), [*slot, "district"], "left")
     mx = F.max(value).over(Window.partitionBy(*slot))
     return j.withColumn("colour", F.when(F.col(value).isNull(), F.lit(0))

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.functions.timeparts import part as date_part
+from blotter.operators.clean import hash_unit
+from blotter.session import materialize
 
 # ---------------------------------------------------------------- T3
 
@@ -108,14 +110,19 @@ def _scaling_stages(kind: str, col: str) -> tuple[list, str]:
 
 def preprocessing_stages(features: Sequence[str], categorical: Sequence[str] = ("district",),
                          scaler: str = "none", pca_k: int | None = None,
-                         handle_invalid: str = "skip") -> tuple[list, str]:
-    """M1-M5: category indexers, one-hot, assembler, optional scaler and PCA."""
+                         handle_invalid: str = "keep") -> tuple[list, str]:
+    """M1-M5: category indexers, one-hot, assembler, optional scaler and PCA.
+
+    No row is dropped: a null or unseen category is a category of its own (all
+    zeros in the one-hot vector), a null feature is an error - fill it first
+    (``clean.fill_zero``).
+    """
     stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid=handle_invalid)
               for c in categorical]
     stages += [OneHotEncoder(dropLast=True, inputCol=f"{c}_idx", outputCol=f"{c}_vec")
                for c in categorical]
     stages.append(VectorAssembler(inputCols=list(features) + [f"{c}_vec" for c in categorical],
-                                  outputCol="features_raw", handleInvalid="skip"))
+                                  outputCol="features_raw", handleInvalid="error"))
     more, col = _scaling_stages(scaler, "features_raw")
     stages += more
     if pca_k:
@@ -183,10 +190,9 @@ def classifier_stage(model: PipelineModel):
 
 def hash_split(df: DataFrame, keys: Sequence[str], train_fraction: float = 0.7,
                seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """M6: reproducible 70/30 split by a hash of the row keys (retry-safe)."""
-    b = F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(10000))
-    cut = int(round(train_fraction * 10000))
-    return df.where(b < cut), df.where(b >= cut)
+    """M6: reproducible 70/30 split by the md5 of the row keys (retry-safe)."""
+    unit = hash_unit(keys, seed)
+    return df.where(unit < train_fraction), df.where(unit >= train_fraction)
 
 
 def time_split(df: DataFrame, year_col: str, train_before: int, test_from: int):
@@ -272,7 +278,7 @@ def run_config(train: DataFrame, test: DataFrame, name: str, features: Sequence[
     except Exception as e:  # recorded, not swallowed
         return dict(pipeline=name, model=model, scaler=scaler, pca_k=pca_k or 0,
                     seconds=time.time() - t0, train_acc=None, test_acc=None,
-                    top_3_train_acc=None, top_3_test_acc=None, error=f"{type(e).__name__}: {e}"[:500])
+                    top_3_train_acc=None, top_3_test_acc=None, error=f"{type(e).__name__}: {e}")
 
 
 SWEEP_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds double, "
@@ -283,15 +289,15 @@ SWEEP_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, second
 def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelism: int = 4) -> DataFrame:
     """One Spark job set per configuration, results as a DataFrame.
 
-    Inputs are cached once (the assembled frames are reused by every run).
-    Independent configurations are fitted concurrently from ``parallelism``
+    Inputs are written once (every run reads the tables in the shared folder,
+    so a lost executor costs no recomputation). Independent configurations are fitted concurrently from ``parallelism``
     driver threads (like ``CrossValidator(parallelism=...)``), so small fits
     share the cluster instead of queueing; ``seconds`` is each run's wall
     time under that concurrency.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    train, test = train.cache(), test.cache()
+    train, test = materialize(train, "train"), materialize(test, "test")
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(lambda c: run_config(train, test, **c), configs))
     # The configuration with the least test error (one row per config)
@@ -302,31 +308,35 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
                                        ("pipeline", "model", "scaler", "pca_k", "seconds", "train_acc",
                                         "test_acc", "top_3_train_acc", "top_3_test_acc", "error"))
                                  + (i == best,) for i, r in enumerate(rows)], SWEEP_SCHEMA)
-    train.unpersist()
-    test.unpersist()
     return out
 
 
-def best_config(results: DataFrame) -> DataFrame:
-    """The configuration with the least test error."""
-    return results.where(F.col("error").isNull()).orderBy(F.col("test_acc").desc(), "pipeline").limit(1)
+def cross_validate(train: DataFrame, test: DataFrame, features: Sequence[str], keys: Sequence[str], num_trees=(2, 5),
+                   max_depth=(3, 7), folds: int = 3, parallelism: int = 2, pca_k: int | None = 8) -> DataFrame:
+    """Random forest grid with k-fold CV after PCA; average F1 per
+    parameter map, and the best model's F1 and accuracy on ``test``.
 
-
-def cross_validate(train: DataFrame, features: Sequence[str], num_trees=(2, 5), max_depth=(3, 7),
-                   folds: int = 3, parallelism: int = 2) -> DataFrame:
-    """Random forest grid with k-fold CV; average F1 per parameter map."""
-    train = StringIndexer(inputCol="label", outputCol="target", handleInvalid="skip").fit(train).transform(train)
-    stages, col = preprocessing_stages(features)
+    Folds follow the md5 of the row ``keys``, so they don't depend on
+    partitions or retries.
+    """
+    indexer = StringIndexer(inputCol="label", outputCol="target", handleInvalid="skip").fit(train)
+    fold = F.least(F.floor(hash_unit(keys, seed=7) * folds), F.lit(folds - 1)).cast("int")
+    train = materialize(indexer.transform(train).withColumn("fold", fold), "cv_train")
+    stages, col = preprocessing_stages(features, pca_k=pca_k)
     rf = make_classifier("rf", col)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(num_trees)).addGrid(
         rf.maxDepth, list(max_depth)).build()
     cv = CrossValidator(estimator=Pipeline(stages=stages + [rf]), estimatorParamMaps=grid,
                         evaluator=MulticlassClassificationEvaluator(labelCol="target"),
-                        numFolds=folds, parallelism=parallelism, seed=42)
+                        numFolds=folds, foldCol="fold", parallelism=parallelism, seed=42)
     model = cv.fit(train)
-    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(m))
-            for pm, m in zip(grid, model.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows, "num_trees int, max_depth int, f1 double")
+    scored = materialize(model.transform(indexer.transform(test)), "cv_test")
+    held_out = (f1_score(scored), accuracy_summary(scored).first()["accuracy"])
+    best = max(range(len(grid)), key=lambda i: model.avgMetrics[i])
+    rows = [(int(pm[rf.numTrees]), int(pm[rf.maxDepth]), float(m), i == best, *(held_out if i == best else (None, None)))
+            for i, (pm, m) in enumerate(zip(grid, model.avgMetrics))]
+    return train.sparkSession.createDataFrame(
+        rows, "num_trees int, max_depth int, f1 double, is_best boolean, test_f1 double, test_accuracy double")
 
 
 def feature_importances(model: PipelineModel, names: Sequence[str]) -> DataFrame:

@@ -38,13 +38,14 @@ def _sorted_counts(counts: DataFrame):
     return s, parts
 
 
-def positional_values(counts: DataFrame, positions_of_n) -> tuple[int, list[float]]:
-    """``n`` and the values at 0-based positions ``positions_of_n(n)`` of the
-    multiset described by ``(x, c)`` value counts, sorted descending (exact)."""
+def positional_values(counts: DataFrame, positions_of_n) -> tuple[int, list[float], DataFrame]:
+    """``n``, the values at 0-based positions ``positions_of_n(n)`` of the
+    multiset described by ``(x, c)`` value counts, sorted descending (exact), and
+    the written counts, for the caller's own pass over them."""
     s, parts = _sorted_counts(counts)
     n = sum(c for _, c in parts)
     if n == 0:
-        return 0, []
+        return 0, [], s
     positions = positions_of_n(n)
     local, start = {}, 0          # position -> (pid, offset inside the partition)
     for pid, cnt in parts:
@@ -64,7 +65,7 @@ def positional_values(counts: DataFrame, positions_of_n) -> tuple[int, list[floa
     for p in positions:
         pid, off = local[p]
         found.append(next(float(r["x"]) for r in rows if r["pid"] == pid and r["lo"] <= off < r["hi"]))
-    return n, found
+    return n, found, s
 
 
 def robust_outliers(df: DataFrame, col: str, distinct: bool = False) -> DataFrame:
@@ -83,7 +84,7 @@ def robust_outliers(df: DataFrame, col: str, distinct: bool = False) -> DataFram
         q = m // 2
         return [q, m, m + q]
 
-    n, found = positional_values(counts, positions)
+    n, found, counts = positional_values(counts, positions)
     if n == 0:
         return counts.select("x", F.lit(None).cast("double").alias("score"),
                              F.col("c").alias("n")).limit(0)

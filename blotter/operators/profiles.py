@@ -28,40 +28,43 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
     return group_counts(df, col)
 
 
-def top_by_count(counts: DataFrame, n_col: str, label_col: str, k: int) -> DataFrame:
-    """O2: top-k rows by count, ties broken by label (TakeOrderedAndProject)."""
-    return counts.orderBy(F.col(n_col).desc(), F.col(label_col).asc_nulls_last()).limit(k)
-
-
 def label_shares(df: DataFrame, col: str, top: int | None = None,
                  share_of_top: bool = False) -> DataFrame:
     """Percent share of each label and cumulative share by rank.
 
     ``share_of_top`` uses the top-``top`` total as the denominator (the
-    reference does this for locations). The windows run over the grouped
-    table, one row per distinct label.
+    reference does this for locations). The total is a one-row aggregate (a
+    scalar subquery); only the ``top`` first labels are ranked in one window.
+    Without ``top`` the report itself is the ranking of all labels.
     """
     counts = group_counts(df, col)
-    rank_w = Window.orderBy(F.col("n").desc(), F.col(col).asc_nulls_last())
-    ranked = counts.withColumn("rank", F.row_number().over(rank_w))
-    if top is not None and share_of_top:
-        ranked = ranked.where(F.col("rank") <= top)
-    total = F.sum("n").over(Window.partitionBy())
+    total = counts.agg(F.sum("n")).scalar()
+    order = [F.col("n").desc(), F.col(col).asc_nulls_last()]
+    ranked = counts if top is None else counts.orderBy(*order).limit(top)
+    rank_w = Window.orderBy(*order)
+    if share_of_top and top is not None:
+        total = F.sum("n").over(Window.partitionBy())
     cum = F.sum("n").over(rank_w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = ranked.withColumns({
+    return ranked.withColumns({
+        "rank": F.row_number().over(rank_w),
         "share_pct": F.col("n") * F.lit(100.0) / total,
         "cum_share_pct": cum * F.lit(100.0) / total,
     })
-    if top is not None and not share_of_top:
-        out = out.where(F.col("rank") <= top)
-    return out
+
+
+def count_matrix(df: DataFrame, row: str | Sequence[str], col: str) -> DataFrame:
+    """A7 over an open domain of columns: ``(row..., col, n)``, one row per
+    non-empty cell, whatever values occur; null ``col`` dropped."""
+    rows = [row] if isinstance(row, str) else list(row)
+    return group_counts(df.where(F.col(col).isNotNull()), *rows, col)
 
 
 def pivot_counts(df: DataFrame, row: str | Sequence[str], col: str, values: Sequence) -> DataFrame:
     """Count matrix ``row x col``; absent cells are null, null ``col`` dropped.
 
-    Values are explicit, so Spark skips the distinct-values job and the
-    schema does not depend on the data.
+    For calendar parts, whose values are known: they are explicit, so Spark
+    skips the distinct-values job and the schema does not depend on the data.
+    For other columns see :func:`count_matrix`.
     """
     rows = [row] if isinstance(row, str) else list(row)
     return (df.where(F.col(col).isNotNull())

@@ -3,10 +3,11 @@
 Series are long ``(key, day, n)``. A "k-MA" is the reference's
 ``rowsBetween(-k, 0)``: k + 1 rows of the **global** day list (days on
 which any key has a row); a key without rows on such a day has a null
-count there, which the average skips. The dense ``(day, key)`` grid is
-built by exploding the (bounded, explicit) key list over the distinct
-days; every window partition is one key with exactly one row per day, so
-its size is bounded by the calendar.
+count there, which the average skips. The dense ``(day, key)`` grid has
+every key of the data (a null key too) on every observed day: the days are a
+scalar subquery (an array bounded by the calendar) that each key explodes.
+Every window partition is one key with exactly one row per day, so its size
+is bounded by the calendar. Rows without a day are in no series.
 """
 
 from __future__ import annotations
@@ -24,11 +25,14 @@ def daily_counts(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> Dat
     return df.groupBy(*keys, F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def dense_daily(counts: DataFrame, key: str, key_values: Sequence[str]) -> DataFrame:
+def dense_daily(counts: DataFrame, key: str) -> DataFrame:
     """(day x key) grid over the global observed days; absent cells have null ``n``."""
-    days = counts.select("day").distinct()
-    grid = days.select("day", F.explode(F.array(*[F.lit(v) for v in key_values])).alias(key))
-    return grid.join(counts, ["day", key], "left")
+    counts = counts.where(F.col("day").isNotNull())
+    days = counts.agg(F.sort_array(F.collect_set("day"))).scalar()
+    grid = counts.select(key).distinct().select(key, F.explode(days).alias("day"))
+    found = counts.withColumnsRenamed({key: "__key", "day": "__day"})
+    same = (F.col("day") == F.col("__day")) & F.col(key).eqNullSafe(F.col("__key"))
+    return grid.join(found, same, "left").select("day", key, *(c for c in counts.columns if c not in ("day", key)))
 
 
 def moving_average(series: DataFrame, k: int, key: str | None = None, value: str = "n",
@@ -91,23 +95,22 @@ def global_moving_average(df: DataFrame, k: int = 7, ts: str = "ts") -> DataFram
     """W1 + W2 on the all-keys daily series: k-MA over observed days, first k dropped.
 
     Distributed: positions come from :func:`global_index`, the window runs
-    per block (:func:`blocked_moving_average`).
+    per block (:func:`blocked_moving_average`). Rows without a day are in no
+    series.
     """
-    s = blocked_moving_average(global_index(daily_counts(df, ts=ts)), k)
+    s = blocked_moving_average(global_index(daily_counts(df.where(F.col(ts).isNotNull()), ts=ts)), k)
     return s.where(F.col("idx") >= k).drop("idx")
 
 
-def keyed_moving_average(df: DataFrame, key: str, key_values: Sequence[str], k: int = 30,
-                         ts: str = "ts") -> DataFrame:
+def keyed_moving_average(df: DataFrame, key: str, k: int = 30, ts: str = "ts") -> DataFrame:
     """W1 + W2 per key on the dense global-day grid."""
-    s = moving_average(dense_daily(daily_counts(df, [key], ts), key, key_values), k, key)
+    s = moving_average(dense_daily(daily_counts(df, [key], ts), key), k, key)
     return drop_warmup(s, k, key)
 
 
-def scaled_trend(df: DataFrame, key: str, key_values: Sequence[str], k: int = 120,
-                 ts: str = "ts") -> DataFrame:
+def scaled_trend(df: DataFrame, key: str, k: int = 120, ts: str = "ts") -> DataFrame:
     """Per-key k-MA, warm-up dropped, then min-max scaled per key."""
-    s = keyed_moving_average(df, key, key_values, k, ts)
+    s = keyed_moving_average(df, key, k, ts)
     return s.withColumn("scaled", minmax_scaled(F.col("ma"), [key]))
 
 

@@ -157,7 +157,7 @@ _FRACTION_SQL = "CASE label " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in SAMP
 
 @register("stratified_sample", sql=finish(with_views(f"""
 SELECT id, label FROM incidents_e
-WHERE ((id % {CL._MIX_MOD}) * {CL._MIX_MUL} + 42) % {CL.SAMPLE_BUCKETS} < ({_FRACTION_SQL}) * {CL.SAMPLE_BUCKETS}""",
+WHERE CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) / 4294967296.0 < ({_FRACTION_SQL})""",
     "incidents_e")))
 def stratified_sample(spark, sf):
     """Per-label fractions, deterministic hash sampling (seed 42)."""

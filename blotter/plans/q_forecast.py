@@ -58,7 +58,7 @@ def forecast_vs_actual(spark, sf):
 
 
 def _holdout(fc, key, ts):
-    return fc.where(~F.col("is_train")).select(key, ts, "y", "yhat")
+    return fc.where(~F.col("is_train")).select(*([key] if key else []), ts, "y", "yhat")
 
 
 @register("forecast_daily")
@@ -79,25 +79,79 @@ def forecast_hourly(spark, sf):
 
 @register("forecast_10min")
 def forecast_10min(spark, sf):
-    """C4: 10-minute series of all incidents, first 70 % train, rest forecast."""
-    series = G.minute_gapfill(S.incidents_from_events(spark, sf), 10).withColumn("key", F.lit("all"))
-    fc = FC.additive_forecast(series, "key", "bucket", "n", MINUTE_ORDERS, holdout=0.3, grain="minute")
-    return _holdout(fc, "key", "bucket")
+    """C4: 10-minute series of all incidents, first 70 % train, rest forecast, interval width .65."""
+    series = G.minute_gapfill(S.incidents_from_events(spark, sf), 10)
+    fc = FC.additive_forecast(series, None, "bucket", "n", MINUTE_ORDERS, holdout=0.3, grain="minute", width=0.65)
+    return fc.where(~F.col("is_train")).select("bucket", "y", "yhat", "yhat_lower", "yhat_upper")
 
 
 def _readings_fc(spark, sf):
-    means = TR.daily_mean(S.readings_from_lineitem(spark, sf), keys=()).withColumn("key", F.lit("all"))
-    return FC.additive_forecast(means, "key", "day", "mean_value", READING_ORDERS,
+    means = TR.daily_mean(S.readings_from_lineitem(spark, sf), keys=())
+    return FC.additive_forecast(means, None, "day", "mean_value", READING_ORDERS,
                                 holdout=HOLDOUT_DAYS, grain="day")
 
 
 @register("forecast_readings")
 def forecast_readings(spark, sf):
-    """Single-series daily mean reading, 60-day holdout (J8: forecast joined on day)."""
-    return _holdout(_readings_fc(spark, sf), "key", "day")
+    """Single-series daily mean reading, 60-day holdout (J8: forecast and actual by day)."""
+    return _holdout(_readings_fc(spark, sf), None, "day")
 
 
 @register("forecast_model_errors")
 def forecast_model_errors(spark, sf):
     """C5 on the additive model of the readings series."""
-    return FC.forecast_errors(_holdout(_readings_fc(spark, sf), "key", "day"), ["key"])
+    return FC.forecast_errors(_holdout(_readings_fc(spark, sf), None, "day"))
+
+
+_DENSE_SQL = """
+c AS (SELECT district, CAST(ts AS DATE) AS day, count(*) AS n FROM incidents_o GROUP BY ALL),
+s AS (SELECT district, min(day) AS lo, max(day) AS hi FROM c GROUP BY district),
+g AS (SELECT district, CAST(unnest(generate_series(lo, hi, INTERVAL 1 DAY)) AS DATE) AS day FROM s),
+d AS (SELECT g.district, g.day, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (district, day))"""
+
+
+@register("forecast_future", sql=finish(with_views(f"""
+SELECT district, CAST(unnest(generate_series(hi + 1, hi + {HOLDOUT_DAYS}, INTERVAL 1 DAY)) AS DATE) AS day,
+       TRUE AS inside FROM s""", "incidents_o", ctes=_DENSE_SQL), dates=("day",)))
+def forecast_future(spark, sf):
+    """C1 past the data: every district's next 60 days, and whether the forecast
+    lies inside its interval."""
+    fc = FC.additive_forecast(_daily_dense(spark, sf), "district", "day", "n", DAILY_ORDERS, horizon=HOLDOUT_DAYS)
+    inside = (F.col("yhat_lower") <= F.col("yhat")) & (F.col("yhat") <= F.col("yhat_upper"))
+    return fc.where(F.col("y").isNull()).select("district", "day", F.coalesce(inside, F.lit(False)).alias("inside"))
+
+
+CUTOFF = "2000-12-31"
+
+
+@register("forecast_cutoff_rows", sql=finish(with_views(f"""
+SELECT district, count(*) AS n_rows, sum(n) AS actual, count(*) AS forecasts
+FROM d WHERE day > DATE '{CUTOFF}' GROUP BY district""", "incidents_o", ctes=_DENSE_SQL), ints=("actual",)))
+def forecast_cutoff_rows(spark, sf):
+    """C1's cutoff mode + J8: rows after the cutoff day with their actual counts and a forecast each."""
+    fc = FC.additive_forecast(_daily_dense(spark, sf), "district", "day", "n", DAILY_ORDERS, cutoff=CUTOFF)
+    return fc.where(~F.col("is_train")).groupBy("district").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("y").cast("long").alias("actual"), F.count("yhat").alias("forecasts"))
+
+
+_GRAM_ORDERS = {"yearly": 1, "weekly": 1}
+
+
+@register("forecast_gram", sql=finish(with_views("""
+SELECT district, i, j, sum(x[i + 1] * CASE WHEN j = 6 THEN n ELSE x[j + 1] END) AS value
+FROM (SELECT district, n, [1.0, (t - t0) / (t1 - t0), sin(t * 2 * pi() / 365.25), cos(t * 2 * pi() / 365.25),
+                           sin(t * 2 * pi() / 7.0), cos(t * 2 * pi() / 7.0)] AS x
+      FROM (SELECT district, n, CAST(day - DATE '1970-01-01' AS DOUBLE) AS t, CAST(lo - DATE '1970-01-01' AS DOUBLE) AS t0,
+                   CAST(hi - DATE '1970-01-01' AS DOUBLE) AS t1 FROM d JOIN s USING (district)) a) b,
+     range(6) r(i), range(7) q(j) GROUP BY ALL""", "incidents_o", ctes=_DENSE_SQL), ints=("i", "j"), doubles=("value",)))
+def forecast_gram(spark, sf):
+    """The normal equations the fit solves (X'X, and X'y as column 6) per
+    district, for a small design without changepoints."""
+    s = _daily_dense(spark, sf).select("district", F.col("day").alias("ts"), F.col("n").cast("double").alias("y"))
+    s = FC._attach(s, "district", FC.training_span(s, "district", "ts"), "span")
+    t, t0, t1 = (FC._days(F.col(c)) for c in ("ts", "span.lo", "span.hi"))
+    rows = s.withColumns({"x": FC.design(t, (t - t0) / (t1 - t0), _GRAM_ORDERS, []), "chunk": F.year("ts")})
+    g = FC.gram_blocks(rows, "district").select("district", F.posexplode(F.slice("g", 1, 42)).alias("k", "v"))
+    i = F.when(F.col("k") < 36, F.floor(F.col("k") / 6)).otherwise(F.col("k") - 36).cast("long")
+    j = F.when(F.col("k") < 36, F.col("k") % 6).otherwise(F.lit(6)).cast("long")
+    return g.groupBy("district", i.alias("i"), j.alias("j")).agg(F.sum("v").alias("value"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blotter.operators import history as H
-from blotter.operators.labels import sorted_labels
+from blotter.operators.labels import label_array, sorted_labels
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
 from blotter.sources import tables as S
@@ -94,7 +94,7 @@ def _stats_sql(cols, future=False):
 
 def _stats(spark, sf, future=False):
     inc = S.incidents_from_orders(spark, sf)
-    labels = sorted_labels(inc, "label")
+    labels = label_array(inc, "label")
     if future:
         return H.future_features(inc, labels, BASE_YEAR, FUTURE_DAYS, EXTRA_DAYS)
     return H.history_features(inc, labels, BASE_YEAR)

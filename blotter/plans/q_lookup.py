@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from blotter.operators import history as H
 from blotter.operators import lookup as LK
-from blotter.operators.labels import sorted_labels
+from blotter.operators.labels import label_array
 from blotter.plans.q_history import BASE_YEAR, hist_sql
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
@@ -37,21 +37,18 @@ def lookup_day_hour(spark, sf):
     return LK.lookup(_hourly(spark, sf), LOOKUP_DAY, LOOKUP_HOUR)
 
 
-_VALUES = ", ".join(f"('{d}')" for d in S.EVENT_DISTRICTS)
-
-
 @register("colour_class", sql=finish(with_views("""
 SELECT day, hour, district, CAST(n AS DOUBLE) AS n,
        CASE WHEN n IS NULL THEN 0 WHEN mx <= 1 THEN 1
-            ELSE 1 + CAST(floor(7 * least(n, mx - 1) / (mx - 1)) AS INTEGER) END AS colour
-FROM (SELECT j.*, max(n) OVER (PARTITION BY day, hour) AS mx FROM j) m""", "incidents_e", ctes=_HOURLY_E + f""",
+            ELSE 1 + CAST(floor(7 * greatest(0, least(n, mx - 1)) / (mx - 1)) AS INTEGER) END AS colour
+FROM (SELECT j.*, max(n) OVER (PARTITION BY day, hour) AS mx FROM j) m""", "incidents_e", ctes=_HOURLY_E + """,
 s AS (SELECT DISTINCT day, hour FROM c),
-g AS (SELECT s.day, s.hour, k.district FROM s CROSS JOIN (VALUES {_VALUES}) k(district)),
+g AS (SELECT s.day, s.hour, k.district FROM s CROSS JOIN (SELECT DISTINCT district FROM c) k),
 j AS (SELECT g.day, g.hour, g.district, c.n FROM g LEFT JOIN c USING (day, hour, district))"""),
     dates=("day",), ints=("hour", "colour"), doubles=("n",)))
 def colour_class(spark, sf):
     """L2 + J10: palette class per district and (day, hour); absent districts get 0."""
-    out = LK.colour_classes(_hourly(spark, sf), S.EVENT_DISTRICTS)
+    out = LK.colour_classes(_hourly(spark, sf))
     return out.select("day", "hour", "district", F.col("n").cast("double").alias("n"), "colour")
 
 
@@ -64,7 +61,7 @@ def top_labels(spark, sf):
     """L3: three most likely labels per (district, day, hour) by all-time average."""
     inc = S.incidents_from_orders(spark, sf)
     # dow is implied by day; keying by it too reuses the history partitioning
-    stats = H.history_features(inc, sorted_labels(inc, "label"), BASE_YEAR, keep_dow=True)
+    stats = H.history_features(inc, label_array(inc, "label"), BASE_YEAR, keep_dow=True)
     return LK.top_labels(stats, ["district", "dow", "day", "hour"], "label", "ata", 3).select(
         "district", "day", "hour", "label", "ata", "rank")
 

@@ -2,7 +2,7 @@
 
 Training queries are checked by rows only (model output is not expressible
 in SQL). The metric operators are also run on deterministic scores taken
-from ``embeddings`` (first 10 dimensions = class scores, ``label`` = truth),
+from ``embeddings`` (dimensions added up modulo 10 = class scores, ``label`` = truth),
 which makes them SQL-checkable.
 """
 
@@ -19,7 +19,7 @@ from blotter.operators import ml as M
 from blotter.operators.labels import sorted_labels
 from blotter.plans.q_history import BASE_YEAR
 from blotter.plans.registry import register
-from blotter.plans.sql import finish
+from blotter.plans.sql import finish, with_views
 from blotter.session import checkpoint_dir, materialize
 from blotter.sources import files as FS
 from blotter.sources import tables as S
@@ -69,7 +69,7 @@ def train_score_lr(spark, sf):
 def train_score_mlp(spark, sf):
     """Perceptron [inputs, 25, classes] on fc_2 with standard scaling."""
     train, test = M.hash_split(_raw(spark, sf), ["id"])
-    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_2"], "mlp", scaler="standard", maxIter=50)
+    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_2"], "mlp", scaler="standard")
     return _scored(model.transform(test), ["id"])
 
 
@@ -77,7 +77,7 @@ def train_score_mlp(spark, sf):
 def train_score_rf(spark, sf):
     """Random forest on fc_1, test predictions."""
     train, test = M.hash_split(_raw(spark, sf), ["id"])
-    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_1"], "rf", numTrees=10, maxDepth=5)
+    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_1"], "rf")
     return _scored(model.transform(test), ["id"])
 
 
@@ -86,16 +86,52 @@ def rf_feature_importance(spark, sf):
     """Forest feature importances (date parts, then district one-hot)."""
     train, _ = M.hash_split(_raw(spark, sf), ["id"])
     feats = M.FEATURE_SETS["fc_1"]
-    model = M.fit_pipeline(train, feats, "rf", numTrees=10, maxDepth=5)
-    names = feats + [f"district_{v}" for v in model.stages[1].labels[:-1]]
+    model = M.fit_pipeline(train, feats, "rf")
+    names = feats + [f"district_{v}" for v in model.stages[1].labels]
     return M.feature_importances(model, names)
 
 
+_SPLIT_SQL = """
+SELECT id, CASE WHEN CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) / 4294967296.0 < 0.7 THEN 'train' ELSE 'test' END AS part,
+       CASE WHEN year(ts) < 1999 THEN 'train' WHEN year(ts) >= 2000 THEN 'test' END AS by_time
+FROM incidents_o"""
+
+
+@register("split_membership", sql=finish(with_views(_SPLIT_SQL, "incidents_o")))
+def split_membership(spark, sf):
+    """M6 + M7: the side of every row in the md5 split and in the time split."""
+    rows = S.incidents_from_orders(spark, sf).withColumn("year", F.year("ts"))
+    train, test = M.hash_split(rows, ["id"])
+    early, late = M.time_split(rows.select("id", "year"), "year", TRAIN_BEFORE, TEST_FROM)
+    sides = train.select("id", F.lit("train").alias("part")).union(test.select("id", F.lit("test").alias("part")))
+    times = early.select("id", F.lit("train").alias("by_time")).union(late.select("id", F.lit("test").alias("by_time")))
+    return sides.join(times, "id", "left")
+
+
+@register("preprocessed_features", sql=finish(with_views("""
+SELECT id, j AS idx, CASE WHEN j < 3 THEN x[j + 1] ELSE CAST(coalesce(rank = j - 3, FALSE) AS INTEGER) END AS value
+FROM (SELECT i.id, r.rank, [(hour(ts) - h0) / nullif(h1 - h0, 0), (month(ts) - m0) / nullif(m1 - m0, 0),
+             (dayofweek(ts) + 1 - d0) / nullif(d1 - d0, 0)] AS x
+      FROM incidents_o i LEFT JOIN (
+             SELECT district, row_number() OVER (ORDER BY count(*) DESC, district) - 1 AS rank FROM incidents_o GROUP BY district) r USING (district),
+           (SELECT min(hour(ts)) AS h0, max(hour(ts)) AS h1, min(month(ts)) AS m0, max(month(ts)) AS m1,
+                   min(dayofweek(ts) + 1) AS d0, max(dayofweek(ts) + 1) AS d1 FROM incidents_o) e) f,
+     range((SELECT 3 + count(DISTINCT district) FROM incidents_o)) q(j)""", "incidents_o"), ints=("idx",), doubles=("value",)))
+def preprocessed_features(spark, sf):
+    """M1-M4: district index by frequency, one-hot, assembled and min-max scaled, as (idx, value) rows."""
+    from pyspark.ml import Pipeline
+    rows = with_date_parts(S.incidents_from_orders(spark, sf), parts=("hour", "month", "dayofweek"))
+    stages, col = M.preprocessing_stages(["hour", "month", "dayofweek"], scaler="minmax")
+    out = Pipeline(stages=stages).fit(rows).transform(rows)
+    return out.select("id", F.posexplode(M.vector_to_array(F.col(col))).alias("idx", "value"))
+
+
 @register("cv_grid")
 def cv_grid(spark, sf):
-    """numTrees {2, 5} x maxDepth {3, 7}, 3-fold cross-validation."""
-    train, _ = M.hash_split(_raw(spark, sf), ["id"])
-    return M.cross_validate(train, M.FEATURE_SETS["fc_2"])
+    """PCA k = 8, numTrees {2, 5} x maxDepth {3, 7}, 3-fold cross-validation,
+    the best model scored on the test set."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    return M.cross_validate(train, test, M.FEATURE_SETS["fc_1"], ["id"])
 
 
 SWEEP_CONFIGS = [
@@ -115,13 +151,17 @@ def sweep(spark, sf):
     return M.sweep(train, test, SWEEP_CONFIGS)
 
 
+# The reference's depths, PCA sizes and the depths tried with them.
+DEPTHS, PCA_SIZES, PCA_DEPTHS = (5, 10, 20, 25, 30), (5, 10, 15, 25), (10, 25, 30)
+
+
 @register("tree_depth_sweep")
 def tree_depth_sweep(spark, sf):
     """M13 + M15: depth x PCA sweep of trees on engineered features, best first."""
     train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
     configs = [dict(name=f"depth_{d}" + (f" pca_{k}" if k else ""), features=TREE_FEATURES, model="tree",
                     scaler="standard" if k else "none", pca_k=k, maxDepth=d)
-               for d in (5, 10) for k in (None, 5)]
+               for k, d in [*((None, d) for d in DEPTHS), *((k, d) for k in PCA_SIZES for d in PCA_DEPTHS)]]
     return M.sweep(train, test, configs).orderBy(F.col("test_acc").desc())
 
 
@@ -174,7 +214,7 @@ def model_roundtrip(spark, sf):
 def log_json(spark, sf):
     """Experiment rows appended as JSON and read back."""
     train, test = M.hash_split(_raw(spark, sf), ["id"])
-    res = M.sweep(train, test, SWEEP_CONFIGS[:1])
+    res = M.sweep(train, test, SWEEP_CONFIGS)
     path = os.path.join(checkpoint_dir(spark), "logs", f"sweep-{uuid.uuid4().hex}")
     M.write_log(res, path)
     return spark.read.schema(M.SWEEP_SCHEMA).json(path)
@@ -196,13 +236,15 @@ def csv_roundtrip(spark, sf):
 
 def _pseudo(spark, sf):
     emb = S.read_table(spark, sf, "embeddings")
-    p = F.slice(F.col("embedding"), 1, N_CLASSES).cast("array<double>")
+    # every dimension counts: those with the same index modulo 10 add up to a class's score
+    p = F.transform(F.sequence(F.lit(0), F.lit(N_CLASSES - 1)), lambda c: F.aggregate(
+        F.filter("embedding", lambda x, i: i % N_CLASSES == c), F.lit(0.0), lambda a, x: a + x.cast("double")))
     return emb.select("vec_id", p.alias("probability"), F.col("label").cast("double").alias("target")) \
         .withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1)
                     .cast("double"))
 
 
-_PSEUDO_SQL = f"""WITH e AS (SELECT vec_id, CAST(embedding[1:{N_CLASSES}] AS DOUBLE[]) AS p, label AS t FROM embeddings),
+_PSEUDO_SQL = f"""WITH e AS (SELECT vec_id, list_transform(range({N_CLASSES}), lambda c: list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % {N_CLASSES} = c), lambda x: CAST(x AS DOUBLE)))) AS p, label AS t FROM embeddings),
 pr AS (SELECT vec_id, p, t, list_position(p, list_max(p)) - 1 AS pred FROM e)
 """
 

@@ -78,9 +78,9 @@ def _cells_as_double(df, keys):
                        for c in df.columns])
 
 
-def _pivot_sql(row_sql, row_name, col_sql, values, src, where="TRUE", quote=False):
+def _pivot_sql(row_sql, row_name, col_sql, values, src, where="TRUE"):
     cols = ", ".join(
-        f"CAST(nullif(count(*) FILTER (WHERE {col_sql} = {repr(v) if quote else v}), 0) AS DOUBLE) AS \"{v}\""
+        f"CAST(nullif(count(*) FILTER (WHERE {col_sql} = {v}), 0) AS DOUBLE) AS \"{v}\""
         for v in values)
     return f"SELECT {row_sql} AS {row_name}, {cols} FROM {src} WHERE {where} GROUP BY 1"
 
@@ -109,19 +109,17 @@ def pivot_year_month(spark, sf):
 
 
 @register("pivot_day_district", sql=finish(with_views(
-    _pivot_sql("CAST(ts AS DATE)", "day", "district", S.EVENT_DISTRICTS, "incidents_e", quote=True),
-    "incidents_e"), dates=("day",)))
+    "SELECT CAST(ts AS DATE) AS day, district, count(*) AS n FROM incidents_e WHERE district IS NOT NULL GROUP BY ALL", "incidents_e"), dates=("day",)))
 def pivot_day_district(spark, sf):
-    """Day x district count matrix (districts of the binding's domain)."""
-    inc = with_date_parts(S.incidents_from_events(spark, sf), parts=())
-    return _cells_as_double(P.pivot_counts(inc, "day", "district", S.EVENT_DISTRICTS), ["day"])
+    """Day x district counts, long form: every district that occurs."""
+    return P.count_matrix(with_date_parts(S.incidents_from_events(spark, sf), parts=()), ['day'], "district")
 
 
 @register("pivot_place_type", sql=finish(with_views(
-    _pivot_sql("place", "place", "ptype", S.PART_TYPES, "places", quote=True), "places")))
+    "SELECT place, ptype, count(*) AS n FROM places WHERE ptype IS NOT NULL GROUP BY ALL", "places")))
 def pivot_place_type(spark, sf):
-    """Place x type count matrix."""
-    return _cells_as_double(P.pivot_counts(S.places_from_part(spark, sf), "place", "ptype", S.PART_TYPES), ["place"])
+    """Place x ptype counts, long form: every ptype that occurs."""
+    return P.count_matrix(S.places_from_part(spark, sf), ['place'], "ptype")
 
 
 @register("profile_minmax_col", sql=finish(with_views(
@@ -151,12 +149,10 @@ def pivot_year_dow(spark, sf):
 
 
 @register("pivot_hour_district", sql=finish(with_views(
-    _pivot_sql("hour(ts)", "hour", "district", S.EVENT_DISTRICTS, "incidents_e", quote=True), "incidents_e"),
-    ints=("hour",)))
+    "SELECT hour(ts) AS hour, district, count(*) AS n FROM incidents_e WHERE district IS NOT NULL GROUP BY ALL", "incidents_e"), ints=("hour",)))
 def pivot_hour_district(spark, sf):
-    """Hour x district count matrix."""
-    inc = with_date_parts(S.incidents_from_events(spark, sf), parts=("hour",), day_col=None)
-    return _cells_as_double(P.pivot_counts(inc, "hour", "district", S.EVENT_DISTRICTS), ["hour"])
+    """Hour x district counts, long form: every district that occurs."""
+    return P.count_matrix(with_date_parts(S.incidents_from_events(spark, sf), parts=("hour",), day_col=None), ['hour'], "district")
 
 
 @register("pivot_year_dayofmonth", sql=finish(with_views(
@@ -168,18 +164,11 @@ def pivot_year_dayofmonth(spark, sf):
     return _cells_as_double(P.pivot_counts(inc, "year", "dayofmonth", range(1, 32)), ["year"])
 
 
-_YM_COLS = ", ".join(
-    f"CAST(nullif(count(*) FILTER (WHERE district = '{d}'), 0) AS DOUBLE) AS \"{d}\"" for d in S.ORDER_DISTRICTS)
-
-
 @register("pivot_yearmonth_district", sql=finish(with_views(
-    f"SELECT year(ts) AS year, month(ts) AS month, {_YM_COLS} FROM incidents_o GROUP BY 1, 2", "incidents_o"),
-    ints=("year", "month")))
+    "SELECT year(ts) AS year, month(ts) AS month, district, count(*) AS n FROM incidents_o WHERE district IS NOT NULL GROUP BY ALL", "incidents_o"), ints=("year", "month")))
 def pivot_yearmonth_district(spark, sf):
-    """(year, month) x district count matrix (two-column row key)."""
-    inc = with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "month"))
-    return _cells_as_double(P.pivot_counts(inc, ["year", "month"], "district", S.ORDER_DISTRICTS),
-                            ["year", "month"])
+    """Year / month x district counts, long form: every district that occurs."""
+    return P.count_matrix(with_date_parts(S.incidents_from_orders(spark, sf), parts=("year", "month")), ['year', 'month'], "district")
 
 
 @register("label_share_types", sql=finish(with_views("""

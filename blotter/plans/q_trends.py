@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from blotter.operators import trends as TR
-from blotter.operators.labels import sorted_labels
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
 from blotter.sources import tables as S
@@ -25,8 +24,7 @@ def moving_average(spark, sf):
     return TR.global_moving_average(S.incidents_from_orders(spark, sf), MA_GLOBAL)
 
 
-def _keyed_sql(key_sql: str, key: str, values, k: int, scaled: bool) -> str:
-    vals = ", ".join(f"('{v}')" for v in values)
+def _keyed_sql(key_sql: str, key: str, k: int, scaled: bool) -> str:
     tail = f"SELECT day, {key}, n, ma FROM m WHERE rn > {k}"
     if scaled:
         # min / max are taken after the warm-up rows are dropped
@@ -36,33 +34,27 @@ def _keyed_sql(key_sql: str, key: str, values, k: int, scaled: bool) -> str:
 FROM (SELECT * FROM m WHERE rn > {k}) z"""
     return with_views(tail, "incidents_o", ctes=f"""
 c AS (SELECT {key_sql} AS {key}, CAST(ts AS DATE) AS day, count(*) AS n FROM incidents_o GROUP BY ALL),
-g AS (SELECT d.day, kv.{key} FROM (SELECT DISTINCT day FROM c) d CROSS JOIN (VALUES {vals}) kv({key})),
+g AS (SELECT d.day, kv.{key} FROM (SELECT DISTINCT day FROM c) d CROSS JOIN (SELECT DISTINCT {key} FROM c) kv),
 j AS (SELECT g.day, g.{key}, c.n FROM g LEFT JOIN c USING (day, {key})),
 m AS (SELECT *, avg(n) OVER (PARTITION BY {key} ORDER BY day ROWS BETWEEN {k} PRECEDING AND CURRENT ROW) AS ma,
              row_number() OVER (PARTITION BY {key} ORDER BY day) AS rn FROM j)""")
 
 
 @register("moving_average_by_key", sql=finish(
-    _keyed_sql("district", "district", S.ORDER_DISTRICTS, MA_KEYED, False),
+    _keyed_sql("district", "district", MA_KEYED, False),
     dates=("day",), doubles=("n", "ma")))
 def moving_average_by_key(spark, sf):
     """W1 + W2 per district on the dense global-day grid (30-MA = 31 rows)."""
-    out = TR.keyed_moving_average(S.incidents_from_orders(spark, sf), "district",
-                                  S.ORDER_DISTRICTS, MA_KEYED)
+    out = TR.keyed_moving_average(S.incidents_from_orders(spark, sf), "district", MA_KEYED)
     return out.select("day", "district", F.col("n").cast("double").alias("n"), "ma")
 
 
-# label domain of the orders binding (order priorities)
-_PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-
-
 @register("scaled_trend", sql=finish(
-    _keyed_sql("label", "label", _PRIORITIES, MA_TREND, True),
+    _keyed_sql("label", "label", MA_TREND, True),
     dates=("day",), doubles=("n", "ma", "scaled")))
 def scaled_trend(spark, sf):
     """120-MA per label, warm-up dropped, min-max scaled per label."""
-    inc = S.incidents_from_orders(spark, sf)
-    out = TR.scaled_trend(inc, "label", sorted_labels(inc, "label"), MA_TREND)
+    out = TR.scaled_trend(S.incidents_from_orders(spark, sf), "label", MA_TREND)
     return out.select("day", "label", F.col("n").cast("double").alias("n"), "ma", "scaled")
 
 

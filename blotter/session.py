@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,9 +46,10 @@ def apply_cluster_defaults(spark: SparkSession, conf: dict | None = None) -> dic
 
     Returns the settings that were applied; existing values are kept.
     """
+    given = {k for k, _ in spark.sparkContext.getConf().getAll()}
     applied = {}
     for k, v in (conf or CLUSTER_CONF).items():
-        if spark.conf.get(k, None) in (None, ""):
+        if k not in given:
             spark.conf.set(k, v)
             applied[k] = v
     return applied
@@ -56,19 +58,24 @@ def apply_cluster_defaults(spark: SparkSession, conf: dict | None = None) -> dic
 def get_session(master: str | None = None, app: str = "blotter",
                 shuffle_partitions: int | None = None,
                 extra: dict | None = None) -> SparkSession:
-    """Return (or create) a session with the engine's base settings.
+    """Return (or create) a session.
 
-    On a cluster ``master`` stays ``None`` and the submitter's settings win;
-    locally pass e.g. ``local[8]``.
+    On a cluster ``master`` stays ``None``: what the submitter has set stays as
+    it is, :data:`CLUSTER_CONF` fills in the rest. Locally pass e.g.
+    ``local[8]``: :data:`BASE_CONF`, ``shuffle_partitions`` and ``extra`` apply.
     """
-    builder = SparkSession.builder.appName(app)
-    if master:
-        builder = builder.master(master)
-    conf = dict(BASE_CONF)
+    if master is None:
+        builder = SparkSession.builder.appName(app)
+        for k, v in (extra or {}).items():
+            builder = builder.config(k, v)
+        spark = builder.getOrCreate()
+        apply_cluster_defaults(spark)
+        return spark
+    conf = {**BASE_CONF, "spark.driver.memory": os.environ.get("BLOTTER_DRIVER_MEMORY", "8g")}
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.setdefault("spark.driver.memory", os.environ.get("BLOTTER_DRIVER_MEMORY", "8g"))
     conf.update(extra or {})
+    builder = SparkSession.builder.appName(app).master(master)
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -77,16 +84,20 @@ def get_session(master: str | None = None, app: str = "blotter",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster (``spark.checkpoint.dir``).
+    """The folder that all executors share (``spark.checkpoint.dir``).
 
-    The cluster's setting is always used when present. Only when it is
-    unset (local tests) a fresh scratch folder is created and registered.
+    The cluster's setting, or the context's checkpoint folder. Where neither is
+    set, a local master gets a fresh scratch folder; any other raises, since a
+    folder of one machine would lose what the other executors write.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         current = current.get() if current.isDefined() else None
     if not current:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="blotter-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
@@ -100,10 +111,25 @@ def materialize(df, name: str = "table"):
     Used before multi-pass consumers (ML fitting, exact quantiles) so they do
     not recompute a long plan per pass. Unlike an uncached
     ``Dataset.checkpoint`` (which runs the plan twice) the plan runs once; the
-    files are reliable storage, so a lost executor does not lose them.
+    files are reliable storage, so a lost executor does not lose them. They
+    belong to the job: :func:`drop_scratch` deletes them when its results are
+    written.
     """
-    import uuid
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
+
+
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that :func:`materialize` wrote for this application;
+    frames that read them are no longer usable. Returns their number."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return len(paths)

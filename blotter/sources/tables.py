@@ -94,9 +94,3 @@ def cells_from_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(41.55) + (F.col("c_custkey") % F.lit(997)).cast("double") / F.lit(997.0) * F.lit(0.6)).alias("lat"),
         F.col("c_mktsegment").alias("ctype"),
     )
-
-
-# Value domains of the bindings (used as explicit pivot values / key lists).
-EVENT_DISTRICTS = [f"{i:03d}" for i in range(25)]
-ORDER_DISTRICTS = [f"{i:03d}" for i in range(5)]
-PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]

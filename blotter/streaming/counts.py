@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blotter.operators.clean import latest_per_group
 from blotter.session import checkpoint_dir
 
 EVENTS_SCHEMA = T.StructType([
@@ -46,14 +47,23 @@ def hourly_counts(stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
             .select(F.col("w.start").cast("timestamp_ntz").alias("hour_ts"), "district", "n"))
 
 
-def run_to_table(spark: SparkSession, agg: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a streaming aggregate over everything available into a memory table.
+def run_to_table(spark: SparkSession, agg: DataFrame, name: str, keys=("hour_ts", "district")) -> DataFrame:
+    """Drive a streaming aggregate over everything available into a Parquet table.
 
-    The checkpoint goes to the shared checkpoint folder (a new sub-folder
-    per run).
+    Update mode: each micro-batch writes the rows whose counts it changed into
+    its own folder of the table (a batch that runs again overwrites its folder,
+    so each counts once), the watermark drops state that can't change any more,
+    and nothing comes to the driver. The result takes each key's last row.
+    Table and checkpoint are new sub-folders of the shared folder.
     """
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
-    q = (agg.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{base}/table/batch={batch}")
+
+    spark.createDataFrame([], agg.schema).write.parquet(f"{base}/table/batch=-1")  # a stream without rows
+    q = (agg.writeStream.outputMode("update").foreachBatch(write)
+         .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(T.StructType([*agg.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/table")
+    return latest_per_group(rows, list(keys), "batch").drop("batch")

@@ -78,3 +78,38 @@ def test_forecast_constant_and_single_row_series(spark):
         F.count("yhat").alias("with_forecast")).collect()}
     assert got["const"]["n"] == 200 and got["const"]["err"] < 1e-6
     assert got["one"]["n"] == 1 and got["one"]["with_forecast"] == 0      # kept, no model
+
+
+def _wave(n, start, key):
+    import datetime as dt
+    import math
+    return [(key, dt.date(2020, 1, 1) + dt.timedelta(days=i), 20 + 5 * math.sin(2 * math.pi * (i + start) / 7)) for i in range(n)]
+
+
+def test_forecast_horizon_cutoff_null_keys_and_values(spark):
+    import datetime as dt
+
+    from blotter.operators import forecast as FC
+    rows = _wave(200, 0, "a") + _wave(200, 2, None)
+    rows[50] = (*rows[50][:2], None)
+    df = spark.createDataFrame(rows, "k string, day date, n double")
+    out = FC.additive_forecast(df, "k", "day", "n", {"weekly": 3}, horizon=14, n_changepoints=0).collect()
+    assert len(out) == 428
+    for k in ("a", None):
+        mine = [r for r in out if r["k"] == k]
+        future = [r for r in mine if r["y"] is None and r["day"] > dt.date(2020, 7, 18)]
+        assert len(future) == 14 and max(r["day"] for r in future) == dt.date(2020, 8, 1)
+        assert all(r["yhat_lower"] <= r["yhat"] <= r["yhat_upper"] for r in mine)
+        assert max(abs(r["yhat"] - r["y"]) for r in mine if r["y"] is not None) < 0.5
+    late = FC.additive_forecast(df, "k", "day", "n", {"weekly": 3}, cutoff=dt.date(2020, 5, 1), n_changepoints=0).collect()
+    assert sum(not r["is_train"] for r in late) == 2 * (200 - 122)
+    assert max(abs(r["yhat"] - r["y"]) for r in late if r["y"] is not None) < 0.5
+
+
+def test_one_series_forecast_has_no_product_join(spark):
+    from blotter.operators import forecast as FC
+    df = spark.createDataFrame([r[1:] for r in _wave(60, 0, "a")], "day date, n double")
+    fc = FC.additive_forecast(df, None, "day", "n", {"weekly": 3}, holdout=10, n_changepoints=0)
+    plan = fc._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert fc.where("not is_train").count() == 10 and fc.where("yhat is null").count() == 0

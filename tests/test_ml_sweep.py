@@ -28,8 +28,22 @@ def test_sweep_marks_best_and_records_failures(spark):
 
 
 def test_cross_validate_grid(spark):
-    out = M.cross_validate(_frame(spark), ["hour", "dayofweek"], num_trees=(2,), max_depth=(2, 3), folds=2)
-    assert sorted((r["num_trees"], r["max_depth"]) for r in out.collect()) == [(2, 2), (2, 3)]
+    train, test = M.hash_split(_frame(spark), ["id"])
+    out = M.cross_validate(train, test, ["hour", "dayofweek"], ["id"], num_trees=(2,), max_depth=(2, 3), folds=2, pca_k=3).collect()
+    assert sorted((r["num_trees"], r["max_depth"]) for r in out) == [(2, 2), (2, 3)]
+    assert [r["test_f1"] is not None for r in out] == [r["is_best"] for r in out] and sum(r["is_best"] for r in out) == 1
+
+
+def test_null_features_raise_and_null_categories_stay(spark):
+    import pytest
+    df = spark.createDataFrame([(None if i % 5 == 0 else f"00{i % 3}", "ab"[i % 2], i % 24) for i in range(100)],
+                               "district string, label string, hour int")
+    model = M.fit_pipeline(df, ["hour"], "tree", maxDepth=3)
+    assert M.accuracy_summary(model.transform(df)).first()["n"] == 100
+    assert M.f1_score(model.transform(df)) <= 1.0
+    from pyspark.sql import functions as F
+    with pytest.raises(Exception):
+        model.transform(df.withColumn("hour", F.lit(None).cast("int"))).select("prediction").collect()
 
 
 def test_date_part_transformer_persists(spark):

@@ -39,12 +39,19 @@ def test_colour_classes(spark):
         [("2024-01-01", 1, "001", 1), ("2024-01-01", 2, "001", 1), ("2024-01-01", 2, "002", 8),
          ("2024-01-01", 2, "003", 4)], "day string, hour int, district string, n long")
     out = {(r["hour"], r["district"]): r["colour"]
-           for r in LK.colour_classes(counts, ["001", "002", "003", "004"]).collect()}
+           for r in LK.colour_classes(counts).collect()}
     assert out[(1, "001")] == 1            # max = 1 guard
     assert out[(1, "002")] == 0            # absent district
     assert out[(2, "002")] == 8            # count = max
     assert out[(2, "001")] == 2 and out[(2, "003")] == 5   # linspace(1, 8, 8)[1], [4]
-    assert out[(2, "004")] == 0
+    assert {d for _, d in out} == {"001", "002", "003"}
+
+
+def test_colour_of_negative_forecasts_and_unlisted_districts(spark):
+    counts = spark.createDataFrame([("d", 1, "999", -5), ("d", 1, "007", 10), ("d", 1, None, 3)],
+                                   "day string, hour int, district string, n long")
+    out = {r["district"]: r["colour"] for r in LK.colour_classes(counts).collect()}
+    assert out == {"999": 1, "007": 8}
 
 
 def test_top_labels_ties(spark):

@@ -18,7 +18,7 @@ def test_label_shares_top_and_cumulative(spark):
     assert all_["c"]["rank"] == 3 and all_["d"]["rank"] == 4          # tie broken by label
     top = {r["p"]: r for r in P.label_shares(df, "p", top=2, share_of_top=True).collect()}
     assert set(top) == {"a", "b"} and top["b"]["cum_share_pct"] == pytest.approx(100.0)
-    assert [r["p"] for r in P.top_by_count(P.value_counts(df, "p"), "n", "p", 3).collect()] == ["a", "b", "c"]
+    assert sorted(r["p"] for r in P.label_shares(df, "p", top=3).collect()) == ["a", "b", "c"]
 
 
 def test_holiday_effect_window_across_year_end(spark):
@@ -44,3 +44,36 @@ def test_future_grid_721_hours(spark):
     assert counts == {"001": 721, "002": 721}
     first = grid.orderBy("ts").first()
     assert first["ts"] == dt.datetime(2024, 1, 1) and first["dayofweek"] == 2     # a Monday
+
+
+def test_gap_fill_keeps_a_null_key(spark):
+    import datetime as dt
+
+    from blotter.operators import gaps as G
+    rows = [(None, dt.datetime(2020, 1, 1, h)) for h in (1, 1, 3)] + [("a", dt.datetime(2020, 1, 1, 2)), ("a", None)]
+    df = spark.createDataFrame(rows, "district string, ts timestamp_ntz")
+    out = {(r["district"], r["hour_ts"].hour): r["n"] for r in G.hourly_gapfill(df).collect()}
+    assert out == {(None, 1): 2, (None, 2): 0, (None, 3): 1, ("a", 2): 1}
+
+
+def test_count_matrix_has_every_value(spark):
+    from blotter.operators import profiles as P
+    df = spark.createDataFrame([("x", "unlisted"), ("x", None), (None, "b"), ("x", "unlisted")], "r string, c string")
+    assert {tuple(r) for r in P.count_matrix(df, "r", "c").collect()} == {("x", "unlisted", 2), (None, "b", 1)}
+
+
+def test_collapse_by_count_salted_equals_broadcast(spark):
+    import pytest
+
+    from blotter.operators import labels as L
+    df = spark.createDataFrame([(i, ["hot", "hot", "warm", None, f"rare{i}"][i % 5]) for i in range(500)], "id int, place string")
+    a, b = (sorted(map(tuple, L.collapse_rare_by_count(df, "place", 50, max_broadcast=m).collect()), key=repr) for m in (0, 100))
+    assert a == b and {p for _, p in a} == {"hot", "warm", None, L.OTHER_TYPES}
+    with pytest.raises(ValueError):
+        L.collapse_rare_by_share(df, "place", 0)
+
+
+def test_sampler_is_even_on_any_id_lattice(spark):
+    from blotter.operators import clean as CL
+    df = spark.range(0, 10007 * 2000, 10007).selectExpr("id", "'a' AS y")
+    assert 60 < CL.stratified_sample(df, "y", 0.05).count() < 140

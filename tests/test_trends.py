@@ -35,6 +35,14 @@ def test_keyed_grid_absent_day_is_null(spark):
     rows = [("a", dt.datetime(2020, 1, 1, 5)), ("b", dt.datetime(2020, 1, 2, 5)), ("a", dt.datetime(2020, 1, 3, 5))]
     df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
     out = {(r["k"], r["day"]): (r["n"], r["ma"]) for r in
-           TR.moving_average(TR.dense_daily(TR.daily_counts(df, ["k"]), "k", ["a", "b", "c"]), 1, "k").collect()}
+           TR.moving_average(TR.dense_daily(TR.daily_counts(df, ["k"]), "k"), 1, "k").collect()}
     assert out[("a", dt.date(2020, 1, 2))] == (None, 1.0)     # absent day: null count, average skips it
-    assert out[("c", dt.date(2020, 1, 1))] == (None, None)    # a key without any row
+
+
+def test_null_keys_and_null_days(spark):
+    rows = [(None, dt.datetime(2020, 1, 1, 5)), ("b", dt.datetime(2020, 1, 2, 5)), ("b", None)]
+    df = spark.createDataFrame(rows, "k string, ts timestamp_ntz")
+    out = {(r["k"], r["day"]): r["n"] for r in TR.dense_daily(TR.daily_counts(df, ["k"]), "k").collect()}
+    d1, d2 = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
+    assert out == {(None, d1): 1, (None, d2): None, ("b", d1): None, ("b", d2): 1}
+    assert TR.global_moving_average(df, 0).count() == 2
