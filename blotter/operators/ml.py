@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.functions.timeparts import part as date_part
-from blotter.operators.clean import hash_unit
+from blotter.operators.clean import hash_unit, stratified_sample
 from blotter.session import materialize
 
 # ---------------------------------------------------------------- T3
@@ -283,20 +283,24 @@ def run_config(train: DataFrame, test: DataFrame, name: str, features: Sequence[
 
 SWEEP_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds double, "
                 "train_acc double, test_acc double, top_3_train_acc double, top_3_test_acc double, "
-                "error string, is_best boolean")
+                "error string, is_best boolean, fractions string")
 
 
-def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelism: int = 4) -> DataFrame:
+def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelism: int = 4,
+          fractions=None, id_col: str = "id") -> DataFrame:
     """One Spark job set per configuration, results as a DataFrame.
 
     Inputs are written once (every run reads the tables in the shared folder,
     so a lost executor costs no recomputation). Independent configurations are fitted concurrently from ``parallelism``
     driver threads (like ``CrossValidator(parallelism=...)``), so small fits
     share the cluster instead of queueing; ``seconds`` is each run's wall
-    time under that concurrency.
+    time under that concurrency. ``fractions`` samples both sides per label
+    first (logged as Yes / No).
     """
     from concurrent.futures import ThreadPoolExecutor
 
+    if fractions is not None:
+        train, test = (stratified_sample(d, "label", fractions, id_col) for d in (train, test))
     train, test = materialize(train, "train"), materialize(test, "test")
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
         rows = list(pool.map(lambda c: run_config(train, test, **c), configs))
@@ -307,7 +311,7 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
     out = spark.createDataFrame([tuple(r[k] for k in
                                        ("pipeline", "model", "scaler", "pca_k", "seconds", "train_acc",
                                         "test_acc", "top_3_train_acc", "top_3_test_acc", "error"))
-                                 + (i == best,) for i, r in enumerate(rows)], SWEEP_SCHEMA)
+                                 + (i == best, "No" if fractions is None else "Yes") for i, r in enumerate(rows)], SWEEP_SCHEMA)
     return out
 
 

@@ -144,6 +144,45 @@ SWEEP_CONFIGS = [
 ]
 
 
+def grid(model: str, scaler: str = "none", pca=(None,), sets=tuple(M.FEATURE_SETS)) -> list[dict]:
+    """One configuration per feature set and PCA size."""
+    return [dict(name=" ".join([fc, *([] if scaler == "none" else [scaler]), *([f"pca_{k}"] if k else [])]),
+                 features=M.FEATURE_SETS[fc], model=model, scaler=scaler, pca_k=k) for fc in sets for k in pca]
+
+
+# The reference's grids of feature sets, scalers and PCA sizes per classifier.
+FIRST, MIDDLE = ("fc_1", "fc_2"), ("fc_2", "fc_3", "fc_4")
+LR_GRID = [*grid("lr"), *(c for s in ("standard", "minmax", "norm_minmax", "norm_standard", "norm_maxabs") for c in grid("lr", s, sets=MIDDLE)),
+           *grid("lr", "standard", (3, 10), FIRST)]
+TREE_GRID = [*grid("tree"), *grid("tree", "standard", sets=FIRST), *grid("tree", "minmax", sets=FIRST), *grid("tree", "normalizer", sets=MIDDLE),
+             *grid("tree", "standard", (3, 6, 10, 15, 20), MIDDLE)]
+MLP_GRID = [*grid("mlp"), *(c for s in ("standard", "minmax", "normalizer", "norm_minmax", "norm_standard", "norm_maxabs")
+                            for c in grid("mlp", s, sets=MIDDLE)), *grid("mlp", "standard", (3, 6, 10, 15, 20), MIDDLE)]
+
+
+def _sweep(spark, sf, configs):
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    return M.sweep(train, test, configs)
+
+
+@register("sweep_lr")
+def sweep_lr(spark, sf):
+    """The whole grid for logistic regression (25 runs)."""
+    return _sweep(spark, sf, LR_GRID)
+
+
+@register("sweep_tree")
+def sweep_tree(spark, sf):
+    """The whole grid for decision trees (28 runs; a PCA size beyond the features is a failed run)."""
+    return _sweep(spark, sf, TREE_GRID)
+
+
+@register("sweep_mlp")
+def sweep_mlp(spark, sf):
+    """The whole grid for perceptrons (39 runs)."""
+    return _sweep(spark, sf, MLP_GRID)
+
+
 @register("sweep")
 def sweep(spark, sf):
     """Feature sets x scalers x PCA per model, one result row per run."""
