@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op5_decontamination")
+@query("op5_decontamination", decontam.SQL)
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every whole document."""
     return decontam.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -74,7 +74,7 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(read_table(spark, sf_dir, "pages"))
 
 
-@query("op4_warc")
+@query("op4_warc", warc.SQL)
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written as WARC records and read back by the index."""
     return warc.round_trip(read_table(spark, sf_dir, "pages"))

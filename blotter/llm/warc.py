@@ -190,3 +190,19 @@ def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     index = write(pages, folder, id_col, url_col, payload_col, min_bytes)
     back = read(index, folder, with_payload=False)
     return back.select(F.col("id").alias(id_col), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: The round trip's result in DuckDB's SQL: five hex digits are four of base 32.
+SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex,
+         row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id DESC NULLS LAST) AS k,
+         max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id
+  FROM pages)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda j: substr('{_CHARS}',
+         ((CAST('0x' || substr(hex, CAST(j // 4 * 5 + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - j % 4 * 5 AS BIGINT)) & 31) + 1, 1)), '') AS payload_digest,
+       CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first_id END AS refers_to
+FROM p
+"""
