@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 # Holiday names and rules (United States federal days plus the
 # Illinois additions). kind: "fixed" = month/day; "nth" = n-th weekday of the
 # month (weekday 1 = Monday .. 7 = Sunday, n = -1 for the last one);
-# "election" = Tuesday after the first Monday of November in even years.
+# "election" = Tuesday after the first Monday of November in even years. The
+# last field is the first year of the rule.
 HOLIDAY_RULES = [
-    ("New Year's Day", "fixed", 1, 1, None, None),
-    ("Martin Luther King Jr. Day", "nth", 1, None, 1, 3),
-    ("Lincoln's Birthday", "fixed", 2, 12, None, None),
-    ("Washington's Birthday", "nth", 2, None, 1, 3),
-    ("Memorial Day", "nth", 5, None, 1, -1),
-    ("Independence Day", "fixed", 7, 4, None, None),
-    ("Labor Day", "nth", 9, None, 1, 1),
-    ("Columbus Day", "nth", 10, None, 1, 2),
-    ("Election Day", "election", 11, None, 2, None),
-    ("Veterans Day", "fixed", 11, 11, None, None),
-    ("Thanksgiving", "nth", 11, None, 4, 4),
-    ("Christmas Day", "fixed", 12, 25, None, None),
+    ("New Year's Day", "fixed", 1, 1, None, None, None),
+    ("Martin Luther King Jr. Day", "nth", 1, None, 1, 3, None),
+    ("Lincoln's Birthday", "fixed", 2, 12, None, None, None),
+    ("Washington's Birthday", "nth", 2, None, 1, 3, None),
+    ("Casimir Pulaski Day", "nth", 3, None, 1, 1, 1978),
+    ("Memorial Day", "nth", 5, None, 1, -1, None),
+    ("Independence Day", "fixed", 7, 4, None, None, None),
+    ("Labor Day", "nth", 9, None, 1, 1, None),
+    ("Columbus Day", "nth", 10, None, 1, 2, None),
+    ("Election Day", "election", 11, None, 2, None, 2008),
+    ("Veterans Day", "fixed", 11, 11, None, None, None),
+    ("Thanksgiving", "nth", 11, None, 4, 4, None),
+    ("Christmas Day", "fixed", 12, 25, None, None, None),
 ]
 OBSERVED_SUFFIX = " (Observed)"
 NO_HOLIDAY = "none"
@@ -64,9 +66,9 @@ def holiday_calendar(years: DataFrame, year_col: str = "year") -> DataFrame:
     y = F.col(year_col)
     rules = F.array(*[
         F.struct(F.lit(name).alias("name"),
-                 _rule_date(y, kind, month, mday, wd, n).alias("day"),
+                 F.when(y >= (since or 0), _rule_date(y, kind, month, mday, wd, n)).alias("day"),
                  F.lit(kind == "fixed").alias("movable"))
-        for name, kind, month, mday, wd, n in HOLIDAY_RULES
+        for name, kind, month, mday, wd, n, since in HOLIDAY_RULES
     ])
     base = (years.select(F.explode(rules).alias("h"))
             .select(F.col("h.day").alias("day"), F.col("h.name").alias("holiday_name"),

@@ -97,34 +97,36 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def _nth_sql(month: int, weekday: int, n: int) -> str:
-    first = f"make_date(year, {month}, 1)"
-    if n > 0:
-        return f"({first} + CAST(({weekday} - isodow({first}) + 7) % 7 + {7 * (n - 1)} AS INTEGER))"
-    last = f"last_day({first})"
-    return f"({last} - CAST((isodow({last}) - {weekday} + 7) % 7 AS INTEGER))"
-
-
-def calendar_sql(daily: str = "daily") -> str:
-    """CTEs ``yrs``, ``hbase``, ``cal`` (day, holiday_name, observed) and ``cal1``."""
-    rules = []
-    for name, kind, month, mday, wd, n in C.HOLIDAY_RULES:
-        if kind == "fixed":
-            d = f"make_date(year, {month}, {mday})"
-        elif kind == "nth":
-            d = _nth_sql(month, wd, n)
-        else:
-            d = f"CASE WHEN year % 2 = 0 THEN {_nth_sql(11, 1, 1)} + 1 END"
-        rules.append(f"SELECT {_q(name)} AS holiday_name, {d} AS day, "
-                     f"{'TRUE' if kind == 'fixed' else 'FALSE'} AS movable FROM yrs")
+def _calendar_rows(first: int, last: int):
+    """``(day, name, observed, year)`` of the years, by counting the days of printed
+    months: a second way to the calendar, independent of its rules in Spark."""
+    import calendar as printed
+    import datetime as dt
+    for year in range(first, last + 1):
+        def weeks(month, weekday):
+            return [w[weekday] for w in printed.monthcalendar(year, month) if w[weekday]]
+        mondays = {m: weeks(m, printed.MONDAY) for m in (1, 2, 3, 5, 9, 10)}
+        moving = {"Martin Luther King Jr. Day": (1, mondays[1][2]), "Washington's Birthday": (2, mondays[2][2]),
+                  "Casimir Pulaski Day": (3, mondays[3][0]), "Memorial Day": (5, mondays[5][-1]), "Labor Day": (9, mondays[9][0]),
+                  "Columbus Day": (10, mondays[10][1]), "Thanksgiving": (11, weeks(11, printed.THURSDAY)[3])}
+        if year >= 2008 and year % 2 == 0:
+            moving["Election Day"] = (11, weeks(11, printed.MONDAY)[0] + 1)
+        fixed = {"New Year's Day": (1, 1), "Lincoln's Birthday": (2, 12), "Independence Day": (7, 4), "Veterans Day": (11, 11), "Christmas Day": (12, 25)}
+        for name, (month, day) in [*moving.items(), *fixed.items()]:
+            d = dt.date(year, month, day)
+            yield d, name, False, year
+            if name in fixed and d.weekday() >= 5:
+                yield d + dt.timedelta(days=-1 if d.weekday() == 5 else 1), name + " (Observed)", True, year
+
+
+def calendar_sql(first: int = 1990, last: int = 2010) -> str:
+    """CTEs ``cal`` (day, holiday_name, observed) as VALUES, for the years of
+    ``daily`` and one more on each side, and ``cal1`` (one row per day)."""
+    rows = ", ".join(f"(DATE '{d}', {_q(n)}, {o}, {y})" for d, n, o, y in _calendar_rows(first, last))
     return f"""
-yrs AS (SELECT unnest(range(min(year(day)) - 1, max(year(day)) + 2)) AS year FROM {daily}),
-hbase AS (SELECT * FROM ({' UNION ALL '.join(rules)}) r WHERE day IS NOT NULL),
-cal AS (SELECT day, holiday_name, FALSE AS observed FROM hbase
-        UNION ALL
-        SELECT CASE WHEN isodow(day) = 6 THEN day - 1 ELSE day + 1 END,
-               holiday_name || {_q(C.OBSERVED_SUFFIX)}, TRUE
-        FROM hbase WHERE movable AND isodow(day) >= 6),
+every(day, holiday_name, observed, yr) AS (VALUES {rows}),
+cal AS (SELECT day, holiday_name, observed FROM every
+        WHERE yr BETWEEN (SELECT min(year(day)) - 1 FROM daily) AND (SELECT max(year(day)) + 1 FROM daily)),
 cal1 AS (SELECT day, arg_min(holiday_name, CAST(observed AS INT)) AS holiday_desc,
                 min(CAST(observed AS INT)) AS is_observed FROM cal GROUP BY day)"""
 

@@ -18,6 +18,9 @@ def test_rule_dates(spark):
     assert (dt.date(2019, 10, 14), "Columbus Day") in cal
     assert (dt.date(2018, 11, 6), "Election Day") in cal
     assert not any(n == "Election Day" and d.year == 2019 for d, n in cal)
+    assert (dt.date(2019, 3, 4), "Casimir Pulaski Day") in cal
+    old = _cal(spark, [1977, 2006])
+    assert not any(n in ("Election Day",) for _, n in old) and (dt.date(1977, 3, 7), "Casimir Pulaski Day") not in old
     # Sunday holiday -> observed Monday; Saturday -> observed Friday (across a year end)
     assert cal[(dt.date(2017, 1, 2), "New Year's Day (Observed)")] is True
     assert cal[(dt.date(2021, 12, 31), "New Year's Day (Observed)")] is True
