@@ -190,3 +190,11 @@ def table_counts(spark, sf):
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+@register("fill_zero", sql=finish(with_views(
+    "SELECT segment, day, coalesce(nullif(speed, -1), 0) AS speed FROM readings", "readings"), dates=("day",), doubles=("speed",)))
+def fill_zero(spark, sf):
+    """Missing readings as 0."""
+    rows = S.readings_from_lineitem(spark, sf).withColumn("speed", F.nullif("speed", F.lit(-1.0)))
+    return CL.fill_zero(rows, ["speed"]).select("segment", "day", "speed")

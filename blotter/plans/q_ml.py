@@ -17,7 +17,7 @@ from blotter.functions.timeparts import with_date_parts
 from blotter.operators import history as H
 from blotter.operators import ml as M
 from blotter.operators.labels import sorted_labels
-from blotter.plans.q_history import BASE_YEAR
+from blotter.plans.q_history import BASE_YEAR, hist_sql
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
 from blotter.session import checkpoint_dir, materialize
@@ -329,3 +329,61 @@ def predicted_vs_actual(spark, sf):
     """M20 + J9: predicted and true counts per class."""
     out = M.predicted_vs_actual(_pseudo(spark, sf))
     return out.withColumn("cls", F.col("cls").cast("int"))
+
+
+@register("training_frame", sql=finish(hist_sql(False, more_ctes="""
+li AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS li, count(*) OVER () AS nl FROM labs),
+lg AS (SELECT st.*, li.li, li.nl FROM st JOIN li USING (label)),
+vec AS (SELECT district, day, hour, 0 * nl + li AS idx, alym AS value FROM lg
+        UNION ALL SELECT district, day, hour, 1 * nl + li, apm FROM lg
+        UNION ALL SELECT district, day, hour, 2 * nl + li, apy FROM lg
+        UNION ALL SELECT district, day, hour, 3 * nl + li, ata FROM lg)""", tail="""
+SELECT b.district, b.label, b.day, b.hour, b.n, dayofweek(b.day) + 1 AS dayofweek, month(b.day) AS month, vec.idx, vec.value
+FROM b JOIN vec ON vec.district = b.district AND vec.day = b.day AND vec.hour = b.hour"""),
+    dates=("day",), ints=("hour", "n", "dayofweek", "month", "idx"), doubles=("value",)))
+def training_frame(spark, sf):
+    """J1 + J4 + F10: the training rows, one per observed cell, with date parts,
+    count and vector (as (idx, value) rows)."""
+    inc = S.incidents_from_orders(spark, sf)
+    rows = H.feature_frame(inc, sorted_labels(inc, "label"), BASE_YEAR)
+    return rows.select("district", "label", "day", "hour", "n", "dayofweek", "month",
+                       F.posexplode(M.vector_to_array(F.col("probability_vector"))).alias("idx", "value"))
+
+
+@register("date_part_stages", sql=finish(with_views(
+    "SELECT id, hour(ts) AS hour_part, quarter(ts) AS quarter_part, dayofweek(ts) + 1 AS dow_part FROM incidents_o", "incidents_o"),
+    ints=("hour_part", "quarter_part", "dow_part")))
+def date_part_stages(spark, sf):
+    """T3 + U4: date parts as pipeline stages."""
+    from pyspark.ml import Pipeline
+    rows = S.incidents_from_orders(spark, sf)
+    stages = [M.DatePartTransformer(inputCol="ts", outputCol=f"{short}_part", part=part)
+              for short, part in (("hour", "hour"), ("quarter", "quarter"), ("dow", "dayofweek"))]
+    return Pipeline(stages=stages).fit(rows).transform(rows).select("id", "hour_part", "quarter_part", "dow_part")
+
+
+@register("delimited_lines", sql=finish(with_views(
+    "SELECT CAST(id AS VARCHAR) AS c0, district AS c1, label || ',' || district AS c2 FROM incidents_e", "incidents_e")))
+def delimited_lines(spark, sf):
+    """S3: incidents written as plain lines and split into at most three fields."""
+    path = os.path.join(checkpoint_dir(spark), "lines", uuid.uuid4().hex)
+    inc = S.incidents_from_events(spark, sf)
+    inc.select(F.concat_ws(",", F.col("id").cast("string"), "district", "label", "district").alias("value")).write.text(path)
+    return FS.read_delimited_lines(spark, path, 3)
+
+
+@register("model_roundtrip_differences", sql=finish(with_views("""
+SELECT label, count(*) AS n_rows, 0 AS n_different FROM (
+  SELECT DISTINCT district, label, CAST(ts AS DATE) AS day, hour(ts) AS hour FROM incidents_o WHERE year(ts) >= 2000) c GROUP BY label""",
+    "incidents_o"), ints=("n_rows", "n_different")))
+def model_roundtrip_differences(spark, sf):
+    """Rows per label that a saved and loaded model scores otherwise than the fitted one."""
+    train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
+    model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=5)
+    path = os.path.join(checkpoint_dir(spark), "models", f"tree-{uuid.uuid4().hex}")
+    M.save_model(model, path)
+    keys = ["district", "label", "day", "hour"]
+    first = model.transform(test).select(*keys, "probability")
+    again = M.load_model(path).transform(test).select(*keys, F.col("probability").alias("again"))
+    other = F.exists(F.zip_with(M.vector_to_array(F.col("probability")), M.vector_to_array(F.col("again")), lambda a, b: a != b), lambda x: x)
+    return first.join(again, keys).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(other).alias("n_different"))
