@@ -92,13 +92,16 @@ def url_tokens(target: Column) -> Column:
     return F.array_union(F.array(F.lit("")), found)
 
 
-def rule_index(spark: SparkSession, rules: list[Rule], seen: DataFrame) -> DataFrame:
+def rule_index(spark: SparkSession, rules: list[Rule], seen: DataFrame, small: bool = True) -> DataFrame:
     """``(token, regex, verdict, rank, name)``, a row per rule; ``seen`` has the
-    tokens of all URLs, one row (``token``, ``n``) for each and copy count."""
+    tokens of all URLs, one row (``token``, ``n``) for each and copy count. Tokens
+    of rules are broadcast if ``small``; else tokens are summed before they meet,
+    so that a frequent one is no hot group."""
     filed = [(i, t, regex(r.pattern), r.verdict, r.rank, r.name) for i, r in enumerate(rules) for t in (tokens(r.pattern) or [""])]
     table = spark.createDataFrame(filed, "rule int, token string, regex string, verdict string, rank int, name string")
     wanted = table.select("token").distinct()
-    counts = seen.join(wanted, "token").groupBy("token").agg(F.sum("n").alias("n"))
+    seen = seen.join(F.broadcast(wanted), "token") if small else seen
+    counts = seen.groupBy("token").agg(F.sum("n").alias("n"))
     least = (table.join(counts, "token", "left").groupBy("rule", "regex", "verdict", "rank", "name")
              .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("best")))
     return least.select(F.col("best.token").alias("token"), "regex", "verdict", "rank", "name")
@@ -115,8 +118,9 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: st
     rows = pages.select(*others, host.alias("host"), path.alias("path")).withColumn(key, F.concat("host", "path"))
     urls = materialize(rows.groupBy(F.col(key).alias("target")).agg(F.count("*").alias("n")), "urls")
     split = urls.select("target", "n", F.explode(url_tokens(F.col("target"))).alias("token"))
-    index = materialize(rule_index(spark, rules, split), "rules")
-    index = F.broadcast(index) if len(rules) <= broadcast_rules else index
+    small = len(rules) <= broadcast_rules
+    index = materialize(rule_index(spark, rules, split, small), "rules")
+    index = F.broadcast(index) if small else index
     fits = split.join(index, "token").where(F.expr("target rlike regex"))
     order = F.struct("rank", F.coalesce(F.length("name"), F.lit(0)).alias("size"), F.coalesce("name", F.lit("")).alias("text"), "verdict", "name")
     best = fits.groupBy("target").agg(F.max(order).alias("best"))
