@@ -83,7 +83,8 @@ def merged(per: DataFrame, *keys: str) -> DataFrame:
 
 
 def _quartiles(r: str, prefix: str) -> list[Column]:
-    return [F.kll_sketch_get_quantile_double(F.col(r), F.lit(q)).alias(f"{prefix}_{r}_{name}") for q, name in ((0.25, "q1"), (0.75, "q3"))]
+    return [F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double(F.col(r), F.lit(q))).alias(f"{prefix}_{r}_{name}")
+            for q, name in ((0.25, "q1"), (0.75, "q3"))]
 
 
 def thresholds(stats: DataFrame, min_rows: int, spread: float) -> DataFrame:
@@ -97,7 +98,7 @@ def thresholds(stats: DataFrame, min_rows: int, spread: float) -> DataFrame:
     out = []
     for r, (floor, _) in RATIOS.items():
         q1, q3 = (F.when(F.col("own_n") >= min_rows, F.col(f"own_{r}_{q}")).when(F.col("lang_n") >= min_rows, F.col(f"lang_{r}_{q}"))
-                  .otherwise(F.lit(everything[f"all_{r}_{q}"])) for q in ("q1", "q3"))
+                  .otherwise(F.lit(everything[f"all_{r}_{q}"]).cast("double")) for q in ("q1", "q3"))
         width = F.greatest(q3 - q1, F.lit(floor)) * spread
         out += [(q1 - width).alias(f"low_{r}"), (q3 + width).alias(f"high_{r}")]
     return both.select("lang", "source", *out)
