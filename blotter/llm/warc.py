@@ -91,7 +91,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1("payload"))
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.concat_ws(":", "sha1", F.octet_length("payload"))))
     first = rows.groupBy("key").agg(F.max(F.struct("id", "row")).alias("first")).where("key is not null").withColumnRenamed("key", "first_key")
-    met = rows.join(first, F.col("key") == F.col("first_key"), "left")
+    # a hash join: payloads are dealt out by key but never sorted
+    met = rows.join(first.hint("shuffle_hash"), F.col("key") == F.col("first_key"), "left")
     named = met.select("id", "url", "sha1", F.octet_length("payload").cast("long").alias("size"), F.col("first.id").alias("refers_to"),
                        (F.col("first.row") != F.col("row")).alias("again"), "payload")
     named = named.withColumn("payload", F.when(~F.coalesce("again", F.lit(False)), F.col("payload")))
@@ -173,8 +174,9 @@ def read(index: DataFrame, folder: str, with_payload: bool = True, **coalesce) -
                 cols = [c.split()[0] for c in READ.split(", ")]
                 yield pd.DataFrame(out, columns=cols).astype({c: "Int64" for c in ("id", "payload_bytes", "refers_to")})
 
-    # ranges are dealt evenly: each is a read of bounded size
-    return ranges(index, **coalesce).mapInPandas(parsed, READ)
+    # an index row is small but its record isn't: ranges are dealt to all tasks
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges(index, **coalesce).repartition(tasks, "file", "start").mapInPandas(parsed, READ)
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0) -> DataFrame:
