@@ -24,38 +24,60 @@ from __future__ import annotations
 
 import bisect
 import math
-import unicodedata
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blotter.llm.common import materialize
-
-CACHE = 250_000  # words whose ids a worker keeps
-BATCH = 2 << 20  # characters that are tokenised together
+from blotter.llm.common import materialize, utf8_chunks
+
+CACHE = 200_000  # words whose ids a worker keeps, in each of two generations
+BATCH = 2 << 20  # bytes that are tokenised together
+_LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
+_KIND = np.full(256, _SIGN, dtype=np.uint8)  # of a byte; 0 for space and line end
+_KIND[[32, 10]] = 0
+_KIND[[*range(65, 91), *range(97, 123), 0xC3]] = _LETTER
+_KIND[48:58] = _DIGIT
+_UPPER = (np.arange(256) >= 65) & (np.arange(256) <= 90)
+_KIND[[*range(9), 9, *range(11, 32), 39, 127]] = _OTHER  # controls and the apostrophe
+_KIND[128:0xC3] = _OTHER
+_KIND[0xC4:] = _OTHER
+_MIX = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """step ** i and its inverse modulo 2 ** 64, for i below n."""
+    out = []
+    for base in (_STEP, pow(_STEP, -1, 1 << 64)):
+        row = np.full(n, base, dtype=np.uint64)
+        row[:1] = 1
+        out.append(np.multiply.accumulate(row))
+    return out[0], out[1]
 
 
 class WordTokens:
     """Ids of a ``tokenizers`` file whose pre-tokeniser never joins characters
     across white space, word by word through a cache.
 
-    Texts are split at spaces and line ends, each different word is encoded by
-    the library once per batch, and ids are put together by words.
-    A text that holds a special token's string is encoded whole.
+    Texts are split at spaces and line ends, words of plain letters, digits and
+    signs also between these, as the pre-tokeniser would. Words are told apart by
+    64-bit hashes that are computed for all words of a batch at once, each
+    different word is encoded by the library, and ids are put together by words. Words
+    used lately stay known (two generations, so that memory is bounded). A text
+    that holds a special token's string is encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.whole = Tokenizer.from_file(path)
         special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.special, self.cut = special, special[0]
+        self.special, self.cut = [x.encode() for x in special], special[0]
         self.cut_id = self.whole.token_to_id(self.cut)
         # the same model for words that are lower-case letters already: one pre-token each
         self.plain = Tokenizer.from_file(path)
@@ -65,10 +87,12 @@ class WordTokens:
         vocab = self.whole.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[int, bytes] = {}  # ids by hash, of this generation
+        self.older: dict[int, bytes] = {}
+        self.powers = _powers(BATCH + 1)
 
     def _encode_plain(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.plain.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip([0, *ends], ends)]
@@ -79,41 +103,80 @@ class WordTokens:
         raw = ids.tobytes()
         return [raw[4 * a:4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)]
 
-    def _learn(self, words: set[str]) -> None:
-        cache, plain, other, parts = self.cache, {}, {}, []
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            stem = low.rstrip("!\"#$%&()*+,-./:;<=>?@[]^_{|}~")
-            if stem.isalpha() and (stem.isascii() or (stem == stem.lower() and unicodedata.is_normalized("NFC", stem))):
-                tail = low[len(stem):]
-                parts.append((w, stem, tail))
-                if stem not in cache:
-                    plain[stem] = None
-                if tail and tail not in cache:
-                    other[tail] = None
-            else:
-                other[w] = None
-        for some, encode in ((list(plain), self._encode_plain), (list(other), self._encode_any)):
-            if some:
-                cache.update(zip(some, encode(some)))
-        for w, stem, tail in parts:
-            cache[w] = cache[stem] + cache[tail] if tail else cache[stem]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [[] if any(s in t for s in self.special) else t.replace("\n", " ").split(" ") for t in texts]
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(data) >= len(self.powers[0]):
+            self.powers = _powers(len(data) + 1)
+        up, down = self.powers
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_MIX[data] * up[:len(data)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _MIX[0]
+        return h ^ (h >> np.uint64(29))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+        """Little-endian 32-bit ids of each text of a run of UTF-8 bytes."""
+        whole, n = data.tobytes(), len(data)
+        padded = np.full(n + 2, 32, dtype=np.uint8)
+        padded[1:-1] = data
+        kind = _KIND[padded]  # of each byte, 0 white space
+        # C3 and a second byte other than those of two signs is a letter that is composed already
+        second = padded[:-1] == 0xC3
+        kind[1:][second & (padded[1:] != 0x97) & (padded[1:] != 0xB7)] = _LETTER
+        edge = np.zeros(n + 1, dtype=bool)  # a text ends its last word, whatever follows
+        edge[offs] = True
+        mine, before, after = kind[1:-1], kind[:-2], kind[2:]
+        solid = mine > 0
+        first, last = solid & ((before == 0) | edge[:-1]), solid & ((after == 0) | edge[1:])
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        odd = np.zeros(n + 1, dtype=np.int32)
+        np.cumsum(mine == _OTHER, out=odd[1:])
+        simple = odd[ends] == odd[starts]  # words of ASCII without apostrophes, and such letters
+        plain = np.zeros(n + 1, dtype=np.int8)
+        plain[starts[simple]] = 1
+        plain[ends[simple]] -= 1
+        plain = np.cumsum(plain[:-1], dtype=np.int8).view(bool)
+        capital = _UPPER[data] | ((padded[:-2] == 0xC3) & (data >= 0x80) & (data <= 0x9E))
+        small = data + (capital & plain) * np.uint8(32)
+        # simple words fall into runs of letters, digits and signs, as the pre-tokeniser has it
+        cut = np.flatnonzero(plain & (mine != before) & ~first)
+        first[cut] = True
+        last[cut - 1] = True
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        data = small
+        codes, different = pd.factorize(self._hashes(data, starts, ends))
+        seen = np.empty(len(different), dtype=np.int64)
+        seen[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        letters = (odd[ends] == odd[starts]) & (mine[starts] == _LETTER) if len(starts) else np.zeros(0, bool)
+        raw = data.tobytes()
         if len(self.cache) > CACHE:
-            self.cache.clear()
-        self.cache[""] = b""
-        words = set().union(*split) if split else set()
-        self._learn({w for w in words if w not in self.cache})
-        get = self.cache.__getitem__
-        out = []
-        for text, ws in zip(texts, split):
-            if ws:
-                out.append(b"".join(map(get, ws)))
-            else:
-                out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+            self.cache, self.older = {}, self.cache
+        cache, older, keys = self.cache, self.older, different.tolist()
+        new: tuple[list[int], list[int]] = [], []
+        whole_words = letters[seen].tolist()
+        for i, k in enumerate(keys):
+            if k not in cache:
+                if k in older:
+                    cache[k] = older[k]
+                else:
+                    new[whole_words[i]].append(i)
+        for some, encode in zip(new, (self._encode_any, self._encode_plain)):
+            if some:
+                at = seen[some]
+                cache.update(zip([keys[i] for i in some], encode([raw[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist())])))
+        known = [cache[k] for k in keys]
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        pool = np.frombuffer(b"".join(known), dtype="<u4")
+        begin = np.cumsum(sizes) - sizes
+        size = sizes[codes]
+        done = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(begin[codes] - done[:-1], size) + np.arange(done[-1])
+        ids = pool[at].tobytes()
+        cuts = done[np.searchsorted(starts, offs)].tolist()
+        out = [ids[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]
+        for mark in self.special:
+            if mark in whole:
+                for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                    if mark in whole[a:b]:
+                        out[i] = np.array(self.whole.encode(whole[a:b].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         return out
 
 
@@ -127,22 +190,14 @@ def pieces_of(text: Column, tokenizer: str, capacity: int, end_id: int, with_ids
     def cut(col: pa.Array) -> pa.Array:
         if tokenizer not in _TOKENS:
             _TOKENS[tokenizer] = WordTokens(tokenizer)
-        end, out, some, size = np.array([end_id], "<u4").tobytes(), [], [], 0
-
-        def flush():
-            for raw in _TOKENS[tokenizer].encode(some):
+        end, out = np.array([end_id], "<u4").tobytes(), []
+        for data, offs in utf8_chunks(col, BATCH):
+            for raw in _TOKENS[tokenizer].encode(data, offs):
                 raw += end
                 cuts = range(0, len(raw), 4 * capacity)
                 out.append([{"piece": i, "start": a // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part),
                              "ids": part if with_ids else None}
                             for i, a in enumerate(cuts) for part in (raw[a:a + 4 * capacity],)])
-        for t in pc.fill_null(col, ""):
-            some.append(t.as_py())
-            size += len(some[-1])
-            if size > BATCH:
-                flush()
-                some, size = [], 0
-        flush()
         return pa.array(out, pa.list_(_PIECE))
     return cut(text)
 

@@ -86,7 +86,11 @@ def texts():
 def test_word_tokens_equal_the_library():
     whole = Tokenizer.from_file(PATH)
     data = [t or "" for t in texts()]
-    for t, got in zip(data, packing.WordTokens(PATH).encode(data)):
+    raw = [t.encode() for t in data]
+    tokens = packing.WordTokens(PATH)
+    run = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    assert tokens.encode(*run) == tokens.encode(*run)
+    for t, got in zip(data, tokens.encode(*run)):
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:80]
 
 
