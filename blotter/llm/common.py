@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blotter.session import checkpoint_dir, materialize
 
-__all__ = ["importable", "read_table", "materialize", "scratch_path", "unused", "utf8_chunks"]
+__all__ = ["importable", "read_table", "materialize", "scratch_path", "unused", "utf8_chunks", "worker_state"]
+
+ROWS = 1000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +23,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let the Python workers of a local session import this package from where
-    the driver has it (a cluster ships it with ``--py-files``)."""
+    """Make a session fit for the operators.
+
+    The Python workers of a local session import this package from where the
+    driver has it (a cluster ships it with ``--py-files``). Arrow batches hold
+    at most ``ROWS`` whole texts: Spark's default of 10,000 would be tens to
+    hundreds of MB in the JVM and again in Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -47,7 +55,19 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def utf8_chunks(col: pa.Array, max_bytes: int = 4 << 20):
+_STATE: dict = {}
+
+
+def worker_state(key: str, make):
+    """What ``make`` returns, kept by this Python worker until another key is
+    asked for: a worker holds the tables of one operator at a time."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def utf8_chunks(col: pa.Array, max_bytes: int = 1 << 20):
     """Split a string array into runs of rows of about ``max_bytes`` of UTF-8.
 
     Yields ``(data, offsets)``: the bytes of the run as a uint8 array and the

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import materialize, unused, utf8_chunks
+from blotter.llm.common import materialize, unused, utf8_chunks, worker_state
 
 SPACE, CUT = 32, 10  # between words; between documents
 LANES = 16384
@@ -170,7 +170,6 @@ def _merged(ranges) -> list[dict]:
 
 _HITS = pa.struct([("n_words", pa.int64()), ("ranges", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                    ("items", pa.list_(pa.string()))])
-_MATCHERS: dict[str, Matcher] = {}
 
 
 def _search(text: Column, items, window: int) -> Column:
@@ -179,12 +178,9 @@ def _search(text: Column, items, window: int) -> Column:
 
     @F.arrow_udf("n_words long, ranges array<struct<start: long, end: long>>, items array<string>")
     def hits(col: pa.Array) -> pa.Array:
-        if key not in _MATCHERS:
-            _MATCHERS.clear()
-            _MATCHERS[key] = Matcher(items.value, window)
-        out = []
+        matcher, out = worker_state(key, lambda: Matcher(items.value, window)), []
         for data, offs in utf8_chunks(col):
-            out += [{"n_words": n, "ranges": r, "items": i} for n, r, i in _MATCHERS[key].run(data, offs)]
+            out += [{"n_words": n, "ranges": r, "items": i} for n, r, i in matcher.run(data, offs)]
         return pa.array(out, _HITS)
     return hits(text)
 

@@ -35,12 +35,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import materialize, unused
+from blotter.llm.common import materialize, unused, worker_state
 
 PREFIXES = (3, 4, 5, 7)
 END = "$"  # after a whole word
-FLUSH = 300_000  # words that a task counts before it hands them on
-CACHE = 400_000  # words whose scores a worker keeps
+FLUSH = 200_000  # words that a task counts before it hands them on
+CACHE = 200_000  # words whose scores a worker keeps
 
 #: ASCII bytes but letters separate words; bytes of other characters stay.
 _LETTERS = bytes(c if chr(c).isascii() and chr(c).isalpha() or c >= 128 else 32 for c in range(256))
@@ -154,9 +154,6 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float,
     return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
 
 
-_CACHES: dict[str, dict] = {}
-
-
 class _Scores(dict):
     """Scores by word, as bytes; unknown ones are worked out and kept."""
 
@@ -175,10 +172,7 @@ def _mean_ratio(text: Column, sent) -> Column:
 
     @F.arrow_udf("double")
     def mean_ratio(col: pa.Array) -> pa.Array:
-        if key not in _CACHES:
-            _CACHES.clear()
-            _CACHES[key] = _Scores(sent.value)
-        get, out = _CACHES[key].__getitem__, []
+        get, out = worker_state(key, lambda: _Scores(sent.value)).__getitem__, []
         for t in pc.fill_null(col, ""):
             ws = _words(t.as_py())
             out.append(sum(map(get, ws)) / len(ws) if ws else 0.0)
