@@ -34,10 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blotter.llm.common import materialize, utf8_chunks
+from blotter.llm.common import materialize, utf8_chunks, worker_state
 
 CACHE = 200_000  # words whose ids a worker keeps, in each of two generations
-BATCH = 2 << 20  # bytes that are tokenised together
+BATCH = 1 << 20  # bytes that are tokenised together
 _LETTER, _DIGIT, _SIGN, _OTHER = 1, 2, 3, 4
 _KIND = np.full(256, _SIGN, dtype=np.uint8)  # of a byte; 0 for space and line end
 _KIND[[32, 10]] = 0
@@ -180,7 +180,6 @@ class WordTokens:
         return out
 
 
-_TOKENS: dict[str, WordTokens] = {}
 _PIECE = pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
 
 
@@ -188,11 +187,10 @@ def pieces_of(text: Column, tokenizer: str, capacity: int, end_id: int, with_ids
     """Array of the pieces of a text: its ids, then ``end_id``, cut at capacity."""
     @F.arrow_udf("array<struct<piece: int, start: long, length: long, ids_crc32: long, ids: binary>>")
     def cut(col: pa.Array) -> pa.Array:
-        if tokenizer not in _TOKENS:
-            _TOKENS[tokenizer] = WordTokens(tokenizer)
+        tokens = worker_state(f"tokens {tokenizer}", lambda: WordTokens(tokenizer))
         end, out = np.array([end_id], "<u4").tobytes(), []
         for data, offs in utf8_chunks(col, BATCH):
-            for raw in _TOKENS[tokenizer].encode(data, offs):
+            for raw in tokens.encode(data, offs):
                 raw += end
                 cuts = range(0, len(raw), 4 * capacity)
                 out.append([{"piece": i, "start": a // 4, "length": len(part) // 4, "ids_crc32": zlib.crc32(part),
