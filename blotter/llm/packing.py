@@ -70,7 +70,8 @@ class WordTokens:
     64-bit hashes that are computed for all words of a batch at once, each
     different word is encoded by the library, and ids are put together by words. Words
     used lately stay known (two generations, so that memory is bounded). A text
-    that holds a special token's string is encoded whole.
+    that holds a special token's string is encoded whole; its words that hold
+    one are neither encoded together with other texts' words nor kept.
     """
 
     def __init__(self, path: str):
@@ -158,11 +159,15 @@ class WordTokens:
                     cache[k] = older[k]
                 else:
                     new[whole_words[i]].append(i)
+        marked = [mark for mark in self.special if mark in whole]
         for some, encode in zip(new, (self._encode_any, self._encode_plain)):
+            words = [raw[x:y] for x, y in zip(starts[seen[some]].tolist(), ends[seen[some]].tolist())] if some else []
+            if marked:  # their texts are encoded whole, below
+                clear = [not any(mark in w for mark in marked) for w in words]
+                some, words = [i for i, c in zip(some, clear) if c], [w for w, c in zip(words, clear) if c]
             if some:
-                at = seen[some]
-                cache.update(zip([keys[i] for i in some], encode([raw[x:y].decode() for x, y in zip(starts[at].tolist(), ends[at].tolist())])))
-        known = [cache[k] for k in keys]
+                cache.update(zip([keys[i] for i in some], encode([w.decode() for w in words]), strict=True))
+        known = [cache.get(k, b"") for k in keys] if marked else [cache[k] for k in keys]
         sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
         pool = np.frombuffer(b"".join(known), dtype="<u4")
         begin = np.cumsum(sizes) - sizes
@@ -172,11 +177,10 @@ class WordTokens:
         ids = pool[at].tobytes()
         cuts = done[np.searchsorted(starts, offs)].tolist()
         out = [ids[4 * a:4 * b] for a, b in zip(cuts, cuts[1:])]
-        for mark in self.special:
-            if mark in whole:
-                for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
-                    if mark in whole[a:b]:
-                        out[i] = np.array(self.whole.encode(whole[a:b].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        for mark in marked:
+            for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
+                if mark in whole[a:b]:
+                    out[i] = np.array(self.whole.encode(whole[a:b].decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         return out
 
 

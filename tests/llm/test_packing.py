@@ -94,6 +94,19 @@ def test_word_tokens_equal_the_library():
         assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t[:80]
 
 
+def test_special_tokens_in_odd_words_leave_other_texts_alone():
+    whole = Tokenizer.from_file(PATH)
+    tokens = packing.WordTokens(PATH)
+    for mark in ("<|startoftext|>", "<|endoftext|>"):
+        for form in (f"'{mark}'", f"a\t{mark}\tb", f"\t{mark}{mark}'", f"日{mark}本", mark):
+            data = [f"first can't {form} isn't", "日本 won't été 'tis", "tab\tglued it's wasn't ΣΑΣ"]
+            raw = [t.encode() for t in data]
+            run = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+            for fresh in (packing.WordTokens(PATH), tokens):  # also with the words of earlier calls
+                for t, got in zip(data, fresh.encode(*run)):
+                    assert np.frombuffer(got, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, (form, t)
+
+
 @pytest.mark.parametrize("capacity", [2048, 37])
 def test_pack(spark, capacity):
     whole = Tokenizer.from_file(PATH)
