@@ -46,3 +46,14 @@ def test_streaming_hourly_counts(spark):
                        "test_hourly_counts")
     got = sorted((r["hour_ts"].hour, r["district"], r["n"]) for r in out.collect())
     assert got == [(0, "000", 1), (0, "001", 1), (1, "002", 1), (3, "003", 1)]
+
+
+def test_stream_query_counts_all_part_files_in_any_order(spark):
+    from blotter.plans.q_time import stream_hourly_counts
+    folder = tempfile.mkdtemp(prefix="blotter-stream-", dir="/tmp")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    for i, day in enumerate([20, 1, 10, 1]):  # later days first; one file a trigger
+        rows = [(i, dt.datetime(2024, 1, day, 7, 5), 1, "view", 1.0, "{}")]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(folder, "events.parquet"))
+    got = sorted((r["hour_ts"].day, r["district"], r["n"]) for r in stream_hourly_counts(spark, folder).collect())
+    assert got == [(1, "001", 2), (10, "001", 1), (20, "001", 1)]
