@@ -154,14 +154,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: that of the
-    smallest id (null ids last, the first of repeated rows). ``docs`` must be a
-    written table, whose rows come in the same order each time it is read."""
-    row, = unused(docs, "row_number")
-    docs = docs.withColumn(row, F.monotonically_increasing_id())
-    prints = materialize(docs.select(F.col(row).alias("row"), F.col(id_col).alias("id"),
-                                     fingerprint(F.col(text_col), shingle).alias("fp")), "simhash")
+    smallest id (null ids last, any one of repeated rows).
+
+    Rows are numbered once, in a written table of the texts with their numbers
+    and fingerprints that both the grouping and the final join read: numbers of
+    a second read could name other rows."""
+    row, fp = unused(docs, "row_number", "fp")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()).withColumn(fp, fingerprint(F.col(text_col), shingle)), "simhash")
+    prints = numbered.select(F.col(row).alias("row"), F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     roots = components(prints, max_bits)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     best = prints.groupBy("fp").agg(F.min(order).alias("best")).join(roots, "fp")
     kept = best.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.row").alias(row))
-    return docs.join(materialize(kept, "kept").hint("shuffle_hash"), row, "left_semi").select(*docs.columns[:-1])
+    return numbered.join(materialize(kept, "kept").hint("shuffle_hash"), row, "left_semi").select(*docs.columns)

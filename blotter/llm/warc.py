@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blotter.llm.common import scratch_path
+from blotter.llm.common import materialize, scratch_path
 
 INDEX = ("file string, offset long, length long, url string, digest string, id long, record_type string, refers_to long")
 ROLL_BYTES = 256 << 20  # size at which a task begins a new archive
@@ -87,8 +87,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     """
     payload = F.coalesce(F.col(payload_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    # a row's number tells repeated rows apart, so that one of them is the response
-    rows = rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1("payload"))
+    # a row's number tells repeated rows apart, so that one of them is the response; it is
+    # stored, since the two reads below need not number rows alike
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1("payload")), "numbered")
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.concat_ws(":", "sha1", F.octet_length("payload"))))
     first = rows.groupBy("key").agg(F.max(F.struct("id", "row")).alias("first")).where("key is not null").withColumnRenamed("key", "first_key")
     # a hash join: payloads are dealt out by key but never sorted

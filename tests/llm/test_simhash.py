@@ -64,6 +64,26 @@ def test_keep_one(spark, tmp_path):
     assert {r.doc_id for r in got} == set(comps)
 
 
+def test_keep_one_when_a_second_read_packs_files_otherwise(spark, tmp_path, monkeypatch):
+    rows = corpus()
+    rows_of(spark, rows).repartition(12).write.parquet(str(tmp_path / "d"))
+    _, comps, groups = brute.simhash_components(rows)
+    size, write = "spark.sql.files.maxPartitionBytes", simhash.materialize
+    before = spark.conf.get(size)
+
+    def then_repack(df, name="table"):
+        out = write(df, name)
+        spark.conf.set(size, "8k")  # as if cores came or went after the first job
+        return out
+    monkeypatch.setattr(simhash, "materialize", then_repack)
+    try:
+        spark.conf.set(size, "1g")
+        got = simhash.keep_one(spark.read.parquet(str(tmp_path / "d"))).collect()
+    finally:
+        spark.conf.set(size, before)
+    assert len(got) == len(set(groups)) and {r.doc_id for r in got} == set(comps)
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(rows_of(spark, [])).collect() == []
     assert simhash.keep_one(rows_of(spark, [])).collect() == []

@@ -7,6 +7,7 @@ import random
 import pytest
 from blotter.llm import warc
 from blotter.llm.common import scratch_path
+from pyspark.sql import functions as F
 
 SCHEMA = "page_id long, url string, html string, offset long, file string"
 
@@ -42,6 +43,19 @@ def test_round_trip_against_brute_force(spark):
     assert sorted(map(tuple, got), key=repr) == sorted(plain(rows), key=repr)
 
 
+def test_rows_are_numbered_once(spark, tmp_path):
+    rows = rows_of()
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(html):
+        calls.add(1)
+        return html
+    pages = spark.createDataFrame(rows, SCHEMA).withColumn("html", seen.asNondeterministic()("html"))
+    warc.write(pages, str(tmp_path / "w"))
+    assert calls.value == len(rows)
+
+
 def test_payloads_urls_and_selected_reads(spark):
     rows = rows_of()
     folder = scratch_path(spark, "warc")
