@@ -5,7 +5,10 @@ Base spans are the leftmost non-overlapping matches of three patterns. The
 method adds spans ``random``: long runs of characters in which encoded keys are
 written. A run's encoding is inferred (hex, base32, base64 with either pair of
 extra signs); a run without both a letter and a digit is a word or a number and
-isn't tested. Under the hypothesis that the characters are drawn uniformly from
+isn't tested. The parts of a run between slashes and plus signs, between hyphens
+and underscores, and between all four are candidates as well: a key in a URL or
+path is tested apart from the words around it, also where the whole run fits no
+encoding. Of flagged candidates that overlap the longest stays. Under the hypothesis that the characters are drawn uniformly from
 the encoding's alphabet, three tests give p-values: chi-squared over the
 alphabet, the number of runs above and below the alphabet's middle, and the
 lag-1 serial correlation. The smallest, times three (Bonferroni), is the run's p.
@@ -16,7 +19,10 @@ of two) in bins of p. Uniform p-values come from truly random runs, their number
 is read from the upper half of the bins (Storey); what a bin holds beyond it is
 structured text. In each stratum the flagged runs are those with p above the
 least bound for which the estimated share of structured runs among the flagged
-is at most ``fdr``. The strata are few, whatever the number of documents; the
+is at most ``fdr``. A stratum of fewer than ``MIN_RUNS`` runs also has the bound
+of all lengths of its encoding together, or, if these are few too, of all
+encodings: the lower one holds, as its own upper bins may be empty by chance.
+Where all candidates of the corpus are few, a lone key can still be missed. The strata are few, whatever the number of documents; the
 counts cover all of them.
 """
 
@@ -39,6 +45,8 @@ BASE = (
 #: Longer patterns that match the same spans as the base pattern and its length.
 SAME = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
 RUN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Parts of runs, also tested.
+PARTS = (r"[A-Za-z0-9_-]{20,}={0,2}", r"[A-Za-z0-9+/]{20,}={0,2}", r"[A-Za-z0-9]{20,}={0,2}")
 #: Alphabets of the encodings, in the order in which they are tried.
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", "0123456789abcdef"),
@@ -48,6 +56,7 @@ ENCODINGS = (
     ("base64url", "^[A-Za-z0-9_-]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 BINS = 20
+MIN_RUNS = 100  # of a stratum that needs no other's runs: five a bin
 SPANS = "array<struct<start: bigint, end: bigint, kind: int>>"
 
 
@@ -128,7 +137,8 @@ def scan(text: Column) -> Column:
     empty = F.expr(f"cast(array() as {SPANS})")
     base = F.flatten(F.array(*(_matches(text, SAME.get(kind, pattern), group, least, i)
                                for i, (kind, pattern, group, least) in enumerate(BASE))))
-    runs = F.when(text.rlike(RUN), _matches(text, RUN, 0, 0, len(BASE))).otherwise(empty)
+    every = F.array_distinct(F.concat(*(_matches(text, pattern, 0, 0, len(BASE)) for pattern in (RUN, *PARTS))))
+    runs = F.when(text.rlike(RUN), every).otherwise(empty)
     tested = F.transform(runs, lambda r: F.struct(
         r["start"].alias("start"), r["end"].alias("end"), battery(F.substring(text, r["start"].cast("int") + 1, (r["end"] - r["start"]).cast("int"))).alias("t")))
     return F.struct(F.array_sort(base).alias("base"), F.filter(tested, lambda r: r["t"]["encoding"] >= 0).alias("runs"))
@@ -146,15 +156,25 @@ def thresholds(scans: DataFrame, column: str, fdr: float) -> dict[tuple[int, int
     counts: dict[tuple[int, int], list[int]] = {}
     for r in runs.groupBy("e", "l", "bin").count().collect():
         counts.setdefault((r["e"], r["l"]), [0] * BINS)[r["bin"]] = r["count"]
-    out = {}
-    for stratum, c in counts.items():
+
+    def bound(c: list[int]) -> int | None:
         random_per_bin = min(sum(c[BINS // 2:]) / (BINS - BINS // 2), sum(c) / BINS)
         for b in range(BINS):
             flagged = sum(c[b:])
             false = max(0.0, flagged - random_per_bin * (BINS - b))
             if flagged and random_per_bin > 0 and false <= fdr * flagged:
-                out[stratum] = b
-                break
+                return b
+        return None
+
+    out = {}
+    for (e, n), c in counts.items():
+        bounds = [bound(c)]
+        if sum(c) < MIN_RUNS:
+            alike = [sum(x) for x in zip(*(v for k, v in counts.items() if k[0] == e))]
+            bounds.append(bound(alike if sum(alike) >= MIN_RUNS else [sum(x) for x in zip(*counts.values())]))
+        found = [b for b in bounds if b is not None]
+        if found:
+            out[e, n] = min(found)
     return out
 
 
@@ -174,8 +194,13 @@ def with_spans(docs: DataFrame, text_col: str = "text", out: str = "spans", fdr:
         for (e, n), b in sorted(least.items()):
             ok = ok | ((r["t"]["encoding"] == e) & (_stratum(r["t"]["n"]) == n) & (r_bin(r) >= b))
         return ok & ~F.exists(F.col(found)["base"], lambda s: (s["start"] < r["end"]) & (s["end"] > r["start"]))
-    added = F.transform(F.filter(F.col(found)["runs"], passes),
-                        lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(len(BASE)).alias("kind")))
+    ranked = F.array_sort(F.transform(F.filter(F.col(found)["runs"], passes),
+                                      lambda r: F.struct((r["start"] - r["end"]).alias("less"), r["start"].alias("start"), r["end"].alias("end"))))
+
+    def longest(done: Column, r: Column) -> Column:
+        span = F.struct(r["start"].alias("start"), r["end"].alias("end"), F.lit(len(BASE)).alias("kind"))
+        return F.when(F.exists(done, lambda s: (s["start"] < r["end"]) & (s["end"] > r["start"])), done).otherwise(F.concat(done, F.array(span)))
+    added = F.aggregate(ranked, F.expr(f"cast(array() as {SPANS})"), longest)
     spans = F.array_sort(F.transform(F.concat(F.col(found)["base"], added), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
     return scans.withColumn(out, F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))).select(*columns, out)
 

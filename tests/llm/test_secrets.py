@@ -54,6 +54,29 @@ def test_battery_p_values_are_even_on_random_strings(spark):
     assert 0 < sum(x < 0.1 for x in p) < 80 and sum(x > 0.5 for x in p) > 120
 
 
+def test_keys_in_urls_and_paths_are_tested_apart(spark):
+    rnd = random.Random(6)
+    urlsafe = lambda: base64.urlsafe_b64encode(rnd.randbytes(20)).decode().rstrip("=") + "-" + base64.urlsafe_b64encode(rnd.randbytes(24)).decode()
+    keys = [urlsafe() for _ in range(120)]
+    heads = ["https://x.org/api/webhooks/123456/" if i % 2 else "see /my-app/" for i in range(120)]
+    rows = secrets.secret_scan(table(spark, [h + k for h, k in zip(heads, keys)])).collect()
+    right = [f"random:{len(heads[r.doc_id])}:{len(heads[r.doc_id]) + len(keys[r.doc_id])}" in r.spans.split(",") for r in rows]
+    assert sum(right) >= 100
+    for r in rows:
+        spans = sorted(tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("random"))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_lone_key_of_a_small_stratum(spark):
+    rnd = random.Random(7)
+    keys = [base64.b64encode(rnd.randbytes(30)).decode() for _ in range(300)]
+    long = [(base64.b64encode(rnd.randbytes(210)).decode().replace("+", "a").replace("/", "b"),) for _ in range(40)]
+    p = [(r.p, r.s) for r in spark.createDataFrame(long, "s string").select("s", secrets.battery(F.col("s"))["p"].alias("p")).collect()]
+    lone = next(s for x, s in sorted(p) if 0.2 <= x < 0.5)
+    rows = secrets.secret_scan(table(spark, [*keys, lone])).collect()
+    assert [r.spans for r in rows if r.doc_id == 300] == [f"random:0:{len(lone)}"]
+
+
 def test_redact(spark):
     data = texts()
     d = table(spark, data)
