@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc
+from blotter.llm import decontam, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc, whitening
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,9 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in the lines and whole texts of all documents."""
     return licenses.license_scan(read_table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of all embeddings."""
+    return whitening.components_of(read_table(spark, sf_dir, "embeddings"))
