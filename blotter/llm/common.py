@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from blotter.session import checkpoint_dir, materialize
 
-__all__ = ["importable", "read_table", "materialize", "scratch_path", "unused", "utf8_chunks", "worker_state"]
+__all__ = ["importable", "read_table", "materialize", "scratch_path", "text_runs", "unused", "utf8_chunks", "worker_state"]
 
 ROWS = 1000
 
@@ -86,3 +86,32 @@ def utf8_chunks(col: pa.Array, max_bytes: int = 1 << 20):
         last = min(max(last, first + 1), len(col))
         yield data[offs[first]:offs[last]], offs[first:last + 1] - offs[first]
         first = last
+
+
+def text_runs(col: pa.Array, max_bytes: int = 4 << 20):
+    """Lists of ``(row, piece)`` of about ``max_bytes`` of UTF-8, in order.
+
+    A text is one piece, nulls are empty; one over ``max_bytes`` is cut behind spaces
+    or line ends into pieces that join to the whole of it (a stretch without any
+    stays whole), so what a run holds is bounded.
+    """
+    col = pc.fill_null(col.cast(pa.large_string()), "")
+    run, held = [], 0
+    for row in range(len(col)):
+        raw = col[row].as_buffer().to_pybytes()
+        at = 0
+        while True:
+            stop = len(raw)
+            if stop - at > max_bytes:
+                found = [raw.find(sign, at + max_bytes) for sign in (b" ", b"\n")]
+                stop = min((f + 1 for f in found if f >= 0), default=stop)
+            run.append((row, raw[at:stop]))
+            held += stop - at
+            at = stop
+            if held >= max_bytes:
+                yield run
+                run, held = [], 0
+            if at >= len(raw):
+                break
+    if run:
+        yield run

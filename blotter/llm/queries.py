@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import decontam, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc, whitening
+from blotter.llm import bpe, decontam, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc, whitening
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened components of all embeddings."""
     return whitening.components_of(read_table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, and the texts that they decode to, as digests."""
+    return bpe.digests(read_table(spark, sf_dir, "documents"))
