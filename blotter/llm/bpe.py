@@ -4,14 +4,14 @@ A *word* here is what stands between white space: the tokeniser's pre-tokeniser
 never joins across it, so a text's ids are the ids of its words in order.
 
 Lexicon: Spark counts the words of all texts (combined in the tasks before the
-shuffle); the most frequent ``entries`` of at most ``MAX_WORD`` bytes are compiled into a
-minimal acyclic automaton, in which words share prefixes and suffixes. Arcs carry
-the number of words that sort before those behind them, so the sum along a word's
-path is its rank, which names its ids in a pool. The file (at most ``entries`` *
-``MAX_WORD`` arcs) goes to each executor through Spark's files and is memory-mapped
-there, one copy for all its workers. It only saves work: a word that is not
-in it is merged exactly, by the ranks of the tokeniser's merges, so the number of
-entries changes no result.
+shuffle); the most frequent ones, at most ``entries`` of at most ``MAX_WORD`` bytes, are
+merged in tasks and compiled into a minimal acyclic automaton, in which words share
+prefixes and suffixes. Arcs carry the number of words that sort before those behind
+them, so the sum along a word's path is its rank, which names its ids in a pool. The
+file (at most ``entries`` * ``MAX_WORD`` arcs) goes to each executor through Spark's
+files and is memory-mapped there, one copy for all its workers. It only saves work: a
+word that is not in it is merged exactly, by the ranks of the tokeniser's merges, so
+the number of entries changes no result.
 
 A batch's different words are looked up at once: one step of all of them along the
 automaton is one binary search in the sorted (state, byte) keys.
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import mmap
 import re
 import uuid
 from collections import Counter
@@ -33,15 +34,31 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm.common import scratch_path, text_runs, worker_state
+from blotter.llm.common import materialize, scratch_path, text_runs, worker_state
 
-ENTRIES, MAX_WORD = 200_000, 64
-KEPT = 150_000  # words that a worker remembers, over which it starts anew
+ENTRIES, MAX_WORD = 300_000, 64
+KEPT = 300_000  # words that a worker remembers, over which it starts anew
 COUNTED = 400_000  # different words that a counting task holds before it hands them on
 # characters outside of which str.lower and str.split do what the tokeniser's normaliser does
 _ODD = re.compile("[\x1c-\x1fĀ-‏ -\U0010ffff]")
 
 
+# pre-tokens of a word of such characters: contractions, letters, single numbers, other signs
+_LETTERS, _NUMBERS = "a-zA-ZªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
+
+
+def _byte_alphabet() -> list[str]:
+    """The character that stands for each byte: printable ones for themselves, the
+    others in order from 256 on (the rule of byte-level vocabularies)."""
+    kept = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in kept else chr(next(other)) for b in range(256)]
+
+
+_BYTES = _byte_alphabet()
+
+
 class Words:
     """Splitting of texts into words as a ``tokenizers`` file would.
 
@@ -77,12 +94,23 @@ class Words:
         return [w for w in self.library.normalizer.normalize_str(text).split(" ") if w]
 
     def pretokens(self, words: list[str]) -> Iterator[list[str]]:
-        """Pre-tokens of each word, in the byte alphabet."""
-        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
-        found = self.library.pre_tokenizer.pre_tokenize_str(" ".join(words))
-        cuts = np.searchsorted([at[0] for _, at in found], starts).tolist() if found else [0] * len(starts)
-        for a, b in zip(cuts, cuts[1:]):
-            yield [t for t, _ in found[a:b]]
+        """Pre-tokens of each word, in the byte alphabet; special tokens have none."""
+        odd = [w for w in words if _ODD.search(w)]
+        starts = np.cumsum([0, *(len(w) + 1 for w in odd)])
+        found = self.library.pre_tokenizer.pre_tokenize_str(" ".join(odd)) if odd else []
+        cuts = iter(np.searchsorted([at[0] for _, at in found], starts).tolist() if found else [0] * len(starts))
+        begin = next(cuts, 0)
+        for w in words:
+            if odd and _ODD.search(w):
+                end = next(cuts)
+                yield [t for t, _ in found[begin:end]]
+                begin = end
+            elif w[0] == " ":
+                yield []
+            elif w.isascii() and w.isprintable():
+                yield [w] if w.isalpha() else _PARTS.findall(w)
+            else:
+                yield ["".join([_BYTES[c] for c in t.encode()]) for t in _PARTS.findall(w)]
 
 
 class Merges:
@@ -137,12 +165,9 @@ class Merges:
 
 # ------------------------------------------------------------------ automaton
 
-_HEAD = 6  # 64-bit numbers before the arrays: states, arcs, words, ids, and two free
-
-
-def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
+def compile_lexicon(words: list[bytes], outputs: list[bytes]) -> bytes:
     """The memory image of the minimal acyclic transducer of ``words`` (sorted,
-    different, not empty) with their ids as outputs.
+    different, not empty) with their outputs.
 
     Words are added in order; when the next one leaves a path, the states behind the
     common prefix are complete and replaced by equal ones that are known (equal: same
@@ -173,7 +198,7 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
         path[-1][0], last = True, word
     finish(0)
     arcs.append((path[0][0], *path[0][1]))  # the root is the last state
-    below = np.zeros(len(arcs), dtype=np.int64)  # words behind a state; targets come first
+    below = [0] * len(arcs)  # words behind a state; targets come first
     keys, targets, skips = [], [], []
     for state, (final, *out) in enumerate(arcs):
         count = int(final)
@@ -181,29 +206,31 @@ def compile_lexicon(words: list[bytes], ids: list[list[int]]) -> bytes:
             keys.append(state << 8 | byte)
             targets.append(target)
             skips.append(count)
-            count += int(below[target])
+            count += below[target]
         below[state] = count
-    offs = np.cumsum([0, *map(len, ids)])
-    parts = [np.array([len(arcs), len(keys), len(words), int(offs[-1]), 0, 0], "<i8"), np.array(keys, "<i8"),
-             np.array(targets, "<i8"), np.array(skips, "<i8"), np.array([a[0] for a in arcs], "<i8"), offs.astype("<i8"),
-             np.array([i for w in ids for i in w], "<i8")]
-    return b"".join(p.tobytes() for p in parts)
+    ends = np.cumsum([0, *map(len, outputs)])
+    parts = [np.array(keys, "<i8").tobytes(), ends.astype("<i8").tobytes(), np.array(targets, "<i4").tobytes(),
+             np.array(skips, "<i4").tobytes(), np.array([a[0] for a in arcs], "<i1").tobytes(), b"".join(outputs)]
+    head = np.cumsum([8 * (len(parts) + 2), *map(len, parts)]).astype("<i8")
+    return head.tobytes() + np.array([len(arcs)], "<i8").tobytes() + b"".join(parts)
 
 
 class Lexicon:
     """A compiled lexicon, from a memory-mapped file or bytes."""
 
-    def __init__(self, image: np.ndarray):
-        self.image = image.view("<i8")
-        states, arcs, self.size, n_ids = self.image[:4].tolist()
-        cuts = np.cumsum([_HEAD, arcs, arcs, arcs, states, self.size + 1, n_ids])
-        self.keys, self.targets, self.skips, self.final, self.offs, self.ids = (
-            self.image[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist()))
-        self.root = states - 1
+    def __init__(self, image):
+        self.image = memoryview(image)
+        cuts = np.frombuffer(self.image[:64], "<i8").tolist()
+        part = [self.image[a:b] for a, b in zip(cuts, cuts[1:7])]
+        self.keys, self.ends = (np.frombuffer(p, "<i8") for p in part[:2])
+        self.targets, self.skips = (np.frombuffer(p, "<i4") for p in part[2:4])
+        self.final, self.pool = np.frombuffer(part[4], "<i1"), part[5]
+        self.root = cuts[7] - 1
 
     @classmethod
     def open(cls, path: str) -> Lexicon:
-        return cls(np.memmap(path, dtype=np.uint8, mode="r"))
+        with open(path, "rb") as f:
+            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
 
     def ranks(self, words: list[bytes]) -> np.ndarray:
         """Rank of each word, -1 if it is not in the lexicon."""
@@ -221,15 +248,16 @@ class Lexicon:
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             on = self.keys[arc] == key
             at, arc, rank = at[on], arc[on], rank[on]
-            state, rank, step = self.targets[arc], rank + self.skips[arc], step + 1
+            state, rank, step = self.targets[arc].astype(np.int64), rank + self.skips[arc], step + 1
             ended = sizes[at] == step
             hit = ended & (self.final[state] == 1)
             out[at[hit]] = rank[hit]
             at, state, rank = at[~ended], state[~ended], rank[~ended]
         return out
 
-    def ids_of(self, rank: int) -> list[int]:
-        return self.ids[self.offs[rank]:self.offs[rank + 1]].tolist()
+    def outputs(self, ranks: np.ndarray) -> list[bytes]:
+        """The outputs of the words of some ranks."""
+        return [bytes(self.pool[a:b]) for a, b in zip(self.ends[ranks].tolist(), self.ends[ranks + 1].tolist())]
 
 
 # ------------------------------------------------------------------ Spark
@@ -265,14 +293,35 @@ def word_counts(docs: DataFrame, text_col: str = "text", tokenizer: str | None =
     return docs.select(text_col).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(counts: DataFrame, entries: int) -> DataFrame:
+    """The words of a written table ``(word, n)`` down to the least frequency step (sixteenth
+    of an octave) at which there are no more than ``entries``."""
+    step = F.floor(F.log2("n") * F.lit(16)).cast("int")
+    steps = counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # 1,024 at most
+    least, held = None, 0
+    for r in steps:
+        held += r["count"]
+        if held > entries:
+            break
+        least = r.step
+    return counts.where(step >= least if least is not None else F.lit(False)).select("word")
+
+
 def build_lexicon(docs: DataFrame, text_col: str = "text", tokenizer: str | None = None, entries: int = ENTRIES) -> str:
-    """Compile the ``entries`` most frequent words (ties: the lesser) of all texts;
-    returns the name under which Spark's files have the lexicon on each executor."""
+    """Compile the most frequent words of all texts, at most ``entries``; returns the
+    name under which Spark's files have the lexicon on each executor."""
     spark = docs.sparkSession
-    top = word_counts(docs, text_col, tokenizer).orderBy(F.desc("n"), "word").limit(entries).select("word").collect()  # bounded
-    words = sorted((r.word.encode() for r in top))
-    merges = Merges(Words(_tokenizer(tokenizer)))
-    image = compile_lexicon(words, merges.encode([w.decode() for w in words]))
+    counts = materialize(word_counts(docs, text_col, tokenizer), "words")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = worker_state(f"codec {tokenizer} None", lambda: Codec(tokenizer, None))
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codec.outputs([words])[0], pa.binary())], names=["word", "output"])
+
+    rows = frequent_words(counts, entries).mapInArrow(merge, "word string, output binary").toArrow()  # bounded
+    rows = sorted(zip((w.encode() for w in rows["word"].to_pylist()), rows["output"].to_pylist()))
+    image = compile_lexicon([w for w, _ in rows], [o for _, o in rows])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     path = f"{scratch_path(spark, 'lexicon')}/{name}"
     _write(spark, path, image)
@@ -297,21 +346,29 @@ class Codec:
     def __init__(self, tokenizer: str | None, lexicon: str | None):
         self.words = Words(_tokenizer(tokenizer))
         self.merges = Merges(self.words)
-        self.lexicon = Lexicon.open(SparkFiles.get(lexicon)) if lexicon else Lexicon(np.frombuffer(compile_lexicon([], []), np.uint8))
-        self.ids: dict[str, bytes] = {}  # a word's ids, in decimals
-        self.text: dict[str, bytes] = {}  # and its tokens
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.ids) > KEPT:
-            self.ids, self.text = {}, {}
-        new = [w for w in dict.fromkeys(words) if w not in self.ids]
-        ranks = self.lexicon.ranks([w.encode() for w in new]).tolist()
-        unseen = [w for w, r in zip(new, ranks) if r < 0]
-        merged = dict(zip(unseen, self.merges.encode(unseen))) if unseen else {}
-        for w, r in zip(new, ranks):
-            ids = merged[w] if r < 0 else self.lexicon.ids_of(r)
-            self.ids[w] = " ".join(map(str, ids)).encode()
-            self.text[w] = self.decode(ids).encode()
+        self.lexicon = Lexicon.open(SparkFiles.get(lexicon)) if lexicon else Lexicon(compile_lexicon([], []))
+        self.known: dict[str, bytes] = {}  # a word's ids in decimals, a tab, its tokens
+
+    def learn(self, words: set[str]) -> None:
+        if len(self.known) > KEPT:
+            self.known = {}
+        new = list(words)
+        ranks = self.lexicon.ranks([w.encode() for w in new])
+        at = np.flatnonzero(ranks >= 0)
+        self.known.update(zip([new[i] for i in at.tolist()], self.lexicon.outputs(ranks[at])))
+        unseen = [new[i] for i in np.flatnonzero(ranks < 0).tolist()]
+        for w, ids in zip(unseen, self.merges.encode(unseen)):
+            self.known[w] = f"{' '.join(map(str, ids))}\t{self.decode(ids)}".encode()
+
+    def outputs(self, texts: list[list[str]]) -> list[list[bytes]]:
+        """The output of each word of some texts; those not known yet are learnt together."""
+        out = [[*map(self.known.get, ws)] for ws in texts]
+        gaps = [(t, i) for t, found in enumerate(out) if None in found for i, o in enumerate(found) if o is None]
+        if gaps:
+            self.learn({texts[t][i] for t, i in gaps})
+            for t, i in gaps:
+                out[t][i] = self.known[texts[t][i]]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """Tokens joined by spaces, as a tokeniser without a decoder has it; ids that are
@@ -334,11 +391,10 @@ def encoded(text: Column, lexicon: str | None, tokenizer: str | None = None, wit
         digests = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(col))]
         for run in text_runs(col):
             split = [(row, codec.words.split(piece.decode())) for row, piece in run]
-            codec.learn([w for _, ws in split for w in ws])
-            of_ids, of_text = codec.ids.__getitem__, codec.text.__getitem__
-            for row, ws in split:
-                if ws:
-                    numbers, tokens = b" ".join(map(of_ids, ws)), b" ".join(map(of_text, ws))
+            for (row, _), found in zip(split, codec.outputs([ws for _, ws in split])):
+                if found:
+                    flat = b"\t".join(found).split(b"\t")
+                    numbers, tokens = b" ".join(flat[::2]), b" ".join(flat[1::2])
                     for digest, part in zip(digests[row], (numbers, tokens)):
                         digest.update(b" " + part if counts[row] else part)
                     counts[row] += numbers.count(b" ") + 1

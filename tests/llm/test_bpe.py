@@ -1,6 +1,5 @@
 import hashlib
 
-import numpy as np
 import pytest
 from blotter.llm import bpe
 from blotter.llm.common import importable
@@ -16,8 +15,11 @@ TEXTS = [
 ]
 
 
+LIBRARY = bpe.Words(PATH).library
+
+
 def want(text):
-    library = bpe.Words(PATH).library
+    library = LIBRARY
     ids = library.encode(text or "", add_special_tokens=False).ids
     return ids, library.decode(ids, skip_special_tokens=False)
 
@@ -44,17 +46,24 @@ def test_every_low_character_splits_as_in_the_library():
 
 def test_automaton_is_minimal_and_exact():
     words = sorted({w.encode() for w in ("tap taps top tops tapping topping stop stops a ab abc ñu ñus".split())})
-    ids = [[i, i + 1] if i % 2 else [i] for i in range(len(words))]
-    lex = bpe.Lexicon(np.frombuffer(bpe.compile_lexicon(words, ids), np.uint8))
+    outputs = [w.upper() * i for i, w in enumerate(words)]
+    lex = bpe.Lexicon(bpe.compile_lexicon(words, outputs))
     asked = [*words, b"ta", b"", b"tapss", b"zz", b"st", b"x" * 100]
-    ranks = lex.ranks(asked).tolist()
-    assert ranks == [*range(len(words)), *[-1] * 6]
-    assert [lex.ids_of(r) for r in ranks[:len(words)]] == ids
+    ranks = lex.ranks(asked)
+    assert ranks.tolist() == [*range(len(words)), *[-1] * 6]
+    assert lex.outputs(ranks[:len(words)]) == outputs
     # minimal: as many states as there are different sets of endings
     prefixes = {w[:i] for w in words for i in range(len(w) + 1)}
     endings = {frozenset(w[len(p):] for w in words if w.startswith(p)) for p in prefixes}
     assert lex.root + 1 == len(endings)
-    assert bpe.Lexicon(np.frombuffer(bpe.compile_lexicon([], []), np.uint8)).ranks([b"a", b""]).tolist() == [-1, -1]
+    assert bpe.Lexicon(bpe.compile_lexicon([], [])).ranks([b"a", b""]).tolist() == [-1, -1]
+
+
+def test_frequent_words_are_whole_steps(spark):
+    rows = [("a", 1000), ("b", 999), ("c", 100), ("d", 10), ("e", 10), ("f", 1)]
+    counts = spark.createDataFrame(rows, "word string, n long")
+    for entries, want in ((0, ""), (1, ""), (2, "ab"), (4, "abc"), (5, "abcde"), (100, "abcdef")):
+        assert sorted(r.word for r in bpe.frequent_words(counts, entries).collect()) == sorted(want)
 
 
 @pytest.mark.parametrize("entries", [0, 3, 200_000])
