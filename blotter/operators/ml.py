@@ -7,18 +7,20 @@ on the probability array, evaluated JVM-side.
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import (DecisionTreeClassifier, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, LogisticRegression,
                                        MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (PCA, IndexToString, MaxAbsScaler, MinMaxScaler, Normalizer,
                                 OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+                                VectorAssembler, VectorSlicer)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 
 from blotter.functions.timeparts import part as date_part
 from blotter.operators.clean import hash_unit, stratified_sample
-from blotter.session import materialize
+from blotter.session import materialize, scratch_path
 
 # ---------------------------------------------------------------- T3
 
@@ -154,11 +156,13 @@ def fit_pipeline(train: DataFrame, features: Sequence[str], model: str = "tree",
     Stage 0 indexes the target (frequency order, ties alphabetical); the last
     stage maps predictions back to label text, so the label order is saved
     with the model. :func:`scoring_model` drops stage 0 for unlabeled rows.
+    Training rows without a label teach nothing and are left out; the fitted stage 0
+    drops no row: a label that training hasn't seen, or a null, becomes a class
+    of its own that is never predicted, so it counts as an error.
     For the MLP the layer sizes ``[inputs, hidden, classes]`` come from the
     fitted preprocessing.
     """
-    target_model = StringIndexer(inputCol=target, outputCol="target", handleInvalid="skip").fit(train)
-    labeled = target_model.transform(train)
+    target_model, labeled = index_target(train, target)
     stages, col = preprocessing_stages(features, categorical, scaler, pca_k)
     to_text = IndexToString(inputCol="prediction", outputCol="predicted_label",
                             labels=target_model.labels)
@@ -173,6 +177,14 @@ def fit_pipeline(train: DataFrame, features: Sequence[str], model: str = "tree",
     return PipelineModel(stages=[target_model] + list(prep.stages) + [mlp, to_text])
 
 
+def index_target(train: DataFrame, target: str = "label"):
+    """The target's fitted indexer, which keeps every row, and the training rows that
+    have a label, indexed (their column's classes are the seen labels only)."""
+    model = StringIndexer(inputCol=target, outputCol="target", handleInvalid="skip").fit(train)
+    labeled = model.transform(train)
+    return model.copy().setHandleInvalid("keep"), labeled
+
+
 def scoring_model(model: PipelineModel) -> PipelineModel:
     """The fitted pipeline without its target indexer (for rows without labels)."""
     return PipelineModel(stages=list(model.stages[1:]))
@@ -206,26 +218,32 @@ def topk_hit(prob: Column, target: Column, k: int = 3) -> Column:
     """The target is among the k best classes.
 
     Order is the reference's ``argsort(p)[::-1]``: by probability, ties to
-    the higher class index; hit iff fewer than k classes rank above target.
+    the higher class index; hit iff fewer than k classes rank above target. A target
+    that is no class of the model is no hit.
     """
     t = target.cast("int")
-    pt = F.element_at(prob, t + 1)
+    pt = F.try_element_at(prob, t + 1)
     above = F.size(F.filter(prob, lambda x, j: (x > pt) | ((x == pt) & (j > t))))
-    return above < k
+    return pt.isNotNull() & (above < k)
 
 
 def accuracy_summary(pred: DataFrame, k: int = 3, prob_col: str = "probability") -> DataFrame:
     """M16 + M17 + M18: accuracy, weighted F1 is separate; one row, one pass."""
-    arr = vector_to_array(F.col(prob_col)) if isinstance(pred.schema[prob_col].dataType,
-                                                         T.UserDefinedType) else F.col(prob_col)
-    hit1 = (F.col("prediction") == F.col("target")).cast("double")
-    hitk = topk_hit(arr, F.col("target"), k).cast("double")
+    hit1, hitk = _hits(pred, k, prob_col)
     return pred.agg(F.avg(hit1).alias("accuracy"), F.avg(hitk).alias(f"top{k}_accuracy"),
                     F.count(F.lit(1)).alias("n")).withColumns({
         "error": F.lit(1.0) - F.col("accuracy"),
         f"top{k}_error": F.lit(1.0) - F.col(f"top{k}_accuracy")})
 
 
+def _hits(pred: DataFrame, k: int, prob_col: str = "probability", prediction: str = "prediction") -> tuple[Column, Column]:
+    """1.0 where the prediction is the target, and where the target is among the k best."""
+    arr = F.col(prob_col)
+    if isinstance(pred.schema[prob_col].dataType, T.UserDefinedType):
+        arr = vector_to_array(arr)
+    return (F.col(prediction) == F.col("target")).cast("double"), topk_hit(arr, F.col("target"), k).cast("double")
+
+
 def f1_score(pred: DataFrame) -> float:
     """Spark's default multiclass metric (weighted F1)."""
     return MulticlassClassificationEvaluator(labelCol="target", predictionCol="prediction",
@@ -261,58 +279,257 @@ def predicted_vs_actual(pred: DataFrame, label: str = "target", prediction: str
         F.coalesce("actual", F.lit(0)).alias("actual"))
 
 
+# ---------------------------------------------------------------- trees cut to lower depths
+
+def node_table(spark: SparkSession, tree) -> tuple[DataFrame, str]:
+    """The nodes of a fitted tree (id, prediction, class counts, children, split), as its
+    saved form has them, and the path of that form."""
+    path = scratch_path(spark, "models", "nodes")
+    tree.write().overwrite().save(path)
+    return spark.read.parquet(f"{path}/data"), path
+
+
+def _cut(nodes: dict, depth: int) -> list[tuple]:
+    """The node rows of the tree cut at ``depth``, numbered in preorder: a node at that
+    depth becomes a leaf that predicts its own majority, and siblings that are
+    leaves of one prediction go into their parent, as in a fit of that depth."""
+    def leaf(n):
+        return (n, None, None)
+
+    def part(i: int, level: int):
+        n = nodes[i]
+        if n.leftChild < 0 or level == depth:
+            return leaf(n)
+        left, right = part(n.leftChild, level + 1), part(n.rightChild, level + 1)
+        if left[1] is None and right[1] is None and left[0].prediction == right[0].prediction:
+            return leaf(n)
+        return (n, left, right)
+
+    rows: list[tuple] = []
+
+    def number(t) -> int:
+        n, left, right = t
+        i = len(rows)
+        rows.append(None)
+        if left is None:
+            rows[i] = (i, n.prediction, n.impurity, n.impurityStats, n.rawCount, -1.0, -1, -1, (-1, [], -1))
+        else:
+            kids = number(left), number(right)
+            rows[i] = (i, n.prediction, n.impurity, n.impurityStats, n.rawCount, n.gain, *kids, n.split)
+        return i
+
+    number(part(0, 0))
+    return rows
+
+
+def cut_trees(spark: SparkSession, tree, depths: Sequence[int]) -> dict[int, DecisionTreeClassificationModel]:
+    """From one fitted tree, the trees that fits of lower depths would give.
+
+    A node's split depends on its rows alone, so a shallower tree is the upper part of
+    a deeper one. A tree is as large as its model, which the driver holds anyway.
+    """
+    table, path = node_table(spark, tree)
+    nodes = {r.id: r for r in table.collect()}
+    out = {}
+    for d in depths:
+        target = scratch_path(spark, "models", f"depth{d}")
+        spark.createDataFrame(_cut(nodes, d), table.schema).write.parquet(f"{target}/data")
+        spark.read.text(f"{path}/metadata").coalesce(1).write.text(f"{target}/metadata")
+        out[d] = DecisionTreeClassificationModel.load(target)
+    return out
+
+
+def walk_tree(rows: DataFrame, nodes: DataFrame, features: str, depth: int) -> DataFrame:
+    """``rows`` with ``walked``, the prediction of the leaf that a node table leads each
+    row to, by one join per level (splits on thresholds and on category lists)."""
+    each = nodes.select(*(F.col(c).alias(f"__{c}") for c in ("id", "prediction", "leftChild", "rightChild")),
+                        *(F.col(f"split.{c}").alias(f"__{c}") for c in ("featureIndex", "leftCategoriesOrThreshold", "numCategories")))
+    table = F.broadcast(each)  # as large as the model
+    at = rows.withColumns({"__x": vector_to_array(F.col(features)), "__at": F.lit(0)})
+    x = F.try_element_at("__x", F.col("__featureIndex") + 1)
+    left = F.when(F.col("__numCategories") < 0, x <= F.try_element_at("__leftCategoriesOrThreshold", F.lit(1))).otherwise(
+        F.array_contains("__leftCategoriesOrThreshold", x))
+    step = F.when(F.col("__leftChild") < 0, F.col("__at")).when(left, F.col("__leftChild")).otherwise(F.col("__rightChild"))
+    for _ in range(depth):
+        at = at.join(table, F.col("__at") == F.col("__id")).select(*rows.columns, "__x", step.alias("__at"))
+    return at.join(table, F.col("__at") == F.col("__id")).select(*rows.columns, F.col("__prediction").alias("walked"))
+
+
 # ---------------------------------------------------------------- sweeps
 
-def run_config(train: DataFrame, test: DataFrame, name: str, features: Sequence[str],
-               model: str, scaler: str = "none", pca_k: int | None = None, **params) -> dict:
-    """Fit + evaluate one configuration; a failure becomes a logged row."""
-    t0 = time.time()
-    try:
-        fitted = fit_pipeline(train, features, model, scaler, pca_k, **params)
-        tr = accuracy_summary(fitted.transform(train)).first()
-        te = accuracy_summary(fitted.transform(test)).first()
-        return dict(pipeline=name, model=model, scaler=scaler, pca_k=pca_k or 0,
-                    seconds=time.time() - t0, train_acc=tr["accuracy"], test_acc=te["accuracy"],
-                    top_3_train_acc=tr["top3_accuracy"], top_3_test_acc=te["top3_accuracy"],
-                    error=None)
-    except Exception as e:  # recorded, not swallowed
-        return dict(pipeline=name, model=model, scaler=scaler, pca_k=pca_k or 0,
-                    seconds=time.time() - t0, train_acc=None, test_acc=None,
-                    top_3_train_acc=None, top_3_test_acc=None, error=f"{type(e).__name__}: {e}")
-
-
-SWEEP_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds double, "
-                "train_acc double, test_acc double, top_3_train_acc double, top_3_test_acc double, "
-                "error string, is_best boolean, fractions string")
+RUN_COLUMNS = ("pipeline", "model", "scaler", "pca_k", "seconds", "train_acc", "test_acc", "top_3_train_acc", "top_3_test_acc", "error")
+RUN_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds double, "
+              "train_acc double, test_acc double, top_3_train_acc double, top_3_test_acc double, error string")
+SWEEP_SCHEMA = RUN_SCHEMA + ", is_best boolean, fractions string"
+
+
+def _prefix(config: dict) -> tuple:
+    """What a configuration's preprocessing is known by: feature set and scaler."""
+    return tuple(config["features"]), config.get("scaler", "none")
+
+
+def prepare_prefix(base: DataFrame, features: Sequence[str], scaler: str, sizes: Sequence[int],
+                   categorical: Sequence[str]) -> tuple[DataFrame, str, int]:
+    """One prefix of the sweep's preprocessing: assembled, scaled and, if ``sizes`` asks for
+    components, rotated by one PCA of the largest size (the leading components of a
+    decomposition don't depend on how many are asked for, so smaller sizes are slices).
+
+    Fitted on the training rows and written once for both parts; returns the table
+    ``(part, target, <column>, [features_pca])``, the column and its number of features.
+    """
+    train = base.where("part = 'train'")
+    assembler = VectorAssembler(inputCols=[*features, *(f"{c}_vec" for c in categorical)], outputCol="features_raw", handleInvalid="error")
+    stages, col = _scaling_stages(scaler, "features_raw")
+    fitted = Pipeline(stages=[assembler, *stages]).fit(train)
+    rows = fitted.transform(base)
+    size = len(rows.where("part = 'train'").select(col).first()[0])
+    keep = ["part", "target", col]
+    possible = [k for k in sizes if k <= size]
+    if possible:
+        pca = PCA(k=max(possible), inputCol=col, outputCol="features_pca").fit(rows.where("part = 'train'"))
+        rows, keep = pca.transform(rows), [*keep, "features_pca"]
+    return materialize(rows.select(*keep), "prefix"), col, size
+
+
+def _leaves(configs: Sequence[dict]) -> list[list[dict]]:
+    """Configurations that one fit serves: trees that differ in depth alone; each other by itself."""
+    groups: dict[str, list[dict]] = {}
+    for i, c in enumerate(configs):
+        rest = {k: v for k, v in c.items() if k not in ("name", "maxDepth")}
+        alone = c["model"] != "tree" or "maxDepth" not in c
+        groups.setdefault(f"{i}" if alone else json.dumps(rest, sort_keys=True, default=list), []).append(c)
+    return list(groups.values())
+
+
+def _run_leaf(spark: SparkSession, table: DataFrame, col: str, size: int, n_labels: int, group: Sequence[dict]) -> list[dict]:
+    """Fit once, score both parts for each configuration of the group in one pass."""
+    config = group[0]
+    params = {k: v for k, v in config.items() if k not in ("name", "features", "model", "scaler", "pca_k", "hidden")}
+    k = config.get("pca_k")
+    if k:
+        if k > size:
+            raise ValueError(f"{k} components of {size} features")
+        pca_size = len(table.select("features_pca").first()[0])
+        table, col, size = VectorSlicer(inputCol="features_pca", outputCol="features_slice", indices=list(range(k))).transform(table) \
+            if k < pca_size else table.withColumn("features_slice", F.col("features_pca")), "features_slice", k
+    if config["model"] == "mlp":
+        params["layers"] = [size, config.get("hidden", 25), n_labels]
+    depths = [c.get("maxDepth") for c in group]
+    if len(group) > 1:
+        params["maxDepth"] = max(depths)
+    model = make_classifier(config["model"], col, **params).fit(table.where("part = 'train'"))
+    cut = {depths[0]: model} if len(group) == 1 else cut_trees(spark, model, sorted(set(depths)))
+    models = [cut[d].copy() for d in depths]
+    scored, sums = table, []
+    for i, m in enumerate(models):
+        m.setPredictionCol(f"prediction_{i}").setProbabilityCol(f"probability_{i}").setRawPredictionCol("")
+        scored = m.transform(scored)
+        hit1, hit3 = _hits(scored, 3, f"probability_{i}", f"prediction_{i}")
+        sums += [F.avg(hit1).alias(f"top1_{i}"), F.avg(hit3).alias(f"top3_{i}")]
+    got = {r["part"]: r for r in scored.groupBy("part").agg(*sums).collect()}
+    value = lambda part, name: got[part][name] if part in got else None
+    return [dict(train_acc=value("train", f"top1_{i}"), test_acc=value("test", f"top1_{i}"),
+                 top_3_train_acc=value("train", f"top3_{i}"), top_3_test_acc=value("test", f"top3_{i}")) for i in range(len(models))]
+
+
+def run_key(config: dict, about: str = "") -> str:
+    """What a run is known by in a log: the md5 of its configuration and of ``about``
+    (the data, sampling and anything else that decides its result)."""
+    return hashlib.md5(json.dumps([config, about], sort_keys=True, default=list).encode()).hexdigest()
 
 
 def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelism: int = 4,
-          fractions=None, id_col: str = "id") -> DataFrame:
-    """One Spark job set per configuration, results as a DataFrame.
-
-    Inputs are written once (every run reads the tables in the shared folder,
-    so a lost executor costs no recomputation). Independent configurations are fitted concurrently from ``parallelism``
-    driver threads (like ``CrossValidator(parallelism=...)``), so small fits
-    share the cluster instead of queueing; ``seconds`` is each run's wall
-    time under that concurrency. ``fractions`` samples both sides per label
-    first (logged as Yes / No).
+          fractions=None, id_col: str = "id", log: str | None = None, about: str = "",
+          categorical: Sequence[str] = ("district",), target: str = "label") -> DataFrame:
+    """One result row per configuration.
+
+    Preprocessing is shared: categories and target are indexed once, each (feature set,
+    scaler) prefix is fitted and written once with one PCA for all its sizes
+    (:func:`prepare_prefix`), and only classifiers are fitted per configuration - trees
+    that differ in depth are cut from one fit (:func:`cut_trees`). Both parts are scored
+    in one pass. Independent fits run from ``parallelism`` driver threads (like
+    ``CrossValidator(parallelism=...)``); ``seconds`` is the wall time of a run's classifier,
+    for shared fits that of all. A configuration that fails becomes a row with its
+    error. ``fractions`` samples both sides per label first (logged as Yes / No).
+
+    With ``log`` (a folder) each finished run is committed there under its
+    :func:`run_key`, runs that the folder has are not run again, and the result has
+    all of ``configs``: a sweep that was stopped goes on where it was.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    if fractions is not None:
-        train, test = (stratified_sample(d, "label", fractions, id_col) for d in (train, test))
-    train, test = materialize(train, "train"), materialize(test, "test")
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(lambda c: run_config(train, test, **c), configs))
-    # The configuration with the least test error (one row per config)
-    ok = [i for i, r in enumerate(rows) if r["error"] is None]
-    best = min(ok, key=lambda i: (1.0 - rows[i]["test_acc"], rows[i]["pipeline"])) if ok else None
     spark = train.sparkSession
-    out = spark.createDataFrame([tuple(r[k] for k in
-                                       ("pipeline", "model", "scaler", "pca_k", "seconds", "train_acc",
-                                        "test_acc", "top_3_train_acc", "top_3_test_acc", "error"))
-                                 + (i == best, "No" if fractions is None else "Yes") for i, r in enumerate(rows)], SWEEP_SCHEMA)
-    return out
+    about = f"{about} {sorted(fractions.items()) if hasattr(fractions, 'items') else fractions}"
+    keys = {run_key(c, about): c for c in configs}
+    done = finished_runs(spark, log)
+    pending = spark.createDataFrame([(k,) for k in keys], "run_key string").join(done, "run_key", "left_anti")
+    pending = {r.run_key for r in pending.collect()}  # configurations
+    todo = [c for k, c in keys.items() if k in pending]
+    rows: list[dict] = []
+    if todo:
+        if fractions is not None:
+            train, test = (stratified_sample(d, target, fractions, id_col) for d in (train, test))
+        indexer, _ = index_target(train, target)
+        both = train.withColumn("part", F.lit("train")).where(F.col(target).isNotNull()).unionByName(test.withColumn("part", F.lit("test")))
+        stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in categorical]
+        stages += [OneHotEncoder(dropLast=True, inputCol=f"{c}_idx", outputCol=f"{c}_vec") for c in categorical]
+        shared = Pipeline(stages=stages).fit(train)
+        wanted = {f for c in todo for f in c["features"]} & set(train.columns)
+        base = shared.transform(indexer.transform(both)).select("part", "target", *sorted(wanted), *(f"{c}_vec" for c in categorical))
+        # the fit must know the seen classes only; an unseen label is a number beyond them
+        base = materialize(base.withColumn("target", F.col("target").cast("double")), "base")
+        labels = list(indexer.labels)
+        prefixes = {p: sorted({c["pca_k"] for c in todo if _prefix(c) == p and c.get("pca_k")}) for p in dict.fromkeys(map(_prefix, todo))}
+
+        def prepare(item):
+            (features, scaler), sizes = item
+            try:
+                return prepare_prefix(base, features, scaler, sizes, categorical)
+            except Exception as e:  # every run of the prefix gets it
+                return e
+
+        def leaf(group):
+            t0, found = time.time(), tables[_prefix(group[0])]
+            try:
+                if isinstance(found, Exception):
+                    raise found
+                results, error = _run_leaf(spark, *found, len(labels), group), None
+            except Exception as e:  # recorded, not swallowed
+                results, error = [dict.fromkeys(("train_acc", "test_acc", "top_3_train_acc", "top_3_test_acc"))] * len(group), f"{type(e).__name__}: {e}"
+            out = [dict(pipeline=c["name"], model=c["model"], scaler=c.get("scaler", "none"), pca_k=c.get("pca_k") or 0,
+                        seconds=time.time() - t0, error=error, **r) for c, r in zip(group, results)]
+            if log is not None:
+                for c, r in zip(group, out):
+                    commit_run(spark, log, run_key(c, about), r)
+            return out
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            tables = dict(zip(prefixes, pool.map(prepare, prefixes.items())))
+            rows = [r for out in pool.map(leaf, _leaves(todo)) for r in out]
+    if log is not None:
+        runs = finished_runs(spark, log).join(spark.createDataFrame([(k,) for k in keys], "run_key string"), "run_key").drop("run_key")
+    else:
+        runs = spark.createDataFrame([tuple(r[c] for c in RUN_COLUMNS) for r in rows], RUN_SCHEMA)
+    # The configuration with the least test error (ties: the first name)
+    best = runs.where("error is null").select(F.min_by("pipeline", F.struct(-F.col("test_acc"), F.col("pipeline")))).scalar()
+    return runs.withColumns({"is_best": F.coalesce(F.col("error").isNull() & (F.col("pipeline") == best), F.lit(False)),
+                             "fractions": F.lit("No" if fractions is None else "Yes")})
+
+
+def commit_run(spark: SparkSession, log: str, key: str, row: dict) -> None:
+    """Write one run's row as the folder ``run_key=<key>`` of a log, all or nothing."""
+    values = tuple(row[c] for c in RUN_COLUMNS)
+    spark.createDataFrame([values], RUN_SCHEMA).coalesce(1).write.mode("overwrite").json(f"{log}/run_key={key}")
+
+
+def finished_runs(spark: SparkSession, log: str | None) -> DataFrame:
+    """The committed runs of a log, ``run_key`` first; empty where there is none."""
+    schema = f"run_key string, {RUN_SCHEMA}"
+    if log is not None:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+        if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+            return spark.read.schema(f"{RUN_SCHEMA}, run_key string").json(log).select("run_key", *RUN_COLUMNS)
+    return spark.createDataFrame([], schema)
 
 
 def cross_validate(train: DataFrame, test: DataFrame, features: Sequence[str], keys: Sequence[str], num_trees=(2, 5),
@@ -321,11 +538,11 @@ def cross_validate(train: DataFrame, test: DataFrame, features: Sequence[str], k
     parameter map, and the best model's F1 and accuracy on ``test``.
 
     Folds follow the md5 of the row ``keys``, so they don't depend on
-    partitions or retries.
+    partitions or retries. Test rows whose label training hasn't seen count as errors.
     """
-    indexer = StringIndexer(inputCol="label", outputCol="target", handleInvalid="skip").fit(train)
+    indexer, labeled = index_target(train)
     fold = F.least(F.floor(hash_unit(keys, seed=7) * folds), F.lit(folds - 1)).cast("int")
-    train = materialize(indexer.transform(train).withColumn("fold", fold), "cv_train")
+    train = materialize(labeled.withColumn("fold", fold), "cv_train")
     stages, col = preprocessing_stages(features, pca_k=pca_k)
     rf = make_classifier("rf", col)
     grid = ParamGridBuilder().addGrid(rf.numTrees, list(num_trees)).addGrid(

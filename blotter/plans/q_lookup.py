@@ -89,19 +89,16 @@ def forecast_lookup(spark, sf):
     The forecast is the weekly seasonal-naive value of the gap-filled hourly
     series; the read prunes to the requested day's folder.
     """
-    import os
-    import uuid
-
     from blotter.operators import forecast as FC
     from blotter.operators import gaps as G
-    from blotter.session import checkpoint_dir
+    from blotter.session import scratch_path
     from blotter.sources import files as FS
 
     series = G.hourly_gapfill(S.incidents_from_events(spark, sf))
     fc = FC.seasonal_naive(series, "district", "hour_ts", "n", "7 DAYS")
     table = fc.select("district", F.to_date("hour_ts").alias("day"), F.hour("hour_ts").alias("hour"),
                       F.col("n").alias("actual"), F.col("yhat").cast("double").alias("yhat"))
-    path = os.path.join(checkpoint_dir(spark), "lookup", f"hourly_forecast-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "lookup", "hourly_forecast")
     FS.write_table(table, path, partition_by=["day"])
     served = LK.lookup(spark.read.parquet(path), FORECAST_DAY, FORECAST_HOUR)
     mx = F.max("yhat").over(Window.partitionBy("day", "hour"))

@@ -8,9 +8,6 @@ which makes them SQL-checkable.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import functions as F
 
 from blotter.functions.timeparts import with_date_parts
@@ -20,7 +17,7 @@ from blotter.operators.labels import sorted_labels
 from blotter.plans.q_history import BASE_YEAR, hist_sql
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
-from blotter.session import checkpoint_dir, materialize
+from blotter.session import materialize, scratch_path
 from blotter.sources import files as FS
 from blotter.sources import tables as S
 
@@ -167,7 +164,7 @@ def _sweep(spark, sf, configs):
 
 @register("sweep_lr")
 def sweep_lr(spark, sf):
-    """The whole grid for logistic regression (25 runs)."""
+    """The whole grid for logistic regression (25 runs, preprocessing fitted once per prefix)."""
     return _sweep(spark, sf, LR_GRID)
 
 
@@ -196,7 +193,8 @@ DEPTHS, PCA_SIZES, PCA_DEPTHS = (5, 10, 20, 25, 30), (5, 10, 15, 25), (10, 25, 3
 
 @register("tree_depth_sweep")
 def tree_depth_sweep(spark, sf):
-    """M13 + M15: depth x PCA sweep of trees on engineered features, best first."""
+    """M13 + M15: depth x PCA sweep of trees on engineered features, best first: five fits
+    (one per PCA size and one without), the lower depths cut from them."""
     train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
     configs = [dict(name=f"depth_{d}" + (f" pca_{k}" if k else ""), features=TREE_FEATURES, model="tree",
                     scaler="standard" if k else "none", pca_k=k, maxDepth=d)
@@ -244,7 +242,7 @@ def model_roundtrip(spark, sf):
     """Save the whole pipeline to the shared folder, load it, score the test set."""
     train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
     model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=5)
-    path = os.path.join(checkpoint_dir(spark), "models", f"tree_depth5-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "models", "tree_depth5")
     M.save_model(model, path)
     return _scored(M.load_model(path).transform(test), ["district", "day", "hour"])
 
@@ -254,11 +252,66 @@ def log_json(spark, sf):
     """Experiment rows appended as JSON and read back."""
     train, test = M.hash_split(_raw(spark, sf), ["id"])
     res = M.sweep(train, test, SWEEP_CONFIGS)
-    path = os.path.join(checkpoint_dir(spark), "logs", f"sweep-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "logs", "sweep")
     M.write_log(res, path)
     return spark.read.schema(M.SWEEP_SCHEMA).json(path)
 
 
+@register("log_restarted", sql="SELECT * FROM (VALUES " + ", ".join(
+    f"('{c['name']}', '{c['model']}', CAST(1 AS BIGINT), TRUE)" for c in SWEEP_CONFIGS) + ") t(pipeline, model, runs, finished)")
+def log_restarted(spark, sf):
+    """S8 restartable: a sweep that is asked for two configurations, then for all with the
+    same log; each configuration's number of runs in the log, and whether it has a result."""
+    train, test = M.hash_split(_raw(spark, sf), ["id"])
+    path = scratch_path(spark, "logs", "restarted")
+    M.sweep(train, test, SWEEP_CONFIGS[:2], log=path)
+    M.sweep(train, test, SWEEP_CONFIGS, log=path)
+    return M.finished_runs(spark, path).groupBy("pipeline", "model").agg(
+        F.count(F.lit(1)).alias("runs"), F.bool_and(F.col("test_acc").isNotNull()).alias("finished"))
+
+
+@register("tree_walk_differences", sql=finish(with_views("""
+SELECT label, count(*) AS n_rows, 0 AS n_different FROM (
+  SELECT DISTINCT district, label, CAST(ts AS DATE) AS day, hour(ts) AS hour FROM incidents_o WHERE year(ts) >= 2000) c GROUP BY label""",
+    "incidents_o"), ints=("n_rows", "n_different")))
+def tree_walk_differences(spark, sf):
+    """M8 + M13: rows per label where a walk down the exported node tables (joins, no model)
+    ends elsewhere than the model predicts, or a tree cut to depth 5 than one fitted with it."""
+    train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
+    deep, flat = (M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=d) for d in (10, 5))
+    tree = M.classifier_stage(deep)
+    cut = M.cut_trees(spark, tree, [5])[5].setPredictionCol("cut").setProbabilityCol("").setRawPredictionCol("")
+    rows = cut.transform(deep.transform(test)).select("district", "label", "day", "hour", "prediction", "cut", tree.getFeaturesCol())
+    rows = M.walk_tree(rows, M.node_table(spark, tree)[0], tree.getFeaturesCol(), 10)
+    keys = ["district", "label", "day", "hour"]
+    fitted = flat.transform(test).select(*keys, F.col("prediction").alias("fitted"))
+    other = (F.col("walked") != F.col("prediction")) | (F.col("cut") != F.col("fitted"))
+    return rows.join(fitted, keys).groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(other).alias("n_different"))
+
+
+@register("pca_moments", sql=finish(with_views("""
+SELECT 1 AS power, 1.0 AS value UNION ALL
+SELECT 2, (SELECT sum(v * v) FROM cov) / pow(t, 2) FROM tr UNION ALL
+SELECT 3, (SELECT sum(a.v * b.v * c.v) FROM cov a JOIN cov b ON a.j = b.i JOIN cov c ON b.j = c.i AND c.j = a.i) / pow(t, 3) FROM tr""",
+    "incidents_o", ctes="""
+f AS (SELECT [CAST(year(ts) AS DOUBLE), month(ts), hour(ts), minute(ts), day(ts), dayofyear(ts), dayofweek(ts) + 1, weekofyear(ts), quarter(ts)] AS x FROM incidents_o),
+cov AS (SELECT i, j, covar_samp(x[i], x[j]) AS v FROM f, range(1, 10) r(i), range(1, 10) q(j) GROUP BY i, j),
+tr AS (SELECT sum(v) AS t FROM cov WHERE i = j)"""), ints=("power",), doubles=("value",)))
+def pca_moments(spark, sf):
+    """M5: sums of powers of the components' shares of the variance, which the covariance
+    fixes (trace, squared norm, trace of its cube); and 1000 is added for each component
+    that isn't of unit length and orthogonal to the others, or that a decomposition for
+    fewer components gives otherwise."""
+    from pyspark.ml.feature import PCA, VectorAssembler
+    rows = VectorAssembler(inputCols=M.FEATURE_SETS["fc_1"], outputCol="x").transform(_raw(spark, sf)).select("x")
+    model = PCA(k=9, inputCol="x", outputCol="z").fit(rows)
+    few = PCA(k=3, inputCol="x", outputCol="z").fit(rows).pc.toArray()
+    pc, shares = model.pc.toArray(), model.explainedVariance.toArray()
+    wrong = sum(abs((pc[:, i] * pc[:, j]).sum() - (i == j)) > 1e-9 for i in range(9) for j in range(i + 1))
+    wrong += sum(abs(abs((few[:, i] * pc[:, i]).sum()) - 1) > 1e-9 for i in range(3))
+    return spark.createDataFrame([(m, float((shares ** m).sum()) + 1000.0 * wrong) for m in (1, 2, 3)], "power int, value double")
+
+
 @register("csv_roundtrip", sql=finish("""
 SELECT id, date_trunc('second', ts) AS ts, district, label, measure FROM
   (SELECT event_id AS id, ts, lpad(CAST(user_id % 25 AS VARCHAR), 3, '0') AS district,
@@ -266,7 +319,7 @@ SELECT id, date_trunc('second', ts) AS ts, district, label, measure FROM
 def csv_roundtrip(spark, sf):
     """S1 + S5 + T1: incidents written as headered CSV (text dates), read back typed."""
     inc = S.incidents_from_events(spark, sf)
-    path = os.path.join(checkpoint_dir(spark), "csv", f"incidents-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "csv", "incidents")
     FS.write_incident_csv(inc, path)
     return FS.read_incident_csv(spark, path)
 
@@ -366,7 +419,7 @@ def date_part_stages(spark, sf):
     "SELECT CAST(id AS VARCHAR) AS c0, district AS c1, label || ',' || district AS c2 FROM incidents_e", "incidents_e")))
 def delimited_lines(spark, sf):
     """S3: incidents written as plain lines and split into at most three fields."""
-    path = os.path.join(checkpoint_dir(spark), "lines", uuid.uuid4().hex)
+    path = scratch_path(spark, "lines", "incidents")
     inc = S.incidents_from_events(spark, sf)
     inc.select(F.concat_ws(",", F.col("id").cast("string"), "district", "label", "district").alias("value")).write.text(path)
     return FS.read_delimited_lines(spark, path, 3)
@@ -380,7 +433,7 @@ def model_roundtrip_differences(spark, sf):
     """Rows per label that a saved and loaded model scores otherwise than the fitted one."""
     train, test = M.time_split(_engineered(spark, sf), "year", TRAIN_BEFORE, TEST_FROM)
     model = M.fit_pipeline(train, TREE_FEATURES, "tree", maxDepth=5)
-    path = os.path.join(checkpoint_dir(spark), "models", f"tree-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "models", "tree")
     M.save_model(model, path)
     keys = ["district", "label", "day", "hour"]
     first = model.transform(test).select(*keys, "probability")

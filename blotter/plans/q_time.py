@@ -190,8 +190,6 @@ def holiday_year_profile(spark, sf):
 def stream_hourly_counts(spark, sf):
     """A2 + T4 as a Structured Streaming query (state store), run to completion over all
     part files of the table; without a watermark, since no row of it is late."""
-    import uuid
-
     from blotter.streaming import hourly_counts, incident_stream, run_to_table
     stream = incident_stream(spark, f"{sf}/events.parquet", "*")
-    return run_to_table(spark, hourly_counts(stream, watermark=None), f"hourly_counts_{uuid.uuid4().hex}")
+    return run_to_table(spark, hourly_counts(stream, watermark=None), "hourly_counts")

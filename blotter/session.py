@@ -104,6 +104,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
+    """A new path ``kind/name-<random>`` in the shared checkpoint folder, which
+    :func:`drop_scratch` deletes. Everything that a job writes there goes to such a path."""
+    path = os.path.join(checkpoint_dir(spark), kind, f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def materialize(df, name: str = "table"):
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and
     read it back, cutting the lineage.
@@ -116,9 +124,8 @@ def materialize(df, name: str = "table"):
     written.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = scratch_path(spark, "tables", name)
     df.write.mode("overwrite").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
@@ -126,8 +133,9 @@ _WRITTEN: dict[str, list[str]] = {}
 
 
 def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables that :func:`materialize` wrote for this application;
-    frames that read them are no longer usable. Returns their number."""
+    """Delete what this application has written under :func:`scratch_path` (tables,
+    models, logs, streams, archives); frames that read them are no longer usable.
+    Returns the number of paths."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for p in paths:
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)

@@ -9,15 +9,12 @@ checkpoint folder so a restarted query resumes exactly once.
 
 from __future__ import annotations
 
-import os
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.operators.clean import latest_per_group
-from blotter.session import checkpoint_dir
+from blotter.session import scratch_path
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()),
@@ -31,8 +28,13 @@ EVENTS_SCHEMA = T.StructType([
 
 def incident_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet",
                     max_files: int = 1) -> DataFrame:
-    """Event files arriving in ``folder`` (or one file) as an incident stream (as
-    ``incidents_e``); ``pattern`` is of file names."""
+    """Event files arriving in ``folder`` as an incident stream (as ``incidents_e``);
+    ``pattern`` is of file names. A path that is one file is streamed as the one file
+    of its name in its folder."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(path) and files.getFileStatus(path).isFile():
+        folder, pattern = path.getParent().toString(), path.getName()
     raw = (spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", max_files)
            .option("pathGlobFilter", pattern).parquet(folder))
     return raw.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
@@ -59,7 +61,7 @@ def run_to_table(spark: SparkSession, agg: DataFrame, name: str, keys=("hour_ts"
     and nothing comes to the driver. The result takes each key's last row.
     Table and checkpoint are new sub-folders of the shared folder.
     """
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    base = scratch_path(spark, "streams", name)
 
     def write(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{base}/table/batch={batch}")

@@ -35,8 +35,10 @@ def test_tree_pipeline_unseen_district_and_scoring(spark):
     train = spark.createDataFrame(rows, "district string, label string, hour int, dayofweek double")
     model = M.fit_pipeline(train, ["hour", "dayofweek"], "tree", maxDepth=4)
     unseen = spark.createDataFrame([("009", 3, 1.0), ("001", 2, 2.0)], "district string, hour int, dayofweek double")
-    out = M.scoring_model(model).transform(unseen).collect()
-    assert len(out) == 1 and out[0]["predicted_label"] in ("x", "y")   # 'skip' drops the unseen district
+    out = {r["district"]: r for r in M.scoring_model(model).transform(unseen).collect()}
+    assert out.keys() == {"009", "001"}   # an unseen district is kept, a category of its own
+    assert all(r["predicted_label"] in ("x", "y") for r in out.values())
+    assert out["009"]["district_vec"].toArray().tolist() == [0.0, 0.0, 0.0] and sum(out["001"]["district_vec"].toArray()) == 1.0
     summ = M.accuracy_summary(model.transform(train)).first()
     assert 0.0 <= summ["accuracy"] <= summ["top3_accuracy"] == 1.0
 

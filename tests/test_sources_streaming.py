@@ -57,3 +57,18 @@ def test_stream_query_counts_all_part_files_in_any_order(spark):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(os.path.join(folder, "events.parquet"))
     got = sorted((r["hour_ts"].day, r["district"], r["n"]) for r in stream_hourly_counts(spark, folder).collect())
     assert got == [(1, "001", 2), (10, "001", 1), (20, "001", 1)]
+
+
+def test_stream_query_counts_a_table_of_one_file(spark):
+    import shutil
+
+    from blotter.plans.q_time import stream_hourly_counts
+    folder = tempfile.mkdtemp(prefix="blotter-stream-", dir="/tmp")
+    schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    rows = [(i, dt.datetime(2024, 1, 2, 7 + i, 5), 1, "view", 1.0, "{}") for i in range(3)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(folder, "parts"))
+    part = next(f for f in os.listdir(os.path.join(folder, "parts")) if f.endswith(".parquet"))
+    shutil.copy(os.path.join(folder, "parts", part), os.path.join(folder, "events.parquet"))
+    shutil.copy(os.path.join(folder, "parts", part), os.path.join(folder, "orders.parquet"))
+    got = sorted((r["hour_ts"].hour, r["district"], r["n"]) for r in stream_hourly_counts(spark, folder).collect())
+    assert got == [(7, "001", 1), (8, "001", 1), (9, "001", 1)]
