@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from blotter.llm.common import materialize, scratch_path, text_runs, worker_state
 
-ENTRIES, MAX_WORD = 300_000, 64
-KEPT = 300_000  # words that a worker remembers, over which it starts anew
+ENTRIES, MAX_WORD = 500_000, 64
+KEPT = 100_000  # pre-tokens of unseen words that a worker remembers, over which it starts anew
 COUNTED = 400_000  # different words that a counting task holds before it hands them on
 # characters outside of which str.lower and str.split do what the tokeniser's normaliser does
 _ODD = re.compile("[\x1c-\x1fĀ-‏ -\U0010ffff]")
@@ -347,27 +347,28 @@ class Codec:
         self.words = Words(_tokenizer(tokenizer))
         self.merges = Merges(self.words)
         self.lexicon = Lexicon.open(SparkFiles.get(lexicon)) if lexicon else Lexicon(compile_lexicon([], []))
-        self.known: dict[str, bytes] = {}  # a word's ids in decimals, a tab, its tokens
+        self.known: dict[str, bytes] = {}  # of the lexicon's words met: ids in decimals, a tab, tokens
 
-    def learn(self, words: set[str]) -> None:
-        if len(self.known) > KEPT:
-            self.known = {}
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Outputs of words; those of the lexicon's words are kept."""
         new = list(words)
         ranks = self.lexicon.ranks([w.encode() for w in new])
         at = np.flatnonzero(ranks >= 0)
-        self.known.update(zip([new[i] for i in at.tolist()], self.lexicon.outputs(ranks[at])))
+        out = dict(zip([new[i] for i in at.tolist()], self.lexicon.outputs(ranks[at])))
+        self.known |= out
         unseen = [new[i] for i in np.flatnonzero(ranks < 0).tolist()]
         for w, ids in zip(unseen, self.merges.encode(unseen)):
-            self.known[w] = f"{' '.join(map(str, ids))}\t{self.decode(ids)}".encode()
+            out[w] = f"{' '.join(map(str, ids))}\t{self.decode(ids)}".encode()
+        return out
 
     def outputs(self, texts: list[list[str]]) -> list[list[bytes]]:
         """The output of each word of some texts; those not known yet are learnt together."""
         out = [[*map(self.known.get, ws)] for ws in texts]
         gaps = [(t, i) for t, found in enumerate(out) if None in found for i, o in enumerate(found) if o is None]
         if gaps:
-            self.learn({texts[t][i] for t, i in gaps})
+            learnt = self.learn({texts[t][i] for t, i in gaps})
             for t, i in gaps:
-                out[t][i] = self.known[texts[t][i]]
+                out[t][i] = learnt[texts[t][i]]
         return out
 
     def decode(self, ids: list[int]) -> str:

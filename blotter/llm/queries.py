@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.llm import bpe, decontam, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc, whitening
+from blotter.llm import bpe, decontam, lexical, licenses, packing, quality_clf, quality_rules, secrets, simhash, toxicity, url_filter, warc, whitening
 from blotter.llm.common import importable, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,9 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents, and the texts that they decode to, as digests."""
     return bpe.digests(read_table(spark, sf_dir, "documents"))
+
+
+@query("op13_lexical_search", lexical.SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
