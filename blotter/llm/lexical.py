@@ -96,7 +96,7 @@ def postings(docs: DataFrame, vocabulary: list[bytes], id_col: str, text_col: st
             yield pa.RecordBatch.from_arrays(
                 [pa.array([first | k] * (len(term) + 1), pa.int64()), pa.array([-1, *term], pa.int32()),
                  _lists((key & 0xFFFFFFFF).astype(np.int32), cuts), _lists(np.concatenate([n, tf]), np.concatenate([[0], cuts[1:] + len(n)])),
-                 pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (len(term) + 1)], pa.int32()), ids.take(pa.array(order)))],
+                 pa.ListArray.from_arrays(pa.array([0, *[len(ids)] * (len(term) + 1)], pa.int32()), ids.take(pa.array(order)))],  # in the first row
                 names=["chunk", "term", "place", "tf", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_col)
@@ -154,7 +154,7 @@ def _pass(bundles: DataFrame, owned: DataFrame, shared, last: int | None) -> Dat
             if items is not None:
                 place, tf = right["place"][row].values.to_numpy(), right["tf"][row].values.to_numpy()
                 scores[items[:, None], place] += weights.weight[t] * (1_000_000_000 * tf // (1000 * tf + 20 * n[place]))
-        chunk = right["chunk"][head].as_py()
+        chunk = right["owned_chunk"][head].as_py()
         items, values, places = [], [], []
         for item in np.flatnonzero(scores.any(axis=1)).tolist():
             place = np.flatnonzero(scores[item])
@@ -179,7 +179,7 @@ def _pass(bundles: DataFrame, owned: DataFrame, shared, last: int | None) -> Dat
         return pa.table(cols, names=names)
 
     schema = "chunk long, item int, place array<int>, score array<long>" if last is None else "chunk long, item int, ids array<long>, score array<long>"
-    return bundles.groupBy("chunk").cogroup(owned.groupBy("chunk")).applyInArrow(add, schema)
+    return bundles.groupBy("chunk").cogroup(owned.groupBy("owned_chunk")).applyInArrow(add, schema)
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 50, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
@@ -213,8 +213,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, doc_id: str = "doc_id
             for stage in range(stages):
                 owned = posts.join(F.broadcast(owners.where(F.col("owner") == stage)), "term").drop("owner")  # a row per term of the block
                 final = stage == stages - 1
-                if not final:
-                    owned = owned.withColumn("ids", F.lit(None).cast("array<long>"))
+                ids = F.when((F.col("term") == -1) & F.lit(final), F.col("ids"))  # one row per chunk, at the last stage
+                owned = owned.select(F.col("chunk").alias("owned_chunk"), "term", "place", "tf", ids.alias("ids"))
                 bundles = _pass(bundles, owned, shared, k if final else None)
             found = bundles.select("item", F.explode(F.arrays_zip("ids", "score")).alias("d")).select("item", F.col("d.ids").alias("id"), "d.score")
             best = W.partitionBy("item").orderBy(F.desc("score"), F.asc("id"))

@@ -22,6 +22,6 @@ def test_query_equals_its_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names
