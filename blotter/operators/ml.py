@@ -476,9 +476,10 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
         shared = Pipeline(stages=stages).fit(train)
         wanted = {f for c in todo for f in c["features"]} & set(train.columns)
         base = shared.transform(indexer.transform(both)).select("part", "target", *sorted(wanted), *(f"{c}_vec" for c in categorical))
-        # the fit must know the seen classes only; an unseen label is a number beyond them
-        base = materialize(base.withColumn("target", F.col("target").cast("double")), "base")
         labels = list(indexer.labels)
+        # the classifiers' classes are the seen labels; an unseen one is a number beyond them
+        nominal = {"ml_attr": {"type": "nominal", "name": "target", "vals": labels}}
+        base = materialize(base.withColumn("target", F.col("target").alias("target", metadata=nominal)), "base")
         prefixes = {p: sorted({c["pca_k"] for c in todo if _prefix(c) == p and c.get("pca_k")}) for p in dict.fromkeys(map(_prefix, todo))}
 
         def prepare(item):
