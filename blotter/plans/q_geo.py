@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from blotter.operators import clean as CL
 from blotter.operators import geo as GE
 from blotter.operators import outliers as OU
@@ -74,3 +76,33 @@ b AS (SELECT ctype, floor((lon - (-88.0)) / 0.01) AS bin_x, floor((lat - 41.5) /
 def grid_density_by_type(spark, sf):
     """One kernel density surface per type."""
     return GE.grid_density(S.cells_from_customer(spark, sf), by="ctype", **DENSITY)
+
+
+_KDE_SQL = """
+k AS (SELECT ctype, count(*) AS n, stddev_samp(lon) * pow(count(*), -1.0 / 6.0) AS bw_x, stddev_samp(lat) * pow(count(*), -1.0 / 6.0) AS bw_y
+      FROM cells GROUP BY ctype),
+b AS (SELECT ctype, CAST(floor((lon - (-88.0)) / 0.05) AS BIGINT) AS bin_x, CAST(floor((lat - 41.5) / 0.05) AS BIGINT) AS bin_y, count(*) AS c
+      FROM cells GROUP BY ALL),
+x AS (SELECT b.ctype, bin_x + d AS ix, bin_y, sum(c * exp(-CAST(d * d AS DOUBLE) / (2 * pow(bw_x / 0.05, 2)))) AS v
+      FROM b JOIN k ON b.ctype = k.ctype, LATERAL (SELECT unnest(range(-CAST(ceil(3 * bw_x / 0.05) AS BIGINT), CAST(ceil(3 * bw_x / 0.05) AS BIGINT) + 1)) AS d) t GROUP BY ALL),
+f AS (SELECT x.ctype, ix, bin_y + d AS iy, sum(v * exp(-CAST(d * d AS DOUBLE) / (2 * pow(bw_y / 0.05, 2)))) / (any_value(n) * 2 * pi() * any_value(bw_x) * any_value(bw_y)) AS density
+      FROM x JOIN k ON x.ctype = k.ctype, LATERAL (SELECT unnest(range(-CAST(ceil(3 * bw_y / 0.05) AS BIGINT), CAST(ceil(3 * bw_y / 0.05) AS BIGINT) + 1)) AS d) t
+      GROUP BY x.ctype, ix, bin_y + d)"""
+
+
+@register("kernel_bandwidth", sql=finish(with_views("SELECT * FROM k", "cells", ctes=_KDE_SQL), doubles=("bw_x", "bw_y")))
+def kernel_bandwidth(spark, sf):
+    """Scott's bandwidths of each type's points."""
+    return GE.scott_bandwidth(S.cells_from_customer(spark, sf), by="ctype")
+
+
+@register("density_levels", sql=finish(with_views("""
+SELECT ctype, ix, iy, round(density, 4) AS density, least(floor(coalesce(sum(density) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+       / sum(density) OVER (PARTITION BY ctype) * 10), 9) AS level
+FROM f WINDOW w AS (PARTITION BY ctype ORDER BY round(density, 6), ix, iy)""", "cells", ctes=_KDE_SQL),
+    ints=("ix", "iy", "level"), doubles=("density",)))
+def density_levels(spark, sf):
+    """Each type's kernel density with its own bandwidth, and ten filled contour levels."""
+    density = GE.kernel_density(S.cells_from_customer(spark, sf), by="ctype")
+    out = GE.density_levels(density, 10, by="ctype")
+    return out.select("ctype", "ix", "iy", F.round("density", 4).alias("density"), "level")

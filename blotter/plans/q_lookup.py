@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from blotter.operators import history as H
 from blotter.operators import lookup as LK
 from blotter.operators.labels import label_array
+from blotter.plans.q_forecast import _HOURS_SQL, MINUTE_ORDERS, ridge_sql
 from blotter.plans.q_history import BASE_YEAR, hist_sql
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
@@ -66,41 +67,52 @@ def top_labels(spark, sf):
         "district", "day", "hour", "label", "ata", "rank")
 
 
-FORECAST_DAY, FORECAST_HOUR = dt.date(2024, 1, 22), 18
+# A request inside the data and the number of steps past it that are served too.
+FORECAST_DAY, FORECAST_HOUR, FORECAST_HOURS = dt.date(2024, 1, 22), 18, 168
+_N_CHANGES = 5
 
 
-@register("forecast_lookup", sql=finish(with_views(f"""
-SELECT district, CAST(CAST(district AS INTEGER) AS VARCHAR) AS district_num, day, hour, n AS actual, yhat,
-       CASE WHEN yhat IS NULL THEN 0 WHEN mx <= 1 THEN 1
-            ELSE 1 + CAST(floor(7 * least(yhat, mx - 1) / (mx - 1)) AS INTEGER) END AS colour
-FROM (SELECT *, max(yhat) OVER (PARTITION BY day, hour) AS mx FROM f) z
-WHERE day = DATE '{FORECAST_DAY.isoformat()}' AND hour = {FORECAST_HOUR}""", "incidents_e", ctes="""
-c AS (SELECT district, date_trunc('hour', ts) AS hour_ts, count(*) AS n FROM incidents_e GROUP BY ALL),
-s AS (SELECT district, min(hour_ts) AS lo, max(hour_ts) AS hi FROM c GROUP BY district),
-g AS (SELECT district, unnest(generate_series(lo, hi, INTERVAL 1 HOUR)) AS hour_ts FROM s),
-d AS (SELECT g.district, g.hour_ts, coalesce(c.n, 0) AS n FROM g LEFT JOIN c USING (district, hour_ts)),
-f AS (SELECT a.district, CAST(a.hour_ts AS DATE) AS day, hour(a.hour_ts) AS hour, a.n, b.n AS yhat
-      FROM d a LEFT JOIN d b ON a.district = b.district AND b.hour_ts = a.hour_ts - INTERVAL 7 DAY)"""),
-    dates=("day",), ints=("hour", "colour"), doubles=("yhat",)))
-def forecast_lookup(spark, sf):
-    """L1 + L2 + L4 + C6 + S5: hourly forecast table written partitioned by day,
-    then one (day, hour) served from it with actual, forecast and colour class.
+def _served_sql(where: str, actual: str = "n AS actual, ") -> str:
+    return finish(with_views(f"""
+SELECT district, CAST(CAST(district AS INTEGER) AS VARCHAR) AS district_num, day, hour, {actual}yhat,
+       CASE WHEN mx <= 1 THEN 1 ELSE 1 + CAST(floor(7 * greatest(0, least(shown, mx - 1)) / (mx - 1)) AS INTEGER) END AS colour
+FROM (SELECT *, max(shown) OVER (PARTITION BY day, hour) AS mx FROM (
+      SELECT district, CAST(ts AS DATE) AS day, hour(ts) AS hour, n, yhat, CAST(greatest(0, trunc(yhat)) AS BIGINT) AS shown, ts FROM fc) r) z
+WHERE {where}""", "incidents_e", ctes=_HOURS_SQL + "," + ridge_sql(MINUTE_ORDERS, 0, FORECAST_HOURS, "HOUR", _N_CHANGES)),
+        dates=("day",), ints=("hour", "colour"), doubles=("yhat",))
+
 
-    The forecast is the weekly seasonal-naive value of the gap-filled hourly
-    series; the read prunes to the requested day's folder.
-    """
+def _serve(spark, sf, request):
+    """L1 + L2 + L4: the model's forecast of every hour of the data and a week past it,
+    written partitioned by day; ``request`` of that table with classes of the forecast's
+    whole part (as served)."""
     from blotter.operators import forecast as FC
     from blotter.operators import gaps as G
     from blotter.session import scratch_path
     from blotter.sources import files as FS
 
     series = G.hourly_gapfill(S.incidents_from_events(spark, sf))
-    fc = FC.seasonal_naive(series, "district", "hour_ts", "n", "7 DAYS")
-    table = fc.select("district", F.to_date("hour_ts").alias("day"), F.hour("hour_ts").alias("hour"),
-                      F.col("n").alias("actual"), F.col("yhat").cast("double").alias("yhat"))
+    fc = FC.additive_forecast(series, "district", "hour_ts", "n", MINUTE_ORDERS, horizon=FORECAST_HOURS, grain="hour", n_changepoints=_N_CHANGES)
+    table = fc.select("district", F.to_date("hour_ts").alias("day"), F.hour("hour_ts").alias("hour"), F.col("y").cast("long").alias("actual"),
+                      F.round("yhat", 4).alias("yhat"))
     path = scratch_path(spark, "lookup", "hourly_forecast")
     FS.write_table(table, path, partition_by=["day"])
-    served = LK.lookup(spark.read.parquet(path), FORECAST_DAY, FORECAST_HOUR)
-    mx = F.max("yhat").over(Window.partitionBy("day", "hour"))
-    colour = F.when(F.col("yhat").isNull(), F.lit(0)).otherwise(LK.colour_class(F.col("yhat"), mx))
+    served = request(spark.read.parquet(path))
+    shown = F.greatest(F.lit(0), F.col("yhat").cast("long"))
+    colour = LK.colour_class(shown, F.max(shown).over(Window.partitionBy("day", "hour")))
     return served.select("district", "district_num", "day", "hour", "actual", "yhat", colour.alias("colour"))
+
+
+@register("forecast_lookup", sql=_served_sql(f"day = DATE '{FORECAST_DAY.isoformat()}' AND hour = {FORECAST_HOUR}"))
+def forecast_lookup(spark, sf):
+    """L4 + C6 + S5: one (day, hour) of the forecast table with actual, forecast and colour class."""
+    return _serve(spark, sf, lambda t: LK.lookup(t, FORECAST_DAY, FORECAST_HOUR))
+
+
+@register("forecast_lookup_future", sql=_served_sql("n IS NULL AND hour = 18", actual=""))
+def forecast_lookup_future(spark, sf):
+    """L4 past the data: the forecast of 18 o'clock on each day that has no data yet."""
+    def request(table):
+        future = table.where("actual IS NULL AND hour = 18")
+        return future.withColumn("district_num", F.col("district").cast("int").cast("string"))
+    return _serve(spark, sf, request).drop("actual")

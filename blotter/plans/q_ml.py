@@ -309,7 +309,7 @@ def pca_moments(spark, sf):
     pc, shares = model.pc.toArray(), model.explainedVariance.toArray()
     wrong = sum(abs((pc[:, i] * pc[:, j]).sum() - (i == j)) > 1e-9 for i in range(9) for j in range(i + 1))
     wrong += sum(abs(abs((few[:, i] * pc[:, i]).sum()) - 1) > 1e-9 for i in range(3))
-    return spark.createDataFrame([(m, float((shares ** m).sum()) + 1000.0 * wrong) for m in (1, 2, 3)], "power int, value double")
+    return spark.createDataFrame([(m, float((shares ** m).sum() + 1000.0 * wrong)) for m in (1, 2, 3)], "power int, value double")
 
 
 @register("csv_roundtrip", sql=finish("""
@@ -324,6 +324,25 @@ def csv_roundtrip(spark, sf):
     return FS.read_incident_csv(spark, path)
 
 
+@register("csv_quarantine", sql=finish("""
+SELECT CASE event_id % 50 WHEN 1 THEN 'fields' WHEN 2 THEN 'id' WHEN 3 THEN 'date' WHEN 4 THEN 'measure' END AS reason,
+       count(*) AS n, min(event_id) AS first_id FROM events GROUP BY ALL""", ints=("n", "first_id")))
+def csv_quarantine(spark, sf):
+    """Incidents written as lines, some with a field too few or a text that is no id, date
+    or number; records per reason of quarantine (none: good) and the first id of each."""
+    inc = S.incidents_from_events(spark, sf)
+    kind, date = F.col("id") % 50, F.date_format("ts", FS.TEXT_TS_FORMAT)
+    line = F.concat_ws(",", F.when(kind == 2, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id").cast("string")),
+                       F.when(kind == 3, F.lit("some day")).otherwise(date), "district", "label",
+                       F.when(kind == 4, F.lit("much")).when(kind != 1, F.coalesce(F.col("measure").cast("string"), F.lit(""))))
+    path = scratch_path(spark, "csv", "lines")
+    inc.select(line.alias("value")).write.text(path)
+    good, bad = FS.read_incident_csv_checked(spark, path, header=False)
+    first = F.regexp_extract("record", "^x?([0-9]+)", 1).cast("long")
+    rows = good.select(F.lit(None).cast("string").alias("reason"), "id").union(bad.select("reason", first))
+    return rows.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
+
+
 # ---- metric operators on deterministic scores (SQL-checkable) ----
 
 def _pseudo(spark, sf):

@@ -59,6 +59,28 @@ def read_incident_csv(spark: SparkSession, path: str) -> DataFrame:
                       "district", "label", F.col("measure").try_cast("double").alias("measure"))
 
 
+def read_incident_csv_checked(spark: SparkSession, path: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S1 with quarantine: the incidents of well-formed records, and the others as
+    ``(file, record, reason)``.
+
+    A record goes to quarantine whole, as it stood in the file, if it has too few or
+    too many fields (reason ``fields``) or a text that is no ``id``, ``date`` or ``measure``;
+    empty fields are nulls and stay. No record is in both or in neither.
+    """
+    schema = T.StructType([*INCIDENT_TEXT_SCHEMA.fields, T.StructField("_record", T.StringType())])
+    # all fields are parsed whatever columns are asked for, else their number isn't checked
+    raw = (spark.read.schema(schema).option("header", header).option("mode", "PERMISSIVE").option("columnPruning", "false")
+           .option("columnNameOfCorruptRecord", "_record").csv(path))
+    parsed = {"id": F.col("id").try_cast("long"), "date": parse_text_ts("date"), "measure": F.col("measure").try_cast("double")}
+    reason = F.when(F.col("_record").isNotNull(), "fields")
+    for name, value in parsed.items():
+        reason = reason.when(F.col(name).isNotNull() & value.isNull(), name)
+    rows = raw.select("*", F.col("_metadata.file_path").alias("file"), reason.alias("reason"))
+    good = rows.where("reason IS NULL").select(parsed["id"].alias("id"), parsed["date"].alias("ts"), "district", "label", parsed["measure"].alias("measure"))
+    text = F.coalesce("_record", F.concat_ws(",", *(F.coalesce(F.col(f.name), F.lit("")) for f in INCIDENT_TEXT_SCHEMA.fields)))
+    return good, rows.where("reason IS NOT NULL").select("file", text.alias("record"), "reason")
+
+
 def read_delimited_lines(spark: SparkSession, path: str, n_fields: int, sep: str = ",") -> DataFrame:
     """S3: text lines split into at most ``n_fields`` fields (``split`` with a limit).
 

@@ -77,3 +77,26 @@ def test_sampler_is_even_on_any_id_lattice(spark):
     from blotter.operators import clean as CL
     df = spark.range(0, 10007 * 2000, 10007).selectExpr("id", "'a' AS y")
     assert 60 < CL.stratified_sample(df, "y", 0.05).count() < 140
+
+
+def test_kernel_density_is_a_density_with_levels(spark):
+    import numpy as np
+
+    from blotter.operators import geo as GE
+    rng = np.random.default_rng(4)
+    pts = [("a", float(x), float(y)) for x, y in rng.normal([-87.5, 41.8], [0.2, 0.1], (400, 2))] + [("b", -87.0, 41.6), (None, -87.1, 41.7), ("c", None, 41.0)]
+    df = spark.createDataFrame(pts, "t string, lon double, lat double")
+    bw = {r.t: r for r in GE.scott_bandwidth(df, by="t").collect()}
+    xs = np.array([p[1] for p in pts[:400]])
+    assert abs(bw["a"].bw_x / (xs.std(ddof=1) * 400 ** (-1 / 6)) - 1) < 1e-9 and bw["b"].bw_x is None and "c" not in bw
+    out = GE.density_levels(GE.kernel_density(df, by="t", cell=0.02), 10, by="t").collect()
+    assert {r.t for r in out} == {"a"}
+    assert abs(sum(r.density for r in out) * 0.02 * 0.02 - 1) < 0.02
+    total = sum(r.density for r in out)
+    for k in range(10):
+        low = sum(r.density for r in out if r.level < k) / total
+        assert k / 10 - 1e-9 <= low < (k + 1) / 10
+    top = max(out, key=lambda r: r.density)
+    assert top.level == 9 and abs(-88.0 + (top.ix + 0.5) * 0.02 + 87.5) < 0.1
+    one = GE.kernel_density(df.where("t = 'a'"), cell=0.02).collect()
+    assert len(one) == len(out)

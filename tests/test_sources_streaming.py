@@ -72,3 +72,18 @@ def test_stream_query_counts_a_table_of_one_file(spark):
     shutil.copy(os.path.join(folder, "parts", part), os.path.join(folder, "orders.parquet"))
     got = sorted((r["hour_ts"].hour, r["district"], r["n"]) for r in stream_hourly_counts(spark, folder).collect())
     assert got == [(7, "001", 1), (8, "001", 1), (9, "001", 1)]
+
+
+def test_bad_csv_records_go_to_quarantine(spark):
+    folder = tempfile.mkdtemp(prefix="blotter-csv-", dir="/tmp")
+    at = "01/05/2019 12:30:15 AM"
+    bad = {f"2,{at},011,x": "fields", f"3,{at},011,x,1,2": "fields", f"x4,{at},011,x,1": "id", "5,some day,011,x,1": "date", f"7,{at},011,x,much": "measure"}
+    for name, lines in (("a", [f"1,{at},011,x,1.5", *list(bad)[:3]]), ("b", [*list(bad)[3:], "6,,,,", f'8,{at},011,"a, b",2'])):
+        with open(os.path.join(folder, f"{name}.csv"), "w") as f:
+            f.write("id,date,district,label,measure\n" + "\n".join(lines) + "\n")
+    good, quarantine = FS.read_incident_csv_checked(spark, folder)
+    assert sorted((r["id"], r["label"]) for r in good.collect()) == [(1, "x"), (6, None), (8, "a, b")]
+    got = quarantine.collect()
+    assert {r["record"]: r["reason"] for r in got} == bad and len(got) == 5
+    assert {r["file"][-5:]: 0 for r in got}.keys() == {"a.csv", "b.csv"}
+    assert quarantine.groupBy("reason").count().where("reason = 'fields'").first()["count"] == 2 and good.count() == 3
