@@ -137,7 +137,8 @@ def sparse_trend_optimality(spark, sf):
     rows = FC._attach(rows.where("is_train"), "district", fits, "fit")
     x = FC.design(F.col("t"), F.col("tt"), DAILY_ORDERS, FC.grid_of_changes(25))
     off = F.col("y") - F.aggregate(F.zip_with(x, "fit.beta", lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
-    each = rows.select("district", "y", off.alias("off"), F.posexplode(x).alias("j", "x"))
+    each = rows.select("district", "y", off.alias("off"), x.alias("xs"))  # once per row, below the explode
+    each = each.select("district", "y", "off", F.posexplode("xs").alias("j", "x"))
     sums = each.groupBy("district", "j").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("y").cast("long").alias("total"),
                                              F.sum(F.col("x") * F.col("off")).alias("gradient"))
     sums = FC._attach(sums, "district", fits, "fit")

@@ -112,7 +112,7 @@ def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
     return path
 
 
-def materialize(df, name: str = "table"):
+def materialize(df, name: str = "table", **options):
     """Write ``df`` once as a Parquet table in the shared checkpoint folder and
     read it back, cutting the lineage.
 
@@ -121,11 +121,11 @@ def materialize(df, name: str = "table"):
     ``Dataset.checkpoint`` (which runs the plan twice) the plan runs once; the
     files are reliable storage, so a lost executor does not lose them. They
     belong to the job: :func:`drop_scratch` deletes them when its results are
-    written.
+    written. ``options`` are the Parquet writer's, e.g. ``compression``.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "tables", name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**options).parquet(path)
     return spark.read.parquet(path)
 
 
