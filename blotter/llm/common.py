@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from blotter.session import checkpoint_dir, materialize
+from blotter import session
+from blotter.session import materialize
 
 __all__ = ["importable", "read_table", "materialize", "scratch_path", "text_runs", "unused", "utf8_chunks", "worker_state"]
 
@@ -39,8 +39,8 @@ def importable(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that all executors share, which ``drop_scratch`` deletes."""
+    return session.scratch_path(spark, "tables", name)
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -89,7 +89,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"))
     # a row's number tells repeated rows apart, so that one of them is the response; it is
     # stored, since the two reads below need not number rows alike
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1("payload")), "numbered")
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("sha1", F.sha1("payload")), "numbered", compression="zstd")
     rows = rows.withColumn("key", F.when(F.octet_length("payload") >= min_bytes, F.concat_ws(":", "sha1", F.octet_length("payload"))))
     first = rows.groupBy("key").agg(F.max(F.struct("id", "row")).alias("first")).where("key is not null").withColumnRenamed("key", "first_key")
     # a hash join: payloads are dealt out by key but never sorted
