@@ -56,7 +56,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 STATS = ("alym", "apm", "apy", "ata")  # vector order: statistic-major, then labels
@@ -245,11 +245,29 @@ def future_features(incidents: DataFrame, labels: Sequence[str] | Column, base_y
                     days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS,
                     keep_dow: bool = False) -> DataFrame:
     """statistics for the hourly grid of the January after the data."""
-    base = base_counts(incidents)
+    return future_features_from(base_counts(incidents), labels, base_year, days, extra_days, keep_dow)
+
+
+def future_features_from(base: DataFrame, labels: Sequence[str] | Column, base_year: int = DEFAULT_BASE_YEAR,
+                         days: int = 30, extra_days: int = DEFAULT_EXTRA_DAYS, keep_dow: bool = False) -> DataFrame:
+    """F9 from base counts, e.g. a stored table of them (:func:`stored_history`)."""
     return history_statistics(base, future_cells(base, days, extra_days),
                               base_year, extra_days=extra_days, labels=labels, keep_dow=keep_dow)
 
 
+def refresh_history(incidents: DataFrame, path: str) -> None:
+    """Bring the stored base counts at ``path`` up to date with ``incidents``, which hold
+    all rows of every year that they touch: these years' partitions are replaced, the
+    others stay. Loading a year again replaces it, so a repeated load counts nothing twice."""
+    rows = base_counts(incidents).withColumn("year", F.year("day"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+
+
+def stored_history(spark: SparkSession, path: str) -> DataFrame:
+    """The base counts of all years loaded by :func:`refresh_history`."""
+    return spark.read.parquet(path).drop("year")
+
+
 def _pivot(stats: DataFrame, labels: Sequence[str], extra: Sequence[str] = ()) -> DataFrame:
     keys = ["district", "dow", "day", "hour"] if "dow" in stats.columns else ["district", "day", "hour"]
     aggs = [F.first(s).alias(s) for s in (*STATS, *extra)]

@@ -71,9 +71,17 @@ def label_array(df: DataFrame, col: str) -> Column:
     return df.agg(F.sort_array(F.collect_set(col))).scalar()
 
 
-def sorted_labels(df: DataFrame, col: str) -> list[str]:
+MAX_LABELS = 1000  # of a layout that a plan holds as constants
+
+
+def sorted_labels(df: DataFrame, col: str, max_labels: int = MAX_LABELS) -> list[str]:
     """Distinct non-null labels, sorted, on the driver: the order of a fixed
-    vector or pivot layout, which a plan needs as constants. For a label column
-    collapsed at share ``t`` these are at most ``1/t + 1``; where no layout is
+    vector or pivot layout, which a plan needs as constants. A column with more than
+    ``max_labels`` raises ValueError: collapse its rare labels first
+    (:func:`collapse_rare_by_share` leaves at most ``1/t + 1``). Where no layout is
     needed, :func:`label_array` does."""
-    return [r[0] for r in df.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col).collect()]
+    distinct = df.where(F.col(col).isNotNull()).select(col).distinct()
+    found = [r[0] for r in distinct.orderBy(col).limit(max_labels + 1).collect()]
+    if len(found) > max_labels:
+        raise ValueError(f"{col} has more than {max_labels} labels: collapse the rare ones first")
+    return found

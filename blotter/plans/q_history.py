@@ -8,6 +8,7 @@ from blotter.operators import history as H
 from blotter.operators.labels import label_array, sorted_labels
 from blotter.plans.registry import register
 from blotter.plans.sql import finish, with_views
+from blotter.session import scratch_path
 from blotter.sources import tables as S
 
 # Parameter of the orders binding: its first data year (the reference's is 2001).
@@ -136,6 +137,17 @@ def hist_future(spark, sf):
     return _stats(spark, sf, future=True)
 
 
+@register("hist_future_incremental", sql=_stats_sql("alym, apm, apy, ata", future=True))
+def hist_future_incremental(spark, sf):
+    """F9 from a stored day aggregate, loaded in two parts of which the second replaces a
+    year of the first (that had only some of its rows)."""
+    inc = S.incidents_from_orders(spark, sf)
+    path = scratch_path(spark, "history", "base")
+    H.refresh_history(inc.where((F.year("ts") < 1998) | ((F.year("ts") == 1998) & (F.month("ts") < 4))), path)
+    H.refresh_history(inc.where(F.year("ts") >= 1998), path)
+    return H.future_features_from(H.stored_history(spark, path), label_array(inc, "label"), BASE_YEAR, FUTURE_DAYS, EXTRA_DAYS)
+
+
 _VECTOR_SQL = finish(hist_sql(False, more_ctes="""
 li AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS li, count(*) OVER () AS nl FROM labs),
 lg AS (SELECT st.*, li.li, li.nl FROM st JOIN li USING (label))""", tail="""

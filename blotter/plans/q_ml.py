@@ -237,6 +237,83 @@ def future_top_labels(spark, sf):
         "district", "day", "hour", "label", "probability", "rank")
 
 
+@register("future_label_ranks", sql=finish(hist_sql(True, tail="""
+SELECT district, day, hour, least(3, nl) AS n, CAST(least(3, nl) * (least(3, nl) + 1) / 2 AS BIGINT) AS ranks, TRUE AS ordered, TRUE AS predicted_first
+FROM (SELECT DISTINCT district, day, hour FROM st) k, (SELECT count(*) AS nl FROM labs) l"""), dates=("day",), ints=("hour", "n", "ranks")))
+def future_label_ranks(spark, sf):
+    """M21 + L3: per future cell the number of ranked labels, the sum of their ranks, whether
+    probabilities fall with the rank and stay within 1 in all, and whether the predicted
+    label of ``score_future`` is one of the greatest probability."""
+    keys = ["district", "day", "hour"]
+    top = future_top_labels(spark, sf)
+    best = F.max_by(F.struct("label", "probability"), -F.col("rank"))
+    falling = F.array_sort(F.collect_list(F.struct("rank", "probability")))
+    top = top.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("rank").alias("ranks"), falling.alias("p"), best.alias("best"),
+                                 F.collect_set(F.struct("label", "probability")).alias("all"))
+    pairs = F.zip_with(F.slice("p", 1, F.size("p") - 1), F.slice("p", 2, F.size("p") - 1), lambda a, b: a["probability"] >= b["probability"])
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x["probability"])
+    met = top.join(score_future(spark, sf).select(*keys, "predicted_label"), keys)
+    first = F.exists("all", lambda x: (x["label"] == F.col("predicted_label")) & (x["probability"] == F.col("best.probability")))
+    return met.select(*keys, "n", "ranks", (F.forall(pairs, lambda x: x) & (total <= 1 + 1e-9)).alias("ordered"), first.alias("predicted_first"))
+
+
+_GRADIENT_SPLIT = "CAST('0x' || substr(md5('42:' || id), 1, 8) AS BIGINT) / 4294967296.0 < 0.7"
+
+
+@register("lr_gradient", sql=finish(with_views(f"""
+SELECT label, n, j, 0.0 AS gradient FROM (SELECT label, count(*) AS n FROM incidents_o WHERE {_GRADIENT_SPLIT} GROUP BY label) c,
+       range((SELECT 4 + count(DISTINCT district) FROM incidents_o WHERE {_GRADIENT_SPLIT})) q(j)""", "incidents_o"),
+    ints=("n", "j"), doubles=("gradient",)))
+def lr_gradient(spark, sf):
+    """M9: the gradient of the penalised log-loss at a logistic regression fitted to the end,
+    per label and input (0: the intercept), summed over the training rows; it is 0 there."""
+    ridge = 0.01
+    train, _ = M.hash_split(_raw(spark, sf), ["id"])
+    train = materialize(train.select("id", "label", "district", *M.FEATURE_SETS["fc_2"]), "train")
+    model = M.fit_pipeline(train, M.FEATURE_SETS["fc_2"], "lr", scaler="minmax", maxIter=500, regParam=ridge, standardization=False, tol=1e-9)
+    fitted, labels = M.classifier_stage(model), M.label_order(model)
+    coef = [(k, j + 1, float(v)) for k, row in enumerate(fitted.coefficientMatrix.toArray()) for j, v in enumerate(row)]
+    coef = spark.createDataFrame(coef, "k int, j int, beta double")
+    rows = model.transform(train).select(F.col("target").cast("int").alias("t"), M.vector_to_array(F.col("features_scaled")).alias("x"),
+                                         F.posexplode(M.vector_to_array(F.col("probability"))).alias("k", "p"))
+    each = rows.select("k", "t", (F.col("p") - (F.col("k") == F.col("t")).cast("double")).alias("off"),
+                       F.posexplode(F.concat(F.array(F.lit(1.0)), F.col("x"))).alias("j", "v"))
+    sums = each.groupBy("k", "j").agg(F.avg(F.col("off") * F.col("v")).alias("g"), F.count_if(F.col("k") == F.col("t")).alias("n"))
+    grad = F.col("g") + F.lit(ridge) * F.coalesce("beta", F.lit(0.0))
+    out = sums.join(coef, ["k", "j"], "left")
+    return out.select(F.element_at(F.array(*map(F.lit, labels)), F.col("k") + 1).alias("label"), "n", "j", (F.round(F.abs(grad), 3)).alias("gradient"))
+
+
+@register("scaler_values", sql=finish(with_views("""
+SELECT kind, j - 1 AS idx, avg(z[j]) AS mean, avg(z[j] * z[j]) AS square FROM (
+  SELECT u.kind, u.z FROM v, LATERAL (SELECT unnest([
+    {'kind': 'none', 'z': x}, {'kind': 'normalizer', 'z': y},
+    {'kind': 'standard', 'z': [x[1] - a[1].m, x[2] - a[2].m, x[3] - a[3].m]}, {'kind': 'norm_standard', 'z': [y[1] - b[1].m, y[2] - b[2].m, y[3] - b[3].m]},
+    {'kind': 'standard_std', 'z': [x[1] / a[1].s, x[2] / a[2].s, x[3] / a[3].s]},
+    {'kind': 'minmax', 'z': [(x[1] - a[1].lo) / (a[1].hi - a[1].lo), (x[2] - a[2].lo) / (a[2].hi - a[2].lo), (x[3] - a[3].lo) / (a[3].hi - a[3].lo)]},
+    {'kind': 'norm_minmax', 'z': [(y[1] - b[1].lo) / (b[1].hi - b[1].lo), (y[2] - b[2].lo) / (b[2].hi - b[2].lo), (y[3] - b[3].lo) / (b[3].hi - b[3].lo)]},
+    {'kind': 'maxabs', 'z': [x[1] / a[1].ma, x[2] / a[2].ma, x[3] / a[3].ma]}, {'kind': 'norm_maxabs', 'z': [y[1] / b[1].ma, y[2] / b[2].ma, y[3] / b[3].ma]}]) AS u) t) r,
+  range(1, 4) q(j) GROUP BY kind, j""", "incidents_o", ctes="""
+f AS (SELECT [CAST(hour(ts) AS DOUBLE), month(ts), dayofweek(ts) + 1] AS x FROM incidents_o),
+n AS (SELECT x, list_transform(x, lambda v: v / sqrt(list_sum(list_transform(x, lambda w: w * w)))) AS y FROM f),
+st AS (SELECT list({'m': mx, 's': sx, 'lo': lx, 'hi': hx, 'ma': ax} ORDER BY j) AS a, list({'m': my, 's': sy, 'lo': ly, 'hi': hy, 'ma': ay} ORDER BY j) AS b FROM (
+       SELECT j, avg(x[j]) AS mx, stddev_samp(x[j]) AS sx, min(x[j]) AS lx, max(x[j]) AS hx, max(abs(x[j])) AS ax,
+              avg(y[j]) AS my, stddev_samp(y[j]) AS sy, min(y[j]) AS ly, max(y[j]) AS hy, max(abs(y[j])) AS ay FROM n, range(1, 4) q(j) GROUP BY j) g),
+v AS (SELECT x, y, a, b FROM n, st)"""), ints=("idx",), doubles=("mean", "square")))
+def scaler_values(spark, sf):
+    """M4: mean and mean square of each input after each of the nine scalings."""
+    from functools import reduce
+
+    from pyspark.ml import Pipeline
+    rows = with_date_parts(S.incidents_from_orders(spark, sf), parts=("hour", "month", "dayofweek")).select("hour", "month", "dayofweek")
+    out = []
+    for kind in M.SCALERS:
+        stages, col = M.preprocessing_stages(["hour", "month", "dayofweek"], categorical=(), scaler=kind)
+        scaled = Pipeline(stages=stages).fit(rows).transform(rows)
+        out.append(scaled.select(F.lit(kind).alias("kind"), F.posexplode(M.vector_to_array(F.col(col))).alias("idx", "z")))
+    return reduce(lambda a, b: a.union(b), out).groupBy("kind", "idx").agg(F.avg("z").alias("mean"), F.avg(F.col("z") * F.col("z")).alias("square"))
+
+
 @register("model_roundtrip")
 def model_roundtrip(spark, sf):
     """Save the whole pipeline to the shared folder, load it, score the test set."""
@@ -392,6 +469,16 @@ def class_report(spark, sf):
     return out.withColumn("cls", F.col("cls").cast("int"))
 
 
+@register("weighted_f1", sql=finish(_PSEUDO_SQL + """,
+k AS (SELECT DISTINCT t AS cls FROM pr),
+r AS (SELECT cls, (SELECT count(*) FROM pr WHERE t = cls) AS support, (SELECT count(*) FROM pr WHERE pred = cls) AS predicted,
+             (SELECT count(*) FROM pr WHERE pred = cls AND t = cls) AS tp FROM k)
+SELECT sum(support * 2.0 * tp / (support + predicted)) / sum(support) AS f1 FROM r""", doubles=("f1",)))
+def weighted_f1(spark, sf):
+    """F1 weighted by support."""
+    return spark.createDataFrame([(M.f1_score(_pseudo(spark, sf)),)], "f1 double")
+
+
 @register("predicted_vs_actual", sql=finish(_PSEUDO_SQL + """,
 p AS (SELECT pred AS cls, count(*) AS predicted FROM pr GROUP BY 1),
 a AS (SELECT t AS cls, count(*) AS actual FROM pr GROUP BY 1)

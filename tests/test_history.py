@@ -169,3 +169,20 @@ def test_later_rows_change_nothing(spark):
     assert len(before) > 100
     for key, stats in before.items():
         assert after[key] == stats
+
+
+def test_stored_history_is_replaced_by_year(spark, tmp_path):
+    import datetime as dt
+
+    from blotter.operators import history as H
+    rows = [(i, dt.datetime(2000 + i % 3, 1 + i % 12, 1 + i % 28, i % 24), f"00{i % 2}", "ab"[i % 2]) for i in range(200)]
+    inc = spark.createDataFrame(rows, "id long, ts timestamp_ntz, district string, label string")
+    path = str(tmp_path / "base")
+    from pyspark.sql import functions as F
+    year = F.year("ts")
+    for part in (inc.where(year <= 2001).where("id % 2 = 0"), inc.where(year == 2002), inc.where(year <= 2001), inc.where(year == 2002)):
+        H.refresh_history(part, path)
+    got = sorted(map(tuple, H.stored_history(spark, path).select("district", "label", "day", "hour", "n").collect()))
+    assert got == sorted(map(tuple, H.base_counts(inc).select("district", "label", "day", "hour", "n").collect()))
+    H.refresh_history(inc.where("id < 0"), path)
+    assert sorted(map(tuple, H.stored_history(spark, path).select("district", "label", "day", "hour", "n").collect())) == got

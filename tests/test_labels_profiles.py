@@ -32,3 +32,13 @@ def test_pivot_absent_cell_is_null(spark):
     df = spark.createDataFrame([("a", 0), ("a", 0), ("b", 1), (None, 1), ("b", None)], "label string, hour int")
     out = {r["label"]: r for r in P.pivot_counts(df, "label", "hour", [0, 1]).collect()}
     assert out["a"]["0"] == 2 and out["a"]["1"] is None and out["b"]["1"] == 1
+
+
+def test_layout_of_too_many_labels_raises(spark):
+    import pytest
+
+    from blotter.operators.labels import sorted_labels
+    df = spark.createDataFrame([(f"l{i:03d}",) for i in range(30)] + [(None,)], "label string")
+    assert sorted_labels(df, "label", 30) == [f"l{i:03d}" for i in range(30)]
+    with pytest.raises(ValueError):
+        sorted_labels(df, "label", 29)
