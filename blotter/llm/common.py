@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
+import sys
+import threading
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +20,7 @@ from blotter.session import materialize
 
 __all__ = ["importable", "read_table", "materialize", "scratch_path", "text_runs", "unused", "utf8_chunks", "worker_state"]
 
-ROWS = 1000
+ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +33,10 @@ def importable(spark: SparkSession) -> None:
 
     The Python workers of a local session import this package from where the
     driver has it (a cluster ships it with ``--py-files``). Arrow batches hold
-    at most ``ROWS`` whole texts: Spark's default of 10,000 would be tens to
-    hundreds of MB in the JVM and again in Python."""
+    at most ``ROWS`` whole texts and end at ``BATCH_BYTES``: Spark's defaults would be
+    tens to hundreds of MB in the JVM and again in Python."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -56,15 +64,36 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 
 _STATE: dict = {}
+_LAST_USE = [0.0]
+IDLE_SECONDS = 4.0
 
 
 def worker_state(key: str, make):
     """What ``make`` returns, kept by this Python worker until another key is
-    asked for: a worker holds the tables of one operator at a time."""
-    if key not in _STATE:
+    asked for or none for some seconds: a worker holds the tables of one operator at
+    a time, and none while it waits for another stage's tasks."""
+    found = _STATE.get(key)
+    if found is None:
         _STATE.clear()
-        _STATE[key] = make()
-    return _STATE[key]
+        if not _LAST_USE[0]:
+            threading.Thread(target=_release_idle, daemon=True).start()
+        found = make()
+        _STATE[key] = found
+    _LAST_USE[0] = time.monotonic()
+    return found
+
+
+def _release_idle() -> None:
+    """Drop the state of a worker without work and give its memory back."""
+    while True:
+        time.sleep(1.0)
+        if _STATE and time.monotonic() - _LAST_USE[0] > IDLE_SECONDS:
+            _STATE.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # another C library
+                    ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def utf8_chunks(col: pa.Array, max_bytes: int = 1 << 20):
