@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -109,3 +110,31 @@ def test_classifier_empty_tables(spark):
     assert quality_clf.quality(table(spark, []), lab).collect() == []
     rows = quality_clf.quality(table(spark, labelled(random.Random(4), 5)[0]), lab).collect()
     assert [r.score for r in rows] == [0.5] * 5
+
+
+def plain_statistics(text):
+    """The classifier's statistics of a text, by the standard library."""
+    text = text or ""
+    size = max(len(text), 1)
+    out = [sum(c in chars for c in text) / size for chars in quality_clf.CHARS.values()]
+    ws = [w for w in re.split("[ \t\n\x0b\f\r]+", text) if w]
+    lines = [x for x in text.split("\n") if x]
+    n, m = max(len(ws), 1), max(len(lines), 1)
+    return [*out, math.log1p(len(ws)), len(text) / n, len(set(ws)) / n, len({x.split(" ")[0] for x in lines}) / m, 1 - len(set(lines)) / m, n / m]
+
+
+def test_scores_equal_the_rules_by_hand(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, " \n\n \t"), (-4, "é ß 日本 |#| A.B,C;"), (-5, "same\nsame\nsame x")], "doc_id long, text string")
+    docs = docs.select("doc_id", "text").union(extra)
+    stats = quality_clf.statistics(docs, "text", {"id": "doc_id"})
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in stats.collect():
+        assert all(abs(a - b) < 1e-9 for a, b in zip([r[c] for c in quality_clf.STATISTICS], plain_statistics(texts[r.id]), strict=True)), r.id
+    model = quality_clf.fit(stats, labels)
+    assert model.rules
+    for r in stats.withColumn("score", model.column()).collect():
+        x = plain_statistics(texts[r.id])
+        z = model.bias + sum(w for rule, w in model.rules if all(x[i] <= b if op == "<=" else x[i] > b for i, op, b in rule))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9

@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import math
 import random
+import re
 
 import brute
 from blotter.llm import secrets
@@ -98,3 +100,44 @@ def test_redact(spark):
 def test_empty_table(spark):
     assert secrets.secret_scan(table(spark, [])).collect() == []
     assert secrets.redact(table(spark, [])).collect() == []
+
+
+def plain_p(body, alphabet):
+    """The battery's p of a run, by the standard library."""
+    k, x = len(alphabet), [alphabet.index(c) for c in body]
+    n = len(x)
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    chi = sum((x.count(v) - n / k) ** 2 for v in range(k)) / (n / k)
+    third = 2 / (9 * (k - 1))
+    p_chi = tail(((chi / (k - 1)) ** (1 / 3) - (1 - third)) / math.sqrt(third))
+    high = [v >= k // 2 for v in x]
+    n1 = sum(high)
+    n0 = n - n1
+    turns = 1 + sum(a != b for a, b in zip(high, high[1:]))
+    mean = 2 * n0 * n1 / n + 1
+    var = max((mean - 1) * (mean - 2) / (n - 1), 1e-9)
+    p_runs = 0.5 ** (n - 1) if not n0 or not n1 else 2 * tail(abs(turns - mean) / math.sqrt(var))
+    lag = sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in zip(x, x[1:]))
+    p_lag = 2 * tail(abs(lag / ((k * k - 1) / 12) / math.sqrt(n - 1)))
+    return min(1.0, 3 * min(p_chi, p_runs, p_lag))
+
+
+def test_battery_equals_the_formulas(spark):
+    rnd = random.Random(12)
+    runs = []
+    for i, (_, pattern, alphabet) in enumerate(secrets.ENCODINGS):
+        for n in (20, 25, 40, 64, 200):
+            for some in (alphabet, alphabet[:12] + alphabet[-2:], alphabet[:2] + "".join(c for c in alphabet if c.isdigit())[:1]):
+                runs.append("".join(rnd.choice(some) for _ in range(n)))
+    rows = spark.createDataFrame([(r,) for r in runs], "run string").select("run", secrets.battery(F.col("run")).alias("t")).collect()
+    tested = 0
+    for r in rows:
+        fits = [i for i, (_, pattern, _) in enumerate(secrets.ENCODINGS) if re.search(pattern, r.run)]
+        mixed = re.search("[0-9]", r.run) and re.search("[A-Za-z]", r.run) and len(r.run) >= 20
+        if not fits or not mixed:
+            assert r.t.encoding == -1
+            continue
+        assert r.t.encoding == fits[0] and r.t.n == len(r.run)
+        assert abs(r.t.p - plain_p(r.run, secrets.ENCODINGS[fits[0]][2])) < 2e-6
+        tested += 1
+    assert tested > 20
