@@ -38,6 +38,23 @@ def lookup_day_hour(spark, sf):
     return LK.lookup(_hourly(spark, sf), LOOKUP_DAY, LOOKUP_HOUR)
 
 
+_DAY_HOUR_SQL = finish(with_views(f"""
+SELECT district, day, hour, n FROM c WHERE day = DATE '{LOOKUP_DAY.isoformat()}' AND hour = {LOOKUP_HOUR} AND district IN ('003', '017')""",
+    "incidents_e", ctes=_HOURLY_E), dates=("day",), ints=("hour",))
+
+
+@register("lookup_served", sql=_DAY_HOUR_SQL)
+def lookup_served(spark, sf):
+    """L1 from the serving layout: two districts at one (day, hour), by statistics and Bloom
+    filters of a table sorted by day, hour and district."""
+    from blotter.session import scratch_path
+    from blotter.sources import files as FS
+    path = scratch_path(spark, "lookup", "served")
+    FS.write_serving_table(_hourly(spark, sf), path, ["day", "hour", "district"], bloom=["district"])
+    served = LK.lookup(spark.read.parquet(path), LOOKUP_DAY, LOOKUP_HOUR)
+    return served.where(F.col("district").isin("003", "017")).select("district", "day", "hour", "n")
+
+
 @register("colour_class", sql=finish(with_views("""
 SELECT day, hour, district, CAST(n AS DOUBLE) AS n,
        CASE WHEN n IS NULL THEN 0 WHEN mx <= 1 THEN 1

@@ -44,6 +44,24 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> N
     w.parquet(path)
 
 
+def write_serving_table(df: DataFrame, path: str, keys: Sequence[str], files: int | None = None, bloom: Sequence[str] = (),
+                        row_group_bytes: int = 1 << 20) -> None:
+    """L1's layout: Parquet sorted by ``keys`` over all files (range partitions, sampled
+    bounds), in small row groups, with Bloom filters on the columns ``bloom``.
+
+    A request for one combination of leading keys finds its rows in neighbouring row
+    groups: the others' minima and maxima exclude them, as the Bloom filters exclude
+    groups without a value of another column. Rows of one combination aren't split
+    over files (range partitions hold equal keys together).
+    """
+    dealt = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    w = dealt.sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", row_group_bytes)
+    w = w.option("parquet.block.size.row.check.min", 100).option("parquet.page.size", 64 << 10).option("parquet.page.size.row.check.min", 100)
+    for c in bloom:
+        w = w.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    w.parquet(path)
+
+
 def write_incident_csv(incidents: DataFrame, path: str) -> None:
     """Incidents in the reference's raw layout: text dates ``MM/dd/yyyy hh:mm:ss a``."""
     write_csv(incidents.select(F.col("id").cast("string").alias("id"),

@@ -68,3 +68,31 @@ def test_hot_value_third_of_rows(spark):
     for distinct in (False, True):
         got = {(r["x"], r["score"]): r["n"] for r in OU.robust_outliers(df, "m", distinct).collect()}
         assert got == _brute(xs, distinct)
+
+
+def test_serving_layout_reads_one_row_group_per_request(spark, tmp_path):
+    import datetime as dt
+    import os
+
+    import pyarrow.parquet as pq
+    from pyspark.sql import functions as F
+
+    from blotter.sources import files as FS
+    slots = spark.range(0, 24 * 200 * 25, 1, 5).select(
+        F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 200).cast("int")).alias("day"), (F.floor(F.col("id") / 200) % 24).cast("int").alias("hour"),
+        F.lpad((F.floor(F.col("id") / 4800)).cast("string"), 3, "0").alias("district"), F.xxhash64("id").alias("n"))
+    path = str(tmp_path / "t")
+    FS.write_serving_table(slots, path, ["day", "hour", "district"], files=4, bloom=["district"], row_group_bytes=64 << 10)
+    files = [os.path.join(path, f) for f in os.listdir(path) if f.endswith(".parquet")]
+    groups = []
+    for f in files:
+        meta = pq.ParquetFile(f).metadata
+        for g in range(meta.num_row_groups):
+            cols = {meta.row_group(g).column(c).path_in_schema: meta.row_group(g).column(c) for c in range(meta.num_columns)}
+            groups.append((cols["day"].statistics, cols["hour"].statistics))
+    assert len(files) == 4 and len(groups) > 10
+    for day, hour in ((dt.date(2024, 1, 1), 0), (dt.date(2024, 3, 5), 12), (dt.date(2024, 7, 18), 23)):
+        hit = [1 for d, h in groups if d.min <= day <= d.max and (d.min < day < d.max or h.min <= hour <= h.max or d.min != d.max)]
+        assert 1 <= len(hit) <= 2
+        got = spark.read.parquet(path).where((F.col("day") == F.lit(day)) & (F.col("hour") == hour))
+        assert got.count() == 25 and "PushedFilters: [IsNotNull(day)" in got._jdf.queryExecution().executedPlan().toString()
