@@ -34,7 +34,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm.common import materialize, scratch_path, text_runs, worker_state
+from blotter.llm.common import materialize, text_runs, worker_state
+from blotter.session import checkpoint_dir
 
 ENTRIES, MAX_WORD = 500_000, 64
 KEPT = 100_000  # pre-tokens of unseen words that a worker remembers, over which it starts anew
@@ -323,7 +324,8 @@ def build_lexicon(docs: DataFrame, text_col: str = "text", tokenizer: str | None
     rows = sorted(zip((w.encode() for w in rows["word"].to_pylist()), rows["output"].to_pylist()))
     image = compile_lexicon([w for w, _ in rows], [o for _, o in rows])
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    path = f"{scratch_path(spark, 'lexicon')}/{name}"
+    # not one of drop_scratch's paths: executors that start later fetch all files of a session
+    path = f"{checkpoint_dir(spark).rstrip('/')}/lexicons/{name}"
     _write(spark, path, image)
     spark.sparkContext.addFile(path)
     return name
