@@ -1,25 +1,33 @@
 """Toxicity scores from class-conditional Kneser-Ney models.
 
-The units are words (lower-cased runs of letters); rare words back off to their
-prefixes of 7, 5, 4 and 3 characters. For class c, with discount D and N_c
-words,
+The units are expressions of one to three words (words are lower-cased runs of
+letters); rare words back off to their prefixes of 7, 5, 4 and 3 characters. For
+class c, with discount D,
+
+    P_c(w | h) = max(n_c(h w) - D, 0) / n_c(h) + rest_c(h) * P_c(w | h')
+
+where h is the one or two words before w, h' drops the first of them, n_c counts the
+class's documents that hold an expression (so no long document rules the model),
+n_c(h) sums those of all expressions that go on from h, and rest_c(h) is the mass
+that the discounted counts leave. Words without h go down the prefixes alike,
 
     P_c(u) = max(n_c(u) - D, 0) / N_c + rest_c(parent) * types(u) / types(parent)
 
-where n_c(u) counts the class's documents that hold u (so no long document
-rules the model; ordinary counts are scaled to the toxic total), rest_c(parent) is the mass of the parent that its children's discounted
-counts leave, and types(u), the continuation count, is the number of different
-words of the *whole* corpus, labelled or not, that begin with u: both classes
-smooth rare words through the same shared counts. Toxic documents hold some
-toxic words among ordinary ones, so their likelihood is that of the mixture
-(1 - ``mix``) P_ordinary + ``mix`` P_toxic. A document's statistic is its
-log-likelihood ratio, toxic to ordinary, per word; a logistic curve fitted on
-labelled rows that were not counted maps it to a score.
-
-Size: class counts come from at most ``max_labelled`` labelled rows, the
-model has at most ``max_nodes`` words and prefixes (the most frequent in either
-class), so that it can be sent to every executor. Shared counts cover all
-documents and are aggregated by Spark.
+and types(u), the continuation count, is the number of different words of the *whole*
+corpus, labelled or not, that begin with u: both classes smooth rare words
+through the same shared counts. Toxic documents hold some toxic expressions among
+ordinary ones, so their likelihood is that of the mixture (1 - ``mix``) P_ordinary +
+``mix`` P_toxic. A document's statistic is its log-likelihood ratio, toxic to
+ordinary, per word (of its words and ``pad`` neutral ones). On labelled rows that
+were not counted, the limit is where the classes' error rates have the least sum, so
+some wrong labels don't move it, and a logistic curve around it gives the score.
+
+Size: class counts come from at most ``max_labelled`` labelled rows. The model has
+every word and prefix that these hold and every longer expression that
+``min_docs`` of their toxic documents hold; nothing else is left out. It is worked out
+by Spark, level by level, and goes to the executors as sorted 64-bit keys with
+ratios, 16 bytes each. Shared counts cover all documents. (Keys are XXH64: among ten
+million, two meet with a probability of 3e-6.)
 """
 
 from __future__ import annotations
@@ -32,6 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,129 +97,278 @@ def nodes(counts: DataFrame) -> DataFrame:
     return out
 
 
-@dataclass
-class Model:
-    """Log-likelihood ratios of words, and of what is below each prefix and unseen."""
+def ratios(tree: DataFrame, totals: tuple[int, int, int], discount: float) -> DataFrame:
+    """``(level, key, toxic, ordinary, rest)`` of the units that a class holds: their
+    probabilities, and the ratio, toxic to ordinary, of what is below them and unseen.
 
-    words: dict[str, float]
-    rest: dict[str, float]  # of the parent of unseen units, by prefix; "" is the root
-    slope: float = 1.0
-    bias: float = 0.0
+    Goes down from the root, a join per level. A unit that no class holds has the
+    ratio of its parent's rest."""
+    spark, n = tree.sparkSession, [float(max(t, 1)) for t in totals]
+    seen = materialize(tree.where("toxic > 0 or ordinary > 0"), "seen")
+    up = spark.range(1).select(F.lit("").alias("up"), F.lit(1.0).alias("up_t"), F.lit(1.0).alias("up_o"), F.lit(n[2]).alias("up_types"))
+    out = None
+    for level in range(len(PREFIXES) + 1):
+        at = seen.where(F.col("level") == level).select(
+            "unit", "parent", "types", *(F.greatest(F.col(c) - discount, F.lit(0.0)).alias(c) for c in ("toxic", "ordinary")))
+        claimed = at.groupBy(F.col("parent").alias("up")).agg(*(F.sum(c).alias(c) for c in ("toxic", "ordinary")))
+        mass = lambda p, c, i: F.greatest(F.col(p) - F.coalesce(F.col(c), F.lit(0.0)) / n[i], F.lit(1e-12))
+        left = materialize(up.join(claimed, "up", "left").select(
+            "up", "up_t", "up_o", "up_types", mass("up_t", "toxic", 0).alias("left_t"), mass("up_o", "ordinary", 1).alias("left_o")), "left")
+        part = left.select(F.lit(level).alias("level"), F.xxhash64("up").alias("key"), F.col("up_t").alias("toxic"), F.col("up_o").alias("ordinary"),
+                           (F.col("left_t") / F.col("left_o")).alias("rest"))
+        out = part if out is None else out.union(part)
+        share = F.col("types") / F.col("up_types")
+        up = at.join(left, F.col("parent") == F.col("up")).select(
+            F.col("unit").alias("up"), (F.col("toxic") / n[0] + F.col("left_t") * share).alias("up_t"),
+            (F.col("ordinary") / n[1] + F.col("left_o") * share).alias("up_o"), F.col("types").cast("double").alias("up_types"))
+    words = up.select(F.lit(len(PREFIXES) + 1).alias("level"), F.xxhash64("up").alias("key"), F.col("up_t").alias("toxic"),
+                      F.col("up_o").alias("ordinary"), F.lit(None).cast("double").alias("rest"))
+    return materialize(out.union(words), "ratios")
 
-    def ratio(self, word: str) -> float:
-        unit = word + END
-        if unit in self.words:
-            return self.words[unit]
-        for k in reversed(PREFIXES):
-            if len(unit) >= k and unit[:k] in self.rest:
-                return self.rest[unit[:k]]
-        return self.rest[""]
 
+_NEXT = np.uint64(0x9E3779B97F4A7C15)  # key of an expression: key of its history times this, plus its last word's
 
-def _ratios(kept: pd.DataFrame, totals: tuple[float, float, int], discount: float, mix: float) -> Model:
-    """Probabilities from the root down; ``kept`` has the nodes of all levels."""
-    def ratio(p: np.ndarray) -> list[float]:
-        return np.log(1 - mix + mix * p[:, 0] / p[:, 1]).tolist()
 
-    n = np.array([max(totals[0], 1), max(totals[1], 1)], dtype=float)
-    up = pd.DataFrame({"p0": [1.0], "p1": [1.0], "types": [max(totals[2], 1)]}, index=[""])
-    words: dict[str, float] = {}
-    rest: dict[str, float] = {}
-    for level in range(len(PREFIXES) + 1):
-        at = kept[kept["level"] == level]
-        own = np.maximum(at[["toxic", "ordinary"]].to_numpy(float) - discount, 0) / n
-        claimed = pd.DataFrame(own, columns=["p0", "p1"]).groupby(at["parent"].to_numpy()).sum()
-        left = (up[["p0", "p1"]] - claimed.reindex(up.index, fill_value=0.0)).clip(lower=1e-12)
-        # units of other shapes and unseen ones share what is left, alike in both classes
-        rest.update(zip(left.index, ratio(left.to_numpy())))
-        back = left.reindex(at["parent"]).to_numpy() * (at["types"].to_numpy() / up["types"].reindex(at["parent"]).to_numpy())[:, None]
-        p = own + back
-        if level == len(PREFIXES):
-            words = dict(zip(at["unit"], ratio(p)))
-        up = pd.DataFrame({"p0": p[:, 0], "p1": p[:, 1], "types": at["types"].to_numpy()}, index=at["unit"].to_numpy())
-    return Model(words, rest)
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and bias of a logistic curve by Newton's method, damped."""
-    if not len(x) or y.min() == y.max():
-        return 1.0, 0.0
-    mean, scale = x.mean(), max(x.std(), 1e-9)
-    a = np.column_stack([(x - mean) / scale, np.ones_like(x)])
-    w = np.zeros(2)
-
-    def loss(w):
-        z = a @ w
-        return np.logaddexp(0, z).sum() - y @ z + ridge * w @ w / 2
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge * np.eye(2), a.T @ (p - y) + ridge * w)
-        rate = 1.0
-        while loss(w - rate * step) > loss(w) and rate > 1e-6:
-            rate /= 2
-        w -= rate * step
-        if np.abs(rate * step).max() < 1e-8:
-            break
-    return float(w[0] / scale), float(w[1] - w[0] * mean / scale)
+def _key(unit: str) -> int:
+    """As Spark's ``xxhash64`` of the string, unsigned."""
+    return xxhash.xxh64_intdigest(unit.encode(), 42)
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of ``wanted`` in sorted ``keys``, -1 where absent."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _expressions(text: str) -> np.ndarray:
+    """Different expressions of two and three words: rows of key, history's key, key without the first word."""
+    words = [_key(w.decode() + END) for w in _words(text)]
+    h = np.array(words, dtype=np.uint64)
+    two = h[:-1] * _NEXT + h[1:]
+    three = two[:-1] * _NEXT + h[2:]
+    rows = np.concatenate([np.stack([two, h[:-1], h[1:]], 1), np.stack([three, two[:-1], two[1:]], 1)])
+    return rows[np.unique(rows[:, 0], return_index=True)[1]]
 
 
-class _Scores(dict):
-    """Scores by word, as bytes; unknown ones are worked out and kept."""
+def expressions(counted: DataFrame, text: str, label: str, min_docs: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Expressions that ``min_docs`` toxic documents hold, ``(key, history, lower, toxic, ordinary)``
+    in the order of keys, and their histories, ``(key, toxic, ordinary)``."""
+    def toxic_ones(batches):
+        for batch in batches:
+            rows = [_expressions(t.as_py()) for t in batch.column(0) if t.is_valid]
+            if rows:
+                cols = np.concatenate(rows).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(cols[:, i])) for i in range(3)], ["key", "history", "lower"])
+
+    schema = "key long, history long, lower long"
+    often = counted.where(F.col(label) == 1).select(text).mapInArrow(toxic_ones, schema).groupBy("key").agg(
+        F.count("*").alias("n"), F.min("history").alias("history"), F.min("lower").alias("lower")).where(F.col("n") >= min_docs)
+    kept = often.select("key", "history", "lower").toArrow().to_pandas().astype("int64").to_numpy().view(np.uint64)
+    kept = kept[np.argsort(kept[:, 0])]
+    histories = np.unique(kept[:, 1])
+    sent = counted.sparkSession.sparkContext.broadcast((kept[:, 0].copy(), histories))
+
+    def both(batches):
+        tables = sent.value
+        counts = [np.zeros((2, len(k)), dtype=np.int64) for k in tables]
+        for batch in batches:
+            for t, c in zip(batch.column(0), batch.column(1).to_pylist()):
+                if t.is_valid:
+                    rows = _expressions(t.as_py())
+                    for col, (keys, n) in enumerate(zip(tables, counts)):
+                        at = _find(keys, rows[:, col])
+                        np.add.at(n[c], at[at >= 0], 1)
+        for kind, n in enumerate(counts):
+            at = np.flatnonzero(n.any(0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(n[1][at]), pa.array(n[0][at])],
+                                             ["kind", "at", "toxic", "ordinary"])
+
+    sums = (counted.select(text, label).mapInArrow(both, "kind int, at long, toxic long, ordinary long")
+            .groupBy("kind", "at").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary")).toArrow().to_pandas())
+    out = []
+    for kind, table in enumerate((pd.DataFrame(kept, columns=["key", "history", "lower"]), pd.DataFrame({"key": histories}))):
+        mine = sums[sums["kind"] == kind].set_index("at").reindex(range(len(table)), fill_value=0)
+        out.append(table.assign(toxic=mine["toxic"].to_numpy(float), ordinary=mine["ordinary"].to_numpy(float)))
+    return out[0], out[1]
+
+
+@dataclass
+class Model:
+    """Ratios of probabilities, toxic to ordinary, by sorted keys."""
+
+    words: tuple[np.ndarray, np.ndarray]  # keys, ratios
+    rest: tuple[np.ndarray, np.ndarray]  # of what is unseen below a prefix
+    root: float  # of what is unseen below none
+    after: tuple[np.ndarray, np.ndarray]  # words that expressions go on from: factor of other words behind them
+    grams: tuple[np.ndarray, np.ndarray, np.ndarray]  # expressions: keys, ratios, factor of other words behind them (or NaN)
+    mix: float
+    pad: float
+    slope: float = 1.0
+    limit: float = 1.0
+
+    def word_ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and ratios of words."""
+        units = [w + END for w in words]
+        keys = np.array([_key(u) for u in units], dtype=np.uint64)
+        at = _find(self.words[0], keys)
+        out = np.where(at >= 0, self.words[1][at] if len(self.words[0]) else 1.0, np.nan)
+        for k in reversed(PREFIXES):
+            open_ = [i for i in np.flatnonzero(np.isnan(out)).tolist() if len(units[i]) >= k]
+            if open_:
+                at = _find(self.rest[0], np.array([_key(units[i][:k]) for i in open_], dtype=np.uint64))
+                out[open_] = np.where(at >= 0, self.rest[1][at] if len(self.rest[0]) else 1.0, np.nan)
+        return keys, np.where(np.isnan(out), self.root, out)
+
+
+def _with_expressions(grams: pd.DataFrame, histories: pd.DataFrame, words: pd.DataFrame, discount: float) -> tuple[tuple, tuple]:
+    """Ratios of expressions and factors of their histories (``Model.grams``, ``Model.after``)."""
+    at = _find(histories["key"].to_numpy(np.uint64), grams["history"].to_numpy(np.uint64))
+    p, rest = [], []
+    low_word = _find(words["key"].to_numpy(np.uint64), grams["lower"].to_numpy(np.uint64))
+    low_gram = _find(grams["key"].to_numpy(np.uint64), grams["lower"].to_numpy(np.uint64))
+    for c in ("toxic", "ordinary"):
+        total = histories[c].to_numpy()
+        own = np.maximum(grams[c].to_numpy() - discount, 0) / np.maximum(total[at], 1)
+        left = np.maximum(1 - np.bincount(at, own, minlength=len(histories)), 1e-12)
+        base = words[c].to_numpy()[low_word]
+        pair = own + left[at] * base
+        p.append(np.where(low_word >= 0, pair, own + left[at] * pair[low_gram]))  # what a triple backs off to is a pair here
+        rest.append(left)
+    factor = rest[0] / rest[1] if len(histories) else np.zeros(0)
+    keys = histories["key"].to_numpy(np.uint64)
+    back = _find(keys, grams["key"].to_numpy(np.uint64))
+    behind = np.where(back >= 0, factor[back], np.nan) if len(keys) else np.zeros(0)
+    return (keys, factor), (grams["key"].to_numpy(np.uint64), p[0] / p[1] if len(grams) else np.zeros(0), behind)
+
+
+class _Scores:
+    """Statistics of texts; keys and ratios of the words met lately are kept."""
 
     def __init__(self, model: Model):
         self.model = model
+        self.clear()
 
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = out = self.model.ratio(word.decode())
-        return out
-
+    def clear(self) -> None:
+        self.slots: dict[bytes, int] = {}
+        self.keys, self.ratio, self.after = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
 
-def _mean_ratio(text: Column, sent) -> Column:
+    def look_up(self, words: set[bytes]) -> None:
+        new = list(words.difference(self.slots))
+        if not new:
+            return
+        if len(self.slots) + len(new) > CACHE:
+            self.clear()
+            new = list(words)
+        self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
+        keys, ratio = self.model.word_ratios([w.decode() for w in new])
+        at = _find(self.model.after[0], keys)
+        after = np.where(at >= 0, self.model.after[1][at], np.nan) if len(self.model.after[0]) else np.full(len(new), np.nan)
+        self.keys, self.ratio, self.after = (np.concatenate(x) for x in ((self.keys, keys), (self.ratio, ratio), (self.after, after)))
+
+    def statistics(self, texts: list[list[bytes]]) -> np.ndarray:
+        model, size = self.model, np.array([len(t) for t in texts], dtype=np.int64)
+        self.look_up(set().union(*texts))
+        slots = np.fromiter((self.slots[w] for t in texts for w in t), dtype=np.int64, count=int(size.sum()))
+        owner, r, h = np.repeat(np.arange(len(texts)), size), self.ratio[slots].copy(), self.keys[slots]
+        if len(model.grams[0]) and len(slots) > 1:
+            keys, ratio, behind = model.grams
+            key, found = np.zeros(len(slots), np.uint64), np.full(len(slots), -1)
+            key[1:] = h[:-1] * _NEXT + h[1:]
+            known = np.concatenate([[False], ~np.isnan(self.after[slots[:-1]]) & (owner[1:] == owner[:-1])])
+            at = np.flatnonzero(known)
+            found[at] = _find(keys, key[at])
+            r[at] = np.where(found[at] >= 0, ratio[found[at]], self.after[slots[at - 1]] * r[at])
+            goes_on = np.concatenate([[False], (found[:-1] >= 0) & ~np.isnan(behind[found[:-1]]) & (owner[1:] == owner[:-1])])
+            at = np.flatnonzero(goes_on)
+            three = _find(keys, key[at - 1] * _NEXT + h[at])
+            r[at] = np.where(three >= 0, ratio[three], behind[found[at - 1]] * r[at])
+        logs = np.log1p(model.mix * (r - 1))
+        return np.bincount(owner, logs, minlength=len(texts)) / np.maximum(size + model.pad, 1)
+
+
+def _statistic(text: Column, sent) -> Column:
     key = uuid.uuid4().hex
 
     @F.arrow_udf("double")
-    def mean_ratio(col: pa.Array) -> pa.Array:
-        get, out = worker_state(key, lambda: _Scores(sent.value)).__getitem__, []
+    def statistic(col: pa.Array) -> pa.Array:
+        scores, out, run, held = worker_state(key, lambda: _Scores(sent.value)), [], [], 0
         for t in pc.fill_null(col, ""):
-            ws = _words(t.as_py())
-            out.append(sum(map(get, ws)) / len(ws) if ws else 0.0)
-        return pa.array(out, pa.float64())
-    return mean_ratio(text)
+            run.append(_words(t.as_py()))
+            held += len(run[-1])
+            if held > FLUSH:
+                out.append(scores.statistics(run))
+                run, held = [], 0
+        if run:
+            out.append(scores.statistics(run))
+        return pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())
+    return statistic(text)
+
+
+def _curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+    """Slope and limit of a logistic curve: the limit halves the gap at which the sum of both
+    classes' error rates is least (the lowest of such), the slope is fitted with both classes
+    weighing alike."""
+    if not len(x) or y.min() == y.max():
+        return 1.0, 1.0
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order]
+    pos, neg = y.sum(), (1 - y).sum()
+    gain = (pos - np.concatenate([[0], np.cumsum(y)])) / pos + np.concatenate([[0], np.cumsum(1 - y)]) / neg
+    gain[1:-1][x[1:] == x[:-1]] = -1
+    i = int(np.argmax(gain))
+    limit = float((x[i - 1] + x[i]) / 2) if 0 < i < len(x) else float(x[0] if i == 0 else x[-1] + 1e-9)
+    scale = max(float(np.abs(x - limit).mean()), 1e-9)
+    z, weight, w = (x - limit) / scale, np.where(y == 1, 1 / pos, 1 / neg), 1.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(w * z, -30, 30)))
+        step = ((weight * (p - y)) @ z + ridge * w) / ((weight * p * (1 - p)) @ z ** 2 + ridge)
+        w = min(max(w - np.clip(step, -1, 1), 0.1), 50.0)
+        if abs(step) < 1e-8:
+            break
+    return float(w / scale), limit
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_labelled: int = 50_000, max_nodes: int = 100_000, min_count: int = 1, discount: float = 0.75, mix: float = 0.02) -> Model:
+        max_labelled: int = 50_000, min_docs: int = 5, discount: float = 0.75, mix: float = 0.005, pad: float = 10.0) -> Model:
     """Learn a model from ``labels`` (all its rows may be learned from).
 
-    Of the labelled rows at most ``max_labelled`` are taken, by a hash of the
-    id; a fourth of them, by another, only fits the logistic curve. Rows of
+    Of the labelled ids at most ``max_labelled`` are taken, those of the least
+    hashes; a fourth of them, by another hash, only fits the logistic curve. Rows of
     ``labels`` with a null id or label are left out; of several labels of an id
-    the largest holds. Without rows of both classes the curve is not fitted.
+    the largest holds. Without rows of both classes the curve is not fitted and
+    ordinary texts score below 0.5.
     """
     spark = docs.sparkSession
     rows = (labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("label"))
-            .where("id is not null and label is not null"))
-    total = rows.count()
-    share = min(1.0, max_labelled / max(total, 1))
-    rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(max_labelled)
-    rows = materialize(rows.groupBy("id").agg(F.max("label").alias("label"))
-                       .withColumn("tune", F.pmod(F.hash("id"), F.lit(4)) == 0), "labels")
+            .where("id is not null and label is not null").groupBy("id").agg(F.max("label").alias("label")))
+    # the least hashes of about as many ids as are wanted, then exactly those
+    share = min(1.0, 1.2 * max_labelled / max(rows.count(), 1))
+    rows = rows.withColumn("h", F.xxhash64("id")).where(F.shiftrightunsigned("h", 34) <= int(share * (1 << 30)))
+    rows = materialize(rows.orderBy(F.shiftrightunsigned("h", 34), "h", "id").limit(max_labelled)
+                       .select("id", "label", (F.pmod(F.hash("id"), F.lit(4)) == 0).alias("tune")), "labels")
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    labelled = materialize(base.join(F.broadcast(rows), "id").select("text", "label", "tune"), "labelled")
+    counted = labelled.where("not tune")
     marked = base.join(F.broadcast(rows.where("not tune")), "id", "left")
     tree = materialize(nodes(word_counts(marked, "text", "label")), "nodes")
     totals = tuple(int(x or 0) for x in tree.where("level = 0").agg(F.sum("toxic"), F.sum("ordinary"), F.sum("types")).first())
-    scale = totals[0] / totals[1] if totals[0] and totals[1] else 1.0
-    tree = tree.withColumn("ordinary", F.col("ordinary") * F.lit(scale))
-    often = F.greatest("toxic", "ordinary")
-    # a parent is at least as frequent as its children; ties go by level, so it is kept with them
-    kept = (tree.where(F.col("toxic") + F.col("ordinary") >= min_count * min(1.0, scale))
-            .orderBy(often.desc(), "level", "unit").limit(max_nodes).toArrow().to_pandas())
-    model = _ratios(kept, (totals[0], totals[1] * scale, totals[2]), discount, mix)
-    tune = base.join(F.broadcast(rows.where("tune")), "id").select(
-        "label", _mean_ratio(F.col("text"), spark.sparkContext.broadcast(model)).alias("x")).toArrow().to_pandas()
-    model.slope, model.bias = _logistic(tune["x"].to_numpy(float), tune["label"].to_numpy(float))
+    table = ratios(tree, totals, discount)
+
+    def sorted_by_key(rows: DataFrame) -> pd.DataFrame:
+        got = rows.toArrow().to_pandas()
+        got["key"] = got["key"].to_numpy(np.int64).view(np.uint64)
+        return got.sort_values("key", ignore_index=True)
+
+    words = sorted_by_key(table.where(F.col("level") == len(PREFIXES) + 1).select("key", "toxic", "ordinary"))
+    prefixes = sorted_by_key(table.where(F.col("level").between(1, len(PREFIXES))).groupBy("key").agg(F.max_by("rest", "level").alias("rest")))
+    root = table.where("level = 0").first()
+    after, grams = _with_expressions(*expressions(counted, "text", "label", min_docs), words, discount)
+    model = Model((words["key"].to_numpy(), (words["toxic"] / words["ordinary"]).to_numpy()), (prefixes["key"].to_numpy(), prefixes["rest"].to_numpy()),
+                  float(root["rest"]), after, grams, mix, pad)
+    tune = labelled.where("tune").select("label", _statistic(F.col("text"), spark.sparkContext.broadcast(model)).alias("x")).toArrow().to_pandas()
+    model.slope, model.limit = _curve(tune["x"].to_numpy(float), tune["label"].to_numpy(float))
     return model
 
 
@@ -218,7 +376,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     """``docs`` with a column ``out``, 0 to 1: higher, likelier toxic. Null and
     empty texts, and texts without a letter, have ratio 0."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    z = _mean_ratio(F.col(text_col), sent) * F.lit(model.slope) + F.lit(model.bias)
+    z = (_statistic(F.col(text_col), sent) - F.lit(model.limit)) * F.lit(model.slope)
     return docs.withColumn(out, 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z)))))
 
 
