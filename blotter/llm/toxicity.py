@@ -35,6 +35,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -129,9 +130,14 @@ def ratios(tree: DataFrame, totals: tuple[int, int, int], discount: float) -> Da
 _NEXT = np.uint64(0x9E3779B97F4A7C15)  # key of an expression: key of its history times this, plus its last word's
 
 
-def _key(unit: str) -> int:
+def _key(unit: bytes) -> int:
     """As Spark's ``xxhash64`` of the string, unsigned."""
-    return xxhash.xxh64_intdigest(unit.encode(), 42)
+    return xxhash.xxh64_intdigest(unit, 42)
+
+
+def _prefix(unit: bytes, n: int) -> bytes:
+    """The first n characters."""
+    return unit[:n] if unit.isascii() else unit.decode()[:n].encode()
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -144,8 +150,8 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def _expressions(text: str) -> np.ndarray:
     """Different expressions of two and three words: rows of key, history's key, key without the first word."""
-    words = [_key(w.decode() + END) for w in _words(text)]
-    h = np.array(words, dtype=np.uint64)
+    end = END.encode()
+    h = np.array([_key(w + end) for w in _words(text)], dtype=np.uint64)
     two = h[:-1] * _NEXT + h[1:]
     three = two[:-1] * _NEXT + h[2:]
     rows = np.concatenate([np.stack([two, h[:-1], h[1:]], 1), np.stack([three, two[:-1], two[1:]], 1)])
@@ -208,16 +214,17 @@ class Model:
     slope: float = 1.0
     limit: float = 1.0
 
-    def word_ratios(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def word_ratios(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Keys and ratios of words."""
-        units = [w + END for w in words]
-        keys = np.array([_key(u) for u in units], dtype=np.uint64)
+        end = END.encode()
+        units = [w + end for w in words]
+        keys = np.fromiter(map(_key, units), dtype=np.uint64, count=len(units))
         at = _find(self.words[0], keys)
         out = np.where(at >= 0, self.words[1][at] if len(self.words[0]) else 1.0, np.nan)
         for k in reversed(PREFIXES):
-            open_ = [i for i in np.flatnonzero(np.isnan(out)).tolist() if len(units[i]) >= k]
+            open_ = np.flatnonzero(np.isnan(out)).tolist()  # (a shorter unit is a prefix of itself and not in the table)
             if open_:
-                at = _find(self.rest[0], np.array([_key(units[i][:k]) for i in open_], dtype=np.uint64))
+                at = _find(self.rest[0], np.array([_key(_prefix(units[i], k)) for i in open_], dtype=np.uint64))
                 out[open_] = np.where(at >= 0, self.rest[1][at] if len(self.rest[0]) else 1.0, np.nan)
         return keys, np.where(np.isnan(out), self.root, out)
 
@@ -262,7 +269,7 @@ class _Scores:
             self.clear()
             new = list(words)
         self.slots.update(zip(new, range(len(self.slots), len(self.slots) + len(new))))
-        keys, ratio = self.model.word_ratios([w.decode() for w in new])
+        keys, ratio = self.model.word_ratios(new)
         at = _find(self.model.after[0], keys)
         after = np.where(at >= 0, self.model.after[1][at], np.nan) if len(self.model.after[0]) else np.full(len(new), np.nan)
         self.keys, self.ratio, self.after = (np.concatenate(x) for x in ((self.keys, keys), (self.ratio, ratio), (self.after, after)))
@@ -270,7 +277,7 @@ class _Scores:
     def statistics(self, texts: list[list[bytes]]) -> np.ndarray:
         model, size = self.model, np.array([len(t) for t in texts], dtype=np.int64)
         self.look_up(set().union(*texts))
-        slots = np.fromiter((self.slots[w] for t in texts for w in t), dtype=np.int64, count=int(size.sum()))
+        slots = np.fromiter(map(self.slots.__getitem__, chain.from_iterable(texts)), dtype=np.int64, count=int(size.sum()))
         owner, r, h = np.repeat(np.arange(len(texts)), size), self.ratio[slots].copy(), self.keys[slots]
         if len(model.grams[0]) and len(slots) > 1:
             keys, ratio, behind = model.grams
