@@ -361,6 +361,7 @@ RUN_COLUMNS = ("pipeline", "model", "scaler", "pca_k", "seconds", "train_acc", "
 RUN_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds double, "
               "train_acc double, test_acc double, top_3_train_acc double, top_3_test_acc double, error string")
 SWEEP_SCHEMA = RUN_SCHEMA + ", is_best boolean, fractions string"
+TASK_ROWS = 100_000  # of a sweep's tables; more tasks of fewer rows cost a small fit more than they save
 
 
 def _prefix(config: dict) -> tuple:
@@ -391,6 +392,18 @@ def prepare_prefix(base: DataFrame, features: Sequence[str], scaler: str, sizes:
     return materialize(rows.select(*keep), "prefix"), col, size
 
 
+def dealt(table: DataFrame) -> tuple[DataFrame, int]:
+    """A written table's rows in even tasks, one per ``TASK_ROWS`` rows up to the number
+    of cores (or of its partitions if those are more), and the number of tasks.
+
+    A filtered union of tables has the rows of a few files in a few tasks, whatever the
+    number of cores: fits make many passes, each as long as its longest task.
+    """
+    most = max(table.sparkSession.sparkContext.defaultParallelism, table.rdd.getNumPartitions())
+    tasks = max(1, min(most, -(-table.count() // TASK_ROWS)))
+    return table.repartition(tasks), tasks
+
+
 def _leaves(configs: Sequence[dict]) -> list[list[dict]]:
     """Configurations that one fit serves: trees that differ in depth alone; each other by itself."""
     groups: dict[str, list[dict]] = {}
@@ -443,12 +456,14 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
           categorical: Sequence[str] = ("district",), target: str = "label") -> DataFrame:
     """One result row per configuration.
 
-    Preprocessing is shared: categories and target are indexed once, each (feature set,
+    Preprocessing is shared: both sides are dealt evenly over tasks (:func:`dealt`),
+    categories and target are indexed once, each (feature set,
     scaler) prefix is fitted and written once with one PCA for all its sizes
     (:func:`prepare_prefix`), and only classifiers are fitted per configuration - trees
     that differ in depth are cut from one fit (:func:`cut_trees`). Both parts are scored
     in one pass. Independent fits run from ``parallelism`` driver threads (like
-    ``CrossValidator(parallelism=...)``); ``seconds`` is the wall time of a run's classifier,
+    ``CrossValidator(parallelism=...)``), of a table of few tasks from as many as give
+    each core two tasks, unless ``parallelism`` is 1; ``seconds`` is the wall time of a run's classifier,
     for shared fits that of all. A configuration that fails becomes a row with its
     error. ``fractions`` samples both sides per label first (logged as Yes / No).
 
@@ -469,13 +484,17 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
     if todo:
         if fractions is not None:
             train, test = (stratified_sample(d, target, fractions, id_col) for d in (train, test))
-        indexer, _ = index_target(train, target)
-        both = train.withColumn("part", F.lit("train")).where(F.col(target).isNotNull()).unionByName(test.withColumn("part", F.lit("test")))
+        wanted = {f for c in todo for f in c["features"]} & set(train.columns)
+        given = list(dict.fromkeys([target, *categorical, *sorted(wanted)]))
+        both = materialize(train.select(*given, F.lit("train").alias("part")).unionByName(test.select(*given, F.lit("test").alias("part"))), "rows")
+        known = both.where("part = 'train'")
+        indexer, _ = index_target(known, target)
         stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in categorical]
         stages += [OneHotEncoder(dropLast=True, inputCol=f"{c}_idx", outputCol=f"{c}_vec") for c in categorical]
-        shared = Pipeline(stages=stages).fit(train)
-        wanted = {f for c in todo for f in c["features"]} & set(train.columns)
-        base = shared.transform(indexer.transform(both)).select("part", "target", *sorted(wanted), *(f"{c}_vec" for c in categorical))
+        shared = Pipeline(stages=stages).fit(known)
+        even, tasks = dealt(both)
+        base = shared.transform(indexer.transform(even.where((F.col("part") == "test") | F.col(target).isNotNull())))
+        base = base.select("part", "target", *sorted(wanted), *(f"{c}_vec" for c in categorical))
         labels = list(indexer.labels)
         # the classifiers' classes are the seen labels; an unseen one is a number beyond them
         nominal = {"ml_attr": {"type": "nominal", "name": "target", "vals": labels}}
@@ -490,7 +509,8 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
                 return e
 
         def leaf(group):
-            t0, found = time.time(), tables[_prefix(group[0])]
+            found = tables[_prefix(group[0])].result()
+            t0 = time.time()
             try:
                 if isinstance(found, Exception):
                     raise found
@@ -504,8 +524,9 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
                     commit_run(spark, log, run_key(c, about), r)
             return out
 
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            tables = dict(zip(prefixes, pool.map(prepare, prefixes.items())))
+        fill = 2 * spark.sparkContext.defaultParallelism // tasks if parallelism > 1 else 1
+        with ThreadPoolExecutor(max_workers=max(1, parallelism, fill)) as pool:
+            tables = {p: pool.submit(prepare, (p, sizes)) for p, sizes in prefixes.items()}  # before any run that waits for them
             rows = [r for out in pool.map(leaf, _leaves(todo)) for r in out]
     if log is not None:
         runs = finished_runs(spark, log).join(spark.createDataFrame([(k,) for k in keys], "run_key string"), "run_key").drop("run_key")

@@ -127,6 +127,25 @@ def test_number_of_fits(spark, monkeypatch):
     assert len(prefixes) == 2 and len(fits) == 6
 
 
+def test_training_rows_are_dealt_over_the_cores(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    shares, run = [], M._run_leaf
+
+    def spy(spark_, table, *a):
+        parts = table.where("part = 'train'").groupBy(F.spark_partition_id()).count().collect()
+        shares.append(sorted(r["count"] for r in parts))
+        return run(spark_, table, *a)
+    monkeypatch.setattr(M, "_run_leaf", spy)
+    train, test = M.hash_split(_engineered(spark, 800).coalesce(1), ["id"])
+    config = dict(name="lr", features=["hour"], model="lr", scaler="standard")
+    few = M.sweep(train, test, [config]).first()
+    monkeypatch.setattr(M, "TASK_ROWS", 100, raising=False)
+    many = M.sweep(train, test, [config]).first()
+    assert few["error"] is None and len(shares[0]) == 1 and sum(shares[0]) == sum(shares[1]) == train.count()
+    assert len(shares[1]) == 4 and shares[1][-1] < 2 * shares[1][0]
+    assert abs(many["test_acc"] - few["test_acc"]) < 1e-9 and abs(many["train_acc"] - few["train_acc"]) < 1e-9
+
+
 def test_too_many_components_is_a_failed_run(spark):
     train, test = M.hash_split(_engineered(spark, 200), ["id"])
     configs = [dict(name=str(k), features=["hour"], model="tree", pca_k=k) for k in (2, 50)]
