@@ -344,8 +344,10 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     spark = docs.sparkSession
     cut = pieces_of(F.col(text_col), tokenizer, capacity, end_id, with_ids)
     cols = ["id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
+    # no text is without a piece, so outer gives the same rows; without it Spark first filters by the
+    # array's size, which tokenises every text twice, in two Python workers per task
     pieces = materialize(docs.select(F.col(id_col).alias("id"), cut.alias("p"))
-                         .select("id", F.explode("p").alias("p")).select("id", "p.*").select(*cols), "pieces")
+                         .select("id", F.explode_outer("p").alias("p")).select("id", "p.*").select(*cols), "pieces")
     counts = {int(n): int(c) for n, c in pieces.groupBy("length").count().collect()}  # at most capacity rows
     runs, _ = reduce_and_fit(counts, capacity)
     plan = spark.sparkContext.broadcast(plan_table(runs, capacity))

@@ -134,3 +134,17 @@ def test_pack(spark, capacity):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_texts_are_tokenised_once(spark, monkeypatch):
+    plans, write = {}, packing.materialize
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(packing, "materialize", seen)
+    d = spark.createDataFrame([(1, "one text", 5, 1), (2, None, 5, 1), (None, "", 5, 1)], SCHEMA)
+    rows = packing.pack(d).collect()
+    assert plans["pieces"].count("ArrowEvalPython") == 1
+    assert sorted((r.doc_id or 0, r.piece, r.length) for r in rows) == [(0, 0, 1), (1, 0, 3), (2, 0, 1)]
