@@ -222,9 +222,15 @@ def topk_hit(prob: Column, target: Column, k: int = 3) -> Column:
     that is no class of the model is no hit.
     """
     t = target.cast("int")
-    pt = F.try_element_at(prob, t + 1)
-    above = F.size(F.filter(prob, lambda x, j: (x > pt) | ((x == pt) & (j > t))))
-    return pt.isNotNull() & (above < k)
+
+    def hit(row: Column) -> Column:
+        p, pt = row["p"], row["pt"]
+        above = F.size(F.filter(p, lambda x, j: (x > pt) | ((x == pt) & (j > t))))
+        return pt.isNotNull() & (above < k)
+
+    # a variable of a lambda is worked out once; in the filter's, prob would be per class
+    once = F.transform(F.array(prob), lambda p: F.struct(p.alias("p"), F.try_element_at(p, t + 1).alias("pt")))
+    return F.transform(once, hit)[0]
 
 
 def accuracy_summary(pred: DataFrame, k: int = 3, prob_col: str = "probability") -> DataFrame:

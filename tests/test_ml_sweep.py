@@ -202,3 +202,19 @@ def test_nothing_is_left_in_the_shared_folder(spark):
     assert len(there()) > len(before)
     drop_scratch(spark)
     assert there() <= before
+
+
+def test_topk_hit_works_out_probabilities_once(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+    schema = T.StructType([T.StructField("p", VectorUDT()), T.StructField("target", T.DoubleType())])
+    rows = [(Vectors.dense(p), t) for p, t in (([0.1, 0.2, 0.3, 0.4], 0.0), ([0.1, 0.2, 0.3, 0.4], 1.0), ([0.25] * 4, 1.0),
+                                               ([0.25] * 4, 0.0), ([0.7, 0.1, 0.1, 0.1], 4.0), ([0.7, 0.1, 0.1, 0.1], None))]
+    df = spark.createDataFrame(rows, schema)
+    out = df.select(M.topk_hit(M.vector_to_array(F.col("p")), F.col("target"), 3).alias("hit"))
+    assert [r.hit for r in out.collect()] == [False, True, True, False, False, False]
+    missing = spark.createDataFrame([(None, 1.0)], "p array<double>, target double")
+    assert missing.select(M.topk_hit(F.col("p"), F.col("target")).alias("hit")).first().hit is False
+    project = out._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert project.split(" AS hit")[0].count("UDF(p#") == 1, project
