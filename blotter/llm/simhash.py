@@ -92,7 +92,8 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     u = dealt.select("cell", F.col("fp").alias("u"))
     v = dealt.select("cell", F.col("fp").alias("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    return u.join(v, "cell").where(near).select("u", "v").distinct()
+    # some 49 cells a fingerprint, but Spark takes the explode's output for one row each, so it would broadcast it
+    return u.join(v.hint("merge"), "cell").where(near).select("u", "v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

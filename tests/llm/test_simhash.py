@@ -84,6 +84,25 @@ def test_keep_one_when_a_second_read_packs_files_otherwise(spark, tmp_path, monk
     assert len(got) == len(set(groups)) and {r.doc_id for r in got} == set(comps)
 
 
+def plan_of_links(monkeypatch, run):
+    """The plan that the first links of a run are written by."""
+    plans, write = [], simhash.materialize
+
+    def spy(df, name="table"):
+        if name == "links":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+    monkeypatch.setattr(simhash, "materialize", spy)
+    run()
+    return plans[0]
+
+
+def test_pipeline_does_not_broadcast_the_cells(spark, monkeypatch):
+    from corpus_pipeline import drop_near_duplicates
+    plan = plan_of_links(monkeypatch, lambda: drop_near_duplicates(spark, rows_of(spark, corpus()), "").collect())
+    assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(rows_of(spark, [])).collect() == []
     assert simhash.keep_one(rows_of(spark, [])).collect() == []
