@@ -103,6 +103,11 @@ def test_pipeline_does_not_broadcast_the_cells(spark, monkeypatch):
     assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
 
 
+def test_near_duplicates_do_not_broadcast_the_cells(spark, monkeypatch):
+    plan = plan_of_links(monkeypatch, lambda: simhash.near_duplicates(rows_of(spark, corpus())).collect())
+    assert "SortMergeJoin [cell" in plan and "Broadcast" not in plan
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(rows_of(spark, [])).collect() == []
     assert simhash.keep_one(rows_of(spark, [])).collect() == []
