@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blotter.functions.timeparts import part as date_part
+from blotter.operators import counted as counted_rows
 from blotter.operators.clean import hash_unit, stratified_sample
 from blotter.session import materialize, scratch_path
 
@@ -368,11 +369,26 @@ RUN_SCHEMA = ("pipeline string, model string, scaler string, pca_k int, seconds
               "train_acc double, test_acc double, top_3_train_acc double, top_3_test_acc double, error string")
 SWEEP_SCHEMA = RUN_SCHEMA + ", is_best boolean, fractions string"
 TASK_ROWS = 100_000  # of a sweep's tables; more tasks of fewer rows cost a small fit more than they save
+N, COUNTS = "__n", "__counts"  # of counted rows
+COUNTED_BYTES = 128 << 20  # of different feature vectors with their counts that one task fits; twice that for a moment
+
+
+def _counted(config: dict) -> bool:
+    """The configuration's model is fitted on different feature vectors and their counts."""
+    return config["model"] == "mlp" and config.get("solver", "l-bfgs") == "l-bfgs"
 
 
 def _prefix(config: dict) -> tuple:
-    """What a configuration's preprocessing is known by: feature set and scaler."""
-    return tuple(config["features"]), config.get("scaler", "none")
+    """What a configuration's preprocessing is known by: feature set, scaler, and whether rows are counted."""
+    return tuple(config["features"]), config.get("scaler", "none"), _counted(config)
+
+
+def _copies(table: DataFrame, *cols: str, block: int = 4096) -> DataFrame:
+    """``cols`` of a counted table's rows, each as often as ``N`` says, evenly over tasks and written once."""
+    blocks = table.select(*cols, N, F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({N} - 1) div {block}"))).alias("block"))
+    each = F.least(F.lit(block).cast("long"), F.col(N) - F.col("block") * block)
+    rows = blocks.repartition(table.sparkSession.sparkContext.defaultParallelism).select(*cols, F.explode(F.sequence(F.lit(1).cast("long"), each)))
+    return dealt(materialize(rows.select(*cols), "copies"))[0]
 
 
 def prepare_prefix(base: DataFrame, features: Sequence[str], scaler: str, sizes: Sequence[int],
@@ -383,17 +399,24 @@ def prepare_prefix(base: DataFrame, features: Sequence[str], scaler: str, sizes:
 
     Fitted on the training rows and written once for both parts; returns the table
     ``(part, target, <column>, [features_pca])``, the column and its number of features.
+    Of a table with counted rows (:func:`count_rows`) they are those of all the rows that it
+    counts; it keeps their numbers in place of ``target``.
     """
-    train = base.where("part = 'train'")
+    train, counted = base.where("part = 'train'"), N in base.columns
     assembler = VectorAssembler(inputCols=[*features, *(f"{c}_vec" for c in categorical)], outputCol="features_raw", handleInvalid="error")
     stages, col = _scaling_stages(scaler, "features_raw")
-    fitted = Pipeline(stages=[assembler, *stages]).fit(train)
+    if counted and stages and isinstance(stages[-1], StandardScaler):
+        first = Pipeline(stages=[assembler, *stages[:-1]]).fit(train)
+        fitted = PipelineModel(stages=[*first.stages, counted_rows.fit_scaler(stages[-1], first.transform(train), N)])
+    else:  # the other scalers don't depend on how often a row comes
+        fitted = Pipeline(stages=[assembler, *stages]).fit(train)
     rows = fitted.transform(base)
     size = len(rows.where("part = 'train'").select(col).first()[0])
-    keep = ["part", "target", col]
+    keep = ["part", *([N, COUNTS] if counted else ["target"]), col]
     possible = [k for k in sizes if k <= size]
     if possible:
-        pca = PCA(k=max(possible), inputCol=col, outputCol="features_pca").fit(rows.where("part = 'train'"))
+        pca, known = PCA(k=max(possible), inputCol=col, outputCol="features_pca"), rows.where("part = 'train'")
+        pca = counted_rows.fit_pca(pca, known, N) if counted else pca.fit(known)
         rows, keep = pca.transform(rows), [*keep, "features_pca"]
     return materialize(rows.select(*keep), "prefix"), col, size
 
@@ -410,6 +433,13 @@ def dealt(table: DataFrame) -> tuple[DataFrame, int]:
     return table.repartition(tasks), tasks
 
 
+def count_rows(rows: DataFrame, columns: Sequence[str], n_labels: int, n: Column) -> DataFrame:
+    """One row per part and different values of ``columns``, with ``N``, the number of rows (sums of
+    ``n``), and ``COUNTS``, those of each target (the last: a target that is none of the labels)."""
+    of = [F.sum(F.when(F.col("target") == i, n).otherwise(0)) for i in range(n_labels + 1)]
+    return rows.groupBy("part", *columns).agg(F.sum(n).alias(N), F.array(*of).alias(COUNTS))
+
+
 def _leaves(configs: Sequence[dict]) -> list[list[dict]]:
     """Configurations that one fit serves: trees that differ in depth alone; each other by itself."""
     groups: dict[str, list[dict]] = {}
@@ -436,15 +466,26 @@ def _run_leaf(spark: SparkSession, table: DataFrame, col: str, size: int, n_labe
     depths = [c.get("maxDepth") for c in group]
     if len(group) > 1:
         params["maxDepth"] = max(depths)
-    model = make_classifier(config["model"], col, **params).fit(table.where("part = 'train'"))
+    classifier, train = make_classifier(config["model"], col, **params), table.where("part = 'train'")
+    if not _counted(config):
+        model = classifier.fit(train)
+    elif train.count() * (size + n_labels + 1) * 8 <= COUNTED_BYTES:
+        model = counted_rows.fit_perceptron(classifier, train, COUNTS)
+    else:
+        each = train.select(col, F.posexplode(COUNTS).alias("at", N)).where((F.col("at") < n_labels) & (F.col(N) > 0))
+        model = classifier.fit(_copies(each.withColumn("target", F.col("at").cast("double")), col, "target"))
     cut = {depths[0]: model} if len(group) == 1 else cut_trees(spark, model, sorted(set(depths)))
     models = [cut[d].copy() for d in depths]
     scored, sums = table, []
     for i, m in enumerate(models):
         m.setPredictionCol(f"prediction_{i}").setProbabilityCol(f"probability_{i}").setRawPredictionCol("")
         scored = m.transform(scored)
+    if _counted(config):  # every vector is scored once, its hits count by target
+        scored = scored.select("part", *(f"{c}_{i}" for i in range(len(models)) for c in ("probability", "prediction")), F.posexplode(COUNTS).alias("target", N))
+    for i in range(len(models)):
         hit1, hit3 = _hits(scored, 3, f"probability_{i}", f"prediction_{i}")
-        sums += [F.avg(hit1).alias(f"top1_{i}"), F.avg(hit3).alias(f"top3_{i}")]
+        share = (lambda hit: F.sum(hit * F.col(N)) / F.sum(N)) if _counted(config) else F.avg
+        sums += [share(hit1).alias(f"top1_{i}"), share(hit3).alias(f"top3_{i}")]
     got = {r["part"]: r for r in scored.groupBy("part").agg(*sums).collect()}
     value = lambda part, name: got[part][name] if part in got else None
     return [dict(train_acc=value("train", f"top1_{i}"), test_acc=value("test", f"top1_{i}"),
@@ -466,8 +507,10 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
     categories and target are indexed once, each (feature set,
     scaler) prefix is fitted and written once with one PCA for all its sizes
     (:func:`prepare_prefix`), and only classifiers are fitted per configuration - trees
-    that differ in depth are cut from one fit (:func:`cut_trees`). Both parts are scored
-    in one pass. Independent fits run from ``parallelism`` driver threads (like
+    that differ in depth are cut from one fit (:func:`cut_trees`), perceptrons are fitted
+    and scored on different feature vectors with their numbers of rows
+    (:mod:`blotter.operators.counted`; on all rows where those vectors are over
+    ``COUNTED_BYTES``). Both parts are scored in one pass. Independent fits run from ``parallelism`` driver threads (like
     ``CrossValidator(parallelism=...)``), of a table of few tasks from as many as give
     each core two tasks, unless ``parallelism`` is 1; ``seconds`` is the wall time of a run's classifier,
     for shared fits that of all. A configuration that fails becomes a row with its
@@ -498,19 +541,32 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
         stages = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep") for c in categorical]
         stages += [OneHotEncoder(dropLast=True, inputCol=f"{c}_idx", outputCol=f"{c}_vec") for c in categorical]
         shared = Pipeline(stages=stages).fit(known)
-        even, tasks = dealt(both)
-        base = shared.transform(indexer.transform(even.where((F.col("part") == "test") | F.col(target).isNotNull())))
-        base = base.select("part", "target", *sorted(wanted), *(f"{c}_vec" for c in categorical))
-        labels = list(indexer.labels)
-        # the classifiers' classes are the seen labels; an unseen one is a number beyond them
-        nominal = {"ml_attr": {"type": "nominal", "name": "target", "vals": labels}}
-        base = materialize(base.withColumn("target", F.col("target").alias("target", metadata=nominal)), "base")
+        labels, tasks, bases = list(indexer.labels), 1, {}
+
+        def indexed(rows):
+            return shared.transform(indexer.transform(rows.where((F.col("part") == "test") | F.col(target).isNotNull())))
+        if not all(map(_counted, todo)):
+            even, tasks = dealt(both)
+            base = indexed(even).select("part", "target", *sorted(wanted), *(f"{c}_vec" for c in categorical))
+            # the classifiers' classes are the seen labels; an unseen one is a number beyond them
+            nominal = {"ml_attr": {"type": "nominal", "name": "target", "vals": labels}}
+            bases[False] = materialize(base.withColumn("target", F.col("target").alias("target", metadata=nominal)), "base")
+        if any(map(_counted, todo)):
+            some = sorted({f for c in todo if _counted(c) for f in c["features"]} & set(train.columns))
+            index = [f"{c}_idx" for c in categorical]
+            bases[True] = materialize(indexed(both).groupBy("part", "target", *some, *index).agg(F.count("*").alias(N)), "counted")
+
+        def count_set(features):
+            rows = count_rows(bases[True], [*(f for f in features if f in bases[True].columns), *index], len(labels), F.col(N))
+            for encoder in shared.stages[len(categorical):]:
+                rows = encoder.transform(rows)
+            return materialize(rows, "counted")
         prefixes = {p: sorted({c["pca_k"] for c in todo if _prefix(c) == p and c.get("pca_k")}) for p in dict.fromkeys(map(_prefix, todo))}
 
         def prepare(item):
-            (features, scaler), sizes = item
+            (features, scaler, counted), sizes = item
             try:
-                return prepare_prefix(base, features, scaler, sizes, categorical)
+                return prepare_prefix(sets[features].result() if counted else bases[False], features, scaler, sizes, categorical)
             except Exception as e:  # every run of the prefix gets it
                 return e
 
@@ -532,6 +588,7 @@ def sweep(train: DataFrame, test: DataFrame, configs: Sequence[dict], parallelis
 
         fill = 2 * spark.sparkContext.defaultParallelism // tasks if parallelism > 1 else 1
         with ThreadPoolExecutor(max_workers=max(1, parallelism, fill)) as pool:
+            sets = {p[0]: pool.submit(count_set, p[0]) for p in prefixes if p[2]}
             tables = {p: pool.submit(prepare, (p, sizes)) for p, sizes in prefixes.items()}  # before any run that waits for them
             rows = [r for out in pool.map(leaf, _leaves(todo)) for r in out]
     if log is not None:
